@@ -183,6 +183,26 @@ VIEWS: dict[str, str] = {
         SELECT company_id, signal_id, event_date AS issue_date,
                CASE k % 25 WHEN 0 THEN 'clinical_hold' WHEN 1 THEN 'warning_letter' ELSE 'other' END AS issue_type
         FROM {d_signals} WHERE source_type = 'error'""",
+    # the wide per-type signal record; attributes come from the event's own fields
+    "d_wide": f"""
+        SELECT signal_id, company_id, event_date, signal_type, confidence, k / 10e0 AS relevance,
+               {pick('k % 6', ['phase_1', 'phase_1_2', 'phase_2', 'phase_2_3', 'phase_3', 'phase_4'])} AS phase,
+               {pick('k % 5', ['positive', 'negative', 'mixed', 'pending', 'unknown'])} AS outcome,
+               k % 2 = 0 AS endpoint_met, {pick('k % 3', ['completed', 'recruiting', 'active'])} AS status,
+               event_date + INTERVAL '1' DAY * (k * 40) AS expiry_date,
+               k % 2 = 1 AS is_composition, k % 3 = 0 AS is_method, k % 5 = 0 AS is_formulation,
+               k % 4 = 0 AS litigation, k % 3 AS drugs_covered,
+               {pick('k % 7', ['ceo', 'cfo', 'director', 'cso', 'officer', 'cmo', 'other'])} AS insider_role,
+               {pick('k % 3', ['purchase', 'sale', 'gift'])} AS transaction_type, k % 4 = 1 AS is_planned,
+               value * 100 AS shares, 10 + k / 4e0 AS price,
+               {pick('k % 4', ['VP Corporate Development', 'Chemist', 'Head of BD', 'Analyst'])} AS role,
+               {pick('k % 4', ['vp', 'individual_contributor', 'c_suite', 'manager'])} AS seniority,
+               k % 2 = 0 AS is_new_position, {pick('k % 3', ['Big Pharma Inc', 'Widget Co', 'Acme Therapeutics'])} AS previous_company,
+               value * 1000000 AS cash, (k % 10) * 1e7 AS quarterly_burn,
+               k % 9 = 0 AS going_concern, k % 11 = 0 AS covenant_breach, k % 8 = 0 AS guidance_lowered
+        FROM {{d_signals}}""",
+    "d_latest": """
+        SELECT company_id, max_by(score, score_date) AS ma_score, max(score_date) AS score_date FROM {d_scores} GROUP BY company_id""",
     "d_prices": """
         SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS day,
                CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)

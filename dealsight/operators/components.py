@@ -206,7 +206,7 @@ def composite_score(components: DataFrame, weights: DataFrame, as_of) -> DataFra
     w = F.broadcast(normalize_weights(weights).select("component", "weight"))  # one row per component
     rows = components.join(w, "component").withColumn("contribution", F.col("score") * F.col("weight"))
     age = whole_days(F.col("last_updated"), at(as_of))
-    recency = F.greatest(1 - age / 90, F.lit(0.0))
+    recency = F.when(F.col("last_updated").isNotNull(), F.greatest(1 - age / 90, F.lit(0.0)))
     drivers = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("contribution", "component", "score")))), 1, 3)
     g = rows.groupBy("company_id").agg(
         F.sum("contribution").alias("_sum"), F.sum("signals").alias("_signals"), F.avg(recency).alias("_rec"),

@@ -3,5 +3,5 @@ from dealsight.plans.catalog import CATALOG, Query, query  # noqa: F401
 
 import importlib as _il
 
-for _m in ("scoring",):
+for _m in ("scoring", "relational"):
     _il.import_module(f"dealsight.plans.{_m}")
