@@ -203,6 +203,78 @@ VIEWS: dict[str, str] = {
         FROM {{d_signals}}""",
     "d_latest": """
         SELECT company_id, max_by(score, score_date) AS ma_score, max(score_date) AS score_date FROM {d_scores} GROUP BY company_id""",
+    # screening universe: area and stage names of the screening vocabulary
+    "d_hot_areas": """
+        SELECT company_id, array_sort(array_agg(area)) AS hot_areas, min(area) AS first_area FROM (
+          SELECT company_id, CASE area WHEN 'oncology' THEN 'oncology_adc' WHEN 'neurology' THEN 'cns_neuropsychiatry'
+                 WHEN 'metabolic' THEN 'obesity_glp1' ELSE area END AS area
+          FROM {d_assets} GROUP BY company_id, area HAVING count(*) >= 4) x GROUP BY company_id""",
+    "d_universe": f"""
+        SELECT c.company_id AS company_id, ticker, name, market_cap, cash AS cash_position, quarterly_burn AS quarterly_burn_rate,
+               lead_asset, lead_rank, {pick('lead_rank', ['Preclinical', 'Phase 1', 'Phase 2', 'Phase 3', 'NDA/BLA Filed', 'Approved'])} AS lead_asset_phase,
+               n_assets AS total_assets, h.hot_areas AS therapeutic_areas, h.first_area AS first_area, region, stock_return_52w,
+               institutional_ownership, is_royalty, is_platform, ipo_date, nation_no,
+               nation_no % 3 = 0 AS has_activist_investor, nation_no % 5 = 0 AS has_takeover_rumors
+        FROM {{d_companies}} c LEFT JOIN {{d_hot_areas}} h ON h.company_id = c.company_id""",
+    # programmes a buyer holds: the parts on its returned-and-closed order lines
+    "d_licensed": f"""
+        SELECT o_custkey AS acquirer_id, p_partkey AS asset_id, {_AREA_OF_TYPE} AS area,
+               {pick('(p_size - 1) % 6', PHASES)} AS phase, p_retailprice * 1e6 AS peak_sales
+        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey
+        WHERE l_returnflag = 'A'""",
+    "d_losses": """
+        SELECT c.acquirer_id AS acquirer_id, c.cliff_id AS cliff_id, c.drug_name AS product, c.area AS area,
+               c.annual_revenue / 1e6 AS annual_revenue, c.expiry_date AS expiry_date,
+               CAST((c.drug_id * 7) % 101 AS DOUBLE) AS generic_risk, c.drug_id % 3 = 0 AS replaced, r.total_revenue AS total_revenue
+        FROM {d_cliffs} c JOIN (SELECT acquirer_id, CAST(sum(CAST(annual_revenue AS DECIMAL(24,2))) AS DOUBLE) / 6e6 AS total_revenue
+                                FROM {d_cliffs} GROUP BY acquirer_id) r ON r.acquirer_id = c.acquirer_id""",
+    "d_bidders": """
+        SELECT a.acquirer_id AS acquirer_id, acquirer_name, areas, is_active,
+               least(100e0, 20e0 + 30e0 * coalesce(g.n, 0)) AS gap_severity,
+               CASE WHEN coalesce(g.n, 0) >= 3 THEN 'critical' WHEN coalesce(g.n, 0) = 2 THEN 'high'
+                    WHEN coalesce(g.n, 0) = 1 THEN 'medium' ELSE 'low' END AS urgency,
+               CASE nation_no % 3 WHEN 0 THEN 'aggressive' WHEN 1 THEN 'moderate' ELSE 'conservative' END AS bidding,
+               nation_no % 4 = 0 AS cliff_risk, CAST(nation_no * 4 AS DOUBLE) AS concentration,
+               coalesce(g.n, 0) + nation_no % 3 AS recent_deals, market_cap, cash, debt, recent_spend
+        FROM {d_acquirers} a LEFT JOIN (SELECT acquirer_id, count(*) AS n FROM {d_buyer_areas} WHERE n = 2 GROUP BY acquirer_id) g
+          ON g.acquirer_id = a.acquirer_id""",
+    # market = area and brand; shares in percent of the market's sales
+    "d_shares": """
+        SELECT market, company_id, sales, 100e0 * sales / sum(sales) OVER (PARTITION BY market) AS share
+        FROM (SELECT area || ':' || CAST(brand_no AS STRING) AS market, company_id,
+                     CAST(sum(CAST(peak_sales AS DECIMAL(24,2))) AS DOUBLE) AS sales
+              FROM {d_assets} GROUP BY area || ':' || CAST(brand_no AS STRING), company_id) x""",
+    "d_proposals": f"""
+        SELECT o_orderkey AS deal_id, o_custkey % {_NS} AS buyer_id, o_orderkey % {_NS} AS target_id, o_custkey AS acquirer_id,
+               o_totalprice / 40 AS deal_value_mm, o_orderkey % 5 AS overlap_areas
+        FROM {{orders}}""",
+    "d_reviews": """
+        SELECT o_custkey AS acquirer_id, count(*) AS reviewed, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS blocked,
+               sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS remedies,
+               sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 1 ELSE 0 END) AS second_requests,
+               sum(CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01 00:00:00' AND o_orderstatus = 'P' THEN 1 ELSE 0 END) AS challenges,
+               o_custkey % 9 = 0 AS decree
+        FROM {orders} GROUP BY o_custkey""",
+    # clinical profile of each programme
+    "d_clinical": f"""
+        SELECT p_partkey AS asset_id, {_AREA_OF_TYPE} || ':' || split_part(p_name, ' ', 2) AS drug_class,
+               CASE WHEN p_size % 7 = 0 THEN 'obesity' ELSE split_part(p_name, ' ', 2) END AS indication,
+               {pick('p_size % 8', ['once_monthly', 'twice_monthly', 'once_weekly', 'twice_weekly', 'once_daily', 'twice_daily', 'three_times_daily', 'as_needed'])} AS dosing,
+               {pick(_BRAND + ' % 7', ['oral', 'subcutaneous', 'transdermal', 'inhaled', 'intramuscular', 'intravenous', 'other'])} AS route,
+               {pick('(p_size + ' + _BRAND + ') % 4', ['first_in_class', 'best_in_class', 'fast_follower', 'me_too'])} AS novelty,
+               p_partkey % 3 <> 0 AS endpoint_met, CASE WHEN p_size % 11 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 2 END AS endpoint_value,
+               (p_partkey % 13) * (p_partkey % 13) * 5e-4 AS p_value, (p_partkey % 12) / 10e0 AS effect,
+               CAST((p_partkey * 7) % 100 AS DOUBLE) AS ae_rate, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_partkey % 25 AS DOUBLE) END AS serious_rate,
+               CAST((p_partkey * 3) % 40 AS DOUBLE) AS stop_rate, p_partkey % 4 = 0 AS head_to_head, p_partkey % 8 = 0 AS superior,
+               CAST(p_partkey % 40 AS DOUBLE) AS efficacy_delta, p_size % 3 = 0 AS new_formulation, p_size % 5 = 0 AS new_delivery,
+               {_BRAND} % 6 = 0 AS formulation_patent, CAST(p_partkey % 11 AS DOUBLE) AS patient_pref, CAST(p_partkey % 9 AS DOUBLE) AS physician_pref
+        FROM {{part}}""",
+    "d_premium": f"""
+        SELECT o_orderkey AS deal_id, CAST((o_orderkey * 13) % 101 AS DOUBLE) AS clinical, CAST((o_custkey * 7 + o_orderkey) % 101 AS DOUBLE) AS momentum,
+               CAST((o_orderkey * 3 + o_custkey) % 101 AS DOUBLE) AS tension, CAST((o_custkey * 11) % 101 AS DOUBLE) AS antitrust,
+               CAST((o_orderkey * 5) % 101 AS DOUBLE) AS gap_fit, o_totalprice / 100 AS cap_mm, o_totalprice * (o_orderkey % 9) / 1000 AS cash_mm,
+               {pick('o_orderkey % 6', ['Preclinical', 'Phase 1', 'Phase 2', 'Phase 3', 'NDA/BLA Filed', 'Approved'])} AS stage
+        FROM {{orders}}""",
     "d_prices": """
         SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS day,
                CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)
