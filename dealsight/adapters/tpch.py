@@ -275,6 +275,30 @@ VIEWS: dict[str, str] = {
                CAST((o_orderkey * 5) % 101 AS DOUBLE) AS gap_fit, o_totalprice / 100 AS cap_mm, o_totalprice * (o_orderkey % 9) / 1000 AS cash_mm,
                {pick('o_orderkey % 6', ['Preclinical', 'Phase 1', 'Phase 2', 'Phase 3', 'NDA/BLA Filed', 'Approved'])} AS stage
         FROM {{orders}}""",
+    # market snapshot, news, conference and social rows: one per event of a type
+    "d_market": f"""
+        SELECT signal_id, company_id AS ticker, event_date AS ts, value / 30 AS volume_anomaly, (k - 50) / 2e0 AS short_change,
+               {pick('k % 5', ['heavy_call_buying', 'call_spread', 'protective_puts', 'normal', 'unusual_activity'])} AS options_activity,
+               (k % 30) / 10e0 AS call_put, k % 5 AS upgrades, k % 3 AS downgrades, CAST(k % 40 - 10 AS DOUBLE) AS target_change,
+               CAST(k % 16 - 6 AS DOUBLE) AS accumulation, CAST(k % 11 AS DOUBLE) AS insider, CAST(k % 60 - 25 AS DOUBLE) AS momentum_20d,
+               CAST(k % 80 - 30 AS DOUBLE) AS momentum_60d
+        FROM {{d_signals}}""",
+    "d_news": """
+        SELECT signal_id, company_id AS ticker, event_date AS published, (k - 50) / 50e0 AS sentiment, least(1e0, value / 100) AS relevance
+        FROM {d_signals} WHERE source_type = 'view'""",
+    "d_conf": f"""
+        SELECT signal_id, company_id AS ticker, event_date AS held, {pick('k % 5', ['keynote', 'oral', 'panel', 'poster', 'demo'])} AS presentation,
+               {pick('k % 4', ['breakthrough', 'positive', 'neutral', 'disappointing'])} AS quality, CAST(k % 10 AS DOUBLE) AS buzz
+        FROM {{d_signals}} WHERE source_type = 'signup'""",
+    "d_social": """
+        SELECT signal_id, company_id AS ticker, event_date AS ts, (k - 40) / 60e0 AS sentiment, value / 10 AS engagement,
+               k % 6 = 0 AS trending, k AS mentions
+        FROM {d_signals} WHERE source_type = 'click'""",
+    "d_trials": f"""
+        SELECT l_orderkey AS trial_id, {_AREA_OF_TYPE} AS area, {pick('(p_size - 1) % 4', ['Phase 1', 'Phase 2', 'Phase 3', 'Phase 4'])} AS phase,
+               l_shipdate AS start_date, l_suppkey AS sponsor, l_quantity * 20 AS enrollment,
+               CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'terminated' ELSE 'recruiting' END AS status
+        FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey""",
     "d_prices": """
         SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS day,
                CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)

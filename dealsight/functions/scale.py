@@ -101,3 +101,24 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     offs = sums.select(*keys, "_bucket", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
     return (b.withColumn("_c", F.sum("_v").over(inner)).join(offs, [*keys, "_bucket"])
             .withColumn(out, F.col("_c") + F.col("_off")).drop("_bucket", "_v", "_c", "_off"))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, tie: str, ps: dict[str, float],
+                    exclusive: bool = False) -> DataFrame:
+    """Exact interpolated quantiles per group from ranked positions.
+
+    Inclusive puts p at position 1 + p(n-1).  Exclusive puts it at p(n+1) with
+    the lower position held to [1, n-1] and the remainder left unclamped.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value), tie)
+    p = positions(rows, by, [F.col(value), F.col(tie)], "_pos", "_n")
+    aggs, outs = [F.max("_n").alias("n")], []
+    for name, q in ps.items():
+        h = F.lit(q) * (F.col("_n") + 1) if exclusive else F.lit(q) * (F.col("_n") - 1) + 1
+        lo = F.greatest(F.least(F.floor(F.round(h, 9)), F.greatest(F.col("_n") - 1, F.lit(1))), F.lit(1))
+        aggs += [F.max(F.when(F.col("_pos") == lo, F.col(value))).alias(f"_lo_{name}"),
+                 F.max(F.when(F.col("_pos") == lo + 1, F.col(value))).alias(f"_hi_{name}"),
+                 F.max(F.round(h, 9) - lo).alias(f"_f_{name}")]
+        step = (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_f_{name}")
+        outs.append((F.col(f"_lo_{name}") + F.coalesce(step, F.lit(0.0))).alias(name))
+    return p.groupBy(*by).agg(*aggs).select(*by, "n", *outs)
