@@ -299,6 +299,22 @@ VIEWS: dict[str, str] = {
                l_shipdate AS start_date, l_suppkey AS sponsor, l_quantity * 20 AS enrollment,
                CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'terminated' ELSE 'recruiting' END AS status
         FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey""",
+    "d_drugs": f"""
+        SELECT p_partkey AS drug_id, p_partkey % {_NS} AS company_id, p_name AS drug_name, p_retailprice * 1e6 AS peak_sales,
+               {pick('(p_size - 1) % 6', ['Preclinical', 'Phase 1', 'Phase 2', 'Phase 3', 'NDA Filed', 'Approved'])} AS phase,
+               (CASE p_type WHEN 'ECONOMY' THEN 'Oncology Solid Tumors' WHEN 'LARGE' THEN 'Immunology' WHEN 'MEDIUM' THEN 'CNS'
+                     WHEN 'PROMO' THEN 'Rare Disease' WHEN 'SMALL' THEN 'Cardiovascular' ELSE 'Obesity/Metabolic' END) AS area,
+               {pick(_BRAND + ' % 5', ['standard', 'blockbuster', 'orphan', 'fast_follower', 'gene_therapy'])} AS curve,
+               p_size % 5 AS years_to_launch, 6 + p_size % 12 AS patent_life,
+               {pick('p_partkey % 5', ['first_in_class', 'best_in_class', 'competitive', 'me_too', 'orphan_dominant'])} AS position
+        FROM {{part}}""",
+    # labelled outcomes with three document features as factors
+    "d_outcomes": """
+        SELECT l.doc_id AS doc_id, quality AS outcome, source AS period, lang AS segment,
+               least(100e0, n_chars / 60e0) AS f_length,
+               100e0 * (1 - least(1e0, (length(text) - length(replace(text, ' ', ''))) / (n_chars * 0.25e0 + 1))) AS f_density,
+               least(100e0, (length(text) - length(replace(text, 'e', ''))) * 500e0 / (n_chars + 1)) AS f_letter
+        FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id""",
     "d_prices": """
         SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS day,
                CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)

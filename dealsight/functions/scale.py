@@ -99,8 +99,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     sums = b.groupBy(*keys, "_bucket").agg(F.sum("_v").alias("_s"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offs = sums.select(*keys, "_bucket", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
-    return (b.withColumn("_c", F.sum("_v").over(inner)).join(offs, [*keys, "_bucket"])
-            .withColumn(out, F.col("_c") + F.col("_off")).drop("_bucket", "_v", "_c", "_off"))
+    return (b.withColumn("_within", F.sum("_v").over(inner)).join(offs, [*keys, "_bucket"])
+            .withColumn(out, F.col("_within") + F.col("_off")).drop("_bucket", "_v", "_within", "_off"))
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, tie: str, ps: dict[str, float],

@@ -194,9 +194,9 @@ def _zscore(t):
 
 
 @query("C17", "price_asof_change", f"""WITH g AS (SELECT symbol, max_by(close, day) AS cur, max_by(close, day) FILTER (WHERE day <= DATE '2001-12-01' - 200) AS prior, min_by(close, day) AS old, count(*) c FROM d_prices GROUP BY 1)
-SELECT symbol, round(cur, 6) AS current, round(coalesce(prior, old), 6) AS previous, {sql_tidy('(cur - coalesce(prior, old)) / coalesce(prior, old) * 100')} AS change_pct FROM g WHERE c >= 2""")
+SELECT symbol, round(cur, 8) AS current, round(coalesce(prior, old), 8) AS previous, {sql_tidy('(cur - coalesce(prior, old)) / coalesce(prior, old) * 100')} AS change_pct FROM g WHERE c >= 2""")
 def _asof(t):
-    return op.price_change_asof(t.prices, DEAL, 200).select("symbol", r("current"), r("previous"), "change_pct")
+    return op.price_change_asof(t.prices, DEAL, 200).select("symbol", r("current", 8), r("previous", 8), "change_pct")
 
 
 STATUS = "CASE event_type WHEN 'signup' THEN 'NOT_YET_RECRUITING' WHEN 'view' THEN 'RECRUITING' WHEN 'click' THEN 'ACTIVE_NOT_RECRUITING' WHEN 'purchase' THEN 'COMPLETED' ELSE CASE WHEN value < 20 THEN 'TERMINATED' WHEN value < 60 THEN 'SUSPENDED' ELSE 'WITHDRAWN' END END"
