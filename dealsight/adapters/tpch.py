@@ -365,6 +365,7 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({re.sub(r'{(\w+)}', r'\1', VIEWS[n])})" for n in order)
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"WITH RECURSIVE {ctes},\n{body[len(head):]}"
     return f"WITH {ctes}\n{body}"
