@@ -315,6 +315,23 @@ VIEWS: dict[str, str] = {
                100e0 * (1 - least(1e0, (length(text) - length(replace(text, ' ', ''))) / (n_chars * 0.25e0 + 1))) AS f_density,
                least(100e0, (length(text) - length(replace(text, 'e', ''))) * 500e0 / (n_chars + 1)) AS f_letter
         FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id""",
+    # management signals and pair inputs of the eight-factor rules
+    "d_management": f"""
+        SELECT signal_id, company_id, event_date,
+               {pick('k % 10', ['ceo_cfo_departure', 'board_addition', 'activist', 'advisor_hired', 'strategic_review', 'insider_buying', 'key_hire', 'rd_reduction', 'asset_sale', 'programme_end'])} AS kind,
+               value < 20 AS weak
+        FROM {{d_signals}} WHERE severity = 'critical' OR severity = 'low'""",
+    "d_pair_inputs": f"""
+        SELECT o_orderkey AS deal_id, {pick('o_custkey % 5', ['high', 'medium', 'low', 'adjacent', 'none'])} AS priority,
+               {pick('o_orderkey % 3', ['match', 'complementary', 'none'])} AS technology, CAST(o_orderkey % 80 AS INT) AS months_to_cliff,
+               CAST((o_custkey * 3) % 60 AS INT) AS months_to_approval, {pick('(o_orderkey + o_custkey) % 4', ['indication', 'area', 'related', 'unrelated'])} AS cliff_match,
+               (o_totalprice / 500000) AS sales_ratio, (o_totalprice % 7000) / 1000 AS size_ratio, 0.2e0 + (o_custkey % 20) / 10e0 AS funding_ratio,
+               {pick('o_orderkey % 4', ['preferred', 'adjacent', 'acceptable', 'other'])} AS stage_match, {pick('(o_custkey + 1) % 4', ['phase_3_positive', 'phase_2_strong', 'phase_2_early', 'earlier'])} AS data_state,
+               CAST(o_custkey % 7 AS INT) AS deals_in_area, CAST(o_orderkey % 5 AS INT) AS deals_at_stage, CAST(o_custkey % 8 AS INT) - 3 AS product_gap,
+               CAST((o_orderkey % 30) AS DOUBLE) - 15 AS revenue_growth, {pick('o_orderkey % 4', ['launched', 'phase_3', 'erosion', 'stable'])} AS threat,
+               CAST(o_totalprice % 100 AS DOUBLE) AS target_score, CAST(o_orderkey % 5 AS INT) AS strong_80, CAST(o_custkey % 4 AS INT) AS strong_70,
+               CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 24 AS INT) END AS months_to_catalyst, o_custkey % 2 = 0 AS low_runway
+        FROM {{orders}}""",
     "d_prices": """
         SELECT l_partkey AS symbol, CAST(l_shipdate AS DATE) AS day,
                CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)

@@ -103,6 +103,50 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
             .withColumn(out, F.col("_within") + F.col("_off")).drop("_bucket", "_v", "_within", "_off"))
 
 
+def running_max(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Per key, the largest value among strictly earlier rows, split at buckets of the order column."""
+    b = df.withColumn("_bucket", bucket)
+    inner = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    tops = b.groupBy(*keys, "_bucket").agg(*[F.max(c).alias(f"_t_{o}") for o, c in values.items()])
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    tops = tops.select(*keys, "_bucket", *[F.max(f"_t_{o}").over(before).alias(f"_b_{o}") for o in values])
+    for o, c in values.items():
+        b = b.withColumn(f"_w_{o}", F.max(c).over(inner))
+    b = b.join(tops, [*keys, "_bucket"])
+    for o in values:
+        b = b.withColumn(o, F.greatest(f"_w_{o}", f"_b_{o}"))
+    return b.drop("_bucket", *[f"_w_{o}" for o in values], *[f"_b_{o}" for o in values])
+
+
+def count_before(df: DataFrame, keys: Sequence[str], ts: str, tie: str, shift: Column, pos: str, out: str, unit: str = "hour") -> DataFrame:
+    """Per row: its position ``pos`` in (ts, tie) order and ``out`` = rows of its key with ts < ts + shift.
+
+    Each row sends a zero-valued probe at ts + shift through one running sum.
+    """
+    e = df.select(*keys, F.col(tie).alias("_id"), F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.lit(1).alias("_w"))
+    p = df.select(*keys, F.col(tie).alias("_id"), (F.col(ts) + shift).alias("_t"), F.lit(0).alias("_kind"), F.lit(0).alias("_w"))
+    run = running_sum(e.unionByName(p), keys, F.date_trunc(unit, F.col("_t").cast("timestamp")), ["_t", "_kind", "_id"], F.col("_w"), "_cum")
+    return run.groupBy(*keys, F.col("_id").alias(tie)).agg(F.max(F.when(F.col("_kind") == 1, F.col("_cum"))).alias(pos),
+                                                           F.max(F.when(F.col("_kind") == 0, F.col("_cum"))).alias(out))
+
+
+def reachable(jumps: DataFrame, keys: Sequence[str], start: int, pos: str = "pos", nxt: str = "next") -> DataFrame:
+    """Positions visited from ``start`` by following ``nxt`` in every key, by pointer doubling.
+
+    After k rounds the first 2^k stops are known, so a chain of n stops takes log2(n)
+    rounds, each an equi join on (key, position).
+    """
+    hop = cut(jumps.select(*keys, F.col(pos).alias("_p"), F.col(nxt).alias("_q")))
+    seen = hop.filter(F.col("_p") == start).select(*keys, "_p")
+    while True:
+        more = cut(seen.unionByName(seen.join(hop, [*keys, "_p"]).select(*keys, F.col("_q").alias("_p"))).distinct())
+        far = hop.select(*keys, F.col("_p").alias("_q"), F.col("_q").alias("_z"))
+        hop = cut(hop.join(far, [*keys, "_q"]).select(*keys, "_p", F.col("_z").alias("_q")))
+        if hop.isEmpty():
+            return more.withColumnRenamed("_p", pos)
+        seen = more
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, tie: str, ps: dict[str, float],
                     exclusive: bool = False) -> DataFrame:
     """Exact interpolated quantiles per group from ranked positions.
