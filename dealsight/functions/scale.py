@@ -25,8 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint only when a bounded count proves the side small."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Materialise once, then hint a broadcast only when its row count proves it small;
+    beyond the limit the join stays an ordinary shuffle join."""
+    d = cut(df)
+    return F.broadcast(d) if d.limit(limit + 1).count() <= limit else d
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

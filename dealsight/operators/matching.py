@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dealsight.functions.bands import above, at_least, below, first_match, lookup, points, tidy
 from dealsight.functions.clock import at, whole_days
-from dealsight.functions.scale import SMALL_ROWS, broadcast_if_small, top_per_key
+from dealsight.functions.scale import SMALL_ROWS, broadcast_if_small, cut, top_per_key
 
 # ---- fixed values -----------------------------------------------------------
 MATCH_WEIGHTS = {"alignment": 0.35, "cliff": 0.25, "capacity": 0.20, "history": 0.15, "activity": 0.05}
@@ -31,30 +31,51 @@ BIDDER_COUNT_SCORE = [(5, 100), (4, 90), (3, 80), (2, 60), (1, 40)]
 COMPETITION = [(90, "auction"), (75, "high"), (55, "moderate"), (35, "low")]
 PREMIUM_RANGE = [(90, 2.5, 4.0), (75, 1.8, 2.5), (60, 1.4, 1.8), (40, 1.2, 1.4)]
 
-NO_AREAS = "array()"
-
-
 def areas_or_empty(c: str = "areas") -> Column:
     return F.coalesce(F.col(c), F.array().cast("array<string>"))
 
 
+MAX_BITS = 62
+
+
 def signatures(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(targets with ``sig``, distinct signatures with their area arrays)."""
-    t = targets.withColumn("sig", F.array_join(F.array_sort(areas_or_empty()), ","))
-    sig = t.select("sig", F.array_sort(areas_or_empty()).alias("target_areas")).dropDuplicates(["sig"])
+    known = F.array_sort(F.array_distinct(areas_or_empty()))
+    t = targets.withColumn("sig", F.array_join(known, ","))
+    sig = cut(t.select("sig", known.alias("target_areas")).dropDuplicates(["sig"]))
     return t, sig
 
 
+def vocabulary(sig: DataFrame) -> list[str]:
+    """The targets' distinct areas; the rules use a small fixed vocabulary."""
+    rows = sig.select(F.explode("target_areas").alias("a")).distinct().orderBy("a").limit(MAX_BITS + 1).collect()
+    if len(rows) > MAX_BITS:
+        raise ValueError(f"more than {MAX_BITS} distinct areas: map them to canonical areas first")
+    return [r["a"] for r in rows]
+
+
+def area_bits(areas: Column, vocab: Sequence[str]) -> Column:
+    """Area set as a bit mask, so set overlap is one AND and one popcount per pair."""
+    out = F.lit(0).cast("bigint")
+    for i, v in enumerate(vocab):
+        out = out.bitwiseOR(F.when(F.array_contains(areas, v), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return out
+
+
+def shared(a: str = "target_bits", b: str = "buyer_bits") -> Column:
+    return F.bit_count(F.col(a).bitwiseAND(F.col(b)))
+
+
 def per_signature(buyers: DataFrame, sig: DataFrame, keep: Column | None = None) -> DataFrame:
-    """One row per (buyer, signature) that passes ``keep`` (over target_areas and buyer columns).
+    """One row per (buyer, signature) that passes ``keep`` (over signature and buyer columns).
 
     While the signature list is small it travels as one array and every buyer
     row expands in place; a larger list takes an ordinary join.
     """
     if sig.limit(SMALL_ROWS // 10 + 1).count() <= SMALL_ROWS // 10:
-        packed = sig.agg(F.collect_list(F.struct("sig", "target_areas")).alias("_sigs")).withColumn("_one", F.lit(1))
+        packed = sig.agg(F.collect_list(F.struct(*sig.columns)).alias("_sigs")).withColumn("_one", F.lit(1))
         d = (buyers.withColumn("_one", F.lit(1)).join(F.broadcast(packed), "_one")
-             .select(*buyers.columns, F.explode("_sigs").alias("_s")).select(*buyers.columns, "_s.sig", "_s.target_areas"))
+             .select(*buyers.columns, F.explode("_sigs").alias("_s")).select(*buyers.columns, *[f"_s.{c}" for c in sig.columns]))
         return d if keep is None else d.filter(keep)
     return buyers.join(sig, F.lit(True) if keep is None else keep)
 
@@ -82,40 +103,54 @@ def financial_capacity(requested: DataFrame, acquirers: DataFrame) -> DataFrame:
     return requested.select("acquirer_id").distinct().join(known, "acquirer_id", "left").withColumn("capacity", F.coalesce("capacity", F.lit(50.0)))
 
 
-def deal_profiles(deals: DataFrame) -> DataFrame:
-    """Past deals per buyer as array<(areas, n)>: one entry per distinct area set."""
-    return (deals.groupBy("acquirer_id", "areas").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("acquirer_id").agg(F.collect_list(F.struct("areas", "n")).alias("deal_profile")))
+def deal_profiles(deals: DataFrame, vocab: Sequence[str]) -> DataFrame:
+    """Past deals per buyer as array<(bits, n)>: one entry per distinct area set."""
+    return (deals.select("acquirer_id", area_bits(F.col("areas"), vocab).alias("bits")).groupBy("acquirer_id", "bits").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("acquirer_id").agg(F.collect_list(F.struct("bits", "n")).alias("deal_profile")))
+
+
+def history_score(limit: int = 10) -> Column:
+    """Ten points per past deal sharing an area with the target, at most 30."""
+    hits = F.aggregate("deal_profile", F.lit(0).cast("bigint"),
+                       lambda a, p: a + F.when(p["bits"].bitwiseAND(F.col("target_bits")) != 0, p["n"]).otherwise(F.lit(0)))
+    return F.coalesce(F.least(F.least(hits, F.lit(limit)) * 10, F.lit(30)), F.lit(0))
+
+
+def pair_alignment(priority: float = 0.5) -> Column:
+    """C6 over bit masks."""
+    n, both = F.col("target_size"), shared()
+    total = both / n * 60 + F.lit(priority * 30) + F.least((n - both) * 5, F.lit(10))
+    return F.when((n > 0) & F.col("buyer_known"), tidy(F.least(total, F.lit(100.0)))).otherwise(F.lit(0.0))
 
 
-def history_score(target: Column, profile: Column, limit: int = 10) -> Column:
-    hits = F.filter(profile, lambda p: F.arrays_overlap(p["areas"], target))
-    count = F.aggregate(hits, F.lit(0).cast("bigint"), lambda a, p: a + p["n"])
-    return F.coalesce(F.least(F.least(count, F.lit(limit)) * 10, F.lit(30)), F.lit(0))
+def base_columns(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("alignment", pair_alignment()).withColumn("history", history_score())
 
 
-def match_columns(pairs: DataFrame, cliff: Column | None = None) -> DataFrame:
-    """Score, drivers, premium and likelihood over (buyer, signature) rows."""
-    d = (pairs.withColumn("alignment", alignment_score(F.col("target_areas"), areas_or_empty()))
-         .withColumn("cliff", (cliff if cliff is not None else F.lit(0)).cast("double"))
-         .withColumn("history", history_score(F.col("target_areas"), F.col("deal_profile"))))
-    score = (F.col("alignment") * 0.35 + F.col("cliff") * 0.25 + F.col("capacity") * 0.20 + F.col("history") * 0.15
-             + F.col("activity") * 100 * 0.05)
-    drivers = F.array(F.when(F.col("alignment") >= 70, "Strong therapeutic area alignment"), F.when(F.col("cliff") >= 80, "Urgent patent cliff"),
-                      F.when(F.col("history") >= 20, "Historical acquisition pattern match"), F.when(F.col("capacity") >= 80, "Strong financial capacity"))
-    premium = 30 + points(F.col("cliff") >= 80, 20) + points(F.col("alignment") >= 80, 15)
-    return (d.withColumn("match_score", tidy(score)).withColumn("drivers", F.filter(drivers, lambda x: x.isNotNull()))
+def final_columns(pairs: DataFrame) -> DataFrame:
+    """Score, drivers, premium and likelihood; ``cliff`` is the urgency of the matched cliff or 0."""
+    c = F.col
+    score = c("alignment") * 0.35 + c("cliff") * 0.25 + c("capacity") * 0.20 + c("history") * 0.15 + c("activity") * 100 * 0.05
+    drivers = F.array(F.when(c("alignment") >= 70, "Strong therapeutic area alignment"), F.when(c("cliff") >= 80, "Urgent patent cliff"),
+                      F.when(c("history") >= 20, "Historical acquisition pattern match"), F.when(c("capacity") >= 80, "Strong financial capacity"))
+    premium = 30 + points(c("cliff") >= 80, 20) + points(c("alignment") >= 80, 15)
+    return (pairs.withColumn("match_score", tidy(score)).withColumn("drivers", F.filter(drivers, lambda x: x.isNotNull()))
             .withColumn("premium", F.least(premium, F.lit(80)).cast("double"))
-            .withColumn("likelihood", at_least(F.col("match_score"), LIKELIHOOD, 0.05)))
+            .withColumn("likelihood", at_least(c("match_score"), LIKELIHOOD, 0.05)))
 
 
-def scored_buyers(acquirers: DataFrame, deals: DataFrame) -> DataFrame:
+def scored_buyers(acquirers: DataFrame, deals: DataFrame, vocab: Sequence[str]) -> DataFrame:
     """Buyer-side inputs computed once per active buyer."""
-    return (acquirers.filter("is_active").join(deal_profiles(deals), "acquirer_id", "left")
-            .select("acquirer_id", "acquirer_name", "acquirer_type", "areas", "deal_profile", capacity_score().alias("capacity"),
+    return (acquirers.filter("is_active").join(deal_profiles(deals, vocab), "acquirer_id", "left")
+            .select("acquirer_id", "acquirer_name", "acquirer_type", "deal_profile", capacity_score().alias("capacity"),
+                    area_bits(areas_or_empty(), vocab).alias("buyer_bits"), (F.size(areas_or_empty()) > 0).alias("buyer_known"),
                     lookup(F.col("acquirer_type"), TYPE_ACTIVITY, 0.5).alias("activity")))
 
 
+def with_bits(sig: DataFrame, vocab: Sequence[str]) -> DataFrame:
+    return sig.withColumn("target_bits", area_bits(F.col("target_areas"), vocab)).withColumn("target_size", F.size("target_areas"))
+
+
 # the most a buyer without any shared area can reach: 25 x .35 + 100 x .2 + 30 x .15 + 100 x .05
 BEST_WITHOUT_OVERLAP = 38.25
 
@@ -123,8 +158,10 @@ BEST_WITHOUT_OVERLAP = 38.25
 def match_acquirers(targets: DataFrame, acquirers: DataFrame, deals: DataFrame, top_n: int = 10, min_score: float = 40.0) -> DataFrame:
     """C4: best ``top_n`` buyers per target with match_score >= min_score."""
     t, sig = signatures(targets)
-    shared = F.arrays_overlap(F.col("target_areas"), areas_or_empty()) if min_score > BEST_WITHOUT_OVERLAP else None
-    pairs = match_columns(per_signature(scored_buyers(acquirers, deals), sig, shared)).filter(F.col("match_score") >= min_score)
+    vocab = vocabulary(sig)
+    keep = shared() > 0 if min_score > BEST_WITHOUT_OVERLAP else None
+    pairs = per_signature(scored_buyers(acquirers, deals, vocab), with_bits(sig, vocab), keep).withColumn("cliff", F.lit(0.0))
+    pairs = final_columns(base_columns(pairs)).filter(F.col("match_score") >= min_score)
     cols = ["acquirer_id", "acquirer_name", "acquirer_type", "match_score", "alignment", "capacity", "history", "drivers", "premium", "likelihood"]
     best = top_per_key(pairs.select("sig", *cols), ["sig"], [F.col("match_score").desc(), F.col("acquirer_id")], top_n, "rank")
     return t.join(broadcast_if_small(best), "sig").drop("sig")
@@ -154,19 +191,33 @@ def cliff_urgency(expiry: Column, as_of) -> Column:
 
 
 def patent_cliff_matches(targets: DataFrame, cliffs: DataFrame, acquirers: DataFrame, deals: DataFrame, as_of,
-                         years_ahead: int = 5, top_n: int | None = 10) -> DataFrame:
-    """Cliffs in the target's areas within the horizon, by urgency then score; one match per cliff."""
+                         years_ahead: int = 5, top_n: int = 10) -> DataFrame:
+    """Cliffs in the target's areas within the horizon, by urgency then score; one match per cliff.
+
+    Urgency ranks first, so once an area has ``top_n`` cliffs at or above a level,
+    its less urgent cliffs can reach no target's list.  Within one buyer and area
+    the order is urgency alone, so ``top_n`` cliffs per buyer and area are enough.
+    """
     t, sig = signatures(targets)
+    vocab = vocabulary(sig)
     live = cliffs.filter((F.col("expiry_date") >= at(as_of)) & (F.col("expiry_date") <= at(as_of) + F.expr(f"INTERVAL {365 * years_ahead} DAYS")))
-    live = live.withColumn("cliff_urgency", cliff_urgency(F.col("expiry_date"), as_of)).withColumnRenamed("area", "cliff_area")
-    buyers = scored_buyers(acquirers.withColumn("is_active", F.lit(True)), deals)
-    rows = live.join(buyers, "acquirer_id")
-    pairs = match_columns(per_signature(rows, sig, F.array_contains(F.col("target_areas"), F.col("cliff_area"))), F.col("cliff_urgency"))
+    live = live.select("acquirer_id", "cliff_id", "drug_name", "area", "expiry_date", cliff_urgency(F.col("expiry_date"), as_of).cast("double").alias("cliff"))
+    known = cut(live.join(acquirers.select("acquirer_id"), "acquirer_id", "left_semi"))
+    levels = known.groupBy("area", "cliff").agg(F.count(F.lit(1)).alias("n"))
+    run = F.sum("n").over(W.partitionBy("area").orderBy(F.col("cliff").desc()).rowsBetween(W.unboundedPreceding, -1))
+    floor = levels.withColumn("_above", F.coalesce(run, F.lit(0))).filter(F.col("_above") < top_n).groupBy("area").agg(F.min("cliff").alias("_floor"))
+    hot = known.join(broadcast_if_small(floor), "area").filter(F.col("cliff") >= F.col("_floor"))
+    hot = top_per_key(hot, ["acquirer_id", "area"], [F.col("cliff").desc(), F.col("cliff_id"), F.col("drug_name"), F.col("expiry_date")], top_n, "_r")
+    bit = F.struct("cliff", "cliff_id", "drug_name", "expiry_date", F.col("area").alias("cliff_area"), area_bits(F.array("area"), vocab).alias("cliff_bit"))
+    held = hot.groupBy("acquirer_id").agg(F.collect_list(bit).alias("cliffs"))  # at most top_n per area
+    buyers = scored_buyers(acquirers.withColumn("is_active", F.lit(True)), deals, vocab).join(held, "acquirer_id")
+    pairs = base_columns(per_signature(buyers, with_bits(sig, vocab)))
+    rows = pairs.select("sig", "acquirer_id", "alignment", "history", "capacity", "activity",
+                        F.inline(F.filter("cliffs", lambda x: x["cliff_bit"].bitwiseAND(F.col("target_bits")) != 0)))
+    rows = final_columns(rows).withColumnRenamed("cliff", "cliff_urgency")
     order = [F.col("cliff_urgency").desc(), F.col("match_score").desc(), F.col("cliff_id"), F.col("acquirer_id"), F.col("drug_name"), F.col("expiry_date")]
-    out = pairs.select("sig", "cliff_id", "acquirer_id", "drug_name", "cliff_area", "expiry_date", "cliff_urgency", "match_score")
-    if top_n is not None:
-        out = top_per_key(out, ["sig"], order, top_n, "rank")
-    return t.join(out, "sig").drop("sig")
+    out = rows.select("sig", "cliff_id", "acquirer_id", "drug_name", "cliff_area", "expiry_date", "cliff_urgency", "match_score")
+    return t.join(top_per_key(out, ["sig"], order, top_n, "rank"), "sig").drop("sig")
 
 
 def similar_deals(requests: DataFrame, deals: DataFrame, limit: int = 10) -> DataFrame:
@@ -273,14 +324,16 @@ def gap_target_fit(targets: DataFrame, gaps: DataFrame, acquirers: DataFrame, to
     signature is the order for each of its targets.
     """
     t, sig = signatures(targets)
-    prof = (gaps.groupBy("acquirer_id", "area").agg(F.sum(lookup(F.col("severity"), GAP_POINTS, 0)).alias("pts"))
-            .groupBy("acquirer_id").agg(F.collect_list(F.struct("area", "pts")).alias("gap_profile")))
-    buyers = acquirers.select("acquirer_id", "priorities").join(prof, "acquirer_id", "left")
-    hits = lambda word: F.size(F.filter(F.col("target_areas"), lambda a: F.contains(F.lower(a), F.lower(word))))
-    gap_pts = F.aggregate(F.coalesce("gap_profile", F.expr("CAST(array() AS array<struct<area:string,pts:bigint>>)")),
-                          F.lit(0).cast("bigint"), lambda acc, g: acc + g["pts"] * hits(g["area"]))
-    prio = F.aggregate(areas_or_empty("priorities"), F.lit(0).cast("bigint"), lambda acc, w: acc + hits(w) * 10)
-    pairs = per_signature(buyers, sig).withColumn("pair_points", gap_pts + prio).select("sig", "acquirer_id", "pair_points")
+    vocab = vocabulary(sig)
+    # points of a gap (or 10 of a priority) count once per target area whose name contains it
+    rows = (gaps.select("acquirer_id", "area", lookup(F.col("severity"), GAP_POINTS, 0).alias("pts"))
+            .unionByName(acquirers.select("acquirer_id", F.explode("priorities").alias("area"), F.lit(10).alias("pts"))))
+    gained = lambda v: F.sum(F.when(F.contains(F.lit(v.lower()), F.lower("area")), F.col("pts")).otherwise(0))
+    per_buyer = rows.groupBy("acquirer_id").agg(*[gained(v).alias(f"_p{i}") for i, v in enumerate(vocab)])
+    buyers = acquirers.select("acquirer_id").join(per_buyer, "acquirer_id", "left").na.fill(0)
+    bit = lambda i: F.col("target_bits").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
+    total = sum((F.when(bit(i), F.col(f"_p{i}")).otherwise(0) for i in range(len(vocab))), F.lit(0))
+    pairs = per_signature(buyers, with_bits(sig, vocab)).select("sig", "acquirer_id", total.alias("pair_points"))
     best = top_per_key(pairs, ["sig"], [F.col("pair_points").desc(), F.col("acquirer_id")], top_n, "rank")
     stage = lookup(F.col("stage"), {"phase_3": 20, "nda_bla": 20, "phase_2": 12, "phase_1": 5, "preclinical": 0, "discovery": 0, "approved": 0}, 10)
     sales = at_least(F.col("peak_sales_mm"), [(5000, 20), (2000, 15), (1000, 10), (500, 5)], 0)
@@ -293,10 +346,11 @@ def gap_target_fit(targets: DataFrame, gaps: DataFrame, acquirers: DataFrame, to
 def bidder_pairs(targets: DataFrame, pool: DataFrame, min_fit: float = 60.0, min_capacity: float = 50.0) -> tuple[DataFrame, DataFrame]:
     """(targets with sig, qualified bidders per signature)."""
     t, sig = signatures(targets)
-    able = pool.withColumn("capacity", capacity_score()).filter(F.col("capacity") >= min_capacity)
-    overlap = F.when(F.size("target_areas") > 0, F.size(F.array_intersect("target_areas", areas_or_empty())) / F.size("target_areas") * 100).otherwise(0.0)
+    vocab = vocabulary(sig)
+    able = pool.withColumn("capacity", capacity_score()).filter(F.col("capacity") >= min_capacity).withColumn("buyer_bits", area_bits(areas_or_empty(), vocab))
+    overlap = F.when(F.col("target_size") > 0, shared() / F.col("target_size") * 100).otherwise(0.0)
     fit = overlap * 0.4 + F.col("gap_severity") * 0.4 + F.col("capacity") * 0.2
-    q = per_signature(able, sig).withColumn("fit", F.round(fit, 9)).filter(F.col("fit") >= min_fit)
+    q = per_signature(able.drop("areas"), with_bits(sig, vocab)).withColumn("fit", F.round(fit, 9)).filter(F.col("fit") >= min_fit)
     return t, q
 
 
@@ -310,7 +364,7 @@ def bidder_summary(qualified: DataFrame) -> DataFrame:
     """C16 + E18 per signature: count, weighted top-3 urgency, bidding styles, five key bidders."""
     from dealsight.operators.components import ASSET_TOP_WEIGHTS, weighted_top
 
-    q = qualified.withColumn("urgency_score", urgency_points())
+    q = cut(qualified.select("sig", "acquirer_id", "fit", "bidding", urgency_points().alias("urgency_score")))
     urg = weighted_top(q, "sig", "urgency_score", ASSET_TOP_WEIGHTS).select("sig", F.col("base").alias("strategic_urgency"))
     agg = q.groupBy("sig").agg(F.count(F.lit(1)).alias("bidders"), F.count_if(F.col("bidding") == "aggressive").alias("aggressive"))
     key = top_per_key(q, ["sig"], [F.col("fit").desc(), F.col("acquirer_id")], 5, "_r")

@@ -1,7 +1,8 @@
 """Drug revenue curves, discounted cash flow, sensitivity, scenarios and portfolios.
 
-A drug's projection is a short fixed-length array, so every per-drug figure is
-computed inside its row with higher-order functions: no explode, no shuffle.
+Curve parameters are looked up once per drug, then a drug expands to its (few)
+projection years and sums back.  All years of a drug sit in one partition, so the
+sum combines before the shuffle and one row per drug crosses it.
 """
 from __future__ import annotations
 
@@ -35,16 +36,17 @@ GRID = {"peak_sales": [0.5, 0.75, 1.0, 1.25, 1.5], "discount_rate": [0.08, 0.10,
 CONTROL_PREMIUM = 0.4
 
 
-def curve_part(i: int, curve: str = "curve") -> Column:
-    return lookup(F.col(curve), {k: v[i] for k, v in CURVES.items()}, CURVES["standard"][i])
+def with_curve(drugs: DataFrame, curve: str = "curve") -> DataFrame:
+    part = lambda i: lookup(F.col(curve), {k: v[i] for k, v in CURVES.items()}, CURVES["standard"][i])
+    return drugs.withColumn("_ramp", part(0)).withColumn("_decline", part(1)).withColumn("_kept", part(2))
 
 
-def year_revenue(year: Column, peak: Column, launch: Column, life: Column, curve: str = "curve") -> Column:
-    """Revenue of one projection year (0 before launch).
+def year_revenue(year: Column, peak: Column, launch: Column, life: Column) -> Column:
+    """Revenue of one projection year (0 before launch) from the curve columns.
 
     The curve follows its own ramp length; a drug's time_to_peak does not move it.
     """
-    ramp, decline, kept = curve_part(0, curve), curve_part(1, curve), curve_part(2, curve)
+    ramp, decline, kept = F.col("_ramp"), F.col("_decline"), F.col("_kept")
     y = year - launch
     rising = peak * (F.tanh(3 * (y / ramp - 0.5)) + 1) / 2
     falling = F.when(life > decline, peak * F.greatest(1 - DECLINE * (y - decline) / (life - decline), kept + 0.1)).otherwise(peak)
@@ -52,14 +54,18 @@ def year_revenue(year: Column, peak: Column, launch: Column, life: Column, curve
     return F.when(y < 0, F.lit(0.0)).when(y < ramp, rising).when(y < decline, peak).when(y < life, falling).otherwise(after)
 
 
-def years(n: int) -> Column:
-    return F.sequence(F.lit(0), F.lit(n - 1))
+CURVE_COLUMNS = ("_ramp", "_decline", "_kept")
+
+
+def by_year(drugs: DataFrame, peak: str = "peak_sales", launch: str = "years_to_launch", n: int = PROJECTION_YEARS) -> DataFrame:
+    d = with_curve(drugs).withColumn("year", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rev = year_revenue(F.col("year"), F.col(peak).cast("double"), F.col(launch), F.col("patent_life"))
+    return d.withColumn("revenue", rev).drop(*CURVE_COLUMNS)
 
 
 def revenue_projection(drugs: DataFrame, n: int = PROJECTION_YEARS) -> DataFrame:
     """One row per drug and year."""
-    rev = year_revenue(F.col("year"), F.col("peak_sales"), F.col("years_to_launch"), F.col("patent_life"))
-    return drugs.withColumn("year", F.explode(years(n))).withColumn("revenue", rev)
+    return by_year(drugs, n=n)
 
 
 def success_rate(phase: str = "phase", area: str | None = "area", typical: bool = True) -> Column:
@@ -83,29 +89,29 @@ def cash_flow(year: Column, revenue: Column, launch: Column, phase: str = "phase
     return F.when(year < launch, -cost).otherwise(net + revenue * DEPRECIATION - revenue * CAPEX)
 
 
-def npv(peak: Column, launch: Column, life: Column, rate: Column, n: int = PROJECTION_YEARS) -> Column:
-    def add(acc: Column, y: Column) -> Column:
-        rev = year_revenue(y, peak, launch, life)
-        return acc + cash_flow(y, rev, launch) / F.pow(1 + rate, y)
+def with_npv(drugs: DataFrame, peak: str = "peak_sales", launch: str = "years_to_launch", rate: str = "discount_rate",
+             n: int = PROJECTION_YEARS, keep: Sequence[str] | None = None) -> DataFrame:
+    """Add ``npv_unadjusted``: discounted cash flow summed over the projection.
 
-    return F.aggregate(years(n), F.lit(0.0), add)
+    ``keep`` names the columns to carry (they become grouping keys); all by default.
+    """
+    y = by_year(drugs, peak, launch, n)
+    flow = cash_flow(F.col("year"), F.col("revenue"), F.col(launch)) / F.pow(1 + F.col(rate), F.col("year"))
+    return y.groupBy(*(keep or drugs.columns)).agg(F.sum(flow).alias("npv_unadjusted"))
 
 
 def dcf_npv(drugs: DataFrame, n: int = PROJECTION_YEARS) -> DataFrame:
     """Unadjusted and risk-adjusted net present value per drug."""
-    d = with_assumptions(drugs)
-    v = npv(F.col("peak_sales").cast("double"), F.col("years_to_launch"), F.col("patent_life"), F.col("discount_rate"), n)
-    return d.withColumn("npv_unadjusted", v).withColumn("npv_risk_adjusted", F.col("npv_unadjusted") * F.col("probability"))
+    d = with_npv(with_assumptions(drugs), n=n)
+    return d.withColumn("npv_risk_adjusted", F.col("npv_unadjusted") * F.col("probability"))
 
 
 def revenue_metrics(drugs: DataFrame, n: int = PROJECTION_YEARS, launch_probability: float = 1.0) -> DataFrame:
     """Total, peak, first peak year and mean of the (risk-scaled) projection."""
-    revs = F.transform(years(n), lambda y: year_revenue(y, F.col("peak_sales").cast("double"), F.col("years_to_launch"), F.col("patent_life")) * launch_probability)
-    d = drugs.withColumn("_r", revs)
-    total = F.aggregate("_r", F.lit(0.0), lambda a, x: a + x)
-    return (d.withColumn("total_revenue", total).withColumn("peak_revenue", F.array_max("_r"))
-            .withColumn("years_to_peak", (F.array_position("_r", F.array_max("_r")) - 1).cast("int"))
-            .withColumn("average_revenue", F.col("total_revenue") / n).drop("_r"))
+    rev = F.col("revenue") * launch_probability
+    g = by_year(drugs, n=n).groupBy(*drugs.columns).agg(F.sum(rev).alias("total_revenue"), F.max(rev).alias("peak_revenue"),
+                                                        F.max_by("year", F.struct(rev, -F.col("year"))).alias("years_to_peak"))
+    return g.withColumn("average_revenue", F.col("total_revenue") / n)
 
 
 def sensitivity_grid(drugs: DataFrame, grid: Mapping[str, Sequence[float]] = GRID) -> DataFrame:
@@ -113,11 +119,10 @@ def sensitivity_grid(drugs: DataFrame, grid: Mapping[str, Sequence[float]] = GRI
     points = F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(float(x)).alias("setting")) for v, xs in grid.items() for x in xs])
     d = with_assumptions(drugs).withColumn("_g", F.explode(points)).select("*", "_g.*").drop("_g")
     is_ = lambda v: F.col("variable") == v
-    peak = F.col("peak_sales") * F.when(is_("peak_sales"), F.col("setting")).otherwise(1.0)
-    prob = F.when(is_("probability_of_success"), F.least(F.col("probability") * F.col("setting"), F.lit(1.0))).otherwise(F.col("probability"))
-    rate = F.when(is_("discount_rate"), F.col("setting")).otherwise(F.col("discount_rate"))
-    d = d.withColumn("npv_unadjusted", npv(peak, F.col("years_to_launch"), F.col("patent_life"), rate))
-    return d.withColumn("npv_risk_adjusted", F.col("npv_unadjusted") * prob)
+    d = (d.withColumn("s_peak", F.col("peak_sales") * F.when(is_("peak_sales"), F.col("setting")).otherwise(1.0))
+         .withColumn("s_rate", F.when(is_("discount_rate"), F.col("setting")).otherwise(F.col("discount_rate")))
+         .withColumn("s_prob", F.when(is_("probability_of_success"), F.least(F.col("probability") * F.col("setting"), F.lit(1.0))).otherwise(F.col("probability"))))
+    return with_npv(d, "s_peak", rate="s_rate", keep=["drug_id", "variable", "setting", "s_prob"]).withColumn("npv_risk_adjusted", F.col("npv_unadjusted") * F.col("s_prob"))
 
 
 def scenarios(drugs: DataFrame) -> DataFrame:
@@ -128,8 +133,7 @@ def scenarios(drugs: DataFrame) -> DataFrame:
     rows = F.array(row("bear", peak * 0.6, prob * 0.7, rate + 0.03, launch + 1), row("base", peak, prob, rate, launch),
                    row("bull", peak * 1.4, F.least(prob * 1.3, F.lit(1.0)), F.greatest(rate - 0.03, F.lit(0.08)), F.greatest(launch - 1, F.lit(0))))
     d = d.withColumn("_s", F.explode(rows)).select("*", "_s.*").drop("_s")
-    d = d.withColumn("npv_unadjusted", npv(F.col("s_peak"), F.col("s_launch"), F.col("patent_life"), F.col("s_rate")))
-    return d.withColumn("npv_risk_adjusted", F.col("npv_unadjusted") * F.col("s_prob"))
+    return with_npv(d, "s_peak", "s_launch", "s_rate", keep=["drug_id", "scenario", "s_prob"]).withColumn("npv_risk_adjusted", F.col("npv_unadjusted") * F.col("s_prob"))
 
 
 def portfolio_valuation(valued: DataFrame, caps: DataFrame, correlation: float = 0.9) -> DataFrame:
