@@ -249,8 +249,13 @@ def next_catalyst(catalysts: DataFrame, as_of) -> DataFrame:
 
 
 def identify_targets(universe: DataFrame, as_of, criteria: Criteria = Criteria(), top_n: int | None = 20,
-                     given: Mapping[str, object] = ASSUMED) -> DataFrame:
-    """Screen, rank, then look the ranked tickers up in the raw universe (first row per ticker)."""
+                     given: Mapping[str, object] | None = None) -> DataFrame:
+    """Screen, rank, then look the ranked tickers up in the raw universe (first row per ticker).
+
+    The ranking step sees only the profile; every other factor input is the
+    assumed or neutral value.  Deal odds read the raw universe again.
+    """
+    given = {**NEUTRAL, **ASSUMED} if given is None else given
     passed = screen(universe, as_of, criteria).filter("passed")
     ranked = rank_targets(readiness_factors(passed, given), top_n=top_n)
     first = latest_per_key(universe.select("ticker", F.col("market_cap").alias("raw_cap"), "company_id").withColumn("_neg", -F.col("company_id")),

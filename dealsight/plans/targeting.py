@@ -37,6 +37,10 @@ x_r AS (SELECT *, row_number() OVER (ORDER BY composite DESC, ticker) AS rank, c
     + CASE WHEN has_activist_investor THEN 0.15 ELSE 0 END + CASE WHEN has_takeover_rumors THEN 0.1 ELSE 0 END) AS p12 FROM x_c)"""
 
 
+# the identification job ranks on the profile alone, so the tension factor has no flags
+IDENTIFIED = RANKED.replace("CAST(30 + CASE WHEN has_takeover_rumors THEN 15 ELSE 0 END + CASE WHEN has_activist_investor THEN 10 ELSE 0 END AS DOUBLE) AS acquisition_tension", "30e0 AS acquisition_tension")
+
+
 def screened(t):
     return op.screen(t.universe, DEAL)
 
@@ -114,13 +118,13 @@ def _catalyst(t):
     return op.next_catalyst(c, DEAL).drop("expected_date")
 
 
-@query("C22", "universe_lookup", f"WITH {RANKED} SELECT ticker, rank, round(composite, 6) AS composite, market_cap AS raw_cap, round(p12, 6) AS probability FROM x_r WHERE rank <= 20")
+@query("C22", "universe_lookup", f"WITH {IDENTIFIED} SELECT ticker, rank, round(composite, 6) AS composite, market_cap AS raw_cap, round(p12, 6) AS probability FROM x_r WHERE rank <= 20")
 def _identify(t):
     d = op.identify_targets(t.universe, DEAL, top_n=20)
     return d.select("ticker", "rank", r("composite"), "raw_cap", r(F.col("probability_12mo")).alias("probability"))
 
 
-@query("D30", "watchlist_statistics", f"""WITH {RANKED} SELECT count(*) AS targets, round(avg(composite), 6) AS avg_score, round(avg(market_cap), 2) AS avg_cap, round(avg(p12), 6) AS avg_probability,
+@query("D30", "watchlist_statistics", f"""WITH {IDENTIFIED} SELECT count(*) AS targets, round(avg(composite), 6) AS avg_score, round(avg(market_cap), 2) AS avg_cap, round(avg(p12), 6) AS avg_probability,
   round(sum(market_cap * 1.5e0), 0) AS total_value, count(DISTINCT first_area) AS areas, count(*) FILTER (WHERE p12 >= 0.4) AS high_probability FROM x_r""")
 def _wl_stats(t):
     d = op.identify_targets(t.universe, DEAL, top_n=None).withColumn("area", F.col("first_area"))

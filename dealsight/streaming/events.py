@@ -38,6 +38,11 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).format("parquet").start(path).awaitTermination()
 
 
+def watermarked(events: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermarks need a zoned timestamp; zone-free event times are read in the session zone."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def parse_envelopes(raw: DataFrame, col: str = "value") -> DataFrame:
     """JSON envelope to typed payload; an unknown type keeps the base fields only."""
     d = raw.withColumn("_e", F.from_json(F.col(col), ENVELOPE)).select("*", "_e.*").drop("_e")
@@ -71,7 +76,7 @@ def signal_window(signals: DataFrame, types: Sequence[str] = (), watermark: str
     """Signals per company in sliding 24 h windows that start each hour."""
     d = signals.filter(F.col("signal_type").isin(list(types))) if types else signals
     if watermark:
-        d = d.withWatermark("event_date", watermark)
+        d = watermarked(d, "event_date", watermark)
     w = F.window("event_date", "24 hours", "1 hour")
     return d.groupBy("company_id", w).agg(F.count(F.lit(1)).alias("signals")).select("company_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "signals")
 
@@ -160,7 +165,7 @@ def replayable(dead: DataFrame, as_of, max_hours: int = 24) -> DataFrame:
 
 def idempotent_stream(events: DataFrame, ts: str = "ts", key: str = "event_id", delay: str = "24 hours") -> DataFrame:
     """I10 on a stream: repeats of an id inside the watermark are dropped."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return watermarked(events, ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def late_and_out_of_order(events: DataFrame, key: str = "company_id", seq: str = "seq", ts: str = "ts", arrival: str = "arrival", delay: str = "INTERVAL 1 HOUR") -> DataFrame:
@@ -206,7 +211,7 @@ def activity_sessions(events: DataFrame, key: str, ts: str, tie: str, gap: str =
 
 def activity_sessions_stream(events: DataFrame, key: str, ts: str, gap: str = "90 days", watermark: str = "1 day") -> DataFrame:
     """I14 on a stream."""
-    return (events.withWatermark(ts, watermark).groupBy(key, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("events"))
+    return (watermarked(events, ts, watermark).groupBy(key, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("events"))
             .select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events"))
 
 
