@@ -55,11 +55,11 @@ def _hot_areas(t):
 WORDS = {"oncology": "license", "immunology": "the the", "neurology": "password", "rare_disease": "eaux la", "cardiovascular": "copyright", "metabolic": "api"}
 X_AREAS = "x_areas AS (SELECT DISTINCT area FROM d_assets)"
 CUT = lambda m: f"{TS_DEAL} - INTERVAL {30 * m} DAY"
-D12 = f"""x_d12 AS (SELECT a.area, coalesce({sql_tidy(f"least(100e0, 0.4e0 * {sql_at_least('nn', op.DEAL_COUNT, 40)} + 0.4e0 * {sql_at_least('(vv / 1000)', op.DEAL_VALUE, 40)} + {sql_above('(rr / nn)', [(0.6, 15), (0.4, 8)], 0)} + least(20, mm * 10))")}, 20e0) AS deal_score
+D12 = f"""x_d12 AS (SELECT a.area, CASE WHEN nn IS NULL THEN 20e0 ELSE {sql_tidy(f"least(100e0, 0.4e0 * {sql_at_least('nn', op.DEAL_COUNT, 40)} + 0.4e0 * {sql_at_least('(vv / 1000)', op.DEAL_VALUE, 40)} + {sql_above('(rr / nn)', [(0.6, 15), (0.4, 8)], 0)} + least(20, mm * 10))")} END AS deal_score
   FROM x_areas a LEFT JOIN (SELECT area, count(*) nn, sum(deal_value / 1e6) vv, count(*) FILTER (WHERE deal_date >= {TS_DEAL} - INTERVAL 180 DAY) rr, count(*) FILTER (WHERE deal_value > 5e9) mm FROM d_deals WHERE deal_date >= {CUT(5)} GROUP BY 1) g ON g.area = a.area)"""
-D13 = f"""x_d13 AS (SELECT a.area, coalesce({sql_tidy(f"least(100e0, 0.5e0 * {sql_at_least('(vv / 1000)', op.ROUND_VALUE, 40)} + 0.3e0 * {sql_at_least('nn', op.ROUND_COUNT, 40)} + least(20, ll * 8) + CASE WHEN rr / nn > 0.5 THEN 10 ELSE 0 END)")}, 20e0) AS round_score
+D13 = f"""x_d13 AS (SELECT a.area, CASE WHEN nn IS NULL THEN 20e0 ELSE {sql_tidy(f"least(100e0, 0.5e0 * {sql_at_least('(vv / 1000)', op.ROUND_VALUE, 40)} + 0.3e0 * {sql_at_least('nn', op.ROUND_COUNT, 40)} + least(20, ll * 8) + CASE WHEN rr / nn > 0.5 THEN 10 ELSE 0 END)")} END AS round_score
   FROM x_areas a LEFT JOIN (SELECT area2 AS area, count(*) nn, sum(deal_value / 1e8) vv, count(*) FILTER (WHERE deal_date >= {TS_DEAL} - INTERVAL 180 DAY) rr, count(*) FILTER (WHERE deal_value / 1e8 > 100) ll FROM d_deals WHERE deal_date >= {CUT(5)} GROUP BY 1) g ON g.area = a.area)"""
-D14 = f"""x_d14 AS (SELECT a.area, coalesce({sql_tidy(f"least(100e0, 0.6e0 * {sql_at_least('nn', op.TRIAL_COUNT, 40)} + least(20, late * 2) + 0.5e0 * least(15e0, ss * 1.5e0) + 0.5e0 * least(15, big * 3))")}, 20e0) AS trial_score
+D14 = f"""x_d14 AS (SELECT a.area, CASE WHEN nn IS NULL THEN 20e0 ELSE {sql_tidy(f"least(100e0, 0.6e0 * {sql_at_least('nn', op.TRIAL_COUNT, 40)} + least(20, late * 2) + 0.5e0 * least(15e0, ss * 1.5e0) + 0.5e0 * least(15, big * 3))")} END AS trial_score
   FROM x_areas a LEFT JOIN (SELECT area, count(*) nn, count(*) FILTER (WHERE phase IN ('Phase 2', 'Phase 3')) late, count(DISTINCT sponsor) ss, count(*) FILTER (WHERE enrollment > 500) big FROM d_trials WHERE start_date >= {TS_DEAL} - INTERVAL 30 DAY GROUP BY 1) g ON g.area = a.area)"""
 D15 = "x_ment AS (" + " UNION ALL ".join(
     f"SELECT '{a}' AS area, CAST(sum((length(lower(text)) - length(replace(lower(text), '{w}', ''))) / {len(w)}) AS BIGINT) AS mentions FROM documents" for a, w in WORDS.items()) + \

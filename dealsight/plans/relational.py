@@ -168,7 +168,7 @@ def _movers(t):
 SELECT * FROM (SELECT 'candidates' AS section, company_id, round(score, 6) AS value FROM j WHERE score >= 50 ORDER BY score DESC, company_id LIMIT 50)
 UNION ALL SELECT 'new', company_id, round(score, 6) FROM j WHERE score >= 50 AND fq >= DATE '2024-01-02' AND fq < DATE '2024-01-31'
 UNION ALL SELECT * FROM (SELECT 'improved', company_id, round(c7, 6) FROM j WHERE c7 >= 10 ORDER BY c7 DESC, company_id LIMIT 10)
-UNION ALL SELECT 'average', NULL, round(avg(score), 6) FROM x_ch WHERE rk = 1 AND score >= 50""")
+UNION ALL SELECT 'average', NULL, {sql_tidy('avg(score)', 6)} FROM x_ch WHERE rk = 1 AND score >= 50""")
 def _weekly(t):
     p = hi.weekly_watchlist(t.scores, t.companies, "2024-01-02", "2024-01-31")
     row = lambda k, c: p[k].select(F.lit(k).alias("section"), "company_id", r(F.col(c)).alias("value"))
