@@ -43,7 +43,7 @@ VIEWS: dict[str, str] = {
                CAST(p_size * p_size * {_BRAND} * 50 AS BIGINT) AS patient_population,
                {_BRAND} % 5 = 0 AS orphan, {_BRAND} % 7 = 0 AS breakthrough,
                {_BRAND} % 3 = 0 AS fast_track, {_BRAND} % 4 = 0 AS priority_review,
-               p_size % 10 <> 0 AS is_active,
+               p_size > 4 AS is_active,
                TIMESTAMP '2001-12-01 00:00:00' - INTERVAL '1' DAY * ({_BRAND} * 4) AS last_update,
                p_retailprice * 1e6 AS peak_sales
         FROM {{part}}""",
@@ -79,7 +79,7 @@ VIEWS: dict[str, str] = {
                0.1e0 + (s_suppkey % 10) / 10e0 AS institutional_ownership,
                s_nationkey % 11 = 0 AS is_royalty, s_nationkey % 4 = 0 AS is_platform,
                TIMESTAMP '2001-12-01 00:00:00' - INTERVAL '1' DAY * ((s_nationkey + 1) * 60) AS ipo_date,
-               CASE WHEN s_suppkey % 17 = 3 THEN TIMESTAMP '2001-06-01 00:00:00' ELSE NULL END AS deleted_at
+               CASE WHEN s_acctbal < 0 THEN TIMESTAMP '2001-06-01 00:00:00' ELSE NULL END AS deleted_at
         FROM {supplier}
         JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
         LEFT JOIN {d_supplied} p ON p.company_id = s_suppkey
@@ -125,7 +125,7 @@ VIEWS: dict[str, str] = {
                CAST(floor(abs(c_acctbal) * 200000) AS DOUBLE) AS cash,
                CAST(floor(abs(c_acctbal) * 30000) * (c_nationkey % 8) AS DOUBLE) AS debt,
                CAST(coalesce(recent, 0) AS DOUBLE) * 400 AS recent_spend,
-               c_custkey % 10 <> 0 AS is_active
+               c_acctbal > 0 AS is_active
         FROM {customer} LEFT JOIN {d_buyer_focus} f ON f.acquirer_id = c_custkey
         LEFT JOIN {d_buyer_gaps} g ON g.acquirer_id = c_custkey
         LEFT JOIN {d_buyer_spend} s ON s.acquirer_id = c_custkey""",

@@ -7,6 +7,7 @@ row per bucket across the boundary.
 """
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -14,13 +15,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 SMALL_ROWS = 100_000
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the session names in ``spark.checkpoint.dir``.
+
+    Only a local master may fall back to a temporary folder of its own machine.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if named is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+            named = tempfile.mkdtemp(prefix="dealsight-")
+        sc.setCheckpointDir(named)
+    return named or sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable shared storage and cut its lineage."""
-    spark: SparkSession = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile  # unset only on a single machine: local runs and tests
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dealsight-ckpt-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -66,18 +66,25 @@ def shared(a: str = "target_bits", b: str = "buyer_bits") -> Column:
     return F.bit_count(F.col(a).bitwiseAND(F.col(b)))
 
 
+SIGNATURES_PER_PASS = SMALL_ROWS // 10
+
+
 def per_signature(buyers: DataFrame, sig: DataFrame, keep: Column | None = None) -> DataFrame:
     """One row per (buyer, signature) that passes ``keep`` (over signature and buyer columns).
 
-    While the signature list is small it travels as one array and every buyer
-    row expands in place; a larger list takes an ordinary join.
+    The signature list travels as one array of proven size and every buyer row
+    expands in place; a longer list goes in several such passes.
     """
-    if sig.limit(SMALL_ROWS // 10 + 1).count() <= SMALL_ROWS // 10:
-        packed = sig.agg(F.collect_list(F.struct(*sig.columns)).alias("_sigs")).withColumn("_one", F.lit(1))
+    passes = -(-sig.count() // SIGNATURES_PER_PASS) or 1
+    out = None
+    for i in range(passes):
+        part = sig if passes == 1 else sig.filter(F.pmod(F.xxhash64("sig"), F.lit(passes)) == i)
+        packed = part.agg(F.collect_list(F.struct(*sig.columns)).alias("_sigs")).withColumn("_one", F.lit(1))
         d = (buyers.withColumn("_one", F.lit(1)).join(F.broadcast(packed), "_one")
              .select(*buyers.columns, F.explode("_sigs").alias("_s")).select(*buyers.columns, *[f"_s.{c}" for c in sig.columns]))
-        return d if keep is None else d.filter(keep)
-    return buyers.join(sig, F.lit(True) if keep is None else keep)
+        d = d if keep is None else d.filter(keep)
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 def alignment_score(target: Column, buyer: Column, priority: Column | float = 0.5) -> Column:

@@ -265,15 +265,14 @@ def _quality(t):
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 6).alias("quality"), F.count_if("rejected").alias("rejected"))
 
 
-@query("B17", "alert_rule_match", """SELECT company_id AS rule_company, signal_id FROM d_signals WHERE FALSE UNION ALL
-SELECT r.rid AS rule_company, s.signal_id FROM d_signals s JOIN (SELECT company_id AS rid, CASE signal WHEN 0 THEN 'patent' WHEN 1 THEN 'hiring' ELSE 'financial' END AS ty, 150 + nation_no * 4 AS th, CASE WHEN company_id % 3 = 0 THEN NULL ELSE company_id END AS only_company
-  FROM (SELECT *, company_id % 3 AS signal FROM d_companies WHERE company_id % 20 < 4) q) r ON r.ty = s.signal_type AND s.value >= r.th AND (r.only_company IS NULL OR r.only_company = s.company_id)""")
+@query("B17", "alert_rule_match", """SELECT r.rid AS rule_company, s.signal_id FROM d_signals s JOIN (SELECT company_id AS rid, CASE signal WHEN 0 THEN 'patent' WHEN 1 THEN 'hiring' ELSE 'financial' END AS ty, 150 + nation_no * 4 AS th, CASE WHEN company_id % 3 = 0 THEN NULL ELSE company_id END AS only_company
+  FROM (SELECT *, company_id % 3 AS signal FROM d_companies WHERE nation_no < 6) q) r ON r.ty = s.signal_type AND s.value >= r.th AND (r.only_company IS NULL OR r.only_company = s.company_id)""")
 def _rules(t):
     from dealsight.streaming.alerts import alert_rule_match
 
     kind = F.expr("CASE company_id % 3 WHEN 0 THEN 'patent' WHEN 1 THEN 'hiring' ELSE 'financial' END")
     rules = t.companies.select(F.col("company_id").alias("rule_id"), F.array(kind).alias("signal_types"), (150 + F.col("nation_no") * 4).cast("double").alias("threshold"),
-                               F.when(F.col("company_id") % 3 != 0, F.array("company_id")).alias("companies"), (F.col("company_id") % 20 < 4).alias("is_active"))
+                               F.when(F.col("company_id") % 3 != 0, F.array("company_id")).alias("companies"), (F.col("nation_no") < 6).alias("is_active"))
     return alert_rule_match(t.signals, rules).select(F.col("rule_id").alias("rule_company"), "signal_id")
 
 
@@ -346,7 +345,7 @@ def _entity(t):
     return ev.entity_resolution(t.orders.select(F.expr(SPONSOR).alias("sponsor")), t.companies).select("sponsor", "company_id", "how")
 
 
-CITE = "SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS dst FROM lineitem WHERE l_returnflag = 'A'"
+CITE = "SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS dst FROM lineitem"
 
 
 def _rank_sql(k):
@@ -360,7 +359,7 @@ def _rank_sql(k):
 @query("C21", "citation_pagerank", _rank_sql(5))
 def _pagerank(t):
     parts = F.broadcast(t.part.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1)))
-    e = (t.lineitem.filter("l_returnflag = 'A'").withColumn("_one", F.lit(1)).join(parts, "_one")
+    e = (t.lineitem.withColumn("_one", F.lit(1)).join(parts, "_one")
          .select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("_n")).alias("dst")))
     return ev.pagerank(e, t.part.select(F.col("p_partkey").alias("id")), 5).select(F.col("id").alias("part_id"), r(F.col("rank") * 1000, 8).alias("rank_k"))
 

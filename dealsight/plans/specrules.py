@@ -238,9 +238,9 @@ def _wstate(t):
     return st.watchlist_state(t.scores).select("company_id", s("score_date"), "member", "action", r("add_score"), r("peak_score"))
 
 
-@query("I7", "watchlist_alerts", """SELECT s.company_id, CAST(s.score_date AS VARCHAR) AS score_date, round(s.score - ma_score, 6) AS change FROM d_scores s JOIN d_latest l ON l.company_id = s.company_id WHERE l.company_id % 4 <> 0 AND ma_score >= 30 AND abs(s.score - ma_score) >= 10""")
+@query("I7", "watchlist_alerts", """SELECT s.company_id, CAST(s.score_date AS VARCHAR) AS score_date, round(s.score - ma_score, 6) AS change FROM d_scores s JOIN d_latest l ON l.company_id = s.company_id WHERE ma_score < 60 AND ma_score >= 30 AND abs(s.score - ma_score) >= 10""")
 def _walerts(t):
-    w = t.latest.filter("ma_score >= 30").select("company_id", F.col("ma_score").alias("current_score"), (F.col("company_id") % 4 != 0).alias("alerts_enabled"), F.lit(10.0).alias("alert_threshold"))
+    w = t.latest.filter("ma_score >= 30").select("company_id", F.col("ma_score").alias("current_score"), (F.col("ma_score") < 60).alias("alerts_enabled"), F.lit(10.0).alias("alert_threshold"))
     return al.watchlist_alerts(t.scores, w).select("company_id", s("score_date"), r("change"))
 
 

@@ -6,10 +6,11 @@ settings beyond a checkpoint folder (see ``functions.scale.cut``).
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
+from dealsight.functions.scale import checkpoint_folder
+
 
 def local_session(cpus: str | int = "8", name: str = "dealsight") -> SparkSession:
     spark = (
@@ -17,6 +18,7 @@ def local_session(cpus: str | int = "8", name: str = "dealsight") -> SparkSessio
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -25,6 +27,5 @@ def local_session(cpus: str | int = "8", name: str = "dealsight") -> SparkSessio
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dealsight-ckpt-"))
+    checkpoint_folder(spark)
     return spark

@@ -6,15 +6,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dealsight.functions.clock import at, micros_between
+from dealsight.functions.scale import checkpoint_folder
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder the session names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        import tempfile  # unset only on a single machine: local runs and tests
-
-        base = tempfile.mkdtemp(prefix="dealsight-")
+    base = checkpoint_folder(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
