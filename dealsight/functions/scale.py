@@ -163,17 +163,17 @@ def reachable(jumps: DataFrame, keys: Sequence[str], start: int, pos: str = "pos
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, tie: str, ps: dict[str, float],
-                    exclusive: bool = False) -> DataFrame:
-    """Exact interpolated quantiles per group from ranked positions.
+                    exclusive: Sequence[str] = ()) -> DataFrame:
+    """Exact interpolated quantiles per group from one ranking pass.
 
-    Inclusive puts p at position 1 + p(n-1).  Exclusive puts it at p(n+1) with
-    the lower position held to [1, n-1] and the remainder left unclamped.
+    Inclusive puts p at position 1 + p(n-1).  The names in ``exclusive`` put it at
+    p(n+1) with the lower position held to [1, n-1] and the remainder left unclamped.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value), tie)
     p = positions(rows, by, [F.col(value), F.col(tie)], "_pos", "_n")
     aggs, outs = [F.max("_n").alias("n")], []
     for name, q in ps.items():
-        h = F.lit(q) * (F.col("_n") + 1) if exclusive else F.lit(q) * (F.col("_n") - 1) + 1
+        h = F.lit(q) * (F.col("_n") + 1) if name in exclusive else F.lit(q) * (F.col("_n") - 1) + 1
         lo = F.greatest(F.least(F.floor(F.round(h, 9)), F.greatest(F.col("_n") - 1, F.lit(1))), F.lit(1))
         aggs += [F.max(F.when(F.col("_pos") == lo, F.col(value))).alias(f"_lo_{name}"),
                  F.max(F.when(F.col("_pos") == lo + 1, F.col(value))).alias(f"_hi_{name}"),

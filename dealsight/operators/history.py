@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dealsight.functions.bands import first_match, tidy
-from dealsight.functions.scale import latest_per_key, positions, top_per_key
+from dealsight.functions.scale import cut, latest_per_key, positions, top_per_key
 
 DAY = lambda c="score_date": F.unix_date(F.col(c))
 
@@ -75,7 +75,7 @@ def weekly_watchlist(scores: DataFrame, companies: DataFrame, start: str, end: s
     """Candidates, newly qualified, improved and the average, from one joined frame."""
     hist = change_over(scores, [7])
     first = scores.filter(F.col("score") >= floor).groupBy("company_id").agg(F.min("score_date").alias("first_qualified"))
-    now = latest(hist.select("company_id", "score_date", "score", "change_7d"))
+    now = cut(latest(hist.select("company_id", "score_date", "score", "change_7d")))  # read by all four sections
     j = now.join(first, "company_id", "left").join(companies.select("company_id", "name", "ticker"), "company_id")
     best = [F.col("score").desc(), F.col("company_id")]
     return {

@@ -88,13 +88,11 @@ def implied_valuation(requests: DataFrame, deals: DataFrame, as_of, years: int =
 def premium_quantiles(deals: DataFrame, by: Sequence[str] = ("area",)) -> DataFrame:
     """Premium spread with exclusive quartiles; zero and NULL premiums are left out."""
     d = deals.filter(F.coalesce("premium", F.lit(0)) != 0)
-    q = exact_quantiles(d, list(by), "premium", "deal_id", {"p25": 0.25, "p75": 0.75}, exclusive=True)
-    m = exact_quantiles(d, list(by), "premium", "deal_id", {"median": 0.5}).drop("n")
+    q = exact_quantiles(d, list(by), "premium", "deal_id", {"p25": 0.25, "median": 0.5, "p75": 0.75}, exclusive=("p25", "p75"))
     mm = d.groupBy(*by).agg(F.min("premium").alias("min"), F.max("premium").alias("max"))
     if not by:
-        one = lambda x: x.withColumn("_one", F.lit(1))
-        return one(q).join(F.broadcast(one(m)), "_one").join(F.broadcast(one(mm)), "_one").drop("_one")
-    return q.join(m, list(by)).join(mm, list(by))
+        return q.withColumn("_one", F.lit(1)).join(F.broadcast(mm.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return q.join(mm, list(by))
 
 
 def structure_mix(deals: DataFrame) -> DataFrame:

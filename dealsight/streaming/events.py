@@ -97,7 +97,7 @@ def rescore_triggers(events: DataFrame, key: str = "company_id", ts: str = "ts",
     position >= p + need with time >= t + cooldown.  That target is one number
     per event, so the chain is followed by pointer doubling.
     """
-    c = count_before(events, [key], ts, tie, F.expr(f"INTERVAL {cooldown_hours} HOURS"), "pos", "_early")
+    c = cut(count_before(events, [key], ts, tie, F.expr(f"INTERVAL {cooldown_hours} HOURS"), "pos", "_early"))
     total = c.groupBy(key).agg(F.max("pos").alias("_n"))
     jump = c.withColumn("next", F.greatest(F.col("pos") + need, F.col("_early") + 1)).join(total, key)
     jump = jump.withColumn("next", F.when(F.col("next") <= F.col("_n"), F.col("next")))
@@ -205,7 +205,7 @@ def activity_sessions(events: DataFrame, key: str, ts: str, tie: str, gap: str =
     day = lambda: F.date_trunc("day", F.col(ts).cast("timestamp"))
     d = previous_values(events, [key], day(), [ts, tie], {"_prev": ts})
     new = F.when(F.col("_prev").isNull() | (F.col(ts) > F.col("_prev") + F.expr(gap)), 1).otherwise(0)
-    d = running_sum(d, [key], day(), [ts, tie], new, "session_no")
+    d = running_sum(cut(d.select(key, ts, tie, new.alias("_new"))), [key], day(), [ts, tie], F.col("_new"), "session_no")
     return d.groupBy(key, "session_no").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("events"))
 
 
@@ -243,3 +243,39 @@ def watchlist_tiers(rows: DataFrame) -> DataFrame:
         (((s >= 70) & sure) | ((s >= 60) & sure & (run < 9)) | ((s >= 60) & sure & (c("matches_80") >= 2)), 2),
         (((s >= 60) & sure) | ((s >= 55) & c("special")), 3), (((s >= 50) & c("special")) | ((s >= 60) & ~sure), 4)], None)
     return d.withColumn("tier", tier)
+
+
+def watchlist_stream(scores: DataFrame, add: float = 70.0, remove: float = 50.0, key: str = "company_id", ts: str = "ts") -> DataFrame:
+    """I6 on a stream: per-key state is (member, entry score, peak); rows of a batch are taken in time order."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        member, entry, peak = state.get if state.exists else (False, 0.0, 0.0)
+        out = []
+        for us, s in pd.concat(list(frames)).sort_values("_us")[["_us", "score"]].itertuples(index=False):
+            if not member and s >= add:
+                member, entry, peak, action = True, s, s, "added"
+            elif member and s < remove:
+                member, action = False, "removed"
+            elif member:
+                peak, action = max(peak, s), "updated"
+            else:
+                continue
+            out.append((k[0], int(us), action, s, entry if member else None, peak if member else None))
+        state.update((bool(member), float(entry), float(peak)))
+        yield pd.DataFrame(out, columns=[key, "us", "action", "score", "add_score", "peak_score"])
+
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    d = scores.select(key, us.alias("_us"), F.col("score").cast("double").alias("score"))
+    return d.groupBy(key).applyInPandasWithState(step, f"{key} bigint, us bigint, action string, score double, add_score double, peak_score double",
+                                                 "member boolean, entry double, peak double", "append", GroupStateTimeout.NoTimeout)
+
+
+def price_rollup_stream(ticks: DataFrame, ts: str = "ts", delay: str = "3 days") -> DataFrame:
+    """D32 on a stream: daily bars, final once the watermark passes the day."""
+    order = F.struct(ts, "tick_id")
+    return (watermarked(ticks, ts, delay).groupBy("symbol", F.window(ts, "1 day"))
+            .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+                 F.max_by("price", order).alias("close"), F.sum("volume").alias("volume"), F.avg("price").alias("vwap"))
+            .select("symbol", F.col("window.start").cast("date").alias("day"), "open", "high", "low", "close", "volume", "vwap"))

@@ -176,3 +176,66 @@ def test_bad_export_format(spark):
 
     with pytest.raises(ValueError):
         export_watchlist(spark.range(1), "/tmp/none", "xml")
+
+
+def test_watchlist_stream_equals_batch(spark):
+    rnd = random.Random(5)
+    rows = [(c, T0 + timedelta(days=d), float(rnd.randint(40, 90))) for c in range(1, 6) for d in range(40)]
+    d = spark.createDataFrame(rows, "company_id bigint, ts timestamp_ntz, score double").withColumn("event_id", F.monotonically_increasing_id())
+    src, out = _stream(spark, d, 3), tempfile.mkdtemp(prefix="run-") + "/out"
+    st.run_available(st.watchlist_stream(st.read_events(spark, src, d.schema, 100)), out, tempfile.mkdtemp(prefix="run-"))
+    key = lambda r: (r.company_id, r.action, r.score, r.add_score, r.peak_score)
+    got = sorted(map(str, map(key, spark.read.parquet(out).collect())))
+    batch = st.watchlist_state(d.withColumn("score_date", F.col("ts").cast("date"))).filter("action IS NOT NULL")
+    assert got == sorted(map(str, map(key, batch.collect())))
+
+
+def test_price_rollup_stream_equals_batch(spark, df):
+    from dealsight.operators.reports import price_daily_rollup
+
+    ticks = df.select(F.col("company_id").alias("symbol"), "ts", F.col("event_id").alias("tick_id"), (F.col("event_id") % 37).cast("double").alias("price"), F.lit(1).alias("volume"), "event_id")
+    src, name = _stream(spark, ticks, 1), "price_parity"
+    live = st.price_rollup_stream(st.read_events(spark, src, ticks.schema))
+    live.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp(prefix="run-")).start().awaitTermination()
+    key = lambda r: (r.symbol, r.day, r.open, r.high, r.low, r.close, r.volume)
+    assert sorted(map(key, spark.table(name).collect())) == sorted(map(key, price_daily_rollup(ticks).collect()))
+
+
+def test_rss_and_atom_feeds(spark):
+    from dealsight.sources.normalize import feed_entries
+
+    rss = "<rss><channel>" + "".join(f"<item><title>t{i}</title><link>u{i}</link><description>d</description></item>" for i in range(25)) + "</channel></rss>"
+    d = spark.createDataFrame([(1, rss)], "feed_id int, xml string")
+    rows = feed_entries(d, kind="rss").orderBy("pos").collect()
+    assert len(rows) == 20 and rows[3].title == "t3" and rows[3].updated == ""
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>a</title><link href="x"/></entry></feed>'
+    r = feed_entries(spark.createDataFrame([(1, atom)], "feed_id int, xml string")).first()
+    assert (r.title, r.url, r.summary) == ("a", "x", "")
+
+
+def test_retention_and_partitions(spark):
+    from dealsight.sources import landing as la
+
+    d = spark.createDataFrame([("a", T0, 1), ("a", T0 - timedelta(days=3000), 2), ("b", T0, 3)], "kind string, ts timestamp_ntz, v int")
+    path = la.shared_folder(spark, "landing")
+    la.raw_landing(d, path, F.col("kind"), F.col("ts"))
+    back = spark.read.parquet(path)
+    assert back.count() == 3 and la.retained(back, "2024-01-02 00:00:00").count() == 2
+    assert la.expired_partitions(back, "2024-01-02 00:00:00").count() == 1
+
+
+def test_recent_errors_and_quarantine(spark):
+    from dealsight.sources import landing as la
+
+    led = spark.createDataFrame([("a", T0 + timedelta(hours=i), "x" if i % 2 else None) for i in range(30)], "source string, start_time timestamp_ntz, error string")
+    rows = la.recent_errors(led).collect()
+    assert len(rows) == 10 and rows[0].start_time == T0 + timedelta(hours=29)
+    good, bad = la.split_bad(spark.createDataFrame([(1,), (None,), (-1,)], "v int"), F.col("v") > 0)
+    assert (good.count(), bad.count()) == (1, 2)
+
+
+def test_trial_cutoff_is_optional(spark):
+    d = spark.createDataFrame([(1, "obesity study", ["x"], "Acme", "2030-01"), (2, "obesity study", ["x"], "State University", "2024-05-01")],
+                              "trial_id int, title string, conditions array<string>, sponsor string, completion string")
+    assert [r.trial_id for r in ev.trial_relevance(d, ["obesity"]).collect()] == [1, 2]
+    assert [r.trial_id for r in ev.trial_relevance(d, ["obesity"], cutoff="2025-01-01").collect()] == [2]

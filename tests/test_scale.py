@@ -77,7 +77,7 @@ def test_top_per_key_prunes_before_the_shuffle(df):
 def test_quantiles(df, rows):
     import statistics
 
-    q = {r.key: r for r in scale.exact_quantiles(df, ["key"], "v", "id", {"p25": 0.25, "p75": 0.75}, exclusive=True).collect()}
+    q = {r.key: r for r in scale.exact_quantiles(df, ["key"], "v", "id", {"p25": 0.25, "p75": 0.75}, exclusive=("p25", "p75")).collect()}
     m = {r.key: r.med for r in scale.exact_quantiles(df, ["key"], "v", "id", {"med": 0.5}).collect()}
     for k, part in by_key(rows).items():
         vals = [r[3] for r in part]
@@ -89,7 +89,7 @@ def test_quantiles(df, rows):
 
 def test_exclusive_quantile_of_two_extrapolates(spark):
     d = spark.createDataFrame([(1, 10.0), (2, 20.0)], "id int, v double")
-    q = scale.exact_quantiles(d, [], "v", "id", {"p25": 0.25, "p75": 0.75}, exclusive=True).first()
+    q = scale.exact_quantiles(d, [], "v", "id", {"p25": 0.25, "p75": 0.75}, exclusive=("p25", "p75")).first()
     assert (q.p25, q.p75) == (7.5, 22.5)
 
 
