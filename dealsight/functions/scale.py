@@ -44,6 +44,15 @@ def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(d) if d.limit(limit + 1).count() <= limit else d
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by key when the input has fewer partitions than the cluster has cores.
+
+    For work that is heavy per row; an input that already fills the cluster is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Newest row per key by partial aggregation (hot keys combine map-side)."""
     rest = [c for c in df.columns if c not in keys]

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsight.functions.bands import clamp, tidy
 from dealsight.functions.clock import at
-from dealsight.functions.scale import cut, previous_values, running_sum
+from dealsight.functions.scale import cut, previous_values, running_sum, spread
 
 # ---- fixed values -----------------------------------------------------------
 MA_FORMS = ["SC TO-T", "SC 13D", "DEFM14A", "S-4"]
@@ -139,9 +139,12 @@ def shingles(docs: DataFrame, key: str, text: str, width: int = 3) -> DataFrame:
     """(doc, shingle) rows over whole texts; a text shorter than ``width`` words is one shingle."""
     words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
     w = docs.select(key, words.alias("_w"))
-    last = F.greatest(F.size("_w") - width + 1, F.lit(1))
-    return (w.select(key, "_w", F.explode(F.sequence(F.lit(1), last)).alias("_i"))
-            .select(key, F.array_join(F.slice("_w", F.col("_i"), width), " ").alias("shingle")))
+    # shifted copies side by side: an exploded row holds its own words, never the whole text
+    cols = [f"_{i}" for i in range(width)]
+    shifted = F.arrays_zip(*[F.slice("_w", i + 1, F.size("_w")).alias(c) if i else F.col("_w").alias(c) for i, c in enumerate(cols)])
+    rows = w.withColumn("_n", F.size("_w")).withColumn("_z", shifted).select(key, "_n", F.posexplode("_z").alias("_p", "_s"))
+    full = F.col("_s").getField(cols[-1]).isNotNull() | ((F.col("_p") == 0) & (F.col("_n") < width))
+    return rows.filter(full).select(key, F.concat_ws(" ", *[F.col("_s").getField(c) for c in cols]).alias("shingle"))
 
 
 def band_keys(docs: DataFrame, key: str, text: str, bands: int = 3, rows: int = 2, width: int = 3) -> DataFrame:
@@ -150,7 +153,7 @@ def band_keys(docs: DataFrame, key: str, text: str, bands: int = 3, rows: int =
     A document's shingles sit in one partition, so the minima combine before the shuffle.
     """
     step = 64 // (bands * rows)
-    h = shingles(docs, key, text, width).select(key, F.sha2("shingle", 256).alias("_h"))
+    h = shingles(spread(docs.select(key, text), key), key, text, width).select(key, F.sha2("shingle", 256).alias("_h"))
     mins = h.groupBy(key).agg(*[F.min(F.substring("_h", 1 + i * step, step)).alias(f"_m{i}") for i in range(bands * rows)])
     keys = F.array(*[F.concat_ws("|", F.lit(str(b)), *[f"_m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
     return mins.select(key, F.explode(keys).alias("band"))

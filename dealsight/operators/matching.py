@@ -76,6 +76,10 @@ def per_signature(buyers: DataFrame, sig: DataFrame, keep: Column | None = None)
     expands in place; a longer list goes in several such passes.
     """
     passes = -(-sig.count() // SIGNATURES_PER_PASS) or 1
+    spark = buyers.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a fixed count: the buyers are small before they expand, and would be coalesced into few tasks
+    buyers = buyers.repartition(n, "acquirer_id")
     out = None
     for i in range(passes):
         part = sig if passes == 1 else sig.filter(F.pmod(F.xxhash64("sig"), F.lit(passes)) == i)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsight.functions.bands import above, at_least, at_most, below, clamp, first_match, lookup, points
 from dealsight.functions.clock import at, whole_days
-from dealsight.functions.scale import broadcast_if_small, latest_per_key, positions
+from dealsight.functions.scale import broadcast_if_small, cut, latest_per_key, positions
 
 # ---- fixed values -----------------------------------------------------------
 PRIORITY_AREAS = ["obesity_glp1", "oncology_adc", "radiopharmaceuticals", "autoimmune", "cns_neuropsychiatry", "rare_disease"]
@@ -203,7 +203,8 @@ def rank_targets(factors: DataFrame, weights: Mapping[str, float] = RANKING_WEIG
     d = d.withColumn("thesis", F.concat(F.format_string("%s (%s) is a $%.1fB %s company with a %s lead asset. ", "name", "ticker",
                                                         F.col("market_cap") / 1e9, area, "lead_asset_phase"),
                                         why, F.lit("an attractive M&A target.")))
-    p = positions(d, [], [F.col("composite").desc(), F.col("ticker")], "rank", "_n")
+    # the range split samples its input first, so the scored universe is computed once up front
+    p = positions(cut(d), [], [F.col("composite").desc(), F.col("ticker")], "rank", "_n")
     p = p.withColumn("percentile", (F.col("_n") - F.col("rank") + 1) / F.col("_n") * 100).drop("_n")
     return p.filter(F.col("rank") <= top_n) if top_n else p
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsight.functions.bands import lookup
-from dealsight.functions.scale import top_per_key
+from dealsight.functions.scale import spread, top_per_key
 
 # ---- fixed values -----------------------------------------------------------
 CURVES = {"standard": (5, 8, 0.3), "blockbuster": (4, 9, 0.25), "orphan": (3, 10, 0.5), "fast_follower": (3, 5, 0.2),
@@ -58,7 +58,7 @@ CURVE_COLUMNS = ("_ramp", "_decline", "_kept")
 
 
 def by_year(drugs: DataFrame, peak: str = "peak_sales", launch: str = "years_to_launch", n: int = PROJECTION_YEARS) -> DataFrame:
-    d = with_curve(drugs).withColumn("year", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    d = with_curve(spread(drugs, "drug_id")).withColumn("year", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     rev = year_revenue(F.col("year"), F.col(peak).cast("double"), F.col(launch), F.col("patent_life"))
     return d.withColumn("revenue", rev).drop(*CURVE_COLUMNS)
 
