@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealsight.llm import rules
+from dealsight.llm import mixing, packing, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,7 +25,47 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Source targets as the level at which sorted limits stop being met; documents in the order of the seeded hash.
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
+                  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+      FROM d GROUP BY source),
+f AS (SELECT *, 2.0::DOUBLE * source_size AS cap FROM s),
+o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS goal, row_number() OVER (ORDER BY cap / w, source) AS k FROM f),
+l AS (SELECT *, (goal - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+m AS (SELECT min(k) AS k FROM l WHERE cap > level * w),
+t AS (SELECT o.source, o.source_size, CASE WHEN o.k < m.k OR m.k IS NULL THEN o.cap ELSE (SELECT level FROM l WHERE l.k = m.k) * o.w END AS target FROM o, m),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+p AS (SELECT *, CAST(floor(target - whole * source_size) AS BIGINT) AS part FROM r),
+c AS (SELECT d.*, p.source_size, p.target, p.whole, p.part,
+             sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(whole * size + greatest(0, least(size, part - before)) AS BIGINT) AS taken FROM c
+"""
+
+
+def packing_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_source_mixing", MIXING_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", F.col("_words").alias("size"), F.col("_size").alias("source_size"),
+                                   F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return rules.judge(docs, rules.fit(docs, table(spark, folder, "labels")))
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), packing_vocabulary())
