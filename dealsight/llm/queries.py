@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealsight.llm import mixing, packing, rules
+from dealsight.llm import mixing, packing, pii, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,6 +60,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
                                    F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
+@query("op6_skip_chain_pii")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
