@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -53,6 +54,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; the columns of ``left``, then the other columns of ``right``."""
+    side = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(side[f"_k_{k}"]) for k in keys])
+    return left.join(side, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Newest row per key by partial aggregation (hot keys combine map-side)."""
     rest = [c for c in df.columns if c not in keys]
@@ -86,7 +94,7 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: st
                             F.sum("_n").over(whole).alias("_total"))
     if not by:
         offsets = F.broadcast(offsets)  # one row per slice
-    joined = spread.join(offsets, [*by, "_slice"])
+    joined = join_on(spread, offsets, [*by, "_slice"])
     local = F.row_number().over(W.partitionBy(*by, "_slice").orderBy(*order))
     res = joined.withColumn(out, (local + F.col("_before")).cast("bigint"))
     if total:
@@ -108,8 +116,8 @@ def previous_values(df: DataFrame, keys: Sequence[str], bucket: Column, order: S
     carried = ends.select(*keys, "_bucket",
                           F.lag("_last").over(W.partitionBy(*keys).orderBy("_bucket")).alias("_carry"))
     res = (b.withColumn("_first", F.row_number().over(inner) == 1)
-           .withColumn("_in", F.lag(payload).over(inner))
-           .join(carried, [*keys, "_bucket"], "left"))
+           .withColumn("_in", F.lag(payload).over(inner)))
+    res = join_on(res, carried, [*keys, "_bucket"], "left")
     for o in values:
         res = res.withColumn(o, F.when(F.col("_first"), F.col(f"_carry.{o}")).otherwise(F.col(f"_in.{o}")))
     return res.drop("_bucket", "_first", "_in", "_carry")
@@ -123,7 +131,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     sums = b.groupBy(*keys, "_bucket").agg(F.sum("_v").alias("_s"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offs = sums.select(*keys, "_bucket", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
-    return (b.withColumn("_within", F.sum("_v").over(inner)).join(offs, [*keys, "_bucket"])
+    return (join_on(b.withColumn("_within", F.sum("_v").over(inner)), offs, [*keys, "_bucket"])
             .withColumn(out, F.col("_within") + F.col("_off")).drop("_bucket", "_v", "_within", "_off"))
 
 
@@ -136,7 +144,7 @@ def running_max(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     tops = tops.select(*keys, "_bucket", *[F.max(f"_t_{o}").over(before).alias(f"_b_{o}") for o in values])
     for o, c in values.items():
         b = b.withColumn(f"_w_{o}", F.max(c).over(inner))
-    b = b.join(tops, [*keys, "_bucket"])
+    b = join_on(b, tops, [*keys, "_bucket"])
     for o in values:
         b = b.withColumn(o, F.greatest(f"_w_{o}", f"_b_{o}"))
     return b.drop("_bucket", *[f"_w_{o}" for o in values], *[f"_b_{o}" for o in values])
