@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealsight.llm import mixing, packing, pii, rules
+from dealsight.llm import chat, mixing, packing, pii, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -75,3 +75,30 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), packing_vocabulary())
+
+
+#: Conversations as lists of turns, compared as prefixes.
+CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS pos FROM conversations),
+c AS (SELECT conv_id, count(*) AS n, list({'role': role, 'text': text} ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+u AS (SELECT turns, n, min(conv_id) AS rep FROM c GROUP BY turns, n),
+x AS (SELECT a.turns, min_by(b.rep, (-b.n, b.rep)) AS kept_in FROM u a JOIN u b ON b.n > a.n AND b.turns[1] = a.turns[1] AND b.turns[1:a.n] = a.turns GROUP BY a.turns),
+k AS (SELECT c.conv_id, coalesce(x.kept_in, u.rep) AS kept_in FROM c JOIN u ON c.turns = u.turns LEFT JOIN x ON c.turns = x.turns),
+h AS (SELECT kept_in AS conv_id, count(*) - 1 AS collapsed FROM k GROUP BY kept_in),
+r AS (SELECT t.conv_id, pos, role, '<|im_start|>' || coalesce(role, 'unknown') || chr(10) ||
+             regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') || '<|im_end|>' || chr(10) AS rendered FROM t)
+SELECT r.conv_id, CAST(pos AS BIGINT) AS turn_no, CAST(c.n AS BIGINT) AS n_turns, role, rendered,
+       CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY r.conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+       CAST(collapsed AS BIGINT) AS collapsed
+FROM r JOIN h ON r.conv_id IS NOT DISTINCT FROM h.conv_id JOIN c ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
+@query("op7_snapshot_collapse", CHAT_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.render(table(spark, folder, "conversations"))
+
+
+@query("op5_warc_derivatives")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, folder, "pages")))
