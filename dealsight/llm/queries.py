@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealsight.llm import chat, mixing, packing, pii, rules, warc
+from dealsight.llm import chat, licenses, mixing, packing, pii, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,3 +102,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_warc_derivatives")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, folder, "pages")))
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
