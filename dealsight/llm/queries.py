@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealsight.llm import chat, licenses, mixing, packing, pii, rules, warc
+from dealsight.llm import chat, licenses, mixing, neighbours, packing, pii, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -107,3 +107,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_license_scan")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op8_adaptive_scan")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"))
