@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealsight.llm import chat, licenses, mixing, neighbours, packing, pii, rules, warc
+from dealsight.llm import chat, licenses, minhash, mixing, neighbours, packing, pii, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -112,3 +112,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_adaptive_scan")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(table(spark, folder, "embeddings"))
+
+
+@query("op4_minhash_components")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
