@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealsight.llm import chat, licenses, minhash, mixing, neighbours, packing, pii, rules, warc
+from dealsight.llm import chat, licenses, minhash, mixing, neighbours, packing, pii, rules, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -117,3 +117,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_minhash_components")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.measure(table(spark, folder, "documents"))
