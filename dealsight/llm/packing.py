@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -22,51 +23,57 @@ from pyspark.sql import DataFrame, functions as F
 from dealsight.functions.scale import positions
 from dealsight.llm.common import cut, map_batches, texts
 
-CACHE = 300_000  # words whose ids a worker keeps
+WORDS_KEPT, PARTS_KEPT = 400_000, 700_000  # entries a worker keeps
 ODD = tuple(map(chr, range(0x1C, 0x20)))  # str.split() cuts here, the tokenizer does not
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe: with letters it makes tokens of its own
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The byte-level alphabet: printed bytes stand for themselves, the others for the characters from 256 on.
+ALPHABET = {b: chr(b) for b in PRINTED} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(PRINTED))}
 
 
 class WordIds:
-    """Ids of whole texts, put together from the ids of their words; a word is cut at white space, which has no ids."""
+    """Ids of whole texts, put together from the ids of their words, as white space has none.
+
+    A word of Latin-1 letters with marks before and after it is three runs to the tokenizer, which goes straight to the
+    merges for each; every other word goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def plain(self, items: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
-
-    def tails(self, word: str) -> tuple[str, str]:
-        """A word of ASCII letters is one token run of its own, whatever single mark follows it."""
-        body, mark = word[:-1], word[-1:]
-        return (body, mark) if mark in (",", ".", "!", "|") and body.isascii() and body.isalpha() else (word, "")
-
-    def learn(self, words: list[str]) -> None:
-        known = self.known
-        parts = {w: self.tails(w) for w in words}
-        # capitals have the ids of small letters; ASCII only, as other alphabets fold by their own rules
-        low = {p: p.lower() if p.isascii() else p for pair in parts.values() for p in pair if p}
-        new = list(dict.fromkeys(p for p in low.values() if p not in known))
-        known.update(zip(new, self.plain(new)))
-        known.update((p, known[q]) for p, q in low.items())
-        known.update((w, known[a] + (known[b] if b else b"")) for w, (a, b) in parts.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if any(c in text for c in ODD):
-                out += self.plain([text])
-                continue
-            words = text.split()
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(dict.fromkeys(words))
-            if new:
-                self.learn(new)
-            out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.known, self.parts = self.tokenizer.model, {}, {"": b""}
+
+    def plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, run: str) -> bytes:
+        """Ids of one run of small letters or of marks."""
+        got = self.parts.get(run)
+        if got is None:
+            if len(self.parts) >= PARTS_KEPT:
+                self.parts = {"": b""}
+            spelled = run if run.isascii() else "".join(map(ALPHABET.__getitem__, run.encode()))
+            got = self.parts[run] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return got
+
+    def word(self, word: str) -> bytes:
+        body = word.strip(MARKS)
+        if "<|" in word or (body and not (body.isalpha() and (body.isascii() or max(body) <= "\xff"))):
+            return self.plain(word)
+        head, _, tail = word.partition(body) if body else (word, "", "")
+        return self.part(head) + self.part(body.lower()) + self.part(tail)
+
+    def encode(self, text: str) -> bytes:
+        if any(c in text for c in ODD):
+            return self.plain(text)
+        words = text.split()
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > WORDS_KEPT:
+            self.known, new = {}, set(words)
+        for w in new:
+            self.known[w] = self.word(w)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def word_ids(path: str) -> WordIds:
@@ -86,7 +93,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, wi
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         encoder, docs_, rows = word_ids(path), b.column("doc_id").to_pylist(), []
         for doc, text in zip(docs_, texts(b)):
-            ids = encoder.encode([text.decode("utf-8", "replace")])[0] + end
+            ids = encoder.encode(text.decode("utf-8", "replace")) + end
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at:at + 4 * capacity]
                 rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)) + ((np.frombuffer(part, "<i4"),) if with_ids else ()))
