@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that are kept, one row for each ``doc_id``; rows without one all stay."""
     found = cut(near_duplicates(docs))
-    ids = found.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_id").isNotNull())
-    rows = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"))
-    repeated = rows.where(F.col("_n") > 1).groupBy("_id").agg(F.min(F.struct(*docs.columns)).alias("_r")).select("_r.*")
-    return docs.where(F.col("doc_id").isNull()).unionByName(rows.where(F.col("_n") == 1).select(*docs.columns)).unionByName(repeated)
+    ids = found.where("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("id").isNotNull())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc")).join(ids, F.col("doc") == F.col("id"))
+    repeated = rows.where("n > 1").groupBy("id").agg(F.min("row").alias("row")).select("row.*")
+    return docs.where(F.col("doc_id").isNull()).unionByName(rows.where("n = 1").select("row.*")).unionByName(repeated)

@@ -77,19 +77,18 @@ def _slice(seed: str) -> Column:
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0,
         seed: str = "mix") -> DataFrame:
-    """``docs`` with ``_words``, ``_size`` and ``_target`` of the source, and ``_taken``: the words the mix takes."""
+    """``row`` (the document), its ``size``, ``source_size`` and ``target`` of its source, ``taken``: words the mix takes."""
     goals = plan(docs, weights, share, limit, seed)
-    rows = docs.withColumn("_words", words("text")).withColumn("_slice", _slice(seed))
-    rows = rows.join(goals, F.col("source").eqNullSafe(F.col("_source")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", F.col("doc_id").alias("_id"), words("text").alias("size"), _order(seed).alias("_order"))
+    rows = rows.withColumn("_slice", F.substring("_order", 1, DIGITS)).join(goals, F.col("source").eqNullSafe(F.col("_source")))
     at_end = F.col("_slice").eqNullSafe(F.col("_end"))
-    settled = rows.where(~at_end).withColumn("_extra", F.when(F.coalesce(F.col("_slice") < F.col("_end"), F.lit(False)), F.col("_words")).otherwise(F.lit(0)))
-    run = (W.partitionBy("_source").orderBy("_order", "doc_id", "_words").rowsBetween(W.unboundedPreceding, 0))
-    left = F.col("_part") - F.col("_before") - (F.sum("_words").over(run) - F.col("_words"))
-    ordered = (rows.where(at_end).withColumn("_order", _order(seed))
-               .withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_words"), left))).drop("_order"))
-    both = settled.unionByName(ordered)
-    taken = (F.col("_whole") * F.col("_words") + F.col("_extra")).cast("long")
-    return both.withColumn("_taken", taken).select(*docs.columns, "_words", "_size", "_target", "_taken")
+    whole_part = F.coalesce(F.col("_slice") < F.col("_end"), F.lit(False))
+    settled = rows.where(~at_end).withColumn("_extra", F.when(whole_part, F.col("size")).otherwise(F.lit(0)))
+    run = W.partitionBy("_source").orderBy("_order", "_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    left = F.col("_part") - F.col("_before") - (F.sum("size").over(run) - F.col("size"))
+    ordered = rows.where(at_end).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    taken = (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long")
+    return settled.unionByName(ordered).select("row", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
 
 
 def first_words(text: bytes, n: int) -> bytes:
@@ -102,18 +101,19 @@ def first_words(text: bytes, n: int) -> bytes:
 
 def materialise(mixed: DataFrame) -> DataFrame:
     """The documents of the mix: whole copies, and of a document taken in part its first words."""
-    names = [c for c in mixed.columns if c not in ("_words", "_size", "_target", "_taken")]
-    full = F.floor(F.col("_taken") / F.col("_words")).cast("int")
-    some = mixed.where(F.col("_taken") > 0)
-    copies = some.where(full > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), full))).select(*names)
-    parts = some.where(F.col("_taken") % F.col("_words") > 0).withColumn("_keep", F.col("_taken") % F.col("_words")).select(*names, "_keep")
+    full = F.floor(F.col("taken") / F.col("size")).cast("int")
+    some = mixed.where(F.col("taken") > 0)
+    copies = some.where(full > 0).select("row", F.explode(F.sequence(F.lit(1), full)).alias("copy")).select("row.*")
+    parts = some.select("row", (F.col("taken") % F.col("size")).alias("keep")).where("keep > 0")
+    parts = parts.select(F.col("row.text").alias("text"), "row", "keep")
+    text_type = mixed.schema["row"].dataType["text"].dataType
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        text = [first_words(t, n).decode("utf-8", "replace") for t, n in zip(texts(b), b.column("_keep").to_pylist())]
-        cols = [pa.array(text, b.schema.field("text").type) if c == "text" else b.column(c) for c in names]
-        return pa.RecordBatch.from_arrays(cols, names)
-
-    parts = map_batches(parts, batch, mixed.select(*names).schema)
-    if "n_chars" in names:
-        parts = parts.withColumn("n_chars", F.length("text").cast(mixed.schema["n_chars"].dataType))
-    return copies.unionByName(parts)
+        text = [first_words(t, n).decode("utf-8", "replace") for t, n in zip(texts(b), b.column("keep").to_pylist())]
+        return pa.RecordBatch.from_arrays([pa.array(text, b.schema.field("text").type), b.column("row")], ["text", "row"])
+
+    parts = map_batches(parts, batch, parts.select("text", "row").schema)
+    row = F.col("row").withField("text", F.col("text").cast(text_type))
+    if "n_chars" in copies.columns:
+        row = row.withField("n_chars", F.length("text").cast(copies.schema["n_chars"].dataType))
+    return copies.unionByName(parts.select(row.alias("row")).select("row.*"))

@@ -56,8 +56,7 @@ def packing_vocabulary() -> str:
 @query("op2_source_mixing", MIXING_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", F.col("_words").alias("size"), F.col("_size").alias("source_size"),
-                                   F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+    return mixing.mix(docs).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op6_skip_chain_pii")
