@@ -3,7 +3,7 @@
 Only the histogram (one count per possible length) reaches the driver.  Multiplicative weights solve the program: prices
 start at a length's size and fall by the factor ``exp(-eta * covered share)``; a knapsack by dynamic programming finds the
 configuration of most value at these prices, which then covers its lengths by a step.  The fractional multiplicities are
-rounded to whole ones that never exceed the demand; what is left is packed best-fit decreasing, again on counts.  Pieces
+rounded to whole ones within the demand; what is left goes, best-fit decreasing, into their room and further sequences.  Pieces
 take their place by rank among those of equal length, so the work on the driver depends on the capacity, not on the data.
 
 Defined cases: a null or empty text is the end id alone; longer documents are cut at the capacity; repeated rows are
@@ -125,46 +125,43 @@ def best_configuration(value: np.ndarray, lengths: np.ndarray, capacity: int) ->
     return out
 
 
-def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, eta: float) -> list[tuple[dict[int, int], float]]:
-    """Fractional solution: (configuration as index -> copies, multiplicity)."""
-    covered, out = np.zeros(len(lengths)), []
+def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, eta: float = 4.0,
+                   part: float = 0.5) -> dict[tuple[tuple[int, int], ...], float]:
+    """Fractional solution by multiplicative weights: configuration as (index, copies) -> multiplicity.
+
+    A round takes the configuration worth most, so often that it covers the ``part`` of one of its lengths, and lowers the
+    prices of what it covers.  The multiplicities are scaled so that the mean covered share of the volume is 1.
+    """
+    covered, out = np.zeros(len(lengths)), {}
     for _ in range(rounds):
-        open_ = covered < 1
-        if not open_.any():
-            break
-        live = np.flatnonzero(open_)
-        used = best_configuration(lengths[live] * np.exp(-eta * covered[live]), lengths[live], capacity)
-        used = {int(live[k]): min(n, int(demand[live[k]])) for k, n in used.items()}
-        room = capacity - sum(int(lengths[k]) * n for k, n in used.items())
-        for k in reversed(live.tolist()):  # copies beyond the demand leave room for other lengths
-            if room < lengths[0]:
-                break
-            more = min(int(room // lengths[k]), int(demand[k]) - used.get(k, 0))
-            if more > 0:
-                used[k] = used.get(k, 0) + more
-                room -= more * int(lengths[k])
-        step = min((1 - covered[k]) * demand[k] / n for k, n in used.items())
+        price = lengths * np.exp(-eta * (covered - covered.min()))
+        used = best_configuration(price, lengths, capacity)
+        step = part * min(demand[k] / n for k, n in used.items())
         for k, n in used.items():
             covered[k] += n * step / demand[k]
-            if covered[k] > 1 - 1e-9:
-                covered[k] = 1
-        out.append((used, step))
-    return out
+        key = tuple(sorted(used.items()))
+        out[key] = out.get(key, 0.0) + step
+    scale = np.average(covered, weights=lengths * demand)
+    return {key: x / scale for key, x in out.items()}
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 400, eta: float = 1.0) -> list[tuple[dict[int, int], int]]:
-    """Whole configurations (length -> copies, multiplicity) that hold exactly the demand of the histogram."""
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 400) -> list[tuple[dict[int, int], int]]:
+    """Whole configurations (length -> copies, multiplicity) that hold exactly the demand of the histogram.
+
+    Multiplicities are rounded; copies beyond the demand are left out, and their room goes to the final best fit.
+    """
     lengths = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[int(x)] for x in lengths], np.int64)
     plan: list[tuple[dict[int, int], int]] = []
-    if len(lengths):
-        fractional = configurations(lengths, left.astype(float), capacity, rounds, eta)
-        for used, x in sorted(fractional, key=lambda p: -p[1]):
-            m = min([int(np.ceil(x - 1e-9)), *(int(left[k]) // n for k, n in used.items())])
-            if m > 0:
-                plan.append(({int(lengths[k]): n for k, n in used.items()}, m))
-                for k, n in used.items():
-                    left[k] -= n * m
+    fractional = configurations(lengths, left.astype(float), capacity, rounds) if len(lengths) else {}
+    for key, x in sorted(fractional.items(), key=lambda p: (-p[1], p[0])):
+        m, used = int(x + 0.5), dict(key)
+        while m > 0 and (used := {k: min(n, int(left[k])) for k, n in used.items() if left[k]}):
+            times = min(m, *(int(left[k]) // n for k, n in used.items()))
+            plan.append(({int(lengths[k]): n for k, n in used.items()}, times))
+            for k, n in used.items():
+                left[k] -= n * times
+            m -= times
     return plan + best_fit({int(x): int(n) for x, n in zip(lengths, left) if n}, plan, capacity)
 
 

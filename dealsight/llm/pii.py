@@ -33,6 +33,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE_MARKS = ".,;:!?\"'()[]{}<>|"
 
+AGREE = 3.0  # log odds by which a repeat is expected to share its label
+
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -200,7 +202,10 @@ class Field:
 
 
 def train(graphs: list[Graph], steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> Field | None:
-    """Pseudo-likelihood: every node's label given its features and its neighbours' labels."""
+    """Pseudo-likelihood: every node's label given its features and its neighbours' labels.
+
+    The patterns' silence on a word that repeats an observed one says nothing, so such words are left out as unlabelled.
+    """
     if not any((g.y > 0).any() for g in graphs):
         return None
     labels = len(KINDS) + 1
@@ -208,29 +213,34 @@ def train(graphs: list[Graph], steps: int = 300, rate: float = 0.5, ridge: float
     x, y = np.concatenate([g.x for g in graphs]), np.concatenate([g.y for g in graphs])
     chain = np.concatenate([g.chain + at for g, at in zip(graphs, sizes)])
     skip = np.concatenate([g.skip + at for g, at in zip(graphs, sizes)])
+    both = np.concatenate([skip, skip[:, ::-1]])
+    hidden, near = np.zeros(len(y), bool), y > 0
+    for _ in range(4):  # repeats of repeats
+        near[both[near[both[:, 0]], 1]] = True
+    hidden[near & (y == 0)] = True
     before, after, apart = (np.zeros((len(y), labels)) for _ in range(3))  # neighbours' labels, counted
-    np.add.at(before, (chain[:, 1], y[chain[:, 0]]), 1)
-    np.add.at(after, (chain[:, 0], y[chain[:, 1]]), 1)
-    np.add.at(apart, (skip[:, 1], y[skip[:, 0]]), 1)
-    np.add.at(apart, (skip[:, 0], y[skip[:, 1]]), 1)
+    for counts, here, there in ((before, chain[:, 1], chain[:, 0]), (after, chain[:, 0], chain[:, 1]), (apart, both[:, 1], both[:, 0])):
+        seen = ~hidden[there]
+        np.add.at(counts, (here[seen], y[there[seen]]), 1)
     want = np.eye(labels)[y]
-    weight = 1.0 / np.sqrt(np.maximum(want.sum(0), 1))[y]  # rare kinds count more
+    weight = np.where(hidden, 0.0, 1.0 / np.sqrt(np.maximum(want[~hidden].sum(0), 1))[y])  # rare kinds count more
     weight /= weight.sum()
-    params = [np.zeros((x.shape[1], labels)), np.zeros((labels, labels)), np.zeros((labels, labels))]
+    # one weight for all skip edges, as the rule is the same for every label: repeats agree; its prior mean is AGREE
+    params = [np.zeros((x.shape[1], labels)), np.zeros((labels, labels)), np.full((1, 1), AGREE)]
+    prior = [0.0, 0.0, AGREE]
     size = [np.zeros_like(p) for p in params]
     for _ in range(steps):
         u, c, s = params
-        z = x @ u + before @ c + after @ c.T + apart @ s
+        z = x @ u + before @ c + after @ c.T + apart * s
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         d = (p / p.sum(1, keepdims=True) - want) * weight[:, None]
-        half = apart.T @ d
-        grads = [x.T @ d, before.T @ d + d.T @ after, (half + half.T) / 2]
+        grads = [x.T @ d, before.T @ d + d.T @ after, (apart * d).sum(keepdims=True)]
         for k, grad in enumerate(grads):
-            grad = grad + ridge * params[k]
+            grad = grad + ridge * (params[k] - prior[k])
             size[k] += grad ** 2
             params[k] -= rate * grad / (np.sqrt(size[k]) + 1e-8)
-    return Field(*params)
+    return Field(params[0], params[1], params[2] * np.eye(labels))
 
 
 def fit(docs: DataFrame, fit_docs: int = 20_000, max_nodes: int = 2_000, seed: int = 11) -> Field | None:
