@@ -33,6 +33,7 @@ CHANCE = 2.0 ** -BITS
 BLOCK = 2048  # members of a bucket that are compared at once
 FILTER_BITS = 1 << 23
 CACHE = 300_000
+SHINGLES_KEPT = 3_000_000  # shingles, over all sets, that a task holds while it confirms
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,38 +150,92 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield table()
 
 
-def candidate_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) from different components of one bucket whose estimate and sizes allow a link; big buckets meet in blocks."""
+def close_pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of one bucket in different components whose estimate and sizes allow a link, a share at a time."""
     least = floor_estimate()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u8").reshape(len(t), -1)
+    bucket, lo, hi, block, comp, n = (t.column(c).to_numpy() for c in ("bucket", "lo", "hi", "block", "comp", "n"))
+    at, d = np.arange(len(t)), 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(t)]
+        to = at + d
+        same = (bucket[at] == bucket[to]) & (lo[at] == lo[to]) & (hi[at] == hi[to])
+        at, to = at[same], to[same]
+        ok = (comp[at] != comp[to]) & ((lo[at] == hi[at]) | (block[at] != block[to]))
+        ok &= np.minimum(n[at], n[to]) * LIMIT[1] >= np.maximum(n[at], n[to]) * LIMIT[0]
+        i, j = at[ok], to[ok]
+        for s in range(0, len(i), 1 << 16):
+            p, q = i[s:s + (1 << 16)], j[s:s + (1 << 16)]
+            live = estimate(sig[p], sig[q]) >= least
+            yield p[live], q[live]
+
+
+MEMBER = "bucket long, lo int, hi int, block int, rep long, comp long, n long, sig binary"
+
+
+def with_partner(members: DataFrame) -> DataFrame:
+    """The members that have a close pair in their bucket; big buckets meet in blocks, two blocks at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_bucket(batches):
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u8").reshape(len(t), -1)
-            bucket, lo, hi, block, rep, comp, n = (t.column(c).to_numpy() for c in ("bucket", "lo", "hi", "block", "rep", "comp", "n"))
-            at, found, d = np.arange(len(t)), [], 0
-            while len(at):
-                d += 1
-                at = at[at + d < len(t)]
-                to = at + d
-                same = (bucket[at] == bucket[to]) & (lo[at] == lo[to]) & (hi[at] == hi[to])
-                at, to = at[same], to[same]
-                ok = (comp[at] != comp[to]) & ((lo[at] == hi[at]) | (block[at] != block[to]))
-                ok &= np.minimum(n[at], n[to]) * LIMIT[1] >= np.maximum(n[at], n[to]) * LIMIT[0]
-                i, j = at[ok], to[ok]
-                for s in range(0, len(i), 1 << 16):
-                    p, q = i[s:s + (1 << 16)], j[s:s + (1 << 16)]
-                    live = estimate(sig[p], sig[q]) >= least
-                    found.append(np.stack([rep[p[live]], rep[q[live]]]))
-            pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-            pairs = np.unique(np.sort(pairs, 0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            hit = np.zeros(len(t), bool)
+            for i, j in close_pairs(t):
+                hit[i] = hit[j] = True
+            yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     m = members.withColumn("block", F.when(blocks == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), blocks)).cast("int"))
     m = m.withColumn("_t", F.explode(F.sequence(F.lit(0), blocks - 1)))
     m = m.withColumn("lo", F.least("block", "_t")).withColumn("hi", F.greatest("block", "_t"))
-    m = m.select("bucket", "lo", "hi", "block", "rep", "comp", "n", "sig").repartition("bucket", "lo", "hi")
-    return m.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    m = m.select(*[c.split()[0] for c in MEMBER.split(", ")]).repartition("bucket", "lo", "hi")
+    return m.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, MEMBER)
+
+
+def bucket_links(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): confirmed links between components that meet in a bucket, as many as join them and no more.
+
+    A pair whose components are joined already inside the bucket is passed over, so at most one link a member leaves it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_bucket(batches):
+            rep, comp, found = t.column("rep").to_pylist(), t.column("comp").to_pylist(), []
+            text, sets, numbers, held = t.column("text"), {}, {}, [0]
+            joined = {c: c for c in comp}
+
+            def root(c: int) -> int:
+                while joined[c] != c:
+                    joined[c] = c = joined[joined[c]]
+                return c
+
+            def shingles(i: int) -> set[int]:
+                if rep[i] not in sets:
+                    sets[rep[i]] = {numbers.setdefault(x, len(numbers)) for x in shingle_set(normal(text[i].as_py()))}
+                    held[0] += len(sets[rep[i]])
+                return sets[rep[i]]
+
+            for p, q in close_pairs(t):
+                for i, j in zip(p.tolist(), q.tolist()):
+                    x, y = root(comp[i]), root(comp[j])
+                    if x != y:
+                        if held[0] > SHINGLES_KEPT:
+                            sets.clear()
+                            numbers.clear()
+                            held[0] = 0
+                        if linked(shingles(i), shingles(j)):
+                            found.append((rep[i], rep[j]))
+                            joined[max(x, y)] = min(x, y)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b"])
+
+    m = members.join(known.select("rep", "text"), "rep").repartition("bucket", "lo", "hi")
+    return m.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
+def linked(x: set, y: set) -> bool:
+    both = len(x & y)
+    return LIMIT[1] * both >= LIMIT[0] * (len(x) + len(y) - both)
 
 
 def shingle_set(words: list[bytes]) -> set[tuple[bytes, ...]]:
@@ -201,8 +256,7 @@ def confirm(pairs: DataFrame, known: DataFrame) -> DataFrame:
             for k, t in ((x, tx), (y, ty)):
                 if k not in sets:
                     sets[k] = shingle_set(normal(t))
-            both = len(sets[x] & sets[y])
-            keep.append(LIMIT[1] * both >= LIMIT[0] * (len(sets[x]) + len(sets[y]) - both))
+            keep.append(linked(sets[x], sets[y]))
         return pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     full = pairs.join(known.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
@@ -258,8 +312,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "hub")
     split = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
     open_ = placed.join(split, "bucket", "left_semi").join(reps.select("rep", "n", "sig"), "rep")
-    more = cut(confirm(candidate_pairs(open_), known))
-    comps = components(links.unionByName(more))
+    comps = components(links.unionByName(bucket_links(with_partner(open_), known)))
 
     classes = reps.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("_c"))
     out = rows.select("doc_id", "key", "n_shingles").join(classes, "key", "left")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dealsight.llm.common import map_batches, texts
 
-LENGTH, K = 50, 20
+LENGTH, K = 50, 16
 RUNS = LENGTH - K + 1  # K-byte strings in a window
 BLOCK = 1 << 19  # bytes hashed at once
 HOT = 4096
@@ -116,104 +116,91 @@ def entries(items: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
     yield from flush()
 
 
-def smallest(keys: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
-    """The smallest ``doc`` among the rows with equal ``keys``, for every row."""
-    order = np.lexsort((doc, *keys))
-    if not len(order):
-        return doc
-    new = np.r_[True, np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])]
-    out = np.empty_like(doc)
-    out[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    return out
-
-
-def scattered(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Shuffle keys for rows that need no partner."""
-    return mixed(mixed(doc.astype(np.uint64)) + place.astype(np.uint64)).view(np.int64)
-
-
 def sample_batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
-    """Entries of a batch: (h, whole, doc, place); covered ones, as the batch shows already, have ``~place``."""
+    """Different entries of a batch: (h, whole, doc).  Those that the batch itself shows to be covered have a null h."""
     ids, parts = b.column("_d").to_numpy(), []
-    for item, first, _, _, h, whole in entries(texts(b)):
-        parts.append((h, whole, np.full(len(h), ids[item]), first))
+    for item, _, _, _, h, whole in entries(texts(b)):
+        parts.append((h, whole, np.full(len(h), ids[item])))
     if not parts:
         return None
-    h, whole, doc, place = (np.concatenate(x) for x in zip(*parts))
-    covered = doc > smallest([whole, h], doc)
-    h = np.where(covered, scattered(doc, place), h)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, whole, doc, np.where(covered, ~place, place))], ["h", "whole", "doc", "place"])
+    h, whole, doc = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((doc, whole, h))
+    hs, ws, ds = h[order], whole[order], doc[order]
+    new = np.r_[True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])]
+    covered = np.zeros(len(h), bool)
+    covered[order] = ds > ds[np.flatnonzero(new)][np.cumsum(new) - 1]
+    keep = np.zeros(len(h), bool)
+    keep[order] = new | np.r_[True, ds[1:] != ds[:-1]]  # in the order of the texts, which packs better
+    return pa.RecordBatch.from_arrays([pa.array(h[keep], mask=covered[keep]), pa.array(whole[keep]), pa.array(doc[keep])], ["h", "whole", "doc"])
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition by anchor hash: covered entries (kind 0) and, of anchors with different entries from different
     documents, each entry of its smallest document (kind 1, or 2 at a hot anchor)."""
-    got = [tuple(b.column(c).to_numpy() for c in ("h", "whole", "doc", "place")) for b in batches if b.num_rows]
+    got = []
+    for b in batches:
+        null = b.column("h").is_null()
+        done = b.filter(null)
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([done.column("doc"), done.column("whole"), pa.array(np.zeros(done.num_rows, np.int8))], ["doc", "whole", "kind"])
+        rest = b.filter(pa.compute.invert(null))
+        if rest.num_rows:
+            got.append(tuple(rest.column(c).to_numpy() for c in ("h", "whole", "doc")))
     if not got:
         return
-    h, whole, doc, place = (np.concatenate(x) for x in zip(*got))
+    h, whole, doc = (np.concatenate(x) for x in zip(*got))
     del got
-    done = place < 0
-    place = np.where(done, ~place, place)
-    low = smallest([whole, h], np.where(done, doc - 1, doc))  # a settled row has a key of its own
-    covered = doc > low
-    order = np.lexsort((whole, h))
-    order = order[~covered[order]]
-    kind = np.zeros(len(h), np.int8)
-    if len(order):
-        hs, ws, ds = h[order], whole[order], doc[order]
-        new = np.r_[True, hs[1:] != hs[:-1]]
-        group, start = np.cumsum(new) - 1, np.flatnonzero(new)
-        several = np.minimum.reduceat(ds, start) < np.maximum.reduceat(ds, start)
-        kinds = np.add.reduceat(np.r_[True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])].astype(np.int64), start)
-        kind[order] = np.where(several, np.where(kinds > HOT, 2, 1), -1)[group]
-    keep = covered | (kind > 0)
-    code = (place << 32) | (whole & 0xFFFFFFFF)
-    cols = (doc, code, h, kind)
-    for s in range(0, len(h), 1 << 18):
-        k = keep[s:s + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(c[s:s + (1 << 18)][k]) for c in cols], ["doc", "code", "h", "kind"])
+    order = np.lexsort((doc, whole, h))
+    h, whole, doc = h[order], whole[order], doc[order]
+    anchor, entry = np.r_[True, h[1:] != h[:-1]], np.r_[True, (h[1:] != h[:-1]) | (whole[1:] != whole[:-1])]
+    covered = doc > doc[np.flatnonzero(entry)][np.cumsum(entry) - 1]
+    group, start = np.cumsum(anchor) - 1, np.flatnonzero(anchor)
+    firsts = doc[np.maximum.accumulate(np.where(entry, np.arange(len(doc)), 0))]  # of each entry, its smallest document
+    several = np.minimum.reduceat(firsts, start) < np.maximum.reduceat(firsts, start)
+    hot = np.add.reduceat(entry.astype(np.int64), start) > HOT
+    kind = np.where(covered, 0, np.where(several, np.where(hot, 2, 1), -1)[group]).astype(np.int8)
+    for s in range(0, len(kind), 1 << 18):
+        k = kind[s:s + (1 << 18)] >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(c[s:s + (1 << 18)][k]) for c in (doc, whole, kind)], ["doc", "whole", "kind"])
+
+
+def scattered(doc: int, place: int) -> int:
+    """A shuffle key for rows that need no partner."""
+    return xxhash.xxh3_64_intdigest(b"%d %d" % (doc, place)) - 2**63
 
 
 def extract_batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
     """Rows (g, doc, text_hash, lo, anchor, hi, bytes): covered stretches have no bytes, entries to be sorted have theirs."""
     items, ids = texts(b), b.column("_d").to_pylist()
-    done, asked = b.column("done").to_pylist(), b.column("asked").to_pylist()
+    wanted = [[np.array(x, np.int64) for x in b.column(c).to_pylist()] for c in ("done", "asked", "hot")]
     rows: list[tuple] = []
     hot: list[tuple] = []
     found: dict[int, list[tuple]] = {}
-    for item, first, last, at, _, whole in entries(items):
-        found.setdefault(item, []).append((first, last, at, whole))
+    for item, *arrays in entries(items):
+        found.setdefault(item, []).append(arrays)
     for item, parts in found.items():
-        first, last, at, whole = (np.concatenate(x) for x in zip(*parts))
+        first, last, at, h, whole = (np.concatenate(x) for x in zip(*parts))
         text, doc = items[item], ids[item]
         th = xxhash.xxh3_64_intdigest(text) - 2**63
-        code = (first << 32) | (whole & 0xFFFFFFFF)
-        covered = np.flatnonzero(np.isin(code, np.array(done[item], np.int64)))
-        if len(covered):
-            lo, hi = first[covered], last[covered] + LENGTH
-            new = np.r_[True, lo[1:] > hi[:-1]]
-            starts = np.flatnonzero(new)
+        done, asked, split = (np.flatnonzero(np.isin(whole, w[item])) for w in wanted)
+        if len(done):
+            lo, hi = first[done], last[done] + LENGTH
+            starts = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])
             for s, e in zip(lo[starts].tolist(), hi[np.r_[starts[1:], len(hi)] - 1].tolist()):
-                rows.append((xxhash.xxh3_64_intdigest(b"%d %d" % (doc, s)) - 2**63, doc, th, s, 0, e, None))
-        for want in asked[item]:
-            k = int(np.searchsorted(first, want["code"] >> 32))
-            if k == len(code) or code[k] != want["code"]:
-                continue  # another text with this id asked
-            s, e, a = int(first[k]), int(last[k]) + LENGTH, int(at[k])
-            if want["kind"] == 1:
-                rows.append((want["h"], doc, th, s, a - s, e, text[s:e]))
-            else:
-                hot += [(doc, th, p, a - p, text[p:p + LENGTH]) for p in range(s, e - LENGTH + 1)]
-    if hot:
-        low: dict[bytes, int] = {}
-        for doc, _, _, _, w in hot:
-            low[w] = min(doc, low.get(w, LAST))
-        for doc, th, p, a, w in hot:
-            if doc > low[w]:
-                rows.append((xxhash.xxh3_64_intdigest(b"%d %d" % (doc, p)) - 2**63, doc, th, p, 0, p + LENGTH, None))
-            else:
-                rows.append((xxhash.xxh3_64_intdigest(w) - 2**63, doc, th, p, a, p + LENGTH, w))
+                rows.append((scattered(doc, s), doc, th, s, 0, e, None))
+        for k in asked.tolist():
+            s, e = int(first[k]), int(last[k]) + LENGTH
+            rows.append((int(h[k]), doc, th, s, int(at[k]) - s, e, text[s:e]))
+        for k in split.tolist():
+            hot += [(doc, th, p, int(at[k]) - p, text[p:p + LENGTH]) for p in range(int(first[k]), int(last[k]) + 1)]
+    low: dict[bytes, int] = {}
+    for doc, _, _, _, w in hot:
+        low[w] = min(doc, low.get(w, LAST))
+    for doc, th, p, a, w in hot:
+        if doc > low[w]:
+            rows.append((scattered(doc, p), doc, th, p, 0, p + LENGTH, None))
+        else:
+            rows.append((xxhash.xxh3_64_intdigest(w) - 2**63, doc, th, p, a, p + LENGTH, w))
     if not rows:
         return None
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -369,11 +356,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_d"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    sampled = map_batches(rows.select("_d", "text"), sample_batch, "h long, whole long, doc long, place long")
-    settled = sampled.repartition(tasks, "h").mapInArrow(settle, "doc long, code long, h long, kind tinyint")
-    asked = F.when(F.col("kind") > 0, F.struct("code", "h", "kind"))
-    replies = settled.groupBy("doc").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("code"))).alias("done"), F.collect_list(asked).alias("asked"))
-    extracted = map_batches(rows.join(replies, F.col("_d") == F.col("doc")).select("_d", "doc_id", "text", "done", "asked"), extract_batch,
+    sampled = map_batches(rows.select("_d", "text"), sample_batch, "h long, whole long, doc long")
+    settled = sampled.repartition(tasks, F.coalesce("h", F.xxhash64("whole", "doc"))).mapInArrow(settle, "doc long, whole long, kind tinyint")
+    replies = settled.groupBy("doc").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("whole"))).alias(c) for k, c in enumerate(("done", "asked", "hot"))])
+    extracted = map_batches(rows.join(replies, F.col("_d") == F.col("doc")).select("_d", "doc_id", "text", "done", "asked", "hot"), extract_batch,
                             "g long, doc long, text_hash long, lo long, anchor long, hi long, bytes binary")
     found = extracted.repartition(tasks, "g").mapInArrow(sort_suffixes, "doc long, text_hash long, lo long, hi long")
     stretches = found.groupBy("doc").agg(F.collect_list(F.struct("text_hash", "lo", "hi")).alias("stretches"))
