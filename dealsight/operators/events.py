@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dealsight.functions.bands import clamp, tidy
 from dealsight.functions.clock import at
-from dealsight.functions.scale import cut, previous_values, running_sum, spread
+from dealsight.functions.scale import count_before, cut, previous_values, reachable, running_sum
 
 # ---- fixed values -----------------------------------------------------------
 MA_FORMS = ["SC TO-T", "SC 13D", "DEFM14A", "S-4"]
@@ -110,20 +110,29 @@ def first_per_hash(events: DataFrame, source: str, hash_col: str, order: str) ->
 def first_per_ttl(events: DataFrame, keys: Sequence[str], ts: str, tie: str, ttl_days: float) -> DataFrame:
     """H2: an event is kept when no kept event of its key is younger than the TTL.
 
-    Round i keeps each key's first event past the previous kept one plus the TTL;
-    rounds are bounded by time span / TTL and every round is one aggregation.
+    The kept events of a key are a chain: the first one, then each time the first at or past the last kept one plus the
+    TTL.  Its next stop is a position known per event, and pointer doubling visits them in log rounds.  ``tie`` tells
+    the events of a key apart.
     """
-    left = events
-    kept = None
-    pick = F.min_by(F.struct(*[c for c in events.columns if c not in keys]), F.struct(ts, tie)).alias("_r")
-    ttl = F.expr(f"INTERVAL {int(ttl_days * 24)} HOURS")
-    while True:
-        first = cut(left.groupBy(*keys).agg(pick).select(*keys, "_r.*").select(*events.columns))
-        if first.isEmpty():
-            return first if kept is None else kept
-        kept = first if kept is None else kept.unionByName(first)
-        edge = first.select(*keys, (F.col(ts) + ttl).alias("_edge"))
-        left = left.join(edge, list(keys)).filter(F.col(ts) >= F.col("_edge")).drop("_edge")
+    e = events.withColumn("_key", F.to_json(F.struct(*keys)))  # one key that is never NULL
+    place = count_before(e.select("_key", ts, tie), ["_key"], ts, tie, F.expr(f"INTERVAL {int(ttl_days * 24)} HOURS"), "_pos", "_upto")
+    place = cut(place.select("_key", tie, "_pos", (F.col("_upto") + 1).alias("_next")))
+    kept = reachable(place, ["_key"], 1, "_pos", "_next")
+    return e.join(place.join(kept, ["_key", "_pos"], "left_semi").select("_key", tie), ["_key", tie], "left_semi").select(*events.columns)
+
+
+def content_key(fields: Mapping[str, Column], kind: Column, source: Column, company: Column) -> Column:
+    """H2: hash of source, type, company and what makes the content unique.
+
+    Accession number of a filing; else trial id and update date; else title (100 characters) and date; else the payload.
+    ``fields`` maps accession_number, nct_id, last_update_date, title, publish_date and payload to columns.
+    """
+    f = lambda c: fields.get(c, F.lit(None).cast("string"))
+    own = (F.when(f("accession_number").isNotNull(), F.to_json(F.struct(f("accession_number").alias("accession"))))
+           .when(f("nct_id").isNotNull(), F.to_json(F.struct(f("nct_id").alias("nct"), f("last_update_date").alias("updated"))))
+           .when(f("title").isNotNull(), F.to_json(F.struct(F.substring(f("title"), 1, 100).alias("title"), f("publish_date").alias("date"))))
+           .otherwise(F.to_json(F.struct(f("payload").alias("payload")))))
+    return F.sha2(F.to_json(F.struct(source.alias("source"), kind.alias("type"), company.alias("company"), own.alias("key_data"))), 256)
 
 
 def title_dedup(articles: DataFrame, words: Sequence[str] = NEWS_WORDS, width: int = 50, limit: int | None = 20) -> DataFrame:
@@ -135,7 +144,7 @@ def title_dedup(articles: DataFrame, words: Sequence[str] = NEWS_WORDS, width: i
     return g if limit is None else g.orderBy("position").limit(limit)
 
 
-def shingles(docs: DataFrame, key: str, text: str, width: int = 3) -> DataFrame:
+def shingles(docs: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
     """(doc, shingle) rows over whole texts; a text shorter than ``width`` words is one shingle."""
     words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
     w = docs.select(key, words.alias("_w"))
@@ -147,46 +156,58 @@ def shingles(docs: DataFrame, key: str, text: str, width: int = 3) -> DataFrame:
     return rows.filter(full).select(key, F.concat_ws(" ", *[F.col("_s").getField(c) for c in cols]).alias("shingle"))
 
 
-def band_keys(docs: DataFrame, key: str, text: str, bands: int = 3, rows: int = 2, width: int = 3) -> DataFrame:
-    """(doc, band key) rows: each band joins ``rows`` min-hashes, slices of one SHA-256 per shingle.
-
-    A document's shingles sit in one partition, so the minima combine before the shuffle.
-    """
-    step = 64 // (bands * rows)
-    h = shingles(spread(docs.select(key, text), key), key, text, width).select(key, F.sha2("shingle", 256).alias("_h"))
-    mins = h.groupBy(key).agg(*[F.min(F.substring("_h", 1 + i * step, step)).alias(f"_m{i}") for i in range(bands * rows)])
-    keys = F.array(*[F.concat_ws("|", F.lit(str(b)), *[f"_m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    return mins.select(key, F.explode(keys).alias("band"))
-
-
-def components(edges: DataFrame, nodes: DataFrame, key: str, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """Smallest reachable id per node by repeated min-label exchange and pointer jumping.
 
-    Edges are (src, dst); every round is one join, one aggregation and a cut.
+    Edges are (src, dst); every round is one join, one aggregation and a cut.  Only nodes with an edge take part.
     """
     both = cut(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    lab = nodes.select(F.col(key).alias("id"), F.col(key).alias("comp"))
-    for _ in range(max_rounds):
+    lab = both.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("comp"))
+    while True:
         near = both.join(lab, both.dst == lab.id).groupBy("src").agg(F.min("comp").alias("_m"))
         nxt = lab.join(near, lab.id == near.src, "left").select("id", F.least("comp", "_m").alias("comp"), F.col("comp").alias("_old"))
         hop = nxt.select(F.col("id").alias("_hid"), F.col("comp").alias("_hop"))
         nxt = cut(nxt.join(hop, nxt.comp == F.col("_hid"), "left").select("id", F.least("comp", "_hop").alias("comp"), "_old"))
-        if nxt.filter("comp <> _old").isEmpty():
-            return nxt.select(F.col("id").alias(key), F.col("comp").alias("component"))
         lab = nxt.select("id", "comp")
-    raise RuntimeError("components did not settle")
+        if nxt.filter("comp <> _old").isEmpty():
+            return nodes.select(key).join(lab, F.col(key) == F.col("id"), "left").select(key, F.coalesce("comp", key).alias("component"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = 3, rows: int = 2) -> DataFrame:
-    """H4: documents that agree on a whole band are near duplicates; groups are the components.
+def similar_pairs(sets: DataFrame, key: str, percent: int) -> DataFrame:
+    """(a, b) of all documents whose shingle sets overlap by ``percent`` of their union; ``sets`` is (key, h), distinct.
 
-    Each band key links its documents to its smallest id only, which gives the
-    same components as all pairs.
+    Rarest first: two such sets share a shingle among the n - ceil(n * percent / 100) + 1 rarest of either, so only
+    those propose pairs, and the full sets confirm them.
     """
-    b = cut(band_keys(docs, key, text, bands, rows))
-    hub = b.groupBy("band").agg(F.min(key).alias("dst"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    edges = b.join(hub, "band").filter(F.col(key) != F.col("dst")).select(F.col(key).alias("src"), "dst").distinct()
-    return components(edges, docs.select(key), key)
+    freq = sets.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    rows = cut(sets.join(freq, "h"))  # shingles of one document alone come first in its order, and are only counted
+    size = sets.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    held = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).join(size, key)
+    rank = F.row_number().over(W.partitionBy(key).orderBy("f", "h")) + F.col("n") - F.col("_c")
+    head = rows.join(held, key).withColumn("_r", rank).filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    x = head.select(F.col(key).alias("a"), "h", F.col("n").alias("na"))
+    y = head.select(F.col(key).alias("b"), "h", F.col("n").alias("nb"))
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    pairs = cut(x.join(y, "h").filter((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct())
+    both = pairs.join(rows.select(F.col(key).alias("a"), "h"), "a").join(rows.select(F.col(key).alias("b"), "h"), ["b", "h"])
+    both = both.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+    return both.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """H4: groups of documents linked by word shingles that overlap by ``percent`` of their union at least.
+
+    Texts with equal words form one class first, so copies cost one row each.
+    """
+    same = F.md5(F.concat_ws(" ", F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")))
+    d = docs.select(key, text, same.alias("_same"))
+    rep = d.filter(F.length(F.trim(text)) > 0).groupBy("_same").agg(F.min(key).alias("_rep"))
+    first = d.join(rep.select("_rep"), F.col(key) == F.col("_rep"), "left_semi")
+    sets = cut(shingles(first, key, text, width).select(key, F.xxhash64("shingle").alias("h")).distinct())
+    links = similar_pairs(sets, key, percent).select(F.col("b").alias("src"), F.col("a").alias("dst"))
+    groups = components(links, rep.select(F.col("_rep").alias(key)), key).withColumnRenamed(key, "_rep")
+    out = d.select(key, "_same", text).join(rep, "_same", "left").join(groups, "_rep", "left")
+    return out.select(key, F.coalesce(F.when(F.length(F.trim(text)) > 0, F.col("component")), key).alias("component"))
 
 
 def missing_days(rows: DataFrame, key: str, ts: str, start: str, end: str) -> DataFrame:
@@ -221,22 +242,32 @@ def normal_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(clean, NAME_SUFFIXES, " "), r"\s+", " "))
 
 
-def entity_resolution(names: DataFrame, companies: DataFrame, name: str = "sponsor", block: int = 4, max_distance: int = 2) -> DataFrame:
-    """C20: distinct names to companies: exact normal form, else the closest name in the block.
+def deletions(x: Column, edits: int) -> Column:
+    """All strings that ``x`` becomes when up to ``edits`` characters are dropped."""
+    one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    out = F.array(x)
+    for _ in range(edits):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda w: F.when(F.length(w) > 0, one(w)).otherwise(F.array(w))))))
+    return out
+
+
+def entity_resolution(names: DataFrame, companies: DataFrame, name: str = "sponsor", max_distance: int = 2) -> DataFrame:
+    """C20: distinct names to companies: exact normal form, else the closest name within ``max_distance`` edits.
 
-    Blocks are the last characters of the normal form; names are made distinct first.
+    Two names that close have a common form after as many deletions on either side, so all such forms are join keys, and
+    the distance itself confirms a pair; no block of alike names is compared in full.
     """
     n = names.select(name).distinct().withColumn("norm", normal_name(F.col(name)))
     c = companies.select("company_id", normal_name(F.col("name")).alias("c_norm"))
     best = c.groupBy("c_norm").agg(F.min("company_id").alias("exact_id"))
     e = n.join(best, n.norm == best.c_norm, "left").drop("c_norm")
-    tail = lambda x: F.substring(x, -block, block)
-    left = e.filter("exact_id IS NULL").select(name, "norm", tail(F.col("norm")).alias("_b"))
-    cand = best.select("c_norm", "exact_id", tail(F.col("c_norm")).alias("_b"))
+    form = lambda c_: F.explode(F.transform(deletions(F.col(c_), max_distance), lambda w: F.xxhash64(w))).alias("_f")
+    left = e.filter("exact_id IS NULL AND norm IS NOT NULL").select("norm").distinct().select("norm", form("norm"))
+    cand = best.filter("c_norm IS NOT NULL").select("c_norm", F.col("exact_id").alias("fid"), form("c_norm"))
+    pairs = left.join(cand, "_f").select("norm", "c_norm", "fid").distinct()
     d = F.levenshtein(F.col("norm"), F.col("c_norm"))
-    f = (left.join(cand.withColumnRenamed("exact_id", "fid"), "_b").withColumn("distance", d).filter(F.col("distance") <= max_distance)
-         .groupBy(name).agg(F.min(F.struct("distance", "fid")).alias("_m")))
-    out = e.join(f, name, "left")
+    f = pairs.withColumn("distance", d).filter(F.col("distance") <= max_distance).groupBy("norm").agg(F.min(F.struct("distance", "fid")).alias("_m"))
+    out = e.join(f, "norm", "left")
     return out.select(name, "norm", F.coalesce("exact_id", "_m.fid").alias("company_id"),
                       F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("_m").isNotNull(), "fuzzy").otherwise("none").alias("how"))
 

@@ -1,10 +1,10 @@
 """Target-buyer matching without a target x buyer product.
 
 Everything pair-dependent in these rules reads only the target's set of areas.
-Targets are therefore grouped by that set (its *signature*): a vocabulary of m
-areas has at most 2^m of them, however many targets there are.  Buyers are
-scored once per signature, the best N per signature are kept before the shuffle,
-and targets pick their signature's list up by an equi join.
+Targets are therefore grouped by that set (its *signature*).  Buyers meet
+signatures by an equi join on area, are scored once per signature, the best N per
+signature are kept before the shuffle, and targets pick their signature's list up
+by an equi join.
 """
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dealsight.functions.bands import above, at_least, below, first_match, lookup, points, tidy
 from dealsight.functions.clock import at, whole_days
-from dealsight.functions.scale import SMALL_ROWS, broadcast_if_small, cut, top_per_key
+from dealsight.functions.scale import cut, join_on, positions, top_per_key
 
 # ---- fixed values -----------------------------------------------------------
 MATCH_WEIGHTS = {"alignment": 0.35, "cliff": 0.25, "capacity": 0.20, "history": 0.15, "activity": 0.05}
@@ -28,6 +28,9 @@ LOSS_SEVERITY = [(30, "critical"), (20, "high"), (10, "moderate"), (5, "low")]
 GAP_POINTS = {"critical": 40, "high": 25, "moderate": 15}
 URGENCY_FACTOR = {"critical": 2.0, "high": 1.5, "medium": 1.0, "low": 0.6}
 BIDDER_COUNT_SCORE = [(5, 100), (4, 90), (3, 80), (2, 60), (1, 40)]
+DRIVERS = [("alignment", 70, "Strong therapeutic area alignment"), ("cliff", 80, "Urgent patent cliff"),
+           ("history", 20, "Historical acquisition pattern match"), ("capacity", 80, "Strong financial capacity")]
+PRIORITY = 0.5
 COMPETITION = [(90, "auction"), (75, "high"), (55, "moderate"), (35, "low")]
 PREMIUM_RANGE = [(90, 2.5, 4.0), (75, 1.8, 2.5), (60, 1.4, 1.8), (40, 1.2, 1.4)]
 
@@ -35,60 +38,32 @@ def areas_or_empty(c: str = "areas") -> Column:
     return F.coalesce(F.col(c), F.array().cast("array<string>"))
 
 
-MAX_BITS = 62
-
-
 def signatures(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(targets with ``sig``, distinct signatures with their area arrays)."""
+    """(targets with ``sig``, distinct signatures with their area arrays and ``target_size``)."""
     known = F.array_sort(F.array_distinct(areas_or_empty()))
     t = targets.withColumn("sig", F.array_join(known, ","))
     sig = cut(t.select("sig", known.alias("target_areas")).dropDuplicates(["sig"]))
-    return t, sig
-
-
-def vocabulary(sig: DataFrame) -> list[str]:
-    """The targets' distinct areas; the rules use a small fixed vocabulary."""
-    rows = sig.select(F.explode("target_areas").alias("a")).distinct().orderBy("a").limit(MAX_BITS + 1).collect()
-    if len(rows) > MAX_BITS:
-        raise ValueError(f"more than {MAX_BITS} distinct areas: map them to canonical areas first")
-    return [r["a"] for r in rows]
-
-
-def area_bits(areas: Column, vocab: Sequence[str]) -> Column:
-    """Area set as a bit mask, so set overlap is one AND and one popcount per pair."""
-    out = F.lit(0).cast("bigint")
-    for i, v in enumerate(vocab):
-        out = out.bitwiseOR(F.when(F.array_contains(areas, v), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return out
-
+    return t, sig.withColumn("target_size", F.size("target_areas"))
 
-def shared(a: str = "target_bits", b: str = "buyer_bits") -> Column:
-    return F.bit_count(F.col(a).bitwiseAND(F.col(b)))
 
+def overlapping(buyers: DataFrame, sig: DataFrame) -> DataFrame:
+    """(buyer, signature) pairs that share an area, with their count ``both``: an equi join on area.
 
-SIGNATURES_PER_PASS = SMALL_ROWS // 10
+    ``buyers`` has acquirer_id, areas and what else is to be carried.
+    """
+    b = buyers.select("acquirer_id", F.explode(F.array_distinct("areas")).alias("area"))
+    s = sig.select("sig", F.explode("target_areas").alias("area"))
+    both = b.join(s, "area").groupBy("sig", "acquirer_id").agg(F.count(F.lit(1)).alias("both"))
+    return both.join(buyers.drop("areas"), "acquirer_id").join(sig, "sig")
 
 
-def per_signature(buyers: DataFrame, sig: DataFrame, keep: Column | None = None) -> DataFrame:
-    """One row per (buyer, signature) that passes ``keep`` (over signature and buyer columns).
+def apart(buyers: DataFrame, sig: DataFrame) -> DataFrame:
+    """The (buyer, signature) pairs that share no area (``both`` = 0), for rules in which such a pair can still count.
 
-    The signature list travels as one array of proven size and every buyer row
-    expands in place; a longer list goes in several such passes.
+    The result holds nearly every pair by its nature; callers first keep only the buyers that need no overlap.
     """
-    passes = -(-sig.count() // SIGNATURES_PER_PASS) or 1
-    spark = buyers.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # a fixed count: the buyers are small before they expand, and would be coalesced into few tasks
-    buyers = buyers.repartition(n, "acquirer_id")
-    out = None
-    for i in range(passes):
-        part = sig if passes == 1 else sig.filter(F.pmod(F.xxhash64("sig"), F.lit(passes)) == i)
-        packed = part.agg(F.collect_list(F.struct(*sig.columns)).alias("_sigs")).withColumn("_one", F.lit(1))
-        d = (buyers.withColumn("_one", F.lit(1)).join(F.broadcast(packed), "_one")
-             .select(*buyers.columns, F.explode("_sigs").alias("_s")).select(*buyers.columns, *[f"_s.{c}" for c in sig.columns]))
-        d = d if keep is None else d.filter(keep)
-        out = d if out is None else out.unionByName(d)
-    return out
+    every = buyers.withColumn("_one", F.lit(1)).join(sig.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return every.filter(~F.arrays_overlap(F.coalesce("areas", F.array().cast("array<string>")), "target_areas")).drop("areas").withColumn("both", F.lit(0).cast("bigint"))
 
 
 def alignment_score(target: Column, buyer: Column, priority: Column | float = 0.5) -> Column:
@@ -114,22 +89,23 @@ def financial_capacity(requested: DataFrame, acquirers: DataFrame) -> DataFrame:
     return requested.select("acquirer_id").distinct().join(known, "acquirer_id", "left").withColumn("capacity", F.coalesce("capacity", F.lit(50.0)))
 
 
-def deal_profiles(deals: DataFrame, vocab: Sequence[str]) -> DataFrame:
-    """Past deals per buyer as array<(bits, n)>: one entry per distinct area set."""
-    return (deals.select("acquirer_id", area_bits(F.col("areas"), vocab).alias("bits")).groupBy("acquirer_id", "bits").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("acquirer_id").agg(F.collect_list(F.struct("bits", "n")).alias("deal_profile")))
+def deal_profiles(deals: DataFrame) -> DataFrame:
+    """Past deals per buyer as array<(areas, n)>: one entry per distinct area set."""
+    kinds = F.array_sort(F.array_distinct(areas_or_empty())).alias("areas")
+    return (deals.select("acquirer_id", kinds).groupBy("acquirer_id", "areas").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("acquirer_id").agg(F.collect_list(F.struct("areas", "n")).alias("deal_profile")))
 
 
 def history_score(limit: int = 10) -> Column:
     """Ten points per past deal sharing an area with the target, at most 30."""
     hits = F.aggregate("deal_profile", F.lit(0).cast("bigint"),
-                       lambda a, p: a + F.when(p["bits"].bitwiseAND(F.col("target_bits")) != 0, p["n"]).otherwise(F.lit(0)))
+                       lambda a, p: a + F.when(F.arrays_overlap(p["areas"], F.col("target_areas")), p["n"]).otherwise(F.lit(0)))
     return F.coalesce(F.least(F.least(hits, F.lit(limit)) * 10, F.lit(30)), F.lit(0))
 
 
-def pair_alignment(priority: float = 0.5) -> Column:
-    """C6 over bit masks."""
-    n, both = F.col("target_size"), shared()
+def pair_alignment(priority: float = PRIORITY) -> Column:
+    """C6 from the count of shared areas."""
+    n, both = F.col("target_size"), F.col("both")
     total = both / n * 60 + F.lit(priority * 30) + F.least((n - both) * 5, F.lit(10))
     return F.when((n > 0) & F.col("buyer_known"), tidy(F.least(total, F.lit(100.0)))).otherwise(F.lit(0.0))
 
@@ -142,40 +118,38 @@ def final_columns(pairs: DataFrame) -> DataFrame:
     """Score, drivers, premium and likelihood; ``cliff`` is the urgency of the matched cliff or 0."""
     c = F.col
     score = c("alignment") * 0.35 + c("cliff") * 0.25 + c("capacity") * 0.20 + c("history") * 0.15 + c("activity") * 100 * 0.05
-    drivers = F.array(F.when(c("alignment") >= 70, "Strong therapeutic area alignment"), F.when(c("cliff") >= 80, "Urgent patent cliff"),
-                      F.when(c("history") >= 20, "Historical acquisition pattern match"), F.when(c("capacity") >= 80, "Strong financial capacity"))
+    drivers = F.array(*[F.when(c(name) >= least, label) for name, least, label in DRIVERS])
     premium = 30 + points(c("cliff") >= 80, 20) + points(c("alignment") >= 80, 15)
     return (pairs.withColumn("match_score", tidy(score)).withColumn("drivers", F.filter(drivers, lambda x: x.isNotNull()))
             .withColumn("premium", F.least(premium, F.lit(80)).cast("double"))
             .withColumn("likelihood", at_least(c("match_score"), LIKELIHOOD, 0.05)))
 
 
-def scored_buyers(acquirers: DataFrame, deals: DataFrame, vocab: Sequence[str]) -> DataFrame:
+def scored_buyers(acquirers: DataFrame, deals: DataFrame) -> DataFrame:
     """Buyer-side inputs computed once per active buyer."""
-    return (acquirers.filter("is_active").join(deal_profiles(deals, vocab), "acquirer_id", "left")
+    return (acquirers.filter("is_active").join(deal_profiles(deals), "acquirer_id", "left")
             .select("acquirer_id", "acquirer_name", "acquirer_type", "deal_profile", capacity_score().alias("capacity"),
-                    area_bits(areas_or_empty(), vocab).alias("buyer_bits"), (F.size(areas_or_empty()) > 0).alias("buyer_known"),
+                    areas_or_empty().alias("areas"), (F.size(areas_or_empty()) > 0).alias("buyer_known"),
                     lookup(F.col("acquirer_type"), TYPE_ACTIVITY, 0.5).alias("activity")))
 
 
-def with_bits(sig: DataFrame, vocab: Sequence[str]) -> DataFrame:
-    return sig.withColumn("target_bits", area_bits(F.col("target_areas"), vocab)).withColumn("target_size", F.size("target_areas"))
-
-
-# the most a buyer without any shared area can reach: 25 x .35 + 100 x .2 + 30 x .15 + 100 x .05
-BEST_WITHOUT_OVERLAP = 38.25
+def best_without_overlap(priority: float = PRIORITY) -> float:
+    """The most a buyer without any shared area can reach."""
+    w = MATCH_WEIGHTS
+    return (priority * 30 + 10) * w["alignment"] + 100 * w["capacity"] + 30 * w["history"] + 100 * w["activity"]
 
 
 def match_acquirers(targets: DataFrame, acquirers: DataFrame, deals: DataFrame, top_n: int = 10, min_score: float = 40.0) -> DataFrame:
     """C4: best ``top_n`` buyers per target with match_score >= min_score."""
     t, sig = signatures(targets)
-    vocab = vocabulary(sig)
-    keep = shared() > 0 if min_score > BEST_WITHOUT_OVERLAP else None
-    pairs = per_signature(scored_buyers(acquirers, deals, vocab), with_bits(sig, vocab), keep).withColumn("cliff", F.lit(0.0))
-    pairs = final_columns(base_columns(pairs)).filter(F.col("match_score") >= min_score)
+    buyers = scored_buyers(acquirers, deals)
+    pairs = overlapping(buyers, sig)
+    if min_score <= best_without_overlap():
+        pairs = pairs.unionByName(apart(buyers, sig))
+    pairs = final_columns(base_columns(pairs.withColumn("cliff", F.lit(0.0)))).filter(F.col("match_score") >= min_score)
     cols = ["acquirer_id", "acquirer_name", "acquirer_type", "match_score", "alignment", "capacity", "history", "drivers", "premium", "likelihood"]
     best = top_per_key(pairs.select("sig", *cols), ["sig"], [F.col("match_score").desc(), F.col("acquirer_id")], top_n, "rank")
-    return t.join(broadcast_if_small(best), "sig").drop("sig")
+    return t.join(best, "sig").drop("sig")
 
 
 def filter_pairs(matches: DataFrame, min_target: float, min_match: float, area: str | None = None, min_likelihood: float | None = None) -> DataFrame:
@@ -201,34 +175,28 @@ def cliff_urgency(expiry: Column, as_of) -> Column:
     return below(whole_days(at(as_of), expiry) / 365.25, CLIFF_URGENCY, 20)
 
 
-def patent_cliff_matches(targets: DataFrame, cliffs: DataFrame, acquirers: DataFrame, deals: DataFrame, as_of,
-                         years_ahead: int = 5, top_n: int = 10) -> DataFrame:
-    """Cliffs in the target's areas within the horizon, by urgency then score; one match per cliff.
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], top_n: int | None) -> DataFrame:
+    """``rank`` per key; all rows unless ``top_n`` is given."""
+    if top_n is not None:
+        return top_per_key(df, keys, order, top_n, "rank")
+    return positions(df, keys, order, "rank")
 
-    Urgency ranks first, so once an area has ``top_n`` cliffs at or above a level,
-    its less urgent cliffs can reach no target's list.  Within one buyer and area
-    the order is urgency alone, so ``top_n`` cliffs per buyer and area are enough.
-    """
+
+def patent_cliff_matches(targets: DataFrame, cliffs: DataFrame, acquirers: DataFrame, deals: DataFrame, as_of,
+                         years_ahead: int = 5, top_n: int | None = None) -> DataFrame:
+    """Every cliff in the target's areas within the horizon, by urgency then score; the first ``top_n`` if asked for."""
     t, sig = signatures(targets)
-    vocab = vocabulary(sig)
     live = cliffs.filter((F.col("expiry_date") >= at(as_of)) & (F.col("expiry_date") <= at(as_of) + F.expr(f"INTERVAL {365 * years_ahead} DAYS")))
-    live = live.select("acquirer_id", "cliff_id", "drug_name", "area", "expiry_date", cliff_urgency(F.col("expiry_date"), as_of).cast("double").alias("cliff"))
-    known = cut(live.join(acquirers.select("acquirer_id"), "acquirer_id", "left_semi"))
-    levels = known.groupBy("area", "cliff").agg(F.count(F.lit(1)).alias("n"))
-    run = F.sum("n").over(W.partitionBy("area").orderBy(F.col("cliff").desc()).rowsBetween(W.unboundedPreceding, -1))
-    floor = levels.withColumn("_above", F.coalesce(run, F.lit(0))).filter(F.col("_above") < top_n).groupBy("area").agg(F.min("cliff").alias("_floor"))
-    hot = known.join(broadcast_if_small(floor), "area").filter(F.col("cliff") >= F.col("_floor"))
-    hot = top_per_key(hot, ["acquirer_id", "area"], [F.col("cliff").desc(), F.col("cliff_id"), F.col("drug_name"), F.col("expiry_date")], top_n, "_r")
-    bit = F.struct("cliff", "cliff_id", "drug_name", "expiry_date", F.col("area").alias("cliff_area"), area_bits(F.array("area"), vocab).alias("cliff_bit"))
-    held = hot.groupBy("acquirer_id").agg(F.collect_list(bit).alias("cliffs"))  # at most top_n per area
-    buyers = scored_buyers(acquirers.withColumn("is_active", F.lit(True)), deals, vocab).join(held, "acquirer_id")
-    pairs = base_columns(per_signature(buyers, with_bits(sig, vocab)))
-    rows = pairs.select("sig", "acquirer_id", "alignment", "history", "capacity", "activity",
-                        F.inline(F.filter("cliffs", lambda x: x["cliff_bit"].bitwiseAND(F.col("target_bits")) != 0)))
+    live = live.select("acquirer_id", "cliff_id", "drug_name", F.col("area").alias("cliff_area"), "expiry_date",
+                       cliff_urgency(F.col("expiry_date"), as_of).cast("double").alias("cliff"))
+    hit = live.join(sig.select("sig", F.explode("target_areas").alias("cliff_area")), "cliff_area")
+    buyers = scored_buyers(acquirers.withColumn("is_active", F.lit(True)), deals)
+    pairs = hit.join(buyers, "acquirer_id").join(sig, "sig")
+    rows = base_columns(pairs.withColumn("both", F.size(F.array_intersect("areas", "target_areas"))))
     rows = final_columns(rows).withColumnRenamed("cliff", "cliff_urgency")
     order = [F.col("cliff_urgency").desc(), F.col("match_score").desc(), F.col("cliff_id"), F.col("acquirer_id"), F.col("drug_name"), F.col("expiry_date")]
     out = rows.select("sig", "cliff_id", "acquirer_id", "drug_name", "cliff_area", "expiry_date", "cliff_urgency", "match_score")
-    return t.join(top_per_key(out, ["sig"], order, top_n, "rank"), "sig").drop("sig")
+    return t.join(ranked(out, ["sig"], order, top_n), "sig").drop("sig")
 
 
 def similar_deals(requests: DataFrame, deals: DataFrame, limit: int = 10) -> DataFrame:
@@ -328,27 +296,27 @@ def buyer_gaps(acquirers: DataFrame, assets: DataFrame, losses: DataFrame, as_of
     return cliffs.unionByName(areas).withColumn("severity_rank", lookup(F.col("severity"), SEVERITY_RANK, 4))
 
 
-def gap_target_fit(targets: DataFrame, gaps: DataFrame, acquirers: DataFrame, top_n: int = 5) -> DataFrame:
-    """C11: best buyers per target by gap points, priorities, stage and sales (cap 100).
+def gap_target_fit(targets: DataFrame, gaps: DataFrame, acquirers: DataFrame, top_n: int | None = None) -> DataFrame:
+    """C11: every buyer per target by gap points, priorities, stage and sales (cap 100); the first ``top_n`` if asked for.
 
-    Stage and sales points belong to the target alone, so the order inside a
-    signature is the order for each of its targets.
+    Points of a gap, or 10 of a priority, count once per target area whose name contains it.  Names are matched once per
+    pair of distinct names; buyers gain points per signature, where their areas meet, and the others have none.  Stage
+    and sales points belong to the target alone, so the order inside a signature is the order for each of its targets.
     """
     t, sig = signatures(targets)
-    vocab = vocabulary(sig)
-    # points of a gap (or 10 of a priority) count once per target area whose name contains it
     rows = (gaps.select("acquirer_id", "area", lookup(F.col("severity"), GAP_POINTS, 0).alias("pts"))
             .unionByName(acquirers.select("acquirer_id", F.explode("priorities").alias("area"), F.lit(10).alias("pts"))))
-    gained = lambda v: F.sum(F.when(F.contains(F.lit(v.lower()), F.lower("area")), F.col("pts")).otherwise(0))
-    per_buyer = rows.groupBy("acquirer_id").agg(*[gained(v).alias(f"_p{i}") for i, v in enumerate(vocab)])
-    buyers = acquirers.select("acquirer_id").join(per_buyer, "acquirer_id", "left").na.fill(0)
-    bit = lambda i: F.col("target_bits").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
-    total = sum((F.when(bit(i), F.col(f"_p{i}")).otherwise(0) for i in range(len(vocab))), F.lit(0))
-    pairs = per_signature(buyers, with_bits(sig, vocab)).select("sig", "acquirer_id", total.alias("pair_points"))
-    best = top_per_key(pairs, ["sig"], [F.col("pair_points").desc(), F.col("acquirer_id")], top_n, "rank")
+    rows = rows.groupBy("acquirer_id", "area").agg(F.sum("pts").alias("pts"))
+    wanted = sig.select("sig", F.explode("target_areas").alias("target_area"))
+    names = wanted.select("target_area").distinct()
+    parts = rows.select("area").distinct().join(names, F.contains(F.lower("target_area"), F.lower("area")))
+    gained = rows.join(parts, "area").join(wanted, "target_area").groupBy("sig", "acquirer_id").agg(F.sum("pts").alias("pair_points"))
+    every = acquirers.select("acquirer_id", F.lit(1).alias("_one")).join(sig.select("sig", F.lit(1).alias("_one")), "_one").drop("_one")
+    pairs = every.join(gained, ["sig", "acquirer_id"], "left").withColumn("pair_points", F.coalesce("pair_points", F.lit(0)))
+    best = ranked(pairs, ["sig"], [F.col("pair_points").desc(), F.col("acquirer_id")], top_n)
     stage = lookup(F.col("stage"), {"phase_3": 20, "nda_bla": 20, "phase_2": 12, "phase_1": 5, "preclinical": 0, "discovery": 0, "approved": 0}, 10)
     sales = at_least(F.col("peak_sales_mm"), [(5000, 20), (2000, 15), (1000, 10), (500, 5)], 0)
-    d = t.join(broadcast_if_small(best), "sig").drop("sig")
+    d = t.join(best, "sig").drop("sig")
     return d.withColumn("fit", tidy(F.least(F.col("pair_points") + stage + sales, F.lit(100))))
 
 
@@ -357,11 +325,12 @@ def gap_target_fit(targets: DataFrame, gaps: DataFrame, acquirers: DataFrame, to
 def bidder_pairs(targets: DataFrame, pool: DataFrame, min_fit: float = 60.0, min_capacity: float = 50.0) -> tuple[DataFrame, DataFrame]:
     """(targets with sig, qualified bidders per signature)."""
     t, sig = signatures(targets)
-    vocab = vocabulary(sig)
-    able = pool.withColumn("capacity", capacity_score()).filter(F.col("capacity") >= min_capacity).withColumn("buyer_bits", area_bits(areas_or_empty(), vocab))
-    overlap = F.when(F.col("target_size") > 0, shared() / F.col("target_size") * 100).otherwise(0.0)
-    fit = overlap * 0.4 + F.col("gap_severity") * 0.4 + F.col("capacity") * 0.2
-    q = per_signature(able.drop("areas"), with_bits(sig, vocab)).withColumn("fit", F.round(fit, 9)).filter(F.col("fit") >= min_fit)
+    able = pool.withColumn("capacity", capacity_score()).filter(F.col("capacity") >= min_capacity).withColumn("areas", areas_or_empty())
+    own = F.col("gap_severity") * 0.4 + F.col("capacity") * 0.2  # what a bidder reaches without any shared area
+    overlap = F.when(F.col("target_size") > 0, F.col("both") / F.col("target_size") * 100).otherwise(0.0)
+    able = able.filter(own + 40 >= min_fit)
+    pairs = overlapping(able, sig).unionByName(apart(able.filter(F.round(own, 9) >= min_fit), sig))
+    q = pairs.withColumn("fit", F.round(overlap * 0.4 + own, 9)).filter(F.col("fit") >= min_fit)
     return t, q
 
 
@@ -386,7 +355,7 @@ def bidder_summary(qualified: DataFrame) -> DataFrame:
 def qualified_bidders(targets: DataFrame, pool: DataFrame) -> DataFrame:
     """Bidder count and key bidders per target; 0 when nobody qualifies."""
     t, q = bidder_pairs(targets, pool)
-    return t.join(broadcast_if_small(bidder_summary(q)), "sig", "left").withColumn("bidders", F.coalesce("bidders", F.lit(0)))
+    return t.join(bidder_summary(q), "sig", "left").withColumn("bidders", F.coalesce("bidders", F.lit(0)))
 
 
 def scarcity_score(alternatives: Column, differentiation: Column, patent_life: Column) -> Column:
@@ -400,7 +369,7 @@ def scarcity_score(alternatives: Column, differentiation: Column, patent_life: C
 def asset_scarcity(assets: DataFrame, class_cols: Sequence[str] = ("area", "indication", "mechanism")) -> DataFrame:
     """Alternatives are the other programmes of the class (counted, then joined back)."""
     n = assets.groupBy(*class_cols).agg((F.count(F.lit(1)) - 1).alias("alternatives"))
-    d = assets.join(n, list(class_cols))
+    d = join_on(assets, n, list(class_cols))
     return d.withColumn("scarcity", scarcity_score(F.col("alternatives"), F.col("differentiation"), F.col("patent_life")))
 
 

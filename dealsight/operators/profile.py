@@ -15,13 +15,13 @@ def newest_children(df: DataFrame, order: str, tie: str | None, keep: list[str],
 
 def deep_dive(companies: DataFrame, scores: DataFrame, assets: DataFrame, signals: DataFrame, patents: DataFrame,
               financials: DataFrame, history: DataFrame, as_of: str) -> DataFrame:
-    """Every company at once; 50 signals, 20 patents, 8 periods, 90 days of scores."""
+    """Every company at once; 50 signals, 20 patents, 8 periods, every score of the last 90 days."""
     recent = history.filter(F.col("score_date") >= F.date_sub(F.lit(as_of).cast("date"), 90))
     kids = [
         newest_children(signals, "event_date", "signal_id", ["signal_id", "event_date", "signal_type"], 50, "signals"),
         newest_children(patents, "expiry_date", "patent_id", ["patent_id", "expiry_date"], 20, "patents"),
         newest_children(financials, "as_of_date", None, ["as_of_date", "cash", "revenue"], 8, "financials"),
-        newest_children(recent, "score_date", None, ["score_date", "score"], 90, "history"),
+        recent.groupBy("company_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("score_date", "score")))).alias("history")),
         assets.groupBy("company_id").agg(F.count(F.lit(1)).alias("assets")),
         scores.select("company_id", "ma_score"),
     ]

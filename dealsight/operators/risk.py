@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dealsight.functions.bands import above, at_least, below, clamp, first_match, lookup, points, tidy, truthy
+from dealsight.functions.scale import join_on
 
 # ---- fixed values -----------------------------------------------------------
 SHARE_RISK = [(50, 100), (40, 85), (30, 70), (20, 50), (10, 30)]
@@ -116,7 +117,7 @@ def rank_in_class(scored: DataFrame, by: str = "drug_class", score: str = "diffe
     lower = F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("_n").over(W.partitionBy(by))
     pr = F.when(total > 1, lower / (total - 1)).otherwise(F.lit(0.0))
-    return scored.join(hist.select(by, score, pr.alias(out)), [by, score])
+    return join_on(scored, hist.select(by, score, pr.alias(out)), [by, score])
 
 
 def premium_estimate(inputs: DataFrame) -> DataFrame:

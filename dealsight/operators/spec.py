@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsight.functions.bands import above, at_least, at_most, below, clamp, first_match, lookup, points, tidy
 from dealsight.functions.clock import at, whole_days
-from dealsight.functions.scale import broadcast_if_small, previous_values
+from dealsight.functions.scale import join_on, previous_values
 from dealsight.operators.events import related_counts
 
 # ---- fixed values -----------------------------------------------------------
@@ -55,7 +55,7 @@ def factor_pipeline(assets: DataFrame) -> DataFrame:
     for flag, m in DESIGNATION_FACTOR.items():
         mult = mult * F.when(c(flag), m).otherwise(1.0)
     others = assets.groupBy("indication", "mechanism").agg((F.count(F.lit(1)) - 1).alias("rivals"))
-    a = assets.join(others, ["indication", "mechanism"])
+    a = join_on(assets, others, ["indication", "mechanism"])
     novelty = clamp(100 - c("rivals") * 5 + points(c("rivals") == 0, 30) - points(c("rivals") > 10, 40), 0.0, 100.0)
     need = first_match([(c("rivals") == 0, 50), (c("rivals") < 3, 35), (c("rivals") <= 10, 25)], 10)
     indication = above(c("peak_sales"), MARKET_POINTS, 10) + need
@@ -106,7 +106,7 @@ def factor_strategic_fit(companies: DataFrame, acquirers: DataFrame, deals: Data
     gaps = acquirers.select(F.explode("gaps").alias("area")).groupBy("area").agg(F.count(F.lit(1)).alias("gap_buyers"))
     typical = deals.filter(F.col("deal_date") >= F.add_months(at(as_of), -60)).groupBy("area").agg(F.avg("deal_value").alias("typical"))
     dim = core.join(gaps, "area", "full_outer").join(typical, "area", "full_outer")
-    j = companies.join(broadcast_if_small(dim), companies.lead_area == dim.area, "left")
+    j = companies.join(dim, companies.lead_area == dim.area, "left")
     c = F.col
     align = at_least(F.coalesce("buyers", F.lit(0)), [(3, 100), (1, 75)], 10)
     gap = F.when(F.coalesce("gap_buyers", F.lit(0)) > 0, 80).otherwise(40)
@@ -119,7 +119,7 @@ def factor_competition(assets: DataFrame) -> DataFrame:
     c = F.col
     rivals = assets.groupBy("indication", "mechanism").agg((F.count(F.lit(1)) - 1).alias("rivals"))
     done = assets.groupBy("indication").agg(F.count_if(c("phase") == "approved").alias("approved"))
-    d = assets.join(rivals, ["indication", "mechanism"]).join(done, "indication")
+    d = join_on(join_on(assets, rivals, ["indication", "mechanism"]), done, ["indication"])
     adj = (points(c("novelty") == "best_in_class", -20) + points(c("novelty") == "first_in_class", -15) + points(c("superior"), -25)
            + points(c("novelty") == "me_too", 30))
     pen = at_most(c("rivals"), COMPETITOR_PENALTY, 70) + at_most(c("approved"), APPROVED_PENALTY, 50) + adj

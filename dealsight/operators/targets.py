@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsight.functions.bands import above, at_least, at_most, below, clamp, first_match, lookup, points
 from dealsight.functions.clock import at, whole_days
-from dealsight.functions.scale import broadcast_if_small, cut, latest_per_key, positions
+from dealsight.functions.scale import cut, latest_per_key, positions
 
 # ---- fixed values -----------------------------------------------------------
 PRIORITY_AREAS = ["obesity_glp1", "oncology_adc", "radiopharmaceuticals", "autoimmune", "cns_neuropsychiatry", "rare_disease"]
@@ -231,7 +231,7 @@ def area_acquirers(targets: DataFrame, buyers: DataFrame) -> DataFrame:
     """Likely buyers of the first area (default list otherwise) and the best of them."""
     per_area = (buyers.withColumn("probability", F.col("fit") / 100 * 0.4).withColumn("premium", 40 + F.col("fit") / 100 * 20)
                 .groupBy("area").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "buyer_type", "fit", "probability", "premium"))).alias("acquirers")))
-    dim = broadcast_if_small(per_area)  # one row per area
+    dim = per_area  # one row per area
     usual = F.broadcast(per_area.filter("area = ''").select(F.col("acquirers").alias("_default"), F.lit(1).alias("_one")))
     d = (targets.withColumn("area", F.coalesce(F.try_element_at("therapeutic_areas", F.lit(1)), F.lit(""))).withColumn("_one", F.lit(1))
          .join(dim, "area", "left").join(usual, "_one").drop("_one")

@@ -5,33 +5,39 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from dealsight.functions.bands import clamp
 from dealsight.functions.clock import whole_days
-from dealsight.functions.scale import exact_quantiles, positions, running_sum, top_per_key
+from dealsight.functions.scale import exact_quantiles, positions, running_max, running_sum
 
 
-def daily_state(signals: DataFrame) -> DataFrame:
-    """Cumulative signal count and value per company, one row per calendar day from the first signal on."""
-    day = signals.groupBy("company_id", F.col("event_date").cast("date").alias("day")).agg(
-        F.sum(F.col("value").cast("decimal(18,2)")).alias("v"), F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("company_id").orderBy("day")
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    d = day.select("company_id", "day", F.sum("v").over(run).alias("total"), F.sum("n").over(run).alias("signals"), F.lead("day").over(w).alias("_next"))
-    last = F.coalesce(F.date_sub("_next", 1), F.greatest("day", F.date_add("day", 400)))
-    return d.withColumn("day", F.explode(F.sequence("day", last))).drop("_next")
+# ---- fixed values -----------------------------------------------------------
+PROFILE_STEPS = (12, 6, 3, 1)  # months before announcement at which a profile is rebuilt
+TRAJECTORY_STEPS = 24
 
 
-def point_in_time_backtest(deals: DataFrame, signals: DataFrame, offsets: Sequence[int]) -> DataFrame:
-    """K1: score of each deal's target as known ``offsets`` days before announcement.
+def point_in_time_backtest(deals: DataFrame, signals: DataFrame, scores: DataFrame, steps: int = TRAJECTORY_STEPS,
+                           profile_steps: Sequence[int] = PROFILE_STEPS, step_days: int = 30) -> DataFrame:
+    """K1: the composite score and the signals known about each deal's target 1..``steps`` months before announcement.
 
-    Signals collapse to one cumulative row per company and day first, so a cut-off
-    is an equi join on (company, day) and never a range join over raw signals.
+    ``scores`` is the composite's history (company_id, score_date, score).  A cut-off joins its company's days as a row of
+    its own that adds nothing: the running count up to it is what was known, the running maximum of (day, score) is the
+    last score.  Both run in monthly blocks, so neither a range join nor a calendar of days is built.
     """
-    grid = deals.withColumn("offset_days", F.explode(F.array(*[F.lit(o) for o in offsets])))
-    grid = grid.withColumn("day", F.date_sub(F.col("announced").cast("date"), F.col("offset_days") + 1))
-    j = grid.join(daily_state(signals), ["company_id", "day"], "left")
-    score = clamp(F.coalesce(F.col("total").cast("double") / F.col("signals"), F.lit(0.0)), 0.0, 100.0)
-    return j.withColumn("score", score).withColumn("signals", F.coalesce("signals", F.lit(0)))
+    wanted = sorted({*range(1, steps + 1), *profile_steps})
+    grid = deals.withColumn("step", F.explode(F.array(*[F.lit(x) for x in wanted])))
+    grid = grid.withColumn("day", F.date_sub(F.col("announced").cast("date"), F.col("step") * step_days + 1))
+    probe = grid.select("company_id", "day", F.lit(1).alias("kind"), "deal_id", "step", F.lit(0).alias("n"), F.lit(None).cast("date").alias("_on"), F.lit(None).cast("double").alias("_score"))
+    none = [F.lit(None).cast(grid.schema["deal_id"].dataType).alias("deal_id"), F.lit(None).cast("int").alias("step")]
+    seen = signals.groupBy("company_id", F.col("event_date").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    seen = seen.select("company_id", "day", F.lit(0).alias("kind"), *none, "n", F.lit(None).cast("date").alias("_on"), F.lit(None).cast("double").alias("_score"))
+    known = scores.select("company_id", F.col("score_date").cast("date").alias("day"), F.lit(0).alias("kind"), *none, F.lit(0).alias("n"),
+                          F.col("score_date").cast("date").alias("_on"), F.col("score").cast("double").alias("_score"))
+    month = F.trunc("day", "month")
+    rows = probe.unionByName(seen).unionByName(known).withColumn("_last", F.when(F.col("_on").isNotNull(), F.struct("_on", "_score")))
+    rows = running_sum(rows, ["company_id"], month, ["day", "kind", "deal_id", "step", "_on"], F.col("n"), "signals")
+    rows = running_max(rows, ["company_id"], month, ["day", "kind", "deal_id", "step", "_on"], {"_best": "_last"}).where("kind = 1")
+    out = rows.select("deal_id", "step", F.col("step").isin(list(profile_steps)).alias("profile_step"), "signals",
+                      F.col("_best._score").alias("score"), F.col("_best._on").alias("scored_on"))
+    return grid.drop("day").join(out, ["deal_id", "step"])
 
 
 def classification_metrics(scored: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -173,7 +179,7 @@ def missing_data(frame: DataFrame, score, inputs: Sequence[str], shares: Sequenc
     """K9: mean score with a hashed share of each input blanked, against the full data."""
     d = frame.withColumn("missing", F.explode(F.array(*[F.lit(float(x)) for x in (0.0, *shares)])))
     for i in inputs:
-        u = F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(1000)) / 1000
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(i))), 1, 6), 16, 10).cast("double") / 2 ** 24
         d = d.withColumn(i, F.when(u < F.col("missing"), F.lit(None)).otherwise(F.col(i)))
     return score(d).groupBy("missing").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("n"))
 

@@ -70,11 +70,14 @@ def _alignment(t):
 x_rows AS (SELECT s.ta, l.*, capacity, activity, {ALIGN('s.ta', 'b.ar')} AS alignment, CAST({sql_below('y', ma.CLIFF_URGENCY, 20)} AS DOUBLE) AS urgency, least(30, 10 * least(10, coalesce(nd, 0))) AS history
   FROM x_sig s JOIN x_live l ON list_contains(s.ta, l.area) JOIN x_buyer b ON b.acquirer_id = l.acquirer_id LEFT JOIN x_hist h ON h.ta = s.ta AND h.acquirer_id = l.acquirer_id),
 x_sc AS (SELECT *, {sql_tidy('alignment * 0.35e0 + urgency * 0.25e0 + capacity * 0.2e0 + history * 0.15e0 + activity * 5')} AS match_score FROM x_rows)
-SELECT c.company_id, acquirer_id, cliff_id, rk AS rank, urgency AS cliff_urgency, match_score FROM d_companies c JOIN (SELECT *, row_number() OVER (PARTITION BY ta ORDER BY urgency DESC, match_score DESC, cliff_id, acquirer_id, drug_name, expiry_date) rk FROM x_sc) x
-  ON x.ta = coalesce(c.areas, []) WHERE rk <= 10""")
+SELECT c.company_id, acquirer_id, count(*) AS matches, count(DISTINCT cliff_id) AS cliffs, min(rk) AS best_rank, sum(rk) AS rank_sum, max(urgency) AS cliff_urgency, max(match_score) AS match_score FROM d_companies c JOIN (SELECT *, row_number() OVER (PARTITION BY ta ORDER BY urgency DESC, match_score DESC, cliff_id, acquirer_id, drug_name, expiry_date) rk FROM x_sc) x
+  ON x.ta = coalesce(c.areas, []) GROUP BY 1, 2""")
 def _cliffs(t):
+    # every match takes part; the rows are summed per target and buyer
     d = ma.patent_cliff_matches(t.companies.select("company_id", "areas"), t.cliffs, t.acquirers, t.deals, DEAL)
-    return d.select("company_id", "acquirer_id", "cliff_id", n("rank"), r("cliff_urgency"), "match_score")
+    g = d.groupBy("company_id", "acquirer_id").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("cliff_id").alias("cliffs"), F.min("rank").alias("best_rank"),
+                                                   F.sum("rank").alias("rank_sum"), F.max("cliff_urgency").alias("cliff_urgency"), F.max("match_score").alias("match_score"))
+    return g.select("company_id", "acquirer_id", "matches", "cliffs", n("best_rank"), n("rank_sum"), r("cliff_urgency"), "match_score")
 
 
 @query("C8", "similar_deals", """SELECT a.acquirer_id AS request_id, deal_id, row_number() OVER (PARTITION BY a.acquirer_id ORDER BY deal_date DESC, deal_id) AS rank
@@ -154,7 +157,7 @@ x_sig AS (SELECT DISTINCT coalesce(areas, []) AS ta FROM d_companies),
 x_pp AS (SELECT s.ta, a.acquirer_id, coalesce(sum(pts) FILTER (WHERE list_contains(s.ta, p.area)), 0) AS pp FROM x_sig s CROSS JOIN d_acquirers a LEFT JOIN x_pts p ON p.acquirer_id = a.acquirer_id GROUP BY 1, 2),
 x_top AS (SELECT *, row_number() OVER (PARTITION BY ta ORDER BY pp DESC, acquirer_id) rk FROM x_pp)
 SELECT c.company_id, acquirer_id, rk AS rank, {sql_tidy(f"least(100, pp + {sql_lookup('lead_phase', {'phase_3': 20, 'nda_bla': 20, 'phase_2': 12, 'phase_1': 5, 'preclinical': 0, 'approved': 0}, 10)} + {sql_at_least('(potential / n_assets / 1e6)', [(5000, 20), (2000, 15), (1000, 10), (500, 5)], 0)})")} AS fit
-FROM d_companies c JOIN x_top x ON x.ta = coalesce(c.areas, []) WHERE rk <= 5""")
+FROM d_companies c JOIN x_top x ON x.ta = coalesce(c.areas, [])""")
 def _gap_fit(t):
     gaps = ma.buyer_gaps(t.acquirers, t.licensed, t.losses, DEAL)
     tg = t.companies.select("company_id", "areas", F.col("lead_phase").alias("stage"), (F.col("potential") / F.col("n_assets") / 1e6).alias("peak_sales_mm"))

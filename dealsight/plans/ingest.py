@@ -125,7 +125,7 @@ def _tenk(t):
     return no.tenk_metrics(rep)
 
 
-@query("A9", "feed_entries", """SELECT doc_id // 30 AS feed_id, 'entry ' || CAST(doc_id AS VARCHAR) || ' ' || md5(text) AS title, 'http://x/' || CAST(doc_id AS VARCHAR) AS url, source AS summary FROM documents WHERE doc_id % 30 < 20""")
+@query("A9", "feed_entries", """SELECT doc_id // 30 AS feed_id, 'entry ' || CAST(doc_id AS VARCHAR) || ' ' || md5(text) AS title, 'http://x/' || CAST(doc_id AS VARCHAR) AS url, source AS summary FROM documents""")
 def _feeds(t):
     entry = F.concat(F.lit("<entry>"), el("title", F.concat(F.lit("entry "), F.col("doc_id").cast("string"), F.lit(" "), F.md5("text"))), F.lit('<link href="http://x/'),
                      F.col("doc_id").cast("string"), F.lit('"/>'), el("summary", F.col("source")), el("updated", F.lit("2024-01-01")), F.lit("</entry>"))
@@ -309,11 +309,11 @@ def _title(t):
 
 
 @query("H4", "news_near_dup", """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents),
-h AS (SELECT doc_id, sha256(array_to_string(ws[i:i + 2], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w)),
-m AS (SELECT doc_id, """ + ", ".join(f"min(substr(h, {1 + i * 10}, 10)) AS m{i}" for i in range(6)) + """ FROM h GROUP BY 1),
-b AS (SELECT doc_id, unnest(['0|' || m0 || '|' || m1, '1|' || m2 || '|' || m3, '2|' || m4 || '|' || m5]) AS band FROM m),
-hub AS (SELECT band, min(doc_id) AS d FROM b GROUP BY 1 HAVING count(*) > 1), e0 AS (SELECT DISTINCT doc_id AS s, d FROM b JOIN hub ON hub.band = b.band WHERE doc_id <> d),
-e AS (SELECT s, d FROM e0 UNION SELECT d, s FROM e0), r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.d, r.c FROM r JOIN e ON e.s = r.id)
+h AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM h a JOIN h b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x AS s, y AS d FROM o JOIN c p ON p.doc_id = x JOIN c q ON q.doc_id = y WHERE common * 100 >= 75 * (p.n + q.n - common)),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.d, r.c FROM r JOIN e ON e.s = r.id)
 SELECT id AS doc_id, min(c) AS component FROM r GROUP BY 1""")
 def _near(t):
     return ev.near_duplicates(t.documents)
@@ -338,7 +338,7 @@ NORM = lambda x: f"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}),
 
 
 @query("C20", "entity_resolution", f"""WITH nm AS (SELECT DISTINCT {SPONSOR.replace('STRING', 'VARCHAR')} AS sponsor FROM orders), q AS (SELECT sponsor, {NORM('sponsor')} AS norm FROM nm), c AS (SELECT company_id, {NORM('name')} AS cn FROM d_companies),
-f AS (SELECT sponsor, min(struct_pack(d := levenshtein(norm, cn), id := company_id)) AS m FROM q JOIN c ON right(norm, 4) = right(cn, 4) WHERE levenshtein(norm, cn) <= 2 GROUP BY 1)
+f AS (SELECT sponsor, min(struct_pack(d := levenshtein(norm, cn), id := company_id)) AS m FROM q JOIN c ON levenshtein(norm, cn) <= 2 GROUP BY 1)
 SELECT q.sponsor, coalesce(e.company_id, m.id) AS company_id, CASE WHEN e.company_id IS NOT NULL THEN 'exact' WHEN m IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS how
 FROM q LEFT JOIN c e ON e.cn = q.norm LEFT JOIN f ON f.sponsor = q.sponsor""")
 def _entity(t):

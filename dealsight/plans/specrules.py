@@ -283,10 +283,14 @@ def _late(t):
     return st.late_and_out_of_order(a).select(F.col("seq").alias("signal_id"), "out_of_order", "late")
 
 
-@query("I12", "alert_dedup", """WITH o AS (SELECT company_id, signal_type, CAST(event_date AS DATE) AS day, count(*) AS c FROM d_signals WHERE severity IN ('high', 'critical') GROUP BY 1, 2, 3)
-SELECT company_id, CAST(day AS VARCHAR) AS day, string_agg(signal_type, '|' ORDER BY signal_type) AS alerts, CAST(sum(c) - count(*) AS BIGINT) AS suppressed FROM o GROUP BY 1, 2""")
+@query("I12", "alert_dedup", """WITH RECURSIVE o AS (SELECT signal_id, company_id, signal_type, event_date AS ts FROM d_signals WHERE severity IN ('high', 'critical')),
+k AS (SELECT company_id, signal_type, min(ts) AS ts FROM o GROUP BY 1, 2 UNION ALL
+  SELECT k.company_id, k.signal_type, (SELECT min(o.ts) FROM o WHERE o.company_id = k.company_id AND o.signal_type = k.signal_type AND o.ts >= k.ts + INTERVAL 24 HOUR) FROM k WHERE k.ts IS NOT NULL),
+f AS (SELECT min(signal_id) AS signal_id FROM o JOIN k ON k.company_id = o.company_id AND k.signal_type = o.signal_type AND k.ts = o.ts GROUP BY o.company_id, o.signal_type, o.ts)
+SELECT company_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, coalesce(string_agg(DISTINCT signal_type, '|' ORDER BY signal_type) FILTER (WHERE f.signal_id IS NOT NULL), '') AS alerts,
+  count(*) FILTER (WHERE f.signal_id IS NULL) AS suppressed FROM o LEFT JOIN f ON f.signal_id = o.signal_id GROUP BY 1, 2""")
 def _adedup(t):
-    a = t.signals.filter(F.col("severity").isin("high", "critical")).select("company_id", F.col("signal_type").alias("alert"), F.col("event_date").alias("ts"))
+    a = t.signals.filter(F.col("severity").isin("high", "critical")).select("company_id", F.col("signal_type").alias("alert"), F.col("event_date").alias("ts"), F.col("signal_id").alias("alert_id"))
     return st.alert_dedup(a).select("company_id", s("day"), join_list("alerts"), n("suppressed"))
 
 

@@ -113,13 +113,14 @@ def announcements(t):
     return t.deals.select("deal_id", F.col("target_id").alias("company_id"), F.expr(ANNOUNCED).cast("timestamp_ntz").alias("announced"))
 
 
-@query("K1", "point_in_time_backtest", f"""WITH g AS (SELECT deal_id, target_id AS company_id, o AS offset_days, CAST({ANNOUNCED} AS DATE) - CAST(o + 1 AS INTEGER) AS cut FROM d_deals, (SELECT unnest([1, 3, 6, 12]) AS o)),
-day AS (SELECT company_id, CAST(event_date AS DATE) AS d, sum(CAST(value AS DECIMAL(18,2))) v, count(*) n FROM d_signals GROUP BY 1, 2)
-SELECT deal_id, CAST(offset_days AS BIGINT) AS offset_days, CAST(coalesce(sum(n), 0) AS BIGINT) AS signals, round(least(100e0, greatest(0e0, coalesce(CAST(sum(v) AS DOUBLE) / sum(n), 0))), 6) AS score
-FROM g LEFT JOIN day ON day.company_id = g.company_id AND day.d <= g.cut GROUP BY 1, 2""")
+@query("K1", "point_in_time_backtest", f"""WITH g AS (SELECT deal_id, target_id AS company_id, o AS step, CAST({ANNOUNCED} AS DATE) - CAST(o + 1 AS INTEGER) AS cut FROM d_deals, (SELECT unnest(range(1, 25)) AS o))
+SELECT deal_id, CAST(step AS BIGINT) AS step, step IN (1, 3, 6, 12) AS profile_step, (SELECT count(*) FROM d_signals s WHERE s.company_id = g.company_id AND CAST(event_date AS DATE) <= cut) AS signals,
+  (SELECT round(max_by(score, score_date), 6) FROM d_scores s WHERE s.company_id = g.company_id AND score_date <= cut) AS score,
+  (SELECT CAST(max(score_date) AS VARCHAR) FROM d_scores s WHERE s.company_id = g.company_id AND score_date <= cut) AS scored_on FROM g""")
 def _backtest(t):
-    d = va.point_in_time_backtest(announcements(t), t.signals, [1, 3, 6, 12])
-    return d.select("deal_id", n("offset_days"), n("signals"), r("score"))
+    # the data spans a month, so a step is a day here
+    d = va.point_in_time_backtest(announcements(t), t.signals, t.scores, step_days=1)
+    return d.select("deal_id", n("step"), "profile_step", n("signals"), r("score"), s("scored_on"))
 
 
 CONF = """count(*) FILTER (WHERE score >= th AND outcome = 1) AS tp, count(*) FILTER (WHERE score >= th AND outcome <> 1) AS fp, count(*) FILTER (WHERE score < th AND outcome = 1) AS fn, count(*) FILTER (WHERE score < th AND outcome <> 1) AS tn"""
@@ -225,9 +226,12 @@ def _bias(t):
     return va.segment_bias(outcomes(t), ["segment", "period"]).select("segment", "period", r("mean"), r("variance"), "n")
 
 
-@query("K9", "missing_data")
+GONE = lambda c: f"CASE WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{c}'), 1, 6) AS BIGINT) / 16777216e0 < missing THEN 50e0 ELSE coalesce({c}, 50e0) END"
+
+
+@query("K9", "missing_data", f"""WITH x AS (SELECT missing, ({' + '.join(GONE(c) for c in FACTORS)}) / 3 AS score FROM d_outcomes, (SELECT unnest([0e0, 0.1e0, 0.25e0, 0.5e0]) AS missing))
+SELECT missing, round(avg(score), 6) AS mean_score, count(*) AS n FROM x GROUP BY 1""")
 def _missing(t):
-    # which cells go missing follows Spark's hash, so only shape is compared
     def score(d):
         f = sum((F.coalesce(F.col(c), F.lit(50.0)) for c in FACTORS), F.lit(0.0)) / 3
         return d.withColumn("score", f)

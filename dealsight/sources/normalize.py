@@ -148,11 +148,12 @@ ATOM = "struct<entry:array<struct<title:string,link:struct<_href:string>,summary
 RSS = "struct<channel:struct<item:array<struct<title:string,link:string,description:string,pubDate:string>>>>"
 
 
-def feed_entries(feeds: DataFrame, key: str = "feed_id", xml: str = "xml", kind: str = "atom", limit: int = 20) -> DataFrame:
-    """Entries of each feed document, the first ``limit`` per feed."""
+def feed_entries(feeds: DataFrame, key: str = "feed_id", xml: str = "xml", kind: str = "atom", limit: int | None = None) -> DataFrame:
+    """Entries of each feed document; of an RSS channel the first ``limit`` (20 unless given), of an Atom feed all unless given."""
+    limit = 20 if limit is None and kind == "rss" else limit
     doc = F.from_xml(F.col(xml), ATOM if kind == "atom" else RSS)
     items = doc.getField("entry") if kind == "atom" else doc.getField("channel").getField("item")
-    d = feeds.select(key, F.posexplode(F.slice(items, 1, limit)).alias("pos", "_e"))
+    d = feeds.select(key, F.posexplode(items if limit is None else F.slice(items, 1, limit)).alias("pos", "_e"))
     e = lambda c: F.coalesce(F.col(f"_e.{c}"), F.lit(""))
     if kind == "atom":
         return d.select(key, "pos", e("title").alias("title"), e("link._href").alias("url"), e("summary").alias("summary"), e("updated").alias("updated"))

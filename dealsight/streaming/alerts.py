@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsight.functions.bands import truthy
-from dealsight.functions.scale import broadcast_if_small
 
 # ---- fixed values -----------------------------------------------------------
 TIER_1_SCORE, CHANGE_ALERT, NEW_BELOW = 80.0, 15.0, 60.0
@@ -17,18 +16,18 @@ def alert_rule_match(signals: DataFrame, rules: DataFrame) -> DataFrame:
     companies, so both branches are equi joins.
     """
     on = rules.filter("is_active").select("rule_id", F.explode("signal_types").alias("signal_type"), "threshold", "companies")
-    general = broadcast_if_small(on.filter("companies IS NULL").drop("companies"))
+    general = on.filter("companies IS NULL").drop("companies")
     named = on.filter("companies IS NOT NULL").select("rule_id", "signal_type", "threshold", F.explode("companies").alias("company_id"))
     hit = F.col("value") >= F.col("threshold")
     a = signals.join(general, "signal_type").filter(hit).select("rule_id", *signals.columns)
-    b = signals.join(broadcast_if_small(named), ["signal_type", "company_id"]).filter(hit).select("rule_id", *signals.columns)
+    b = signals.join(named, ["signal_type", "company_id"]).filter(hit).select("rule_id", *signals.columns)
     return a.unionByName(b)
 
 
 def subscribers(events: DataFrame, hooks: DataFrame) -> DataFrame:
     """Subscribers of each event type whose minimum score is met."""
     h = hooks.filter("is_active").select("hook_id", F.explode("event_types").alias("event_type"), "min_score")
-    d = events.join(broadcast_if_small(h), "event_type")
+    d = events.join(h, "event_type")
     return d.filter(F.col("min_score").isNull() | (F.col("score") >= F.col("min_score")))
 
 

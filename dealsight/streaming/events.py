@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from dealsight.functions.bands import first_match, tidy
 from dealsight.functions.clock import at, micros_between
 from dealsight.functions.scale import count_before, cut, exact_quantiles, previous_values, reachable, running_max, running_sum
+from dealsight.operators.events import first_per_ttl
 
 ENVELOPE = "event_id string, timestamp timestamp_ntz, source string, event_type string, payload string, version string, correlation_id string"
 # payload fields by event type
@@ -175,12 +176,17 @@ def late_and_out_of_order(events: DataFrame, key: str = "company_id", seq: str =
     return (d.withColumn("out_of_order", z(F.col(seq) < F.col("_seq"))).withColumn("late", z(F.col(ts) < F.col("_ts") - F.expr(delay))).drop("_seq", "_ts"))
 
 
-def alert_dedup(alerts: DataFrame, key: str = "company_id", kind: str = "alert", ts: str = "ts") -> DataFrame:
-    """One alert of a kind per company and day, combined into one row per company and day."""
-    day = F.col(ts).cast("date").alias("day")
-    one = alerts.groupBy(key, kind, day).agg(F.min(ts).alias("first_at"), F.count(F.lit(1)).alias("raised"))
-    return one.groupBy(key, "day").agg(F.array_sort(F.collect_set(kind)).alias("alerts"), F.min("first_at").alias("first_at"),
-                                       (F.sum("raised") - F.count(F.lit(1))).alias("suppressed"))
+def alert_dedup(alerts: DataFrame, key: str = "company_id", kind: str = "alert", ts: str = "ts", tie: str = "alert_id",
+                daily: Sequence[str] = ("score_update",), hours: int = 24) -> DataFrame:
+    """An alert is sent when none of its company and kind was sent in the last ``hours``; kinds in ``daily`` once a
+    day.  One row per company and day combines what was sent and counts what was not."""
+    d = alerts.withColumn("day", F.col(ts).cast("date"))
+    often = F.col(kind).isin(list(daily))
+    first = d.filter(often).groupBy(key, kind, "day").agg(F.min_by(tie, F.struct(ts, tie)).alias(tie)).select(tie)
+    sent = first_per_ttl(d.filter(~F.coalesce(often, F.lit(False))).select(key, kind, ts, tie), [key, kind], ts, tie, hours / 24).select(tie).unionByName(first)
+    d = d.join(sent.withColumn("_sent", F.lit(True)), tie, "left")
+    return d.groupBy(key, "day").agg(F.array_sort(F.collect_set(F.when(F.col("_sent"), F.col(kind)))).alias("alerts"),
+                                     F.min(F.when(F.col("_sent"), F.col(ts))).alias("first_at"), F.count_if(F.col("_sent").isNull()).alias("suppressed"))
 
 
 def alert_levels(changes: DataFrame) -> DataFrame:
