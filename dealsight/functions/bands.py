@@ -65,14 +65,6 @@ def truthy(x: Column) -> Column:
     return F.coalesce(x, F.lit(0)) != 0
 
 
-def weighted(parts: Mapping[str, float] | Sequence[tuple[Column, float]]) -> Column:
-    items = parts.items() if isinstance(parts, Mapping) else parts
-    total = None
-    for c, w in items:
-        term = (F.col(c) if isinstance(c, str) else c) * F.lit(float(w))
-        total = term if total is None else total + term
-    return total
-
 
 # --- the same tables as SQL text, for checks in another engine ---------------
 

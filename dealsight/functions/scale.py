@@ -13,8 +13,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-SMALL_ROWS = 100_000
-
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
@@ -38,22 +36,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Materialise once, then hint a broadcast only when its row count proves it small;
-    beyond the limit the join stays an ordinary shuffle join."""
-    d = cut(df)
-    return F.broadcast(d) if d.limit(limit + 1).count() <= limit else d
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by key when the input has fewer partitions than the cluster has cores.
-
-    For work that is heavy per row; an input that already fills the cluster is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, where NULL equals NULL; the columns of ``left``, then the other columns of ``right``."""
     side = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -123,10 +105,18 @@ def previous_values(df: DataFrame, keys: Sequence[str], bucket: Column, order: S
     return res.drop("_bucket", "_first", "_in", "_carry")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str],
+def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column | None, order: Sequence[str],
                 value: Column, out: str) -> DataFrame:
-    """Inclusive running sum per key, split at time buckets."""
-    b = df.withColumn("_bucket", bucket).withColumn("_v", value)
+    """Inclusive running sum per key, split at buckets of the order column.
+
+    Without a bucket the rows are cut into range slices of (keys, order), as many as there are shuffle partitions, so
+    that no slice grows with one key; ``order`` must then be total.
+    """
+    if bucket is None:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        b = cut(df.withColumn("_v", value).repartitionByRange(n, *keys, *order).withColumn("_bucket", F.spark_partition_id()))
+    else:
+        b = df.withColumn("_bucket", bucket).withColumn("_v", value)
     inner = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     sums = b.groupBy(*keys, "_bucket").agg(F.sum("_v").alias("_s"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

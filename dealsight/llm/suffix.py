@@ -8,9 +8,11 @@ Whole entries.  Entries of one anchor hash whose polynomial hashes agree as well
 document are covered in full, and no text moves for them.  That leaves anchors with several different entries, the ends of
 repeated passages, and of each entry only the first document's.
 
-Suffix sort.  Their windows are sorted as suffixes of the entries, by mergesort: two suffixes are compared by binary
-search for their common extension on prefix polynomial hashes, so a comparison takes about log2(LENGTH) steps.  Neighbours
-that the hashes call equal are compared byte by byte; in a run of equal ones, all but the smallest document's are covered.
+Suffix sort.  These entries are sorted as suffixes, by mergesort: two suffixes are compared by binary search for their
+common extension on prefix polynomial hashes, so a comparison takes about log2(LENGTH) steps.  In groups of FEW entries
+the suffixes from the anchor are sorted, and neighbours' common extensions to the right, with those to the left, give what
+two entries share.  In larger groups every window is sorted as a suffix, and equal ones form runs.  What the hashes call
+equal is compared byte by byte; all but the smallest document's copy is covered.
 
 An anchor with more than HOT different entries is not met in one task: its windows go to groups of their own by content.
 Equal entries and windows are reduced to the smallest document inside each batch first, so what a third of all documents
@@ -31,10 +33,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from dealsight.llm.common import map_batches, texts
 
-LENGTH, K = 50, 16
+LENGTH, K = 50, 18
 RUNS = LENGTH - K + 1  # K-byte strings in a window
 BLOCK = 1 << 19  # bytes hashed at once
 HOT = 4096
+FEW = 16  # entries of a group that are compared with each other rather than window by window
 TASK_BYTES = 16 << 20  # text whose entries one task sorts
 LAST = 2**63 - 1
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -142,7 +145,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         null = b.column("h").is_null()
         done = b.filter(null)
         if done.num_rows:
-            yield pa.RecordBatch.from_arrays([done.column("doc"), done.column("whole"), pa.array(np.zeros(done.num_rows, np.int8))], ["doc", "whole", "kind"])
+            yield from by_document(done.column("doc").to_numpy(), done.column("whole").to_numpy(), np.zeros(done.num_rows, np.int8))
         rest = b.filter(pa.compute.invert(null))
         if rest.num_rows:
             got.append(tuple(rest.column(c).to_numpy() for c in ("h", "whole", "doc")))
@@ -159,9 +162,47 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     several = np.minimum.reduceat(firsts, start) < np.maximum.reduceat(firsts, start)
     hot = np.add.reduceat(entry.astype(np.int64), start) > HOT
     kind = np.where(covered, 0, np.where(several, np.where(hot, 2, 1), -1)[group]).astype(np.int8)
-    for s in range(0, len(kind), 1 << 18):
-        k = kind[s:s + (1 << 18)] >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(c[s:s + (1 << 18)][k]) for c in (doc, whole, kind)], ["doc", "whole", "kind"])
+    yield from by_document(doc, whole, kind)
+
+
+def by_document(doc: np.ndarray, whole: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each document: its entry hashes of kind 0, 1 and 2, packed."""
+    order = np.lexsort((kind, doc))
+    order = order[kind[order] >= 0]
+    doc, whole, kind = doc[order], whole[order], kind[order]
+    if not len(doc):
+        return
+    start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    ends = [start + np.add.reduceat((kind <= k).astype(np.int64), start) for k in range(3)]
+    data = whole.astype("<i8").tobytes()
+    for s in range(0, len(start), 1 << 16):
+        part = slice(s, s + (1 << 16))
+        cols, lo = [pa.array(doc[start[part]])], start[part]
+        for hi in ends:
+            hi = hi[part]
+            cols.append(pa.array([data[8 * x:8 * y] or None for x, y in zip(lo.tolist(), hi.tolist())], pa.binary()))
+            lo = hi
+        yield pa.RecordBatch.from_arrays(cols, ["doc", "done", "asked", "hot"])
+
+
+def text_check(text: bytes) -> int:
+    """Tells texts apart that share a ``doc_id``."""
+    return xxhash.xxh32_intdigest(text) - 2**31
+
+
+def packed_batch(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts compressed, as they are shuffled whole."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1)
+    return pa.RecordBatch.from_arrays([b.column("_d"), b.column("doc_id"), pa.array([pack.compress(t) for t in texts(b)], pa.binary())], ["_d", "doc_id", "packed"])
+
+
+def unpacked(b: pa.RecordBatch) -> list[bytes]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(x) for x in b.column("packed").to_pylist()]
 
 
 def scattered(doc: int, place: int) -> int:
@@ -171,8 +212,9 @@ def scattered(doc: int, place: int) -> int:
 
 def extract_batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
     """Rows (g, doc, text_hash, lo, anchor, hi, bytes): covered stretches have no bytes, entries to be sorted have theirs."""
-    items, ids = texts(b), b.column("_d").to_pylist()
-    wanted = [[np.array(x, np.int64) for x in b.column(c).to_pylist()] for c in ("done", "asked", "hot")]
+    b = b.filter(b.column("done").is_valid())  # the others have no reply
+    items, ids = unpacked(b), b.column("_d").to_pylist()
+    wanted = [[np.frombuffer(b"".join(x), "<i8") for x in b.column(c).to_pylist()] for c in ("done", "asked", "hot")]
     rows: list[tuple] = []
     hot: list[tuple] = []
     found: dict[int, list[tuple]] = {}
@@ -181,7 +223,7 @@ def extract_batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
     for item, parts in found.items():
         first, last, at, h, whole = (np.concatenate(x) for x in zip(*parts))
         text, doc = items[item], ids[item]
-        th = xxhash.xxh3_64_intdigest(text) - 2**63
+        th = text_check(text)
         done, asked, split = (np.flatnonzero(np.isin(whole, w[item])) for w in wanted)
         if len(done):
             lo, hi = first[done], last[done] + LENGTH
@@ -203,7 +245,7 @@ def extract_batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
             rows.append((xxhash.xxh3_64_intdigest(w) - 2**63, doc, th, p, a, p + LENGTH, w))
     if not rows:
         return None
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["g", "doc", "text_hash", "lo", "anchor", "hi", "bytes"])
 
 
@@ -276,6 +318,57 @@ class Suffixes:
         return order
 
 
+def covered_few(g: np.ndarray, doc: np.ndarray, anchor: np.ndarray, items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, first, last covered window) in groups of FEW entries at most.
+
+    Entries are sorted as suffixes from their anchor; the common extension to the right of two of them is the smallest
+    between neighbours from one to the other, the one to the left is searched for in the same way.
+    """
+    size = np.array([len(x) for x in items])
+    width = int((anchor + LENGTH).max(initial=0).clip(min=size.max(initial=0)))
+    raw = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in items), np.uint8).reshape(-1, width)
+    suffixes = Suffixes(raw)
+    order = suffixes.sort(np.arange(len(items)), anchor, g)
+    x, y = order[:-1], order[1:]
+    next_to = suffixes.common(x, anchor[x], y, anchor[y])
+    first, last = np.full(len(items), LENGTH * 2), np.full(len(items), -1)
+    at, right, d = np.arange(len(items)), np.full(len(items), LENGTH), 0
+    while len(at):
+        d += 1
+        same = np.flatnonzero(at + d < len(items))
+        at, right = at[same], right[same]
+        same = np.flatnonzero(g[order[at]] == g[order[at + d]])
+        at, right = at[same], np.minimum(right[same], next_to[at[same] + d - 1])
+        i, j = order[at], order[at + d]
+        reach = np.minimum(right, np.minimum(size[i] - anchor[i], size[j] - anchor[j]))
+        most = np.minimum(anchor[i], anchor[j])
+        p = np.flatnonzero((doc[i] != doc[j]) & (reach + most >= LENGTH))
+        i, j, reach, most = i[p], j[p], reach[p], most[p]
+        left = np.zeros(len(p), np.int64)
+        step = 1 << (LENGTH.bit_length() - 1)
+        while step:
+            t = np.flatnonzero(left + step <= most)
+            n = left[t] + step
+            t = t[suffixes.hashes(i[t], anchor[i[t]] - n, n) == suffixes.hashes(j[t], anchor[j[t]] - n, n)]
+            left[t] += step
+            step >>= 1
+        p = np.flatnonzero(reach + left >= LENGTH)
+        i, j, reach, left = i[p], j[p], reach[p], left[p]
+        for k, (a, b, n, m) in enumerate(zip(i.tolist(), j.tolist(), left.tolist(), reach.tolist())):
+            s, e = int(anchor[a]), int(anchor[b])
+            if items[a][s - n:s + m] != items[b][e - n:e + m]:  # two strings with one hash: compare the bytes themselves
+                n = next((z for z in range(min(s, e)) if items[a][s - z - 1] != items[b][e - z - 1]), min(s, e))
+                m = next((z for z in range(min(size[a] - s, size[b] - e)) if items[a][s + z] != items[b][e + z]), min(size[a] - s, size[b] - e))
+                left[k], reach[k] = n, m
+        later = np.where(doc[i] > doc[j], i, j)
+        lo, hi = anchor[later] - left, anchor[later] + reach - LENGTH
+        live = np.flatnonzero(lo <= hi)
+        np.minimum.at(first, later[live], lo[live])
+        np.maximum.at(last, later[live], hi[live])
+    entry = np.flatnonzero(last >= 0)
+    return entry, first[entry], last[entry]
+
+
 def covered_windows(g: np.ndarray, doc: np.ndarray, anchor: np.ndarray, items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(entry, first, last covered window) for the entries with a window that an entry of a smaller document holds too."""
     size = np.array([len(x) for x in items])
@@ -331,9 +424,15 @@ def sort_suffixes(batches: Iterator[pa.RecordBatch], most: int = 40_000) -> Iter
         e = int(ends[max(np.searchsorted(ends, s + most, "right") - 1, np.searchsorted(ends, s, "right"))])
         part = t.slice(s, e - s)
         doc, lo = part.column("doc").to_numpy(), part.column("lo").to_numpy()
-        entry, first, last = covered_windows(g[s:e], doc, part.column("anchor").to_numpy(), part.column("bytes").to_pylist())
-        cols = [doc[entry], part.column("text_hash").to_numpy()[entry], lo[entry] + first, lo[entry] + last + LENGTH]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+        anchor, items = part.column("anchor").to_numpy(), part.column("bytes").to_pylist()
+        few = np.unique(g[s:e], return_inverse=True, return_counts=True)
+        few = few[2][few[1]] <= FEW
+        for rows, search in ((np.flatnonzero(few), covered_few), (np.flatnonzero(~few), covered_windows)):
+            if len(rows):
+                entry, first, last = search(g[s:e][rows], doc[rows], anchor[rows], [items[k] for k in rows])
+                entry = rows[entry]
+                cols = [doc[entry], part.column("text_hash").to_numpy()[entry], lo[entry] + first, lo[entry] + last + LENGTH]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
         s = e
 
 
@@ -341,7 +440,7 @@ def spans_of(text: bytes, stretches: list[dict] | None) -> list[tuple[int, int]]
     """The maximal removed stretches of a text."""
     if not stretches:
         return []
-    th = xxhash.xxh3_64_intdigest(text) - 2**63
+    th = text_check(text)
     out: list[tuple[int, int]] = []
     for lo, hi in sorted((x["lo"], x["hi"]) for x in stretches if x["text_hash"] == th):
         if out and lo <= out[-1][1]:
@@ -352,18 +451,22 @@ def spans_of(text: bytes, stretches: list[dict] | None) -> list[tuple[int, int]]
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(_d, doc_id, text, stretches): every row with what is to be removed from it, as a list of structs."""
+    """(_d, doc_id, packed, stretches): every row, its text compressed, with what is to be removed as a list of structs."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_d"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     sampled = map_batches(rows.select("_d", "text"), sample_batch, "h long, whole long, doc long")
-    settled = sampled.repartition(tasks, F.coalesce("h", F.xxhash64("whole", "doc"))).mapInArrow(settle, "doc long, whole long, kind tinyint")
-    replies = settled.groupBy("doc").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("whole"))).alias(c) for k, c in enumerate(("done", "asked", "hot"))])
-    extracted = map_batches(rows.join(replies, F.col("_d") == F.col("doc")).select("_d", "doc_id", "text", "done", "asked", "hot"), extract_batch,
-                            "g long, doc long, text_hash long, lo long, anchor long, hi long, bytes binary")
-    found = extracted.repartition(tasks, "g").mapInArrow(sort_suffixes, "doc long, text_hash long, lo long, hi long")
-    stretches = found.groupBy("doc").agg(F.collect_list(F.struct("text_hash", "lo", "hi")).alias("stretches"))
-    return rows.join(stretches, F.col("_d") == F.col("doc"), "left").select("_d", "doc_id", "text", "stretches")
+    key = F.coalesce("h", F.xxhash64("whole", "doc"))
+    settled = sampled.repartition(tasks, key).mapInArrow(settle, "doc long, done binary, asked binary, hot binary")
+    parts = settled.repartition(F.col("doc")).groupBy("doc")  # one row a document and task: nothing to combine before
+    replies = parts.agg(*[F.collect_list(c).alias(c) for c in ("done", "asked", "hot")])
+    packed = map_batches(rows, packed_batch, "_d long, doc_id long, packed binary")
+    # both joins are left joins on the same columns, so the texts are shuffled once and that shuffle is read twice
+    extracted = map_batches(packed.join(replies, F.col("_d") == F.col("doc"), "left").select("_d", "doc_id", "packed", "done", "asked", "hot"), extract_batch,
+                            "g long, doc long, text_hash int, lo long, anchor long, hi long, bytes binary")
+    found = extracted.repartition(tasks, "g").mapInArrow(sort_suffixes, "doc long, text_hash int, lo long, hi long")
+    stretches = found.repartition(F.col("doc")).groupBy("doc").agg(F.collect_list(F.struct("text_hash", "lo", "hi")).alias("stretches"))
+    return packed.join(stretches, F.col("_d") == F.col("doc"), "left").select("_d", "doc_id", "packed", "stretches")
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -371,7 +474,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, stretches in zip(texts(b), b.column("stretches").to_pylist()):
+        for text, stretches in zip(unpacked(b), b.column("stretches").to_pylist()):
             spans = spans_of(text, stretches)
             digest, at = hashlib.sha256(), 0
             for lo, hi in spans:

@@ -38,11 +38,6 @@ def page(df: DataFrame, order: Sequence[Column], page_no: int, size: int) -> Dat
             .withColumn("has_more", F.lit(off + size) < F.col("total")))
 
 
-def page_after(df: DataFrame, order: Sequence[Column], seen: Column, size: int) -> DataFrame:
-    """Keyset page: rows past the last one seen, without skipping over earlier pages."""
-    return df.filter(seen).orderBy(*order).limit(size)
-
-
 def derived_columns(companies: DataFrame, constrained_below: float = 4.0) -> DataFrame:
     """Runway, enterprise value, cash-constrained flag, programme value ratio."""
     run = F.when(truthy(F.col("quarterly_burn")), tidy(F.col("cash") / F.col("quarterly_burn")))

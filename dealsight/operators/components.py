@@ -238,20 +238,16 @@ def batch_scores(companies: DataFrame, assets: DataFrame, patents: DataFrame, fi
                  issues: DataFrame, acquirers: DataFrame, weights: DataFrame, as_of_deals, as_of_events) -> DataFrame:
     """Every component for the whole universe in one job; ids not in
     ``companies`` drop out, companies without rows in a feed score that feed's neutral value."""
-    ids = companies.select("company_id")
-
-    def full(df: DataFrame, neutral: float) -> DataFrame:
-        cols = [c for c in ("signals", "last_updated") if c in df.columns]
-        j = ids.join(df.select("company_id", "score", *cols), "company_id", "left")
-        j = j.withColumn("score", F.coalesce("score", F.lit(neutral)))
-        return j.withColumn("signals", F.coalesce("signals", F.lit(0))) if "signals" in cols else j
-
     parts = {
-        "pipeline": full(asset_component(assets, as_of_deals), 0.0),
-        "patent": full(patent_component(patents, as_of_deals), 0.0),
-        "financial": full(financial_component(financials, as_of_deals).drop("last_updated"), 0.0),
-        "insider": full(insider_component(transactions, holdings, as_of_events), 50.0),
-        "strategic_fit": strategic_fit_component(companies, acquirers),
-        "regulatory": full(regulatory_component(pathways, interactions, issues, as_of_events), 50.0),
+        "pipeline": (asset_component(assets, as_of_deals), 0.0), "patent": (patent_component(patents, as_of_deals), 0.0),
+        "financial": (financial_component(financials, as_of_deals).drop("last_updated"), 0.0), "insider": (insider_component(transactions, holdings, as_of_events), 50.0),
+        "strategic_fit": (strategic_fit_component(companies, acquirers), 50.0),
+        "regulatory": (regulatory_component(pathways, interactions, issues, as_of_events), 50.0),
     }
-    return composite_score(long_components(parts), weights, as_of_events)
+    found = long_components({name: df for name, (df, _) in parts.items()})
+    # one read of the companies, each with a neutral row per feed, meets the stacked results once
+    neutral = F.array(*[F.struct(F.lit(name).alias("component"), F.lit(float(value)).alias("_score"),
+                                 F.lit(0 if "signals" in df.columns else 1).cast("bigint").alias("_signals")) for name, (df, value) in parts.items()])
+    rows = companies.select("company_id", F.inline(neutral)).join(found, ["company_id", "component"], "left")
+    rows = rows.select("company_id", "component", F.coalesce("score", "_score").alias("score"), F.coalesce("signals", "_signals").alias("signals"), "last_updated")
+    return composite_score(rows, weights, as_of_events)

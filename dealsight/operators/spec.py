@@ -1,7 +1,7 @@
 """The eight-factor rule set: factor scores, matching, signal combination and extraction."""
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -228,6 +228,18 @@ def trial_signals(updates: DataFrame, key: str = "trial_id") -> DataFrame:
 EXTRACTORS = {"filing.sec.8k": filing_signals, "clinical.trial.updated": trial_signals}
 
 
+def extract_signals(events: Mapping[str, DataFrame], columns: Sequence[str] = ("signal", "strength", "confidence")) -> DataFrame:
+    """(event_type, *columns) of every event type with a registered extractor; the other types give no rows."""
+    out = None
+    for kind in sorted(set(events) & set(EXTRACTORS)):
+        d = EXTRACTORS[kind](events[kind])
+        d = d.select(F.lit(kind).alias("event_type"), *[F.col(c) if c in d.columns else F.lit(None).cast("double").alias(c) for c in columns])
+        out = d if out is None else out.unionByName(d)
+    if out is None:
+        raise KeyError("no extractor registered for any of the event types")
+    return out
+
+
 def signal_momentum(signals: DataFrame, as_of, recent: int = 30, baseline: int = 180) -> DataFrame:
     """recent count against the mean count per equal period of the trailing baseline."""
     ago = lambda d: at(as_of) - F.expr(f"INTERVAL {int(d)} DAYS")

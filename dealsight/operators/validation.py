@@ -117,7 +117,7 @@ def match_accuracy(deals: DataFrame, matches: DataFrame) -> DataFrame:
 def auc(scored: DataFrame, by: Sequence[str], score: str = "score", outcome: str = "outcome") -> DataFrame:
     """Area under the ROC curve from a (group, score) histogram with tied scores sharing their mean rank."""
     h = scored.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(outcome) == 1).alias("_p"))
-    h = running_sum(h, list(by), F.floor(score), [score], F.col("_n"), "_cum")
+    h = running_sum(h, list(by), None, [score], F.col("_n"), "_cum")
     rank = F.col("_cum") - (F.col("_n") - 1) / 2
     g = h.groupBy(*by).agg(F.sum(rank * F.col("_p")).alias("_r"), F.sum("_p").alias("_pos"), F.sum("_n").alias("_all"))
     neg = F.col("_all") - F.col("_pos")
@@ -155,6 +155,7 @@ def weight_search(scored: DataFrame, factors: Sequence[str], steps: int = 4, thr
 
 
 def best_weights(search: DataFrame, split: str = "split", train: str = "train", test: str = "holdout") -> DataFrame:
+    """K8: the weight vector with the best F1 on the training split, and its F1 on the holdout."""
     best = search.filter(F.col(split) == train).orderBy(F.col("f1").desc(), "vector").limit(1).select("vector", "weights", F.col("f1").alias("train_f1"))
     return best.join(search.filter(F.col(split) == test).select("vector", F.col("f1").alias("holdout_f1")), "vector", "left")
 

@@ -52,6 +52,16 @@ def _pairs(t):
     return ma.filter_pairs(m, 25, 50, "oncology", 0.15).select("company_id", "acquirer_id", r("combined", 4))
 
 
+@query("B18", "match_pairs_page", f"""WITH {PAIRS}, x_p AS (SELECT m.company_id, acquirer_id, ma_score * match_score AS c FROM x_match m JOIN d_latest l ON l.company_id = m.company_id WHERE ma_score >= 25 AND match_score >= 50)
+SELECT company_id, acquirer_id, round(c, 4) AS combined, (SELECT count(*) FROM x_p) AS total, (SELECT count(*) FROM x_p) > 40 AS has_more FROM x_p ORDER BY c DESC, company_id, acquirer_id LIMIT 20 OFFSET 20""")
+def _pairs_page(t):
+    from dealsight.operators.companies import page
+
+    m = ma.match_acquirers(t.companies.select("company_id", "areas").join(t.latest, "company_id"), t.acquirers, t.deals)
+    p = page(ma.filter_pairs(m, 25, 50), [F.col("combined").desc(), F.col("company_id"), F.col("acquirer_id")], 2, 20)
+    return p.select("company_id", "acquirer_id", r("combined", 4), n("total"), "has_more")
+
+
 @query("G4", "best_match", f"""WITH {PAIRS} SELECT company_id, acquirer_id, match_score,
   {sql_tidy('10 * CAST(round(CAST(alignment / 10 * 0.3e0 + history / 3e0 * 0.3e0 + capacity / 10 * 0.25e0 + match_score / 10 * 0.15e0 AS DECIMAL(28,9)), 2) AS DOUBLE)')} AS composite_fit,
   {sql_tidy(f"match_score * {sql_at_least('match_score', ma.LIKELIHOOD, 0.05)}")} AS expected_value FROM x_match WHERE rk = 1""")
@@ -247,7 +257,7 @@ x_tot AS (SELECT *, {sql_tidy('least(100e0, 1.3e0 * (share_risk * 0.35e0 + hhi_r
   {sql_at_least('total_risk', [(x[0], f"'{x[2]}'") for x in ri.REVIEW], "'2-4'")} AS timeline, CAST({sql_at_least('total_risk', [(x[0], x[3]) for x in ri.REVIEW], 0.05)} AS DOUBLE) AS second_request_p,
   concat_ws('|', CASE WHEN total_risk >= 60 AND sa > 25 THEN 'divest' END, CASE WHEN total_risk >= 60 AND overlap_risk > 50 THEN 'license' END, CASE WHEN total_risk >= 60 AND delta > 200 THEN 'joint_venture' END) AS remedies FROM x_tot""")
 def _antitrust(t):
-    d = ri.antitrust_risk(merged(t), t.reviews.withColumnRenamed("remedies", "remedies"))
+    d = ri.antitrust_risk(merged(t), t.reviews)
     return d.select("deal_id", "market", "share_risk", "hhi_risk", "history_risk", "overlap_risk", "size_risk", "total_risk", "risk_level", "timeline", "second_request_p", join_list("remedies"))
 
 

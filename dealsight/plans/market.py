@@ -1,4 +1,6 @@
 """Comparables, momentum, market signal, sentiment and detector queries."""
+import datetime
+
 from pyspark.sql import functions as F
 
 from dealsight.adapters.tpch import DEAL_AS_OF as DEAL, EVENT_AS_OF as NOW
@@ -160,19 +162,35 @@ def _social(t):
     return op.social_momentum(t.social, NOW).select("ticker", r("social_sentiment"), "mentions")
 
 
-AGG = f"""x_an AS (SELECT company_id AS ticker, avg((k - 30) / 100e0) AS an FROM d_signals WHERE source_type = 'purchase' GROUP BY 1),
+def agg_sql(now):
+    return f"""x_an AS (SELECT company_id AS ticker, avg((k - 30) / 100e0) AS an FROM d_signals WHERE source_type = 'purchase' GROUP BY 1),
 x_j AS (SELECT ticker, coalesce(ns, 0) AS ns, coalesce(na, 0) AS na, (coalesce(cb, 0) - 5) / 5 AS cs, coalesce(nc, 0) AS nc, coalesce(ss, 0) AS ss, coalesce(sm, 0) AS sm, coalesce(an, 0) AS an
-  FROM {NEWS(TS_NOW)} a FULL JOIN {CONF(TS_NOW)} b USING (ticker) FULL JOIN {SOC(TS_NOW)} c USING (ticker) FULL JOIN x_an USING (ticker)),
+  FROM {NEWS(now)} a FULL JOIN {CONF(now)} b USING (ticker) FULL JOIN {SOC(now)} c USING (ticker) FULL JOIN x_an USING (ticker)),
 x_c AS (SELECT *, least(1e0, na / 20) AS c1, least(1e0, nc / 3) AS c2, least(1e0, sm / 100) AS c3 FROM x_j),
 x_ag AS (SELECT ticker, (ns * c1 * 0.35e0 + cs * c2 * 0.25e0 + ss * c3 * 0.2e0 + an * 0.5e0 * 0.2e0) / (c1 * 0.35e0 + c2 * 0.25e0 + c3 * 0.2e0 + 0.1e0) AS ag, (c1 + c2 + c3 + 0.5) / 4 AS conf FROM x_c)"""
 
 
+AGG = agg_sql(TS_NOW)
+BEFORE = agg_sql(f"({TS_NOW} - INTERVAL 7 DAY)")
+
+
 @query("D28", "aggregate_sentiment", f"""WITH {AGG} SELECT ticker, round(ag, 6) AS aggregate, round(conf, 6) AS confidence, {sql_at_least('round(ag, 9)', Q(op.POLARITY), "'very_negative'")} AS polarity FROM x_ag""")
 def _aggregate(t):
     an = t.signals.filter("source_type = 'purchase'").groupBy(F.col("company_id").alias("ticker")).agg(F.avg((F.col("k") - 30) / 100).alias("analyst_sentiment"))
     return op.aggregate_sentiment(t.news, t.conf, t.social, an, NOW).select("ticker", r("aggregate"), r("confidence"), "polarity")
 
 
+@query("D28", "sentiment_shift", f"""WITH now AS (WITH {AGG} SELECT * FROM x_ag), before AS (WITH {BEFORE} SELECT * FROM x_ag),
+j AS (SELECT now.ticker, now.ag, round(now.ag - coalesce(before.ag, 0), 9) AS ch FROM now LEFT JOIN before ON before.ticker = now.ticker)
+SELECT ticker, round(ag, 6) AS aggregate, round(ch, 6) AS change, CASE WHEN abs(ch) >= 0.5 THEN CASE WHEN ch > 0 THEN 'significantly improved' ELSE 'significantly deteriorated' END
+  WHEN abs(ch) >= 0.3 THEN CASE WHEN ch > 0 THEN 'moderately improved' ELSE 'moderately declined' END ELSE 'stable' END AS shift FROM j""")
+def _shift(t):
+    an = t.signals.filter("source_type = 'purchase'").groupBy(F.col("company_id").alias("ticker")).agg(F.avg((F.col("k") - 30) / 100).alias("analyst_sentiment"))
+    week_ago = str(datetime.datetime.fromisoformat(NOW) - datetime.timedelta(days=7))
+    d = op.sentiment_shift(op.aggregate_sentiment(t.news, t.conf, t.social, an, NOW), op.aggregate_sentiment(t.news, t.conf, t.social, an, week_ago))
+    return d.select("ticker", r("aggregate"), r("change"), "shift")
+
+
 POS, NEG, DW = ["tion", "erst", "tthat", "eaux", "license", "success"], ["ich", "pass", "onst", "lig", "ung"], ["password", "copyright", "oren"]
 PRES = lambda ws: "(" + " + ".join(f"contains(lower(text), '{w}')::INT" for w in ws) + ")"
 

@@ -200,6 +200,16 @@ def _search(t):
     return va.weight_search(d, FACTORS).select(n("vector"), "split", r("f1"), r("precision"), r("recall"))
 
 
+@query("K8", "best_weights", f"""WITH {VEC_SQL}, g AS (SELECT CASE WHEN segment = 'en' THEN 'holdout' ELSE 'train' END AS split, vector, outcome, f_length * a + f_density * b + f_letter * c AS score, 50 AS th FROM d_outcomes, x_w),
+m AS (SELECT split, vector, {CONF} FROM g GROUP BY 1, 2), k AS (SELECT split, vector, {RATES} FROM m),
+b AS (SELECT vector, f1 FROM k WHERE split = 'train' ORDER BY f1 DESC, vector LIMIT 1)
+SELECT CAST(b.vector AS BIGINT) AS vector, b.f1 AS train_f1, (SELECT f1 FROM k WHERE split = 'holdout' AND k.vector = b.vector) AS holdout_f1 FROM b""")
+def _best_weights(t):
+    d = t.outcomes.withColumn("split", F.when(F.col("segment") == "en", "holdout").otherwise("train"))
+    found = va.weight_search(d, FACTORS).withColumn("f1", F.round("f1", 6))  # ties go to the smaller vector
+    return va.best_weights(found).select(n("vector"), r("train_f1"), r("holdout_f1"))
+
+
 SHIFT = "(VALUES ('cash_position', 0.8e0), ('cash_position', 1.2e0), ('market_cap', 0.8e0), ('market_cap', 1.2e0), ('stock_return_52w', 0.8e0), ('stock_return_52w', 1.2e0)) p(input, factor)"
 
 

@@ -59,12 +59,13 @@ def ingestion_ledger(records: DataFrame, ok: Column, by: list[str], ts: str) ->
         "duration_seconds", F.floor(micros_between(F.col("start_time"), F.col("end_time")) / 1_000_000))
 
 
-def ingestion_stats(ledger: DataFrame, last: int = 10) -> DataFrame:
-    """Totals per source and the newest failed runs over all sources."""
+def ingestion_stats(ledger: DataFrame) -> DataFrame:
+    """Totals per source."""
     return ledger.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "success").alias("successful"),
                                         F.count_if(F.col("status") == "failed").alias("failed"), F.sum("fetched").alias("fetched"),
                                         F.sum("transformed").alias("transformed"))
 
 
 def recent_errors(ledger: DataFrame, last: int = 10) -> DataFrame:
+    """The newest failed runs over all sources."""
     return ledger.filter(F.col("error").isNotNull()).orderBy(F.col("start_time").desc(), "source").limit(last)

@@ -221,3 +221,11 @@ TRANSFORMS: dict[str, Callable[[DataFrame], DataFrame]] = {"clinical_trials": tr
 
 def register_transform(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     TRANSFORMS[name] = fn
+
+
+def normalize_sources(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every raw source through the transform registered under its name; a source without one is an error."""
+    missing = sorted(set(raw) - set(TRANSFORMS))
+    if missing:
+        raise KeyError(f"no transform registered for {', '.join(missing)}")
+    return {name: df.transform(TRANSFORMS[name]) for name, df in raw.items()}

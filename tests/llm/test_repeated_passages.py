@@ -56,6 +56,7 @@ def test_removed_bytes_equal_brute_force(spark):
 
 def test_hot_anchors_go_to_groups_by_content(spark, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", 3)
+    monkeypatch.setattr(suffix, "FEW", 1)
     line = prose(77, 30)
     check(spark, passages(25) + [(1000 + i, f"{prose(i, 4)}{i}{line}{i}{prose(i + 50, 4)}") for i in range(40)])
 
@@ -76,8 +77,10 @@ def test_suffix_sort_orders_like_bytes_and_survives_equal_hashes(monkeypatch):
     assert [(i % 3, items[i][:L]) for i in order] == sorted((i % 3, items[i][:L]) for i in range(len(items)))
     args = (np.zeros(len(items), np.int64), np.arange(len(items)), np.full(len(items), 19), items)
     want = [x.tolist() for x in suffix.covered_windows(*args)]
+    assert [x.tolist() for x in suffix.covered_few(*args)] == want
     monkeypatch.setattr(suffix.Suffixes, "hashes", lambda self, row, start, length: np.zeros(len(row), np.uint64))  # all collide
     assert [x.tolist() for x in suffix.covered_windows(*args)] == want
+    assert [x.tolist() for x in suffix.covered_few(*args)] == want
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, ""), (2, "")], [(None, "z" * 80), (None, "z" * 80)]])
