@@ -19,6 +19,9 @@ HEADLINE = ["composite_score", "screen_waterfall", "target_ranking", "universe_l
             "related_events_30d", "event_dedup_hash", "news_near_dup", "form4_transactions", "digest_stats", "weekly_watchlist"]
 
 
+HEAVY = ["patent_cliff_matches"]  # its result has a row for every cliff in every target's areas
+
+
 def profiles(t: Tables):
     """One company profile per order: a universe large enough to time screening and ranking by rate."""
     k, price = F.col("o_orderkey"), F.col("o_totalprice")
@@ -38,12 +41,14 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, "dealsight-bench")
-    names = sys.argv[1:] or [q for q in HEADLINE if q in CATALOG]
-    if names == ["all"]:
-        names = list(CATALOG)
+    headline = [q for q in HEADLINE if q in CATALOG]
+    names = sys.argv[1:] or headline + [q for q in CATALOG if q not in headline and q not in HEAVY] + [q for q in HEAVY if q in CATALOG]
+    budget = float(os.environ.get("BENCH_BUDGET_S", "420"))  # queries past the headline stop being started then
     CATALOG["digest_stats"].run(Tables(spark, sf_dir)).collect()  # warm up the session
-    times = {}
+    times, began = {}, time.time()
     for name in names:
+        if name not in headline and time.time() - began > budget and not sys.argv[1:]:
+            continue
         t0 = time.time()
         CATALOG[name].run(Tables(spark, sf_dir)).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
@@ -52,7 +57,7 @@ def main() -> None:
     targets.identify_targets(universe, "2001-12-01 00:00:00", top_n=None).write.format("noop").mode("overwrite").save()
     rate = round(universe.count() / (time.time() - t0), 1)
     times["screen_and_rank_profiles"] = round(time.time() - t0, 3)
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+    print(json.dumps({"metric": "headline_total", "value": round(sum(t for q, t in times.items() if q in headline or q == "screen_and_rank_profiles" or sys.argv[1:]), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": cpus,
                       "companies_per_sec_screen_and_rank": rate}))
 
