@@ -155,23 +155,38 @@ def _export(t):
     return t.spark.read.schema("company_id bigint, ticker string, ma_score double").json(path)
 
 
-LEDGER = """x_led AS (SELECT event_type AS source, date_trunc('hour', ts) AS run, count(*) AS fetched, count(*) FILTER (WHERE value >= 60) AS transformed, min(ts) AS start_time, max(ts) AS end_time FROM events GROUP BY 1, 2),
-x_ledger AS (SELECT *, CASE WHEN transformed > 0 THEN 'success' ELSE 'partial' END AS status, CAST(floor((epoch_us(end_time) - epoch_us(start_time)) / 1000000) AS BIGINT) AS duration_seconds FROM x_led)"""
+LEDGER = """x_run AS (SELECT source, run, CASE WHEN hour(run) % 12 = 7 AND length(source) % 2 = 1 THEN 'timeout' END AS error FROM (SELECT DISTINCT event_type AS source FROM events),
+  (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS run FROM events)),
+x_got AS (SELECT event_type AS source, date_trunc('hour', ts) AS run, count(*) AS fetched, count(*) FILTER (WHERE value >= 60) AS transformed, count(*) FILTER (WHERE value >= 70) AS published, min(ts) AS start_time, max(ts) AS end_time FROM events GROUP BY 1, 2),
+x_led AS (SELECT r.source, r.run, error, coalesce(fetched, 0) AS fetched, coalesce(transformed, 0) AS transformed, coalesce(published, 0) AS published, start_time, end_time FROM x_run r LEFT JOIN x_got g ON g.source = r.source AND g.run = r.run),
+x_ledger AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'failed' WHEN fetched = 0 THEN 'skipped' WHEN transformed > 0 THEN 'success' ELSE 'partial' END AS status,
+  CAST(floor((epoch_us(end_time) - epoch_us(start_time)) / 1000000) AS BIGINT) AS duration_seconds FROM x_led)"""
 
 
 def ledger(t):
     e = t.events.withColumn("source", F.col("event_type")).withColumn("run", F.date_trunc("hour", F.col("ts").cast("timestamp")))
-    return la.ingestion_ledger(e, F.col("value") >= 60, ["source", "run"], "ts")
+    ends = e.agg(F.min("run").alias("a"), F.max("run").alias("b"))
+    hours = ends.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("run"), F.lit(1).alias("_one"))
+    started = e.select("source", F.lit(1).alias("_one")).distinct().join(hours, "_one").drop("_one")  # every source starts once an hour
+    lost = (F.hour("run") % 12 == 7) & (F.length("source") % 2 == 1)
+    return la.ingestion_ledger(e, F.col("value") >= 60, ["source", "run"], "ts", started.withColumn("error", F.when(lost, "timeout")), F.col("value") >= 70)
 
 
-@query("A13", "ingestion_ledger", f"WITH {LEDGER} SELECT source, CAST(run AS VARCHAR) AS run, fetched, transformed, status, duration_seconds FROM x_ledger")
+@query("A13", "ingestion_ledger", f"WITH {LEDGER} SELECT source, CAST(run AS VARCHAR) AS run, fetched, transformed, published, status, duration_seconds FROM x_ledger")
 def _ledger(t):
-    return ledger(t).select("source", F.date_format("run", "yyyy-MM-dd HH:mm:ss").alias("run"), "fetched", n("transformed"), "status", n("duration_seconds"))
+    return ledger(t).select("source", F.date_format("run", "yyyy-MM-dd HH:mm:ss").alias("run"), "fetched", n("transformed"), n("published"), "status", n("duration_seconds"))
 
 
-@query("D4", "ingestion_stats", f"WITH {LEDGER} SELECT source, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS successful, count(*) FILTER (WHERE status = 'failed') AS failed, CAST(sum(fetched) AS BIGINT) AS fetched, CAST(sum(transformed) AS BIGINT) AS transformed FROM x_ledger GROUP BY 1")
+@query("D4", "ingestion_stats", f"""WITH {LEDGER} SELECT source, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS successful, count(*) FILTER (WHERE status = 'failed') AS failed,
+  CAST(sum(fetched) AS BIGINT) AS fetched, CAST(sum(transformed) AS BIGINT) AS transformed, CAST(sum(published) AS BIGINT) AS published FROM x_ledger GROUP BY 1""")
 def _istats(t):
-    return la.ingestion_stats(ledger(t)).select("source", "total", n("successful"), n("failed"), n("fetched"), n("transformed"))
+    return la.ingestion_stats(ledger(t)).select("source", "total", n("successful"), n("failed"), n("fetched"), n("transformed"), n("published"))
+
+
+@query("D4", "recent_errors", f"WITH {LEDGER} SELECT source, CAST(run AS VARCHAR) AS run, error FROM x_ledger WHERE error IS NOT NULL ORDER BY run DESC, source LIMIT 10")
+def _errors(t):
+    led = ledger(t).withColumn("start_time", F.col("run"))
+    return la.recent_errors(led).select("source", F.date_format("run", "yyyy-MM-dd HH:mm:ss").alias("run"), "error")
 
 
 @query("A14", "multi_source_union", "SELECT 'documents' AS source_name, count(*) AS items FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'events', count(*) FROM events")

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dealsight.functions.clock import at, micros_between
-from dealsight.functions.scale import checkpoint_folder
+from dealsight.functions.scale import checkpoint_folder, join_on
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -50,20 +50,30 @@ def split_bad(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     return df.filter(good), df.filter(~good)
 
 
-def ingestion_ledger(records: DataFrame, ok: Column, by: list[str], ts: str) -> DataFrame:
-    """Fetched, transformed, status and duration per run."""
+def ingestion_ledger(records: DataFrame, ok: Column, by: list[str], ts: str, runs: DataFrame | None = None, published: Column | None = None) -> DataFrame:
+    """Fetched, transformed, published, status and duration per run.
+
+    ``runs`` lists every run that was started (``by``, error): one with an error failed, one without records was skipped.
+    Without it only runs that left records are known.  ``published`` marks the transformed records whose event went out.
+    """
     g = records.groupBy(*by).agg(F.count(F.lit(1)).alias("fetched"), F.count_if(ok).alias("transformed"),
+                                 F.count_if(ok & (F.lit(True) if published is None else published)).alias("published"),
                                  F.min(ts).alias("start_time"), F.max(ts).alias("end_time"))
-    return g.withColumn("published", F.col("transformed")).withColumn(
-        "status", F.when(F.col("fetched") == 0, "skipped").when(F.col("transformed") > 0, "success").otherwise("partial")).withColumn(
-        "duration_seconds", F.floor(micros_between(F.col("start_time"), F.col("end_time")) / 1_000_000))
+    if runs is None:
+        g = g.withColumn("error", F.lit(None).cast("string"))
+    else:
+        g = join_on(runs.select(*by, "error"), g, by, "left")
+        g = g.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fetched", "transformed", "published")})
+    status = (F.when(F.col("error").isNotNull(), "failed").when(F.col("fetched") == 0, "skipped")
+              .when(F.col("transformed") > 0, "success").otherwise("partial"))
+    return g.withColumn("status", status).withColumn("duration_seconds", F.floor(micros_between(F.col("start_time"), F.col("end_time")) / 1_000_000))
 
 
 def ingestion_stats(ledger: DataFrame) -> DataFrame:
     """Totals per source."""
     return ledger.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "success").alias("successful"),
                                         F.count_if(F.col("status") == "failed").alias("failed"), F.sum("fetched").alias("fetched"),
-                                        F.sum("transformed").alias("transformed"))
+                                        F.sum("transformed").alias("transformed"), F.sum("published").alias("published"))
 
 
 def recent_errors(ledger: DataFrame, last: int = 10) -> DataFrame:
