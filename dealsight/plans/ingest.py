@@ -155,6 +155,23 @@ def _export(t):
     return t.spark.read.schema("company_id bigint, ticker string, ma_score double").json(path)
 
 
+@query("A12", "watchlist_export_csv", "SELECT c.company_id, ticker, round(ma_score, 6) AS ma_score FROM d_companies c JOIN d_latest l ON l.company_id = c.company_id")
+def _export_csv(t):
+    path = la.shared_folder(t.spark, "watchlist-csv")
+    la.export_watchlist(t.companies.join(t.latest, "company_id").select("company_id", "ticker", r("ma_score")), path, "csv")
+    return t.spark.read.schema("company_id bigint, ticker string, ma_score double").option("header", True).csv(path)
+
+
+@query("A12", "watchlist_export_statistics", """SELECT count(*) AS targets, round(avg(ma_score), 6) AS avg_score, round(max(ma_score), 6) AS top_score, count(*) FILTER (WHERE ma_score >= 50) AS strong
+FROM d_companies c JOIN d_latest l ON l.company_id = c.company_id""")
+def _export_statistics(t):
+    path = la.shared_folder(t.spark, "watchlist-stats")
+    e = t.companies.join(t.latest, "company_id").select("company_id", "ticker", "ma_score")
+    stats = e.agg(F.count(F.lit(1)).alias("targets"), r(F.avg("ma_score")).alias("avg_score"), r(F.max("ma_score")).alias("top_score"), F.count_if(F.col("ma_score") >= 50).alias("strong"))
+    la.export_watchlist(e, path, "json", stats)
+    return t.spark.read.schema("targets bigint, avg_score double, top_score double, strong bigint").json(f"{path}-statistics")
+
+
 LEDGER = """x_run AS (SELECT source, run, CASE WHEN hour(run) % 12 = 7 AND length(source) % 2 = 1 THEN 'timeout' END AS error FROM (SELECT DISTINCT event_type AS source FROM events),
   (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS run FROM events)),
 x_got AS (SELECT event_type AS source, date_trunc('hour', ts) AS run, count(*) AS fetched, count(*) FILTER (WHERE value >= 60) AS transformed, count(*) FILTER (WHERE value >= 70) AS published, min(ts) AS start_time, max(ts) AS end_time FROM events GROUP BY 1, 2),

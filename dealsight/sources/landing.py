@@ -34,10 +34,12 @@ def expired_partitions(landed: DataFrame, as_of, years: int = 7) -> DataFrame:
     return landed.filter(F.col("dt") < F.add_months(at(as_of).cast("date"), -12 * years)).select("source", "dt").distinct()
 
 
-def export_watchlist(entries: DataFrame, path: str, fmt: str) -> None:
-    """JSON or CSV; anything else is an error."""
+def export_watchlist(entries: DataFrame, path: str, fmt: str, statistics: DataFrame | None = None) -> None:
+    """JSON, with the list's statistics beside it if given, or CSV; anything else is an error."""
     if fmt == "json":
         entries.write.mode("overwrite").json(path)
+        if statistics is not None:
+            statistics.write.mode("overwrite").json(f"{path.rstrip('/')}-statistics")
     elif fmt == "csv":
         entries.write.mode("overwrite").option("header", True).csv(path)
     else:

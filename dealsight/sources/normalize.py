@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsight.functions.clock import at
@@ -175,6 +176,17 @@ def multi_source_union(sources: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def gather_sources(loaders: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """The union of all sources that load, and the error of each that does not; one failure stops no other source."""
+    loaded, failures = {}, {}
+    for name, load in loaders.items():
+        try:
+            loaded[name] = load()
+        except (PySparkException, OSError) as e:
+            failures[name] = str(e).splitlines()[0]
+    return (multi_source_union(loaded) if loaded else None), failures
+
+
 def source_counts(union: DataFrame) -> DataFrame:
     return union.groupBy("source_name").agg(F.count(F.lit(1)).alias("items"))
 

@@ -137,3 +137,18 @@ def test_rerank_keeps_a_null_list(spark):
     rows = [(None, "a", 1.0), (None, "b", 2.0), ("x", "c", 3.0)]
     df = spark.createDataFrame(rows, "watchlist string, ticker string, score double")
     assert hi.rerank(df).count() == 3
+
+
+def test_a_source_that_fails_stops_no_other(spark, tmp_path):
+    union, failures = no.gather_sources({"good": lambda: spark.range(3), "bad": lambda: spark.read.parquet(str(tmp_path / "nothing"))})
+    assert union.count() == 3 and set(union.columns) == {"id", "source_name"} and list(failures) == ["bad"]
+    assert no.gather_sources({"bad": lambda: spark.read.parquet(str(tmp_path / "nothing"))})[0] is None
+
+
+def test_ledger_knows_skipped_and_failed_runs(spark):
+    from dealsight.sources import landing as la
+
+    records = spark.createDataFrame([("a", 1, ts("2024-01-01 00:00:00"), 5), ("a", 1, ts("2024-01-01 00:01:00"), 1), ("a", 4, ts("2024-01-01 00:00:00"), 1)], "source string, run int, ts timestamp_ntz, v int")
+    runs = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("a", 3, "timeout"), ("a", 4, None), (None, 5, None)], "source string, run int, error string")
+    got = {r.run: (r.status, r.fetched, r.transformed, r.published) for r in la.ingestion_ledger(records, F.col("v") > 2, ["source", "run"], "ts", runs, F.col("v") > 9).collect()}
+    assert got == {1: ("success", 2, 1, 0), 2: ("skipped", 0, 0, 0), 3: ("failed", 0, 0, 0), 4: ("partial", 1, 0, 0), 5: ("skipped", 0, 0, 0)}
