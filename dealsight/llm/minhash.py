@@ -16,7 +16,7 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ CHANCE = 2.0 ** -BITS
 BLOCK = 2048  # members of a bucket that are compared at once
 FILTER_BITS = 1 << 23
 CACHE = 300_000
-SHINGLES_KEPT = 3_000_000  # shingles, over all sets, that a task holds while it confirms
+SHINGLES_KEPT = 600_000  # shingles, over all sets, that a task holds while it confirms
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,7 +201,7 @@ def bucket_links(members: DataFrame, known: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_bucket(batches):
             rep, comp, found = t.column("rep").to_pylist(), t.column("comp").to_pylist(), []
-            text, sets, numbers, held = t.column("text"), {}, {}, [0]
+            text, sets = t.column("text"), Sets()
             joined = {c: c for c in comp}
 
             def root(c: int) -> int:
@@ -209,21 +209,11 @@ def bucket_links(members: DataFrame, known: DataFrame) -> DataFrame:
                     joined[c] = c = joined[joined[c]]
                 return c
 
-            def shingles(i: int) -> set[int]:
-                if rep[i] not in sets:
-                    sets[rep[i]] = {numbers.setdefault(x, len(numbers)) for x in shingle_set(normal(text[i].as_py()))}
-                    held[0] += len(sets[rep[i]])
-                return sets[rep[i]]
-
             for p, q in close_pairs(t):
                 for i, j in zip(p.tolist(), q.tolist()):
                     x, y = root(comp[i]), root(comp[j])
                     if x != y:
-                        if held[0] > SHINGLES_KEPT:
-                            sets.clear()
-                            numbers.clear()
-                            held[0] = 0
-                        if linked(shingles(i), shingles(j)):
+                        if sets.linked(rep[i], text[i].as_py, rep[j], text[j].as_py):
                             found.append((rep[i], rep[j]))
                             joined[max(x, y)] = min(x, y)
             if found:
@@ -233,30 +223,44 @@ def bucket_links(members: DataFrame, known: DataFrame) -> DataFrame:
     return m.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
-def linked(x: set, y: set) -> bool:
-    both = len(x & y)
-    return LIMIT[1] * both >= LIMIT[0] * (len(x) + len(y) - both)
+class Sets:
+    """Full shingle sets of texts, each shingle as one number made of its words' numbers.
 
+    All is forgotten when the sets hold more than SHINGLES_KEPT shingles; they are made again when asked for.
+    """
 
-def shingle_set(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    if len(words) < WORDS:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[k:] for k in range(WORDS))))
+    def __init__(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.known: dict[int, set[int]] = {}
+        self.size = 0
+
+    def of(self, rep: int, text: Callable[[], bytes]) -> set[int]:
+        got = self.known.get(rep)
+        if got is None:
+            words = self.words
+            ids = [words.setdefault(w, len(words)) for w in normal(text())]
+            if len(ids) < WORDS:
+                got = {sum(n << 32 * k for k, n in enumerate(ids)) + (len(ids) << 32 * WORDS)} if ids else set()
+            else:
+                got = {a << 128 | b << 96 | c << 64 | d << 32 | e for a, b, c, d, e in zip(*(ids[k:] for k in range(WORDS)))}
+            self.known[rep] = got
+            self.size += len(got)
+        return got
+
+    def linked(self, a: int, ta: Callable[[], bytes], b: int, tb: Callable[[], bytes]) -> bool:
+        if self.size > SHINGLES_KEPT:
+            self.__init__()
+        x, y = self.of(a, ta), self.of(b, tb)
+        both = len(x & y)
+        return LIMIT[1] * both >= LIMIT[0] * (len(x) + len(y) - both)
 
 
 def confirm(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets are similar enough; ``known`` has (rep, text) of every class in a pair."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets: dict[int, set] = {}
-        keep = []
-        for x, y, tx, ty in zip(*(b.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
-            if len(sets) > 64:
-                sets.clear()
-            for k, t in ((x, tx), (y, ty)):
-                if k not in sets:
-                    sets[k] = shingle_set(normal(t))
-            keep.append(linked(sets[x], sets[y]))
+        sets, ta, tb = Sets(), b.column("ta"), b.column("tb")
+        keep = [sets.linked(x, ta[k].as_py, y, tb[k].as_py) for k, (x, y) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))]
         return pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     full = pairs.join(known.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from dealsight.functions.scale import positions
 from dealsight.llm.common import cut, map_batches, texts
 
-WORDS_KEPT, PARTS_KEPT = 400_000, 700_000  # entries a worker keeps
+WORDS_KEPT, PARTS_KEPT = 150_000, 300_000  # entries a worker keeps
 ODD = tuple(map(chr, range(0x1C, 0x20)))  # str.split() cuts here, the tokenizer does not
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe: with letters it makes tokens of its own
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
