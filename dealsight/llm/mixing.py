@@ -23,6 +23,7 @@ from dealsight.functions.scale import positions
 from dealsight.llm.common import WORD, cut, map_batches, texts
 
 DIGITS = 3  # hexadecimal digits of a slice
+FEW_SOURCES = 10_000  # rows up to which the sources' plan is broadcast; beyond, the join shuffles and splits skew
 
 
 def words(text: str) -> Column:
@@ -80,7 +81,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: floa
     """``row`` (the document), its ``size``, ``source_size`` and ``target`` of its source, ``taken``: words the mix takes."""
     goals = plan(docs, weights, share, limit, seed)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "source", F.col("doc_id").alias("_id"), words("text").alias("size"), _order(seed).alias("_order"))
-    rows = rows.withColumn("_slice", F.substring("_order", 1, DIGITS)).join(goals, F.col("source").eqNullSafe(F.col("_source")))
+    few = goals.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    near = F.broadcast(goals) if few else goals  # texts are not shuffled for a checked, small number of sources
+    rows = rows.withColumn("_slice", F.substring("_order", 1, DIGITS)).join(near, F.col("source").eqNullSafe(F.col("_source")))
     at_end = F.col("_slice").eqNullSafe(F.col("_end"))
     whole_part = F.coalesce(F.col("_slice") < F.col("_end"), F.lit(False))
     settled = rows.where(~at_end).withColumn("_extra", F.when(whole_part, F.col("size")).otherwise(F.lit(0)))
