@@ -2,8 +2,9 @@
 
 The base spans of a text come from four patterns and their checks.  Words with a digit or an at-sign are the nodes of a
 random field over the labels none, email, ip, card and phone.  Edges join nodes that are neighbouring words, and (skip
-edges) successive words of one document that repeat a form or a run of digits, however far apart.  Words inside base spans
-are observed.  Loopy belief propagation then settles the others, so that a number written once as a full telephone number
+edges) words of one document that repeat a form or a run of digits, however far apart: each with the one before it, and with
+the first observed word that it repeats (or the first word, if none is).  Words inside base spans are observed.  Loopy
+belief propagation runs until it settles the others, so that a number written once as a full telephone number
 and later without its prefix gets the same label.  Weights are fitted by pseudo-likelihood on a bounded sample.
 
 Defined cases: a null or empty text has no spans; a document without nodes has its base spans alone; repeated rows get
@@ -34,6 +35,7 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE_MARKS = ".,;:!?\"'()[]{}<>|"
 
 AGREE = 3.0  # log odds by which a repeat is expected to share its label
+SETTLED = 1e-4  # messages that change by less are settled
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -98,6 +100,16 @@ def node_features(word: str) -> list[bool]:
 N_FEATURES = len(node_features("0"))
 
 
+def anchored(nodes: list[int], y: list[int]) -> Iterable[tuple[int, int]]:
+    """Every node with the first one observed of each kind, or else with the first: evidence is one edge from any repeat."""
+    anchors: dict[int, int] = {}
+    for node in nodes:
+        if y[node]:
+            anchors.setdefault(y[node], node)
+    for anchor in anchors.values() or nodes[:1]:
+        yield from ((min(anchor, node), max(anchor, node)) for node in nodes if node != anchor)
+
+
 @dataclass
 class Graph:
     """Nodes of one text: word spans, features, observed labels (0 none), chain and skip edges as index pairs."""
@@ -111,8 +123,9 @@ class Graph:
 
     @staticmethod
     def of(text: str, base: list[Span]) -> Graph | None:
-        start, end, index, rows, y, chain, skip = [], [], [], [], [], [], []
-        last: dict[tuple[str, str], int] = {}
+        start, end, index, rows, y, chain = [], [], [], [], [], []
+        same: dict[tuple[str, str], list[int]] = {}
+        wide: dict[tuple[str, str], list[int]] = {}
         by_kind = [[b for b in base if b[1] == kind] for kind in range(len(KINDS))]
         at = [0] * len(KINDS)
         for k, m in enumerate(WORDS.finditer(text)):
@@ -134,14 +147,16 @@ class Graph:
                     found.append(spans[at[kind]])
             y.append(min(found)[1] + 1 if found else 0)
             form, digits = word.strip(EDGE_MARKS).lower(), "".join(c for c in word if "0" <= c <= "9")
-            for key in {("form", form), ("digits", digits if len(digits) >= 6 else "")}:
-                if key[1]:
-                    if key in last and (last[key], node) not in skip[-2:]:
-                        skip.append((last[key], node))
-                    last[key] = node
+            keys = [k for k in (("form", form), ("digits", digits if len(digits) >= 6 else "")) if k[1]]
+            for key in keys:
+                same.setdefault(key, []).append(node)
+            if keys:  # words of one form have the same digits, so the last key takes in the first
+                wide.setdefault(keys[-1], []).append(node)
         if not start:
             return None
-        pairs = [np.array(p, np.int64).reshape(-1, 2) for p in (chain, skip)]
+        skip = {pair for nodes in same.values() for pair in zip(nodes, nodes[1:])}
+        skip |= {pair for nodes in wide.values() for pair in anchored(nodes, y)}
+        pairs = [np.array(p, np.int64).reshape(-1, 2) for p in (chain, sorted(skip))]
         return Graph(start, end, np.array(rows, float), np.array(y, np.int64), *pairs)
 
 
@@ -154,7 +169,11 @@ class Field:
     skip: np.ndarray
 
     def beliefs(self, g: Graph, rounds: int = 12, damping: float = 0.5) -> np.ndarray:
-        """Label marginals by loopy belief propagation; words in base spans are observed."""
+        """Label marginals by loopy belief propagation; words in base spans are observed.
+
+        Runs ``rounds`` rounds at least, then until no message changes by ``SETTLED``.  Where loops make messages swing,
+        that is, 50 rounds have not halved the largest change, steps are halved; the end is sure, as both halvings are.
+        """
         n, labels = len(g.start), self.unary.shape[1]
         local = g.x @ self.unary
         local[g.y > 0] -= 1e3
@@ -165,13 +184,20 @@ class Field:
         pot = np.concatenate([pot, pot.transpose(0, 2, 1)])  # [edge, label of src, label of dst]
         back = np.r_[len(edges):2 * len(edges), 0:len(edges)]
         msg = np.zeros((len(src), labels))
-        for _ in range(rounds if len(src) else 0):
+        step, low, since, done = 1 - damping, np.inf, 0, 0
+        while len(src) and (done < rounds or low > SETTLED and step > 1e-3):
             total = local.copy()
             np.add.at(total, dst, msg)
             out = (total[src] - msg[back])[:, :, None] + pot
             top = out.max(1, keepdims=True)
             new = (top + np.log(np.exp(out - top).sum(1, keepdims=True)))[:, 0]
-            msg = damping * msg + (1 - damping) * (new - new.max(1, keepdims=True))
+            change = new - new.max(1, keepdims=True) - msg
+            msg += step * change
+            done, since, largest = done + 1, since + 1, np.abs(change).max()
+            if largest <= max(low / 2, SETTLED):
+                low, since = largest, 0
+            elif since == 50:
+                step, since = step / 2, 0
         total = local
         np.add.at(total, dst, msg)
         total -= total.max(1, keepdims=True)
@@ -215,8 +241,8 @@ def train(graphs: list[Graph], steps: int = 300, rate: float = 0.5, ridge: float
     skip = np.concatenate([g.skip + at for g, at in zip(graphs, sizes)])
     both = np.concatenate([skip, skip[:, ::-1]])
     hidden, near = np.zeros(len(y), bool), y > 0
-    for _ in range(4):  # repeats of repeats
-        near[both[near[both[:, 0]], 1]] = True
+    while (more := both[near[both[:, 0]] & ~near[both[:, 1]], 1]).size:  # repeats of repeats
+        near[more] = True
     hidden[near & (y == 0)] = True
     before, after, apart = (np.zeros((len(y), labels)) for _ in range(3))  # neighbours' labels, counted
     for counts, here, there in ((before, chain[:, 1], chain[:, 0]), (after, chain[:, 0], chain[:, 1]), (apart, both[:, 1], both[:, 0])):

@@ -80,6 +80,25 @@ def test_field_adds_distant_repeats_and_keeps_base_spans(spark):
             assert r.spans.count("phone") == 3, (text[r.doc_id], r.spans)
 
 
+def test_every_one_of_many_repeats_gets_the_label():
+    import numpy as np
+
+    labels, unary = len(pii.KINDS) + 1, np.zeros((pii.N_FEATURES, len(pii.KINDS) + 1))
+    unary[0, 0] = 2.0  # a word by itself is taken for none
+    field = pii.Field(unary, np.zeros((labels, labels)), 3.0 * np.eye(labels))
+    for at in (0, 25, 50):  # the full number first, amid its repeats, and last
+        said = ["15550123456"] * 51
+        without = " ".join(f"{prose(k, 30).translate(LETTERS)} {x}" for k, x in enumerate(said))
+        assert pii.spans_of(without, field) == ([], [])
+        said[at] = "+15550123456"
+        text = " ".join(f"{prose(k, 30).translate(LETTERS)} {x}" for k, x in enumerate(said))
+        base, spans = pii.spans_of(text, field)
+        assert len(base) == 1 and [k for _, k, _ in spans] == [3] * 51
+        assert "555" not in pii.masked(text, spans)
+        g = pii.Graph.of(text, base)
+        assert np.allclose(field.beliefs(g), field.beliefs(g, 2000), atol=1e-3) and len(g.skip) < 3 * len(said)
+
+
 def test_message_passing_is_exact_on_a_chain():
     import itertools
     import numpy as np
