@@ -3,7 +3,8 @@
 Words are lower-cased and freed of the marks around them.  The fingerprints of a text are the hashes of its K-word runs
 that are smallest in some window of WINDOW runs, so any K + WINDOW - 1 words shared with a template share a fingerprint;
 templates are all indexed by every run, so a notice shorter than that is found as well.  A hit names a template and a
-diagonal; hits near one diagonal form a candidate, which a local alignment in a band around it confirms.
+diagonal; a local alignment in a band around it confirms the match.  Its words are then taken, and the hits that are left,
+near the same diagonal or not, are aligned among the other words, so that occurrences close to each other are all found.
 
 Defined cases: a null or empty text has no matches and gives no rows; each occurrence in a long text is reported; repeated
 rows give equal rows; the template list has a fixed size, so it travels with the tasks.
@@ -37,6 +38,7 @@ TEMPLATES = {
 K, WINDOW, BAND = 3, 3, 8
 MARKS = b".,;:!?\"'()[]{}<>*#/-_"
 MATCH, MISMATCH, GAP = 2, -2, -1
+TAKEN = -2  # a word of the text that an alignment may not cross
 CACHE = 200_000
 
 
@@ -91,7 +93,7 @@ class Index:
 
 
 def align(doc: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Best local alignment in the band: (matched words, first and last+1 word of the text)."""
+    """Best local alignment in the band that crosses no taken word: (matched words, first and last+1 word of the text)."""
     width = 2 * BAND + 1
     score = np.zeros(width, np.int64)
     matched, begin = np.zeros(width, np.int64), np.zeros(width, np.int64)
@@ -99,6 +101,7 @@ def align(doc: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, in
     for i, word in enumerate(template.tolist()):
         js = i + diagonal - BAND + np.arange(width)
         inside = (js >= 0) & (js < len(doc))
+        inside[inside] = doc[js[inside]] != TAKEN
         same = np.zeros(width, bool)
         same[inside] = doc[js[inside]] == word
         # word against word keeps the diagonal; a skipped template word comes from the next diagonal of the row above
@@ -107,10 +110,10 @@ def align(doc: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, in
         up = np.r_[score[1:] + GAP, -1]
         take = up > new
         new, m, b = np.where(take, up, new), np.where(take, np.r_[matched[1:], 0], m), np.where(take, np.r_[begin[1:], 0], b)
+        new[~inside] = 0
         for k in range(1, width):  # a skipped word of the text stays in the row
-            if new[k - 1] + GAP > new[k]:
+            if inside[k] and new[k - 1] + GAP > new[k]:
                 new[k], m[k], b[k] = new[k - 1] + GAP, m[k - 1], b[k - 1]
-        new[~inside] = 0
         score = np.maximum(new, 0)
         matched, begin = np.where(score > 0, m, 0), b
         k = int(np.argmax(score))
@@ -122,20 +125,20 @@ def align(doc: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, in
 def matches(ids: np.ndarray, index: Index, coverage: float) -> list[tuple[int, int, int, int]]:
     """(template, matched words, first word, last+1 word), the best of overlapping ones, in text order."""
     h = run_hashes(ids)
-    diagonals = defaultdict(set)
+    diagonals: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for at in winnow(h).tolist():
         for t, place in index.places.get(int(h[at]), ()):
-            diagonals[t].add(at - place)
+            diagonals[t][at - place].append(at)
     found = []
     for t, ds in diagonals.items():
-        last = None
-        for d in sorted(ds):
-            if last is not None and d - last <= BAND:
-                continue
-            last = d
-            n, s, e = align(ids, index.words[t], d)
-            if n >= coverage * len(index.words[t]):
+        left = ids.copy()
+        for d, hits in sorted(ds.items()):
+            while any((left[at:at + K] != TAKEN).all() for at in hits):
+                n, s, e = align(left, index.words[t], d)
+                if n < coverage * len(index.words[t]):
+                    break
                 found.append((t, n, s, e))
+                left[s:e] = TAKEN
     found.sort(key=lambda x: (-x[1], -x[1] / len(index.words[x[0]]), x[2], x[0]))
     kept: list[tuple[int, int, int, int]] = []
     taken = np.zeros(len(ids) + 1, bool)  # words already in a match

@@ -52,5 +52,27 @@ def test_whole_edited_and_repeated_notices(spark):
             assert text[d][s:e] == licenses.TEMPLATES[n]
 
 
+def test_adjacent_notices_and_lists_are_all_found(spark):
+    short = ("mit", "cc-by-nc-4.0", "apache-2.0")
+    rows = []
+    for k, name in enumerate(short):
+        notice = licenses.TEMPLATES[name]
+        rows.append((100 + k, f"{notice} {notice}"))
+        rows += [(100 * gap + 200 + k, "\n".join(f"{prose(i, gap)} {notice}" for i in range(40))) for gap in range(1, 13)]
+    mixed = [licenses.TEMPLATES[short[i % 3]] for i in range(60)]
+    rows.append((5000, " ".join(mixed)))
+    whole = licenses.TEMPLATES["isc-full"]
+    rows.append((5001, f"{whole} {whole} word {whole}"))
+    got = found(spark, rows)
+    want = []
+    for d, text in rows:
+        for name in (*short, "isc-full"):
+            notice, at = licenses.TEMPLATES[name], text.find(licenses.TEMPLATES[name])
+            while at >= 0:
+                want.append((d, name, at, at + len(notice), 1.0))
+                at = text.find(notice, at + 1)
+    assert got == sorted(want)
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
