@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealsight.llm import chat, licenses, minhash, mixing, neighbours, packing, pii, rules, suffix, warc
+from dealsight.llm import chat, licenses, minhash, mixing, neighbours, packing, pii, repair, rules, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -121,3 +121,53 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_suffix_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.measure(table(spark, folder, "documents"))
+
+
+#: Damage with the checksum bit by bit; then each conversation backward from its last turn, with the cheapest and
+#: ASCII-least edits from each of the four states of the role pattern.
+REPAIR_SQL = r"""
+WITH RECURSIVE
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+d AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(key) + 1), lambda i:
+             list_transform(range(8), lambda b: CASE WHEN b = 0 THEN CAST(ascii(key[i]) AS BIGINT) ELSE 0::BIGINT END)))),
+             lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384))) % 20 AS kind FROM k),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM d WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos FROM m),
+f AS (SELECT *, left(role, 1) AS ini, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t,
+             row_number() OVER (PARTITION BY conv_id, role, md5(text) ORDER BY pos) AS seen,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS prev FROM o),
+g AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM f),
+n AS (SELECT conv_id, count(*) AS n FROM g GROUP BY conv_id),
+w AS (SELECT n.conv_id, n AS i, {'c': 0, 'a': '', 'o': ''} AS s0, {'c': 6, 'a': 'II', 'o': 'user:' || chr(10) || 'assistant:' || chr(10)} AS s1,
+             {'c': 3, 'a': 'I', 'o': 'assistant:' || chr(10)} AS s2, {'c': 0, 'a': '', 'o': ''} AS s3 FROM n
+      UNION ALL
+      SELECT conv_id, i,
+             list_min([b0, {'c': 3 + e2.c, 'a': 'I' || e2.a, 'o': 'user:' || chr(10) || e2.o}]), list_min([b1, {'c': 3 + e2.c, 'a': 'I' || e2.a, 'o': 'user:' || chr(10) || e2.o}]), e2, e3
+      FROM (SELECT *, list_min([b2, {'c': 3 + b3.c, 'a': 'I' || b3.a, 'o': 'assistant:' || chr(10) || b3.o}]) AS e2,
+                      list_min([b3, {'c': 3 + b2.c, 'a': 'I' || b2.a, 'o': 'user:' || chr(10) || b2.o}]) AS e3
+            FROM (SELECT w.conv_id, w.i - 1 AS i,
+                         list_min([{'c': 4 + s0.c, 'a': 'D' || s0.a, 'o': s0.o}, {'c': keep + CASE ini WHEN 's' THEN s1.c WHEN 'u' THEN s2.c ELSE 1000000 END, 'a': 'K' || CASE ini WHEN 's' THEN s1.a ELSE s2.a END, 'o': line || CASE ini WHEN 's' THEN s1.o ELSE s2.o END}, {'c': keep + 3 + s2.c, 'a': 'R' || s2.a, 'o': 'user:' || body || s2.o}]) AS b0,
+                         list_min([{'c': 4 + s1.c, 'a': 'D' || s1.a, 'o': s1.o}, {'c': keep + CASE ini WHEN 'u' THEN s2.c ELSE 1000000 END, 'a': 'K' || s2.a, 'o': line || s2.o}, {'c': keep + 3 + s2.c, 'a': 'R' || s2.a, 'o': 'user:' || body || s2.o}]) AS b1,
+                         list_min([{'c': 4 + s2.c, 'a': 'D' || s2.a, 'o': s2.o}, {'c': keep + CASE ini WHEN 'a' THEN s3.c ELSE 1000000 END, 'a': 'K' || s3.a, 'o': line || s3.o}, {'c': keep + 3 + s3.c, 'a': 'R' || s3.a, 'o': 'assistant:' || body || s3.o}]) AS b2,
+                         list_min([{'c': 4 + s3.c, 'a': 'D' || s3.a, 'o': s3.o}, {'c': keep + CASE ini WHEN 'u' THEN s2.c ELSE 1000000 END, 'a': 'K' || s2.a, 'o': line || s2.o}, {'c': keep + 3 + s2.c, 'a': 'R' || s2.a, 'o': 'user:' || body || s2.o}]) AS b3
+                  FROM w JOIN (SELECT *, CASE fault WHEN 'truncated' THEN 3 WHEN 'none' THEN 0 ELSE 1000000 END AS keep,
+                                      role || ':' || text || chr(10) AS line, text || chr(10) AS body FROM g) g
+                  ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.pos = w.i) x) y),
+c AS (SELECT conv_id, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+      FROM g GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(w.s0.c, 0) AS BIGINT) AS cost,
+       coalesce(w.s0.a, '') AS audit, sha256(coalesce(left(w.s0.o, length(w.s0.o) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id AND w.i = 0
+"""
+
+
+@query("op13_checkpointed_repair", REPAIR_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return repair.report(turns, repair.damage(turns))
