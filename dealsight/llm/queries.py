@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealsight.llm import chat, licenses, minhash, mixing, neighbours, packing, pii, repair, rules, suffix, warc
+from dealsight.llm import chat, licenses, minhash, mixing, neighbours, packing, pii, ranked, repair, rules, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -171,3 +171,24 @@ LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
     return repair.report(turns, repair.damage(turns))
+
+
+#: Counts of every term of an item in every document, scored as they are.
+RANKED_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT count(*)::BIGINT AS n, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+t AS (SELECT k, term, count(*)::BIGINT AS tf FROM (SELECT k, unnest(terms) AS term FROM d) GROUP BY k, term),
+i AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term),
+w AS (SELECT i.item_id, i.text, i.term, CAST(floor(1000 * ln(CAST(2 * s.n + 2 AS DOUBLE) / CAST(2 * f.df + 1 AS DOUBLE))) AS BIGINT) AS w FROM i JOIN f ON i.term = f.term, s),
+m AS (SELECT d.k, d.doc_id, 10 + (90 * len(d.terms) * s.n) // s.total AS m FROM d, s WHERE len(d.terms) > 0),
+x AS (SELECT w.item_id, w.text, m.k, m.doc_id, CAST(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * m.m))) AS BIGINT) AS score
+      FROM w JOIN t ON w.term = t.term JOIN m ON t.k = m.k GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM x WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op11_bit_sliced_search", RANKED_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
