@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealsight.llm import chat, licenses, minhash, mixing, neighbours, packing, pii, ranked, repair, rules, suffix, warc
+from dealsight.llm import chat, jaccard, licenses, minhash, mixing, neighbours, packing, pii, ranked, repair, rules, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -192,3 +192,24 @@ FROM x WHERE score > 0 QUALIFY rank <= 10
 @query("op11_bit_sliced_search", RANKED_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+#: All pairs that share a shingle, and the closure of their links.
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT k, doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM d),
+n AS (SELECT k, doc_id, count(*) AS n FROM s GROUP BY k, doc_id),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS o FROM s a JOIN s b ON a.sh = b.sh AND a.k <> b.k WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY a.k, b.k),
+l AS (SELECT a, b FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION SELECT x.k, y.k FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.k <> y.k),
+r AS (SELECT k AS a, k AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, CAST(coalesce(m.m, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN n ON d.k = n.k JOIN (SELECT r.a, min(d.doc_id) AS component_id FROM r JOIN d ON r.b = d.k GROUP BY r.a) c ON c.a = d.k
+LEFT JOIN (SELECT a, count(*) AS m FROM l GROUP BY a) m ON m.a = d.k
+"""
+
+
+@query("op12_set_relation_join", JACCARD_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar(table(spark, folder, "documents"))
