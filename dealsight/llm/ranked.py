@@ -99,7 +99,7 @@ def index(docs: DataFrame) -> DataFrame:
                     continue
                 if len(known) > CACHE:
                     known.clear()
-                for w in counts.keys() - known.keys():
+                for w in set(counts).difference(known):
                     known[w] = xxhash.xxh3_64_intdigest(w)
                 h = np.fromiter(map(known.__getitem__, counts), np.uint64, len(counts))
                 tf = np.fromiter(counts.values(), np.int64, len(counts))
