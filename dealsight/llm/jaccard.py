@@ -34,14 +34,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dealsight.llm.common import cut, map_batches, texts
-from dealsight.llm.graph import components
+from dealsight.llm.common import bit_of, bit_table, bits_set, cut, map_batches, texts
+from dealsight.llm.graph import components, tiles
 from dealsight.llm.minhash import normal, shingle_hashes
 
 PART, WHOLE = 80, 100  # links have intersection * WHOLE >= union * PART
 BUCKETS, PIECE = 1 << 20, 1 << 12  # counters of the table of common shingles; counters in a row of it
 CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
-FILTER_BITS = 1 << 26
 CACHE = 300_000
 
 
@@ -182,44 +181,22 @@ def meetings(live: DataFrame, sizes: DataFrame) -> DataFrame:
     return own.unionByName(met).join(sizes, "rep")
 
 
-def tiles(met: DataFrame) -> DataFrame:
-    """(z1, z2, i, j, side, rep): sides dealt into chunks of bounded size; every two chunks that meet are a tile."""
-    met = cut(met)
-    size = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
-    parts = met.groupBy("z1", "z2").pivot("side", [0, 1]).agg(size.alias("p"), F.count(F.lit(1)).alias("m"))
-    parts = parts.select("z1", "z2", *[F.coalesce(f"{s}_{c}", F.lit(0)).alias(o) for s, c, o in ((0, "p", "a"), (1, "p", "b"), (0, "m", "na"), (1, "m", "nb"))])
-    same = F.col("z1") == F.col("z2")
-    parts = parts.where(F.when(same, F.col("na") > 1).otherwise((F.col("na") > 0) & (F.col("nb") > 0)))
-    rows = met.join(parts, ["z1", "z2"])
-    rows = rows.withColumn("k", F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b"))).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(same | (F.col("side") == 1), F.col("a")).otherwise(F.col("b")) - 1)))
-    i = F.when(same, F.least("k", "o")).when(F.col("side") == 0, F.col("k")).otherwise(F.col("o"))
-    j = F.when(same, F.greatest("k", "o")).when(F.col("side") == 0, F.col("o")).otherwise(F.col("k"))
-    side = F.when(same, (F.col("k") > F.col("o")).cast("int")).otherwise(F.col("side"))
-    return rows.select("z1", "z2", i.alias("i"), j.alias("j"), side.alias("side"), "rep")
-
-
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, key, c, shingles) of the wanted classes.  A bit table of at most ``FILTER_BITS``, by their number, skips most other texts."""
+    """(rep, key, c, shingles) of the wanted classes.  A bit table skips most other texts."""
     wanted = cut(wanted)
-    bits = min(FILTER_BITS, max(1 << 12, 1 << (8 * wanted.count()).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = wanted.select(place("rep").alias("_b")).groupBy(F.expr("_b div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_b % 32 as int))")).alias("m")).toArrow()
-    table = np.zeros(bits // 32, np.uint32)
-    table[words.column("w").to_numpy()] = words.column("m").to_numpy().astype(np.uint32)
+    bits, table = bit_table(wanted, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for b in batches:
-            at = b.column("_bit").to_numpy()
-            some = b.filter(pa.array((table[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)))
+            some = b.filter(pa.array(bits_set(table, b.column("_bit").to_numpy())))
             for k, text in enumerate(texts(some)):  # one row at a time: sets may be long
                 s = shingles.of(text)
                 if len(s):
                     yield pa.RecordBatch.from_arrays([some.column("rep").slice(k, 1), pa.array([digest(s)]), pa.array([s.tobytes()], pa.binary())], ["rep", "key", "shingles"])
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), "text")
-    some = rows.withColumn("_bit", place("rep")).mapInArrow(run, "rep long, key binary, shingles binary")
+    some = rows.withColumn("_bit", bit_of("rep", bits)).mapInArrow(run, "rep long, key binary, shingles binary")
     known = classes.join(wanted, "rep", "left_semi").select("rep", "key", "c")
     return some.join(known, ["rep", "key"]).dropDuplicates(["rep", "key"])
 
@@ -358,7 +335,7 @@ def similar(docs: DataFrame) -> DataFrame:
     classes = cut(live.groupBy("key").agg(first, F.count(F.lit(1)).alias("c")).select("key", "c", F.col("f.doc_id").alias("rep"), "f.n", "f.prefix", "f.rare"))
     entries = cut(shared_entries(classes))
     sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
-    dealt = cut(tiles(meetings(entries, sizes)))
+    dealt = cut(tiles(meetings(entries, sizes), CHUNK, CHUNK_SHINGLES))
     sets = sets_of(docs, classes, dealt.select("rep").distinct())
     links = cut(tile_links(dealt.join(sets, "rep")))
 

@@ -9,9 +9,12 @@ Texts with equal words form one class first, so exact copies cost one row each.
 every class with the bucket hub it shares most buckets with, and, inside buckets that still hold several components,
 between members of different components.  Pairs inside one component are never looked at: they could not change it.
 
+Buckets see packed bits only, never texts.  The members that have a close partner in one meet again in tiles, a zone (the
+classes of one hub) with itself or what two zones have in common, and only there a text is sent, once a tile.
+
 Defined cases: a text without words has an empty set and is linked with nothing; fewer than five words are one shingle;
-rows with a null ``doc_id`` are linked with nothing and kept; rows that repeat a ``doc_id`` share their component; an empty
-table gives no rows.
+rows with a null ``doc_id`` are linked with nothing and kept; rows that share a ``doc_id`` and not their words are texts of
+their own, each with its own component; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -21,17 +24,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from dealsight.llm.common import cut, map_batches, texts
-from dealsight.llm.graph import components
+from dealsight.llm.common import bit_of, bit_table, bits_set, cut, map_batches, release, texts
+from dealsight.llm.graph import components, tiles
 
 WORDS, LIMIT = 5, (75, 100)  # shingle length; links have intersection * 100 >= union * 75
 BANDS, ROWS, BITS = 48, 5, 4
 HASHES = BANDS * ROWS
 CHANCE = 2.0 ** -BITS
 BLOCK = 2048  # members of a bucket that are compared at once
-FILTER_BITS = 1 << 23
+CHUNK, CHUNK_SHINGLES = 4096, 1 << 19  # members and shingles of a zone that one tile takes of it
+HUB_SHARE = 4096  # members that one task confirms against their hub
 CACHE = 300_000
 SHINGLES_KEPT = 600_000  # shingles, over all sets, that a task holds while it confirms
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,6 +51,10 @@ def normal(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def digest(text: bytes) -> bytes:
+    return hashlib.blake2b(b" ".join(normal(text)), digest_size=16).digest()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
@@ -171,56 +179,107 @@ def close_pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield p[live], q[live]
 
 
-MEMBER = "bucket long, lo int, hi int, block int, rep long, comp long, n long, sig binary"
+MEMBER = "bucket long, lo int, hi int, block int, node long, comp long, zone long, n long, sig binary"
 
 
 def with_partner(members: DataFrame) -> DataFrame:
-    """The members that have a close pair in their bucket; big buckets meet in blocks, two blocks at a time."""
+    """(z1, z2, side, rep): members with a close pair in their bucket, by the zones of both; big buckets meet in blocks, two
+    blocks at a time.  Only packed bits move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_bucket(batches):
-            hit = np.zeros(len(t), bool)
+            node, zone = t.column("node").to_numpy(), t.column("zone").to_numpy()
+            met = [np.zeros((0, 4), np.int64)]
             for i, j in close_pairs(t):
-                hit[i] = hit[j] = True
-            yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
+                for x, y in ((i, j), (j, i)):
+                    a, b = zone[x], zone[y]
+                    met.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), a > b, node[x]], 1), axis=0))
+            found = np.unique(np.concatenate(met), axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2].astype(np.int32)), pa.array(found[:, 3])], ["z1", "z2", "side", "rep"])
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    m = members.withColumn("block", F.when(blocks == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), blocks)).cast("int"))
+    m = members.withColumn("block", F.when(blocks == 1, 0).otherwise(F.pmod(F.xxhash64("node"), blocks)).cast("int"))
     m = m.withColumn("_t", F.explode(F.sequence(F.lit(0), blocks - 1)))
     m = m.withColumn("lo", F.least("block", "_t")).withColumn("hi", F.greatest("block", "_t"))
     m = m.select(*[c.split()[0] for c in MEMBER.split(", ")]).repartition("bucket", "lo", "hi")
-    return m.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, MEMBER)
-
-
-def bucket_links(members: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): confirmed links between components that meet in a bucket, as many as join them and no more.
-
-    A pair whose components are joined already inside the bucket is passed over, so at most one link a member leaves it.
+    return m.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "z1 long, z2 long, side int, rep long").distinct()
+
+
+def exact_ids(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, id) of every distinct shingle of the texts; equal shingles, and only those, have equal ids."""
+    known: dict[bytes, int] = {}
+    words = [[known.setdefault(w, len(known) + 1) for w in normal(t)] for t in found]
+    base = len(known) + 1
+    n = np.array([len(w) for w in words])
+    padded = np.concatenate([np.array(w + [0] * (WORDS - 1), np.int64) for w in words])  # 0 ends a text of fewer words
+    starts = np.cumsum(n + WORDS - 1) - n - WORDS + 1
+    count = np.where(n > 0, np.maximum(n - WORDS + 1, 1), 0)
+    owner = np.repeat(np.arange(len(found)), count)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + starts[owner]
+    ids = padded[at]
+    for k in range(1, WORDS):
+        ids = np.unique(ids * base + padded[at + k], return_inverse=True)[1]
+    both = np.unique(owner * (ids.max(initial=0) + 1) + ids)
+    return both // (ids.max(initial=0) + 1), both % (ids.max(initial=0) + 1)
+
+
+def tile_links(members: DataFrame) -> DataFrame:
+    """(a, b): confirmed links between components that meet in a tile, as many as join them and no more.
+
+    A member is estimated against all before it; if one of another component is close, its overlaps with all are counted
+    by the lists of its shingles.
     """
+    least = floor_estimate()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_bucket(batches):
-            rep, comp, found = t.column("rep").to_pylist(), t.column("comp").to_pylist(), []
-            text, sets = t.column("text"), Sets()
-            joined = {c: c for c in comp}
-
-            def root(c: int) -> int:
-                while joined[c] != c:
-                    joined[c] = c = joined[joined[c]]
-                return c
-
-            for p, q in close_pairs(t):
-                for i, j in zip(p.tolist(), q.tolist()):
-                    x, y = root(comp[i]), root(comp[j])
-                    if x != y:
-                        if sets.linked(rep[i], text[i].as_py, rep[j], text[j].as_py):
-                            found.append((rep[i], rep[j]))
-                            joined[max(x, y)] = min(x, y)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b"])
+    def tile(at: list[int], rows: list[tuple]) -> list[tuple[int, int]]:
+        node, side, comp, sigs, found = zip(*rows)
+        m = len(rows)
+        side, sig = np.array(side), np.frombuffer(b"".join(sigs), "<u8").reshape(m, -1)
+        across = at[0] != at[1] or at[2] != at[3]
+        owner, ids = exact_ids(list(found))
+        n = np.bincount(owner, minlength=m)
+        begin = np.concatenate([[0], np.cumsum(n)])
+        df = np.bincount(ids)
+        start = np.cumsum(df) - df
+        full = owner[np.argsort(ids, kind="stable")]
+        names = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+        group = np.array([names[c] for c in comp])  # components as they are joined in this tile
+        links = []
+        for x in range(1, m):
+            open_ = np.flatnonzero((group[:x] != group[x]) & (np.minimum(n[:x], n[x]) * LIMIT[1] >= np.maximum(n[:x], n[x]) * LIMIT[0]))
+            if across:
+                open_ = open_[side[open_] != side[x]]
+            open_ = open_[estimate(sig[open_], sig[x][None]) >= least]
+            if not len(open_):
+                continue
+            mine = ids[begin[x]:begin[x + 1]]
+            sizes = df[mine]
+            ends = np.cumsum(sizes)
+            both = np.bincount(full[np.repeat(start[mine] - (ends - sizes), sizes) + np.arange(ends[-1])], minlength=m)
+            for y in open_[both[open_] * (LIMIT[0] + LIMIT[1]) >= (n[open_] + n[x]) * LIMIT[0]].tolist():
+                if group[y] != group[x]:
+                    links.append((node[x], node[y]))
+                    group[group == group[y]] = group[x]
+        return links
 
-    m = members.join(known.select("rep", "text"), "rep").repartition("bucket", "lo", "hi")
-    return m.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, links = [], None, []
+        for b in batches:
+            for *at, node, side, comp, sig, text in zip(*[b.column(k).to_pylist() for k in range(b.num_columns)]):
+                if at != now and held:
+                    links += tile(now, held)
+                    held = []
+                now = at
+                held.append((node, side, comp, sig, text))
+        if held:
+            links += tile(now, held)
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*links)], ["a", "b"])
+
+    at = ["z1", "z2", "i", "j"]
+    rows = members.select(*at, "node", "side", "comp", "sig", "text").repartition(*at)
+    return rows.sortWithinPartitions(*at).mapInArrow(run, "a long, b long")
 
 
 class Sets:
@@ -247,88 +306,140 @@ class Sets:
             self.size += len(got)
         return got
 
-    def linked(self, a: int, ta: Callable[[], bytes], b: int, tb: Callable[[], bytes]) -> bool:
+    def forget(self) -> None:
         if self.size > SHINGLES_KEPT:
             self.__init__()
+
+    def linked(self, a: int, ta: Callable[[], bytes], b: int, tb: Callable[[], bytes]) -> bool:
+        self.forget()
         x, y = self.of(a, ta), self.of(b, tb)
         both = len(x & y)
         return LIMIT[1] * both >= LIMIT[0] * (len(x) + len(y) - both)
 
 
-def confirm(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough; ``known`` has (rep, text) of every class in a pair."""
+def hub_links(star: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (node, hub) of ``star`` whose full shingle sets are similar enough; ``known`` has (node, text) of all of them.
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets, ta, tb = Sets(), b.column("ta"), b.column("tb")
-        keep = [sets.linked(x, ta[k].as_py, y, tb[k].as_py) for k, (x, y) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist()))]
-        return pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
+    A hub's text goes once to each share of its members and is met first there; members stream past it.
+    """
 
-    full = pairs.join(known.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    full = full.join(known.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    return map_batches(full.select("a", "b", "ta", "tb"), batch, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, hub, hub_text, found = Sets(), None, None, []
+        for b in batches:
+            for h, own, node, text in zip(*[b.column(c).to_pylist() for c in ("hub", "own", "node", "text")]):
+                if not own:
+                    hub, hub_text = h, text
+                elif hub == h and sets.linked(h, lambda: hub_text, node, lambda: text):
+                    found.append((node, h))
+            sets.forget()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b"])
+
+    shares = star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_SHARE).cast("int").alias("s"))
+    rows = star.join(shares, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("s")).cast("int").alias("share"), F.lit(1).alias("own"), "node")
+    hubs = shares.select("hub", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("share"), F.lit(0).alias("own"), F.col("hub").alias("node"))
+    rows = rows.unionByName(hubs).join(known, "node").repartition("hub", "share").sortWithinPartitions("hub", "share", "own")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, text) for the classes in ``wanted`` (rep, key).
-
-    A bit table of fixed size, the hashes of all wanted ids, lets most other texts be skipped before the join.
-    """
-    bits = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("_b"))
-    words = bits.select(F.expr("cast(_b div 32 as int)").alias("w"), F.expr("shiftleft(1L, cast(_b % 32 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    table = np.zeros(FILTER_BITS // 32, np.int64)
-    for r in words.toLocalIterator():  # at most FILTER_BITS / 32 rows
-        table[r[0]] = r[1]
-    table = table.astype(np.uint32)
+    """(node, text) for the classes in ``wanted`` (node, rep, key); a bit table of their ids skips most other texts."""
+    bits, table = bit_table(wanted, "rep")
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        at = b.column("_bit").to_numpy()
-        some = b.filter(pa.array((table[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)))
+        some = b.filter(pa.array(bits_set(table, b.column("_bit").to_numpy())))
         if not some.num_rows:
             return None
-        keys = [hashlib.blake2b(b" ".join(normal(t)), digest_size=16).digest() for t in texts(some)]
-        return pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text").cast(pa.binary()), pa.array(keys)], ["rep", "text", "key"])
+        return pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text").cast(pa.binary()), pa.array(list(map(digest, texts(some))))], ["rep", "text", "key"])
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    rows = rows.withColumn("_bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    some = map_batches(rows, batch, "rep long, text binary, key binary")
-    return some.join(wanted, ["rep", "key"]).dropDuplicates(["rep", "key"]).select("rep", "text")
+    some = map_batches(rows.withColumn("_bit", bit_of("doc_id", bits)), batch, "rep long, text binary, key binary")
+    return some.join(wanted, ["rep", "key"]).dropDuplicates(["node"]).select("node", "text")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    rows = cut(sketches(docs))
-    live = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+def components_of(docs: DataFrame) -> DataFrame:
+    """doc_id, key (digest of the words), n_shingles, component_id, kept of every row."""
+    sketch = cut(sketches(docs))
+    rows = cut(sketch.select("doc_id", "key", "n_shingles"))
+    live = sketch.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     first = F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("f")
-    reps = cut(live.groupBy("key").agg(first).select("key", F.col("f.doc_id").alias("rep"), F.col("f.n_shingles").alias("n"), "f.sig", "f.bands"))
-    buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).where("size > 1")
+    found = live.groupBy("key").agg(first).select("key", F.col("f.doc_id").alias("rep"), F.col("f.n_shingles").alias("n"), "f.sig", "f.bands")
+    found = cut(found)
+    release(sketch)
+    # a class is named by its smallest id; of several classes with one smallest id, all but one by a hash
+    named = found.groupBy("rep").agg(F.min("key").alias("_key"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    node = F.when(F.col("_key").isNull() | (F.col("key") == F.col("_key")), F.col("rep")).otherwise(F.xxhash64("key", "rep"))
+    known = found.join(cut(named), "rep", "left").withColumn("node", node).drop("_key")
+    classes = cut(known.select("node", "rep", "key", "n", "sig"))
+
+    buckets = cut(known.select("node", F.explode("bands").alias("bucket")))
+    release(found)
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where("size > 1")
     members = cut(buckets.join(sizes, "bucket"))
+    release(buckets)
 
     # round one: the hub with which a class shares most buckets
-    shared = members.where(F.col("rep") != F.col("hub")).groupBy("rep", "hub").count()
-    star = shared.groupBy("rep").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
-    wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "key")
-    known = cut(class_texts(docs, wanted))
-    links = cut(confirm(star.select(F.col("rep").alias("a"), F.col("hub").alias("b")), known))
+    shared = members.where(F.col("node") != F.col("hub")).groupBy("node", "hub").count()
+    star = cut(shared.groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")))
+    ends = star.select("node").union(star.select("hub")).distinct()
+    links = cut(hub_links(star, class_texts(docs, cut(classes.join(ends, "node", "left_semi").select("node", "rep", "key")))))
     comps = components(links)
 
     # round two: members of one bucket that are still in different components
-    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "hub")
+    placed = members.drop("hub").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     split = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-    open_ = placed.join(split, "bucket", "left_semi").join(reps.select("rep", "n", "sig"), "rep")
-    comps = components(links.unionByName(bucket_links(with_partner(open_), known)))
-
-    classes = reps.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("_c"))
-    out = rows.select("doc_id", "key", "n_shingles").join(classes, "key", "left")
+    open_ = placed.join(split, "bucket", "left_semi").join(star.withColumnRenamed("hub", "zone"), "node", "left").withColumn("zone", F.coalesce("zone", "node"))
+    met = cut(with_partner(open_.join(classes.select("node", "n", "sig"), "node")))
+    release(members)
+    dealt = cut(tiles(met.join(classes.select(F.col("node").alias("rep"), "n"), "rep"), CHUNK, CHUNK_SHINGLES).withColumnRenamed("rep", "node"))
+    ends = cut(classes.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "rep", "key"))
+    side = dealt.join(classes.select("node", "sig"), "node").join(comps.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    comps = components(links.unionByName(tile_links(side.join(class_texts(docs, ends), "node"))))
+
+    named = classes.select("node", "rep", "key").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("_c"))
+    out = rows.join(named.join(least, "component").select("key", "_c"), "key", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("_c")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return components_of(docs).drop("key")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, one row for each ``doc_id``; rows without one all stay."""
-    found = cut(near_duplicates(docs))
-    ids = found.where("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("id").isNotNull())
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc")).join(ids, F.col("doc") == F.col("id"))
-    repeated = rows.where("n > 1").groupBy("id").agg(F.min("row").alias("row")).select("row.*")
-    return docs.where(F.col("doc_id").isNull()).unionByName(rows.where("n = 1").select("row.*")).unionByName(repeated)
+    """The documents that are kept, one row for each (``doc_id``, words); rows without a ``doc_id`` all stay.
+
+    Only rows whose id is among those dropped or repeated are looked up, and move for it; all other rows stay where they are.
+    Of rows that repeat id and words the one with the smallest text stays.
+    """
+    found = components_of(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    touched = cut(found.where(~F.col("kept") | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "kept"))
+    bits, table = bit_table(touched, "_id")
+    named = ["c" + str(k) for k in range(len(docs.columns))]  # plain names: the columns' own may clash or hold dots
+    place = docs.columns.index("doc_id"), docs.columns.index("text")
+    rows = docs.toDF(*named)
+    doc, text = (f"c{k}" for k in place)
+    at = F.when(F.col(doc).isNotNull(), bit_of(F.col(doc).cast("long"), bits)).otherwise(F.lit(-1).cast("long"))
+    rows = rows.withColumn("_bit", at)
+
+    def hit(b: pa.RecordBatch) -> np.ndarray:
+        bit = b.column("_bit").to_numpy()
+        return (bit >= 0) & bits_set(table, np.maximum(bit, 0))
+
+    def clear(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(~hit(b))).drop_columns(["_bit"])
+
+    def keyed(b: pa.RecordBatch) -> pa.RecordBatch:
+        some = b.filter(pa.array(hit(b))).drop_columns(["_bit"])
+        return some.append_column("_key", pa.array(list(map(digest, texts(some, text))), pa.binary()))
+
+    schema = docs.toDF(*named).schema
+    free = map_batches(rows, clear, schema)
+    looked = map_batches(rows, keyed, T.StructType([*schema.fields, T.StructField("_key", T.BinaryType())]))
+    looked = looked.withColumnRenamed("_key", "_k").join(touched, (F.col(doc).cast("long") == F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+    rest = looked.where("kept IS NULL").select(*named)
+    again = looked.where("kept").groupBy("_id", "_key").agg(F.min_by(F.struct(*named), F.coalesce(F.col(text), F.lit(""))).alias("r")).select("r.*")
+    return free.unionByName(rest).unionByName(again).toDF(*docs.columns)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from dealsight.llm import graph, minhash
+from dealsight.llm import graph, minhash, mixing, pii, rules
 from tests.llm.fixture_rows import awkward, documents, prose
 
 
@@ -91,3 +91,39 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(2, 40)] + [(500, 501), (501, 500), (7, 7)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 1 for i in range(1, 40)}, 500: 500, 501: 500}
+
+
+def test_one_id_with_several_texts_loses_none(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a), (1, b), (2, c), (3, b), (3, a + " w1"), (4, b.upper()), (2, c), (5, None), (5, "")]
+    out = minhash.deduplicate(documents(spark, rows))
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == sorted([(1, a), (1, b), (2, c), (5, "")])
+
+
+def test_unlinked_variants_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 16)
+    text = prose(9, 200, 3000)
+    rows = [(k, edited(text, k, 18 if k % 7 else 3)) for k in range(120)]
+    check(spark, rows)
+
+
+def test_columns_of_any_name_and_kind(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, awkward() + group(100, 20, 6, 4)).withColumn("a.b", F.create_map(F.lit("k"), F.lit(1))).withColumn("c`d", F.lit(1))
+    out = minhash.deduplicate(docs)
+    assert out.columns == docs.columns and out.count() == minhash.deduplicate(docs.drop("a.b", "c`d")).count()
+    mixed = mixing.mix(docs)
+    assert mixing.materialise(mixed).columns == docs.columns and mixing.materialise(mixed).count() > 0
+    assert pii.redact(docs, None).columns == docs.columns and pii.redact(docs, None).count() == docs.count()
+    assert rules.keep(docs, rules.Rules(None, float("inf"))).columns == docs.columns and rules.keep(docs, rules.Rules(None, float("inf"))).count() > 0
+
+
+def test_exact_ids_are_exact():
+    found = [b"a b c d e f", b"A b c d e", b"a b", b"a b a b a b a b", b"", b"b a", b"a b"]
+    owner, ids = minhash.exact_ids(found)
+    sets = [frozenset(ids[owner == k].tolist()) for k in range(len(found))]
+    want = [shingles(t.decode()) for t in found]
+    for x in range(len(found)):
+        for y in range(len(found)):
+            assert len(sets[x] & sets[y]) == len(want[x] & want[y]) and len(sets[x]) == len(want[x])
