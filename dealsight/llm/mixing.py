@@ -5,12 +5,14 @@ size is clamped there and the excess goes to the other sources by weight, again
 source's target is then taken as whole repetitions of all its documents plus one fractional repetition: its documents in
 a seeded order up to the words still missing, the last one in part, so the words taken meet the target to within a word.
 
-The order is a hash of the seed and ``doc_id``.  Its leading digits cut a source into 4,096 slices whose sizes are summed
-first; only the one slice in which the target falls is ordered row by row, so a source with a third of all rows never
-meets in one task.
+The order is a hash of the seed and ``doc_id``, then size and a hash of the text.  Its leading digits cut a source into
+4,096 slices whose sizes are summed first; only the keys of the one slice in which the target falls are ordered, in range
+slices, so a source with a third of all rows never meets in one task.  The outcome is one key a source, where its fractional
+repetition ends; a row's words follow from comparing its own key with that one, so no text moves.
 
 Defined cases: a null source is a source of its own, last in order; a null or text without words has size 0 and is taken
-0 times; an empty table gives no rows; repeated rows are documents of their own, and equal rows are interchangeable.
+0 times; an empty table gives no rows; repeated rows are documents of their own, and equal rows at the end of a fractional
+repetition share what is left to take evenly.
 """
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from dealsight.functions.scale import positions
+from dealsight.functions.scale import positions, running_sum
 from dealsight.llm.common import WORD, cut, map_batches, texts
 
 DIGITS = 3  # hexadecimal digits of a slice
@@ -64,8 +66,21 @@ def plan(docs: DataFrame, weights: Sequence[float], share: float, limit: float,
     ends = (slices.withColumn("_before", before).withColumnRenamed("_source", "_s")
             .join(filled.select(F.col("_source").alias("_s2"), "_part"), F.col("_s").eqNullSafe(F.col("_s2")))
             .where((F.col("_before") <= F.col("_part")) & (F.col("_part") < F.col("_before") + F.col("_n")))
-            .select("_s", F.col("_slice").alias("_end"), "_before"))
-    return cut(filled.join(ends, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s", "_place"))
+            .select("_s", F.col("_slice").alias("_end"), "_before", "_part"))
+    keys = docs.select(F.col("source").alias("_source"), words("text").alias("_size"), _order(seed).alias("_order"), F.md5("text").alias("_hash"))
+    ends = cut(ends)
+    at = F.col("_source").eqNullSafe(F.col("_s")) & (F.substring("_order", 1, DIGITS) == F.col("_end"))
+    keys = keys.where("_size > 0").join(_near(ends), at).groupBy("_source", "_order", "_size", "_hash", "_before", "_part").agg(F.count(F.lit(1)).alias("_c"))
+    keys = running_sum(keys, ["_source"], None, ["_order", "_size", "_hash"], F.col("_c") * F.col("_size"), "_sum")
+    left = F.col("_part") - F.col("_before") - F.col("_sum") + F.col("_c") * F.col("_size")
+    last = keys.withColumn("_left", left).where((F.col("_left") >= 0) & (F.col("_left") < F.col("_c") * F.col("_size")))
+    last = last.select(F.col("_source").alias("_s"), F.struct("_order", "_size", "_hash").alias("_end"), F.floor(F.col("_left") / F.col("_c")).alias("_each"))
+    return cut(filled.join(last, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s", "_place"))
+
+
+def _near(sources: DataFrame) -> DataFrame:
+    """Rows by source, broadcast if they are a checked, small number: then texts are not shuffled to meet them."""
+    return F.broadcast(sources) if sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else sources
 
 
 def _order(seed: str) -> Column:
@@ -79,19 +94,20 @@ def _slice(seed: str) -> Column:
 def mix(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0,
         seed: str = "mix") -> DataFrame:
     """``row`` (the document), its ``size``, ``source_size`` and ``target`` of its source, ``taken``: words the mix takes."""
-    goals = plan(docs, weights, share, limit, seed)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", F.col("doc_id").alias("_id"), words("text").alias("size"), _order(seed).alias("_order"))
-    few = goals.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
-    near = F.broadcast(goals) if few else goals  # texts are not shuffled for a checked, small number of sources
-    rows = rows.withColumn("_slice", F.substring("_order", 1, DIGITS)).join(near, F.col("source").eqNullSafe(F.col("_source")))
-    at_end = F.col("_slice").eqNullSafe(F.col("_end"))
-    whole_part = F.coalesce(F.col("_slice") < F.col("_end"), F.lit(False))
-    settled = rows.where(~at_end).withColumn("_extra", F.when(whole_part, F.col("size")).otherwise(F.lit(0)))
-    run = W.partitionBy("_source").orderBy("_order", "_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    left = F.col("_part") - F.col("_before") - (F.sum("size").over(run) - F.col("size"))
-    ordered = rows.where(at_end).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    taken = (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long")
-    return settled.unionByName(ordered).select("row", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+    goals = plan(docs, weights, share, limit, seed).withColumnRenamed("_size", "_source_size")
+    rows = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), "source", words("text").alias("size"),
+                       _order(seed).alias("_order"), F.md5("text").alias("_hash"))
+    rows = rows.join(_near(goals), F.col("source").eqNullSafe(F.col("_source")))
+    key = F.struct("_order", F.col("size").alias("_size"), "_hash")
+    extra = F.when((F.col("size") == 0) | F.col("_end").isNull() | (key > F.col("_end")), 0).when(key < F.col("_end"), F.col("size")).otherwise(F.col("_each"))
+    taken = (F.col("_whole") * F.col("size") + extra).cast("long")
+    return rows.select("row", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+
+
+def whole_documents(mixed: DataFrame) -> DataFrame:
+    """The mix with the document at the end of each fractional repetition taken whole or not at all, whichever is nearer."""
+    some = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0))
+    return mixed.withColumn("taken", (some * F.col("size")).cast("long"))
 
 
 def first_words(text: bytes, n: int) -> bytes:

@@ -59,6 +59,23 @@ def test_materialised_words_are_the_words_taken(spark):
     assert taken == {s: n for s, n in map(tuple, want) if n}
 
 
+def test_whole_documents_are_near_the_target(spark):
+    mixed = mixing.mix(documents(spark, rows_of(spark)))
+    before = {r[0]: r[1] for r in mixed.groupBy("row.source").sum("taken").collect()}
+    rows = mixing.whole_documents(mixed).select("row.source", "size", "taken").collect()
+    assert all(r.taken % r.size == 0 for r in rows if r.size)
+    for s, n in before.items():
+        assert abs(sum(r.taken for r in rows if r.source == s) - n) <= max(r.size for r in rows if r.source == s) / 2
+
+
+def test_equal_rows_share_the_rest(spark):
+    rows = [(None, prose(1, 20), "a")] * 50 + [(7, prose(2, 10), "b")] * 3 + [(8, prose(2, 10), "c")]
+    got = mixing.mix(documents(spark, rows)).select("row.source", "size", "source_size", "target", "taken").collect()
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= len(own) and all(r.taken <= 2 * r.size for r in own)
+
+
 def test_first_words():
     assert mixing.first_words(b"  a\n b  c", 2) == b"  a\n b"
 
