@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealsight.functions.scale import checkpoint_folder
+from dealsight.functions.scale import checkpoint_folder, remove
 from dealsight.llm import minhash, mixing, packing, pii, rules
 from dealsight.llm.queries import packing_vocabulary, table
 
@@ -33,8 +33,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Repeat the documents as the target weights of their sources ask."""
-    return mixing.materialise(mixing.mix(docs))
+    """Repeat the documents as the target weights of their sources ask; none is cut."""
+    return mixing.materialise(mixing.whole_documents(mixing.mix(docs)))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -60,3 +60,5 @@ def run(spark: SparkSession, folder: str) -> DataFrame:
             return kept
         kept.write.parquet(f"{out}/{name}")
         docs = spark.read.parquet(f"{out}/{name}")
+        if k:
+            remove(spark, f"{out}/{STAGES[k - 1][0]}")
