@@ -44,7 +44,12 @@ def test_stages(spark, folder, tmp_path):
         assert not pii.base_spans(r.text) and (pii.base_spans(before[r.doc_id]) or "[" in r.text or r.text == before[r.doc_id])
     words = sum(len(WORD.findall(r.text)) for r in seen["personal_data"])
     mixed = sum(len(WORD.findall(r.text)) for r in seen["source_mixing"])
-    assert abs(mixed - 1.5 * words) <= 4
+    # the fractional repetition of each of the two sources ends with a whole document or without it
+    size = {r.doc_id: len(WORD.findall(r.text)) for r in seen["personal_data"]}
+    largest = [max(size[r.doc_id] for r in seen["personal_data"] if r.source == s) for s in {r.source for r in seen["personal_data"]}]
+    assert abs(mixed - 1.5 * words) <= sum(largest) / 2 + 4
+    whole = {r.doc_id: r.text for r in seen["personal_data"]}
+    assert all(r.text == whole[r.doc_id] for r in seen["source_mixing"])
     ids_of = packing.WordIds(queries.packing_vocabulary())
     tokens = sum(len(ids_of.encode(r.text)) // 4 + 1 for r in seen["source_mixing"])
     assert sum(r.length for r in seen["best_fit_packing"]) == tokens
