@@ -13,6 +13,10 @@ inverted lists, ordered by what a position leaves, and a probe stops where that
 candidate counts its overlaps with all sets of the tile.  A set that differs from such a leader by at most a quarter takes
 over the leader's overlaps and corrects them only by the lists of the shingles in which both differ.
 
+Before sets are sent to a tile, it sees their histograms: how many shingles of a set fall into each of about n / 3 buckets of
+the hash.  The sum of the smaller counts is never less than the intersection, so a set none of whose sums reaches what a link
+needs leaves the tile.
+
 A tile reports each set's number of links and the links that join its components, never all pairs.  Zones over ``CHUNK`` sets
 or ``CHUNK_SHINGLES`` shingles are dealt into chunks, and every two chunks meet in a task of their own.  Nothing is capped.
 
@@ -27,14 +31,14 @@ those of all its texts; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dealsight.llm.common import bit_of, bit_table, bits_set, cut, map_batches, texts
+from dealsight.llm.common import bit_of, bit_table, bits_set, cut, map_batches, release, texts
 from dealsight.llm.graph import components, tiles
 from dealsight.llm.minhash import normal, shingle_hashes
 
@@ -67,6 +71,12 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def histogram(shingles: np.ndarray) -> np.ndarray:
+    """Shingles by the low bits of their hash, in n / 4 to n / 2 buckets, a power of two and 16 at least."""
+    size = max(16, 1 << (len(shingles) // 2).bit_length() >> 1)
+    return np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size).astype("<u2")
+
+
 def prefix_length(n: int) -> int:
     return n - -(-PART * n // WHOLE) + 1
 
@@ -80,12 +90,16 @@ def commonness(docs: DataFrame) -> np.ndarray:
     """For every hash bucket: 0, or the logarithm of its count if it stands out.  ``BUCKETS`` numbers, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, table = Shingles(), np.zeros(BUCKETS, np.int64)
+        shingles, table, held, size = Shingles(), np.zeros(BUCKETS, np.int64), [], 0
         for b in batches:
             for text in texts(b):
-                table += np.bincount(bucket(shingles.of(text)), minlength=BUCKETS) if len(text) > PIECE * 64 else 0
-                if len(text) <= PIECE * 64:
-                    np.add.at(table, bucket(shingles.of(text)), 1)
+                held.append(bucket(shingles.of(text)))
+                size += len(held[-1])
+                if size > BUCKETS:
+                    table += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, size = [], 0
+        if held:
+            table += np.bincount(np.concatenate(held), minlength=BUCKETS)
         parts = [p.astype("<u4").tobytes() for p in np.split(table, BUCKETS // PIECE)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts)], ["piece", "counts"])
 
@@ -106,7 +120,7 @@ def commonness(docs: DataFrame) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, key (digest of the set), n, its prefix in order, and how many of the prefix are not common."""
+    """doc_id, key (digest of the set), n, its prefix in order, how many of the prefix are not common, and its histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -117,12 +131,12 @@ def sketches(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 kind = common[bucket(s)]
                 k = prefix_length(len(s)) if len(s) else 0
                 first = np.lexsort((s, kind))[:k]
-                rows.append((digest(s), len(s), s[first].view(np.int64), int((kind[first] == 0).sum())))
-            kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int32()]
+                rows.append((digest(s), len(s), s[first].view(np.int64), int((kind[first] == 0).sum()), histogram(s).tobytes()))
+            kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
             if rows:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], ["doc_id", "key", "n", "prefix", "rare"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], ["doc_id", "key", "n", "prefix", "rare", "hist"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key binary, n long, prefix array<long>, rare int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key binary, n long, prefix array<long>, rare int, hist binary")
 
 
 def shared_entries(classes: DataFrame) -> DataFrame:
@@ -181,9 +195,71 @@ def meetings(live: DataFrame, sizes: DataFrame) -> DataFrame:
     return own.unionByName(met).join(sizes, "rep")
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, key, c, shingles) of the wanted classes.  A bit table skips most other texts."""
-    wanted = cut(wanted)
+def by_tile(batches: Iterator[pa.RecordBatch], fn: Callable[[list[int], list[tuple]], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    """``fn`` on the rows of each tile of a partition that is sorted by the first four columns."""
+    held, now = [], None
+    for b in batches:
+        for row in zip(*[b.column(k).to_pylist() for k in range(b.num_columns)]):
+            if row[:4] != now and held:
+                if (r := fn(now, held)):
+                    yield r
+                held = []
+            now = row[:4]
+            held.append(row[4:])
+    if held and (r := fn(now, held)):
+        yield r
+
+
+TILE = ["z1", "z2", "i", "j"]
+
+
+def within(at: tuple) -> bool:
+    """Whether a tile joins one chunk with itself."""
+    return at[0] == at[1] and at[2] == at[3]
+
+
+def may_link(hists: list[np.ndarray], n: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+    """Which sets have a partner whose histogram leaves room for a link."""
+    width = np.array([len(h) for h in hists])
+    hit = np.zeros(len(n), bool)
+    for size in np.unique(width):
+        # sizes of linked sets differ by a quarter, so widths by a factor of two at most
+        some = np.flatnonzero((width == size) | (width == 2 * size))
+        table = np.stack([hists[k].reshape(-1, size).sum(0) for k in some])
+        for x in np.flatnonzero(width[some] == size):
+            me = some[x]
+            ok = (n[some] * WHOLE >= n[me] * PART) & (n[some] * PART <= n[me] * WHOLE) & (some != me)
+            if side is not None:
+                ok &= side[some] != side[me]
+            if hit[me]:
+                ok &= ~hit[some]
+            at = np.flatnonzero(ok)
+            if len(at):
+                at = at[np.minimum(table[at], table[x]).sum(1) >= least_overlap(n[some[at]], n[me])]
+                hit[some[at]] = True
+                hit[me] |= len(at) > 0
+    return hit
+
+
+def survivors(dealt: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of the tiles (with key and c) that may have a link in them."""
+
+    def tile(at: tuple, rows: list[tuple]) -> pa.RecordBatch | None:
+        side, rep, key, c, n, hists = zip(*rows)
+        hit = may_link([np.frombuffer(h, "<u2").astype(np.int64) for h in hists], np.array(n), None if within(at) else np.array(side))
+        some = np.flatnonzero(hit).tolist()
+        if not some:
+            return None
+        columns = [pa.array([at[k]] * len(some), t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+        columns += [pa.array([col[k] for k in some], t) for col, t in ((side, pa.int32()), (rep, pa.int64()), (key, pa.binary()), (c, pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, [*TILE, "side", "rep", "key", "c"])
+
+    rows = dealt.join(classes.select("rep", "key", "c", "n", "hist"), "rep").select(*TILE, "side", "rep", "key", "c", "n", "hist").repartition(*TILE)
+    return rows.sortWithinPartitions(*TILE).mapInArrow(lambda b: by_tile(b, tile), "z1 long, z2 long, i int, j int, side int, rep long, key binary, c long")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, key, shingles), perhaps repeatedly, of the wanted reps and some others; a bit table skips most other texts."""
     bits, table = bit_table(wanted, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +272,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
                     yield pa.RecordBatch.from_arrays([some.column("rep").slice(k, 1), pa.array([digest(s)]), pa.array([s.tobytes()], pa.binary())], ["rep", "key", "shingles"])
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), "text")
-    some = rows.withColumn("_bit", bit_of("rep", bits)).mapInArrow(run, "rep long, key binary, shingles binary")
-    known = classes.join(wanted, "rep", "left_semi").select("rep", "key", "c")
-    return some.join(known, ["rep", "key"]).dropDuplicates(["rep", "key"])
+    return rows.withColumn("_bit", bit_of("rep", bits)).mapInArrow(run, "rep long, key binary, shingles binary")
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -279,11 +353,12 @@ LINKS = "key binary, a long, b long, links long"
 def tile_links(members: DataFrame) -> DataFrame:
     """Rows with ``links``: documents linked with class ``key`` in a tile; rows with (a, b): links that join its components."""
 
-    def tile(at: list[int], rows: list[tuple]) -> pa.RecordBatch | None:
-        reps, sides, keys, copies, raw = zip(*rows)
+    def tile(at: tuple, rows: list[tuple]) -> pa.RecordBatch | None:
+        # rows that repeat id and words give the same set again
+        sides, reps, keys, copies, raw = zip(*{row[:3]: row for row in rows}.values())
         sets = [np.frombuffer(s, np.uint64) for s in raw]
         side = np.array(sides)
-        links, root = np.zeros(len(rows), np.int64), list(range(len(rows)))
+        links, root = np.zeros(len(sets), np.int64), list(range(len(sets)))
         copies = np.array(copies)
         edges = []
 
@@ -292,7 +367,7 @@ def tile_links(members: DataFrame) -> DataFrame:
                 root[x] = x = root[root[x]]
             return x
 
-        for x, linked in join_tile(sets, None if at[0] == at[1] and at[2] == at[3] else side):
+        for x, linked in join_tile(sets, None if within(at) else side):
             links[x] += copies[linked].sum()
             links[linked] += copies[x]
             for y in linked.tolist():
@@ -309,35 +384,24 @@ def tile_links(members: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in some] + none, pa.binary()), pa.array(blank + a, pa.int64()), pa.array(blank + b, pa.int64()),
                                            pa.array(links[some].tolist() + none, pa.int64())], ["key", "a", "b", "links"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for b in batches:
-            for *at, rep, side, key, copies, raw in zip(*[b.column(k).to_pylist() for k in range(b.num_columns)]):
-                if at != now and held:
-                    if (r := tile(now, held)):
-                        yield r
-                    held = []
-                now = at
-                held.append((rep, side, key, copies, raw))
-        if held and (r := tile(now, held)):
-            yield r
-
-    at = ["z1", "z2", "i", "j"]
-    rows = members.select(*at, "rep", "side", "key", "c", "shingles").repartition(*at).sortWithinPartitions(*at)
-    return rows.mapInArrow(run, LINKS)
+    rows = members.select(*TILE, "side", "rep", "key", "c", "shingles").repartition(*TILE).sortWithinPartitions(*TILE)
+    return rows.mapInArrow(lambda b: by_tile(b, tile), LINKS)
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other rows it is linked with) of every row."""
-    rows = cut(sketches(docs, commonness(docs)))
+    sketch = cut(sketches(docs, commonness(docs)))
+    rows = cut(sketch.select("doc_id", "key", "n"))
+    live = sketch.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    first = F.min(F.struct("doc_id", "n", "prefix", "rare", "hist")).alias("f")
+    classes = cut(live.groupBy("key").agg(first, F.count(F.lit(1)).alias("c")).select("key", "c", F.col("f.doc_id").alias("rep"), "f.n", "f.prefix", "f.rare", "f.hist"))
+    release(sketch)
     live = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    first = F.min(F.struct("doc_id", "n", "prefix", "rare")).alias("f")
-    classes = cut(live.groupBy("key").agg(first, F.count(F.lit(1)).alias("c")).select("key", "c", F.col("f.doc_id").alias("rep"), "f.n", "f.prefix", "f.rare"))
     entries = cut(shared_entries(classes))
     sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
     dealt = cut(tiles(meetings(entries, sizes), CHUNK, CHUNK_SHINGLES))
-    sets = sets_of(docs, classes, dealt.select("rep").distinct())
-    links = cut(tile_links(dealt.join(sets, "rep")))
+    close = cut(survivors(dealt, classes))
+    links = cut(tile_links(close.join(sets_of(docs, cut(close.select("rep").distinct())), ["rep", "key"])))
 
     placed = cut(live.select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key").select("doc_id", "rep"))
     low = placed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_z")).where("a < _z").drop("_z")

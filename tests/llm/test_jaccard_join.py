@@ -100,6 +100,21 @@ def test_tile_finds_every_link_and_only_links(spark):
         assert got == sorted(want)
 
 
+def test_histograms_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for trial in range(60):
+        base = rng.integers(0, 2**63, rng.integers(1, 400), dtype=np.uint64)
+        sets = [np.unique(np.r_[base[: int(len(base) * rng.uniform(0.6, 1)) + 1], rng.integers(0, 2**63, rng.integers(0, 1 + len(base) // 4), dtype=np.uint64)]) for _ in range(12)]
+        sets += [np.unique(rng.integers(0, 2**63, len(base), dtype=np.uint64)) for _ in range(6)]
+        side = rng.integers(0, 2, len(sets)) if trial % 2 else None
+        hit = jaccard.may_link([jaccard.histogram(s).astype(np.int64) for s in sets], np.array([len(s) for s in sets]), side)
+        linked = {k for x, ys in jaccard.join_tile(sets, side) for k in (x, *ys.tolist())}
+        assert linked <= set(np.flatnonzero(hit).tolist())
+        ruled_out += int((~hit).sum())
+    assert ruled_out > 100
+
+
 def test_variants_make_few_rows(spark):
     rows = variants(8, prose(60, 200), 300, 4, 0)
     docs = documents(spark, rows)
