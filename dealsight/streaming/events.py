@@ -64,15 +64,42 @@ def topic_routing(events: DataFrame, routes: Mapping[str, str], topic: str = "to
     return events.withColumn("handler", F.explode(F.filter(hit, lambda x: x.isNotNull())))
 
 
-def route_stream(events: DataFrame, handlers: Mapping[str, Callable[[DataFrame], None]], routes: Mapping[str, str], checkpoint: str):
-    """Fan a stream out to per-handler callables batch by batch."""
-    def each(batch: DataFrame, _id: int) -> None:
-        for h, fn in handlers.items():
-            fn(batch.filter(topic_match(F.col("topic"), routes[h])))
+def route_stream(events: DataFrame, handlers: Mapping[str, Callable[[DataFrame], DataFrame | None]], routes: Mapping[str, str], checkpoint: str,
+                 stats: str | None = None):
+    """Fan a stream out to per-handler callables batch by batch; a batch is read once.
+
+    A handler may return its events with ``error``, null where all went well; else all of them count as processed.  If it
+    raises, all count as errors, the other handlers still run, and the batch fails after that.  ``stats`` is a folder for the
+    counts: (handler, processed, errors) for each batch, written again if the batch is run again.
+    """
+    def each(batch: DataFrame, number: int) -> None:
+        held, counts, raised = batch.persist(), [], []
+        try:
+            for h, fn in handlers.items():
+                own = held.filter(topic_match(F.col("topic"), routes[h]))
+                try:
+                    done = fn(own)
+                    errors = 0 if done is None else done.filter(F.col("error").isNotNull()).count()
+                except Exception as e:  # counted, then raised for all handlers together
+                    raised.append(e)
+                    errors = None
+                n = own.count()
+                counts.append((h, 0, n) if errors is None else (h, n - errors, errors))
+            if stats:
+                batch.sparkSession.createDataFrame(counts, "handler string, processed long, errors long").coalesce(1).write.mode("overwrite").parquet(f"{stats}/batch={number}")
+        finally:
+            held.unpersist()
+        if raised:
+            raise ExceptionGroup("handlers failed", raised)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def handler_stats(spark: SparkSession, stats: str) -> DataFrame:
+    """Processed and failed events of every handler, over all batches."""
+    return spark.read.parquet(stats).groupBy("handler").agg(F.sum("processed").alias("processed"), F.sum("errors").alias("errors"))
+
+
 def signal_window(signals: DataFrame, types: Sequence[str] = (), watermark: str | None = None) -> DataFrame:
     """Signals per company in sliding 24 h windows that start each hour."""
     d = signals.filter(F.col("signal_type").isin(list(types))) if types else signals
@@ -109,7 +136,8 @@ def rescore_triggers(events: DataFrame, key: str = "company_id", ts: str = "ts",
 
 
 def rescore_stream(events: DataFrame, key: str = "company_id", ts: str = "ts", tie: str = "event_id", need: int = 3, cooldown_hours: int = 1) -> DataFrame:
-    """I4 on a stream: per-key state is (count, last trigger); rows of a batch are taken in event order."""
+    """I4 on a stream that arrives in order, answered at once: per-key state is (count, last trigger), and only rows of one
+    batch are put in event order.  For streams out of order see ``ordered.rescore``."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -252,7 +280,8 @@ def watchlist_tiers(rows: DataFrame) -> DataFrame:
 
 
 def watchlist_stream(scores: DataFrame, add: float = 70.0, remove: float = 50.0, key: str = "company_id", ts: str = "ts") -> DataFrame:
-    """I6 on a stream: per-key state is (member, entry score, peak); rows of a batch are taken in time order."""
+    """I6 on a stream that arrives in order, answered at once: per-key state is (member, entry score, peak), and only rows of
+    one batch are put in time order.  For streams out of order see ``ordered.watchlist``."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
