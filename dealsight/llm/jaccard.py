@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dealsight.llm.common import bit_of, bit_table, bits_set, cut, map_batches, release, texts
+from dealsight.llm.common import bit_of, bit_table, bits_set, cut, in_arrow, release, texts
 from dealsight.llm.graph import components, tiles
 from dealsight.llm.minhash import normal, shingle_hashes
 
@@ -113,7 +113,7 @@ def commonness(docs: DataFrame) -> np.ndarray:
 
     form = "piece int, counts binary"
     counts = np.zeros(BUCKETS, np.int64)
-    for r in docs.select("text").where(F.col("text").isNotNull()).mapInArrow(count, form).repartition("piece").mapInArrow(add, form).toLocalIterator():
+    for r in in_arrow(in_arrow(docs.select("text").where(F.col("text").isNotNull()), count, form).repartition("piece"), add, form).toLocalIterator():
         counts[r[0] * PIECE:(r[0] + 1) * PIECE] = np.frombuffer(r[1], np.int64)
     usual = counts.mean()
     return np.where(counts > usual + 6 * np.sqrt(usual) + 8, np.ceil(np.log2(np.maximum(counts, 2))), 0).astype(np.uint8)
@@ -136,7 +136,7 @@ def sketches(docs: DataFrame, common: np.ndarray) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], ["doc_id", "key", "n", "prefix", "rare", "hist"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key binary, n long, prefix array<long>, rare int, hist binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, key binary, n long, prefix array<long>, rare int, hist binary")
 
 
 def shared_entries(classes: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def shared_entries(classes: DataFrame) -> DataFrame:
 
     form = "token long, rep long, n long, pos long, hub long"
     rare = entries.where("pos < rare").select("token", "rep", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
-    rare = rare.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(runs, form)
+    rare = in_arrow(rare.repartition("token").sortWithinPartitions("token", "rep"), runs, form)
     often = entries.where("pos >= rare").select("token", "rep", "n", F.col("pos").cast("long").alias("pos"))
     hubs = often.groupBy("token").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
     return rare.unionByName(often.join(hubs, "token"))
@@ -255,7 +255,7 @@ def survivors(dealt: DataFrame, classes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, [*TILE, "side", "rep", "key", "c"])
 
     rows = dealt.join(classes.select("rep", "key", "c", "n", "hist"), "rep").select(*TILE, "side", "rep", "key", "c", "n", "hist").repartition(*TILE)
-    return rows.sortWithinPartitions(*TILE).mapInArrow(lambda b: by_tile(b, tile), "z1 long, z2 long, i int, j int, side int, rep long, key binary, c long")
+    return in_arrow(rows.sortWithinPartitions(*TILE), lambda b: by_tile(b, tile), "z1 long, z2 long, i int, j int, side int, rep long, key binary, c long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([some.column("rep").slice(k, 1), pa.array([digest(s)]), pa.array([s.tobytes()], pa.binary())], ["rep", "key", "shingles"])
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), "text")
-    return rows.withColumn("_bit", bit_of("rep", bits)).mapInArrow(run, "rep long, key binary, shingles binary")
+    return in_arrow(rows.withColumn("_bit", bit_of("rep", bits)), run, "rep long, key binary, shingles binary")
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -385,7 +385,7 @@ def tile_links(members: DataFrame) -> DataFrame:
                                            pa.array(links[some].tolist() + none, pa.int64())], ["key", "a", "b", "links"])
 
     rows = members.select(*TILE, "side", "rep", "key", "c", "shingles").repartition(*TILE).sortWithinPartitions(*TILE)
-    return rows.mapInArrow(lambda b: by_tile(b, tile), LINKS)
+    return in_arrow(rows, lambda b: by_tile(b, tile), LINKS)
 
 
 def similar(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from dealsight.llm.common import bit_of, bit_table, bits_set, cut, map_batches, release, texts
+from dealsight.llm.common import bit_of, bit_table, bits_set, cut, in_arrow, map_batches, release, texts
 from dealsight.llm.graph import components, tiles
 
 WORDS, LIMIT = 5, (75, 100)  # shingle length; links have intersection * 100 >= union * 75
@@ -203,7 +203,7 @@ def with_partner(members: DataFrame) -> DataFrame:
     m = m.withColumn("_t", F.explode(F.sequence(F.lit(0), blocks - 1)))
     m = m.withColumn("lo", F.least("block", "_t")).withColumn("hi", F.greatest("block", "_t"))
     m = m.select(*[c.split()[0] for c in MEMBER.split(", ")]).repartition("bucket", "lo", "hi")
-    return m.sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "z1 long, z2 long, side int, rep long").distinct()
+    return in_arrow(m.sortWithinPartitions("bucket", "lo", "hi"), run, "z1 long, z2 long, side int, rep long").distinct()
 
 
 def exact_ids(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +279,7 @@ def tile_links(members: DataFrame) -> DataFrame:
 
     at = ["z1", "z2", "i", "j"]
     rows = members.select(*at, "node", "side", "comp", "sig", "text").repartition(*at)
-    return rows.sortWithinPartitions(*at).mapInArrow(run, "a long, b long")
+    return in_arrow(rows.sortWithinPartitions(*at), run, "a long, b long")
 
 
 class Sets:
@@ -339,7 +339,7 @@ def hub_links(star: DataFrame, known: DataFrame) -> DataFrame:
     rows = star.join(shares, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("s")).cast("int").alias("share"), F.lit(1).alias("own"), "node")
     hubs = shares.select("hub", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("share"), F.lit(0).alias("own"), F.col("hub").alias("node"))
     rows = rows.unionByName(hubs).join(known, "node").repartition("hub", "share").sortWithinPartitions("hub", "share", "own")
-    return rows.mapInArrow(run, "a long, b long")
+    return in_arrow(rows, run, "a long, b long")
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from dealsight.functions.scale import top_per_key
-from dealsight.llm.common import cut, map_batches, texts
+from dealsight.llm.common import cut, in_arrow, map_batches, texts
 
 TOP = 10
 ITEMS, TERMS = 512, 1 << 16
@@ -113,7 +113,7 @@ def index(docs: DataFrame) -> DataFrame:
         for width, rows in held.items():
             yield group(width, rows)
 
-    return keyed(docs).mapInArrow(run, INDEX)
+    return in_arrow(keyed(docs), run, INDEX)
 
 
 class Block:
@@ -174,7 +174,7 @@ def document_counts(docs: DataFrame, block: Block) -> dict[int, int]:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([place[w] for w in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
 
-    counts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "term long, n long")
+    counts = in_arrow(docs.select("text").where(F.col("text").isNotNull()), run, "term long, n long")
     return {r[0]: r[1] for r in counts.groupBy("term").agg(F.sum("n")).collect()}  # at most one row for each term of the block
 
 
@@ -202,7 +202,7 @@ def highest(slices: DataFrame, block: Block, keep: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.int32()), pa.array(bound[item, at]), pa.array(ids[item, at].tolist(), pa.int64()), pa.array(digests[item, at])],
                                              ["item", "bound", "doc_id", "digest"])
 
-    found = slices.mapInArrow(run, "item int, bound long, doc_id long, digest long").dropDuplicates(["item", "doc_id", "digest"])
+    found = in_arrow(slices, run, "item int, bound long, doc_id long, digest long").dropDuplicates(["item", "doc_id", "digest"])
     found = top_per_key(found, ["item"], [F.col("bound").desc(), F.col("doc_id"), F.col("digest")], keep)
     return found.groupBy("doc_id", "digest").agg(F.collect_list("item").alias("items"))
 
