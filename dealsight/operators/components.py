@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsight.functions.bands import above, at_least, below, clamp, first_match, lookup, points, tidy, truthy
-from dealsight.functions.clock import at, decay_weight, whole_days
+from dealsight.functions.clock import DEFAULT_HALF_LIFE, at, decay_weight, whole_days
 from dealsight.functions.scale import latest_per_key, top_per_key
 
 # ---- fixed values -----------------------------------------------------------
@@ -58,7 +58,7 @@ def signal_decay(signals: DataFrame, as_of, half_life: Column | float, ts: str =
             .withColumn("decayed", F.col(score) * F.col("weight")))
 
 
-def asset_scores(assets: DataFrame, as_of) -> DataFrame:
+def asset_scores(assets: DataFrame, as_of, half_life: float = DEFAULT_HALF_LIFE) -> DataFrame:
     """Score of each programme before it is rolled up."""
     pop, days = F.col("patient_population"), whole_days(F.col("last_update").cast("timestamp_ntz"), at(as_of))
     small = F.when(F.col("orphan"), F.lit(5)).otherwise(F.lit(-5))
@@ -67,13 +67,13 @@ def asset_scores(assets: DataFrame, as_of) -> DataFrame:
              + F.coalesce(market, F.lit(0)))
     for flag, pts in DESIGNATION_POINTS.items():
         score = score + points(F.col(flag), pts)
-    score = F.when(F.col("last_update").isNull(), score).otherwise(score * decay_weight(days))
+    score = F.when(F.col("last_update").isNull(), score).otherwise(score * decay_weight(days, half_life))
     return assets.withColumn("asset_score", F.least(score, F.lit(100.0)))
 
 
-def asset_component(assets: DataFrame, as_of) -> DataFrame:
+def asset_component(assets: DataFrame, as_of, half_life: float = DEFAULT_HALF_LIFE) -> DataFrame:
     """Programme value per company from active assets."""
-    scored = asset_scores(assets.filter("is_active"), as_of)
+    scored = asset_scores(assets.filter("is_active"), as_of, half_life)
     base = weighted_top(scored, "company_id", "asset_score", ASSET_TOP_WEIGHTS)
     bonus = F.least(F.col("n") * 2, F.lit(15))
     return base.select("company_id", tidy(F.least(F.col("base") + bonus, F.lit(100.0))).alias("score"),
@@ -96,7 +96,12 @@ def patent_component(patents: DataFrame, as_of, key: str = "company_id") -> Data
 
 def financial_component(financials: DataFrame, as_of) -> DataFrame:
     """Financing pressure and valuation on the newest row per company."""
-    f = latest_per_key(financials, ["company_id"], ["as_of_date"])
+    f = financial_scores(latest_per_key(financials, ["company_id"], ["as_of_date"]), as_of)
+    return f.select("company_id", "score", "runway_months", "months_to_catalyst", F.col("as_of_date").alias("last_updated"))
+
+
+def financial_scores(f: DataFrame, as_of) -> DataFrame:
+    """E4's score of each row."""
     cap, burn = F.col("market_cap"), F.col("burn_rate")
     runway = F.when(burn > 0, F.col("cash") / burn).otherwise(F.lit(999.0))
     f = f.withColumn("runway_months", runway).withColumn(
@@ -105,29 +110,30 @@ def financial_component(financials: DataFrame, as_of) -> DataFrame:
     catalyst = first_match([((m > 0) & (m < run - 3), 10), ((m > 0) & (m < run + 3), 25), (m > run, 40)], 0)
     total = (below(run, RUNWAY_BAND, 20) * 0.4 + catalyst * 0.2 + below(cap, CAP_BAND, 10) * 0.3
              + above(F.col("revenue"), REVENUE_BAND, 0) * 0.1)
-    return f.select("company_id", F.when(cap > 0, tidy(F.least(total, F.lit(100.0)))).otherwise(F.lit(0.0)).alias("score"),
-                    "runway_months", "months_to_catalyst", F.col("as_of_date").alias("last_updated"))
+    return f.withColumn("score", F.when(cap > 0, tidy(F.least(total, F.lit(100.0)))).otherwise(F.lit(0.0)))
 
 
-def insider_component(transactions: DataFrame, holdings: DataFrame, as_of, lookback: str = "INTERVAL 1 YEAR") -> DataFrame:
-    """E5: 50 plus decayed signed points of trades and holding changes."""
-    now = at(as_of)
-    start = now - F.expr(lookback)
+def insider_feed(transactions: DataFrame, holdings: DataFrame) -> DataFrame:
+    """company_id, ts, points of every trade and holding change."""
     amt, ex = F.col("amount"), F.col("is_executive")
     buy = F.when(ex, 5).otherwise(3) + above(amt, PURCHASE_SIZE, 0)
     sell = -(F.when(ex, 3).otherwise(1) + above(amt, SALE_SIZE, 0))
     trade_points = first_match([(F.col("transaction_type") == "purchase", buy),
                                 ((F.col("transaction_type") == "sale") & ~F.col("is_planned"), sell)], 0)
-    trades = (transactions.filter(F.col("transaction_date") >= start)
-              .select("company_id", F.col("transaction_date").alias("ts"), trade_points.alias("points")))
+    trades = transactions.select("company_id", F.col("transaction_date").alias("ts"), trade_points.alias("points"))
     chg, act = F.col("position_change_pct"), F.col("is_activist")
     gain = F.when(act, 8).otherwise(4) + above(chg, [(50, 10), (20, 5)], 0)
     loss = -(F.when(act, 6).otherwise(3) + points(chg < -50, 8))
-    moves = (holdings.filter(F.col("filing_date") >= start)
-             .select("company_id", F.col("filing_date").alias("ts"),
-                     first_match([(chg > 0, gain), (chg < 0, loss)], 0).alias("points")))
-    feed = trades.unionByName(moves)
-    weight = decay_weight(whole_days(F.col("ts"), now))
+    moves = holdings.select("company_id", F.col("filing_date").alias("ts"), first_match([(chg > 0, gain), (chg < 0, loss)], 0).alias("points"))
+    return trades.unionByName(moves)
+
+
+def insider_component(transactions: DataFrame, holdings: DataFrame, as_of, lookback: str = "INTERVAL 1 YEAR",
+                      half_life: float = DEFAULT_HALF_LIFE) -> DataFrame:
+    """E5: 50 plus decayed signed points of trades and holding changes."""
+    now = at(as_of)
+    feed = insider_feed(transactions, holdings).filter(F.col("ts") >= now - F.expr(lookback))
+    weight = decay_weight(whole_days(F.col("ts"), now), half_life)
     return (feed.groupBy("company_id")
             .agg(F.sum(F.col("points") * weight).alias("_p"), F.count(F.lit(1)).alias("signals"),
                  F.max("ts").alias("last_updated"))
@@ -141,21 +147,33 @@ def issue_counts(issues: DataFrame, as_of) -> DataFrame:
                  F.count_if(F.col("issue_type") == "warning_letter").alias("warning_letters")))
 
 
-def regulatory_component(pathways: DataFrame, interactions: DataFrame, issues: DataFrame, as_of) -> DataFrame:
-    """Pathway base + decayed interaction points - penalties."""
+def talk_feed(interactions: DataFrame) -> DataFrame:
+    """company_id, ts, points of every contact with a regulator."""
     out, kind = F.lower("outcome"), F.lower("interaction_type")
     good = out.contains("positive") | out.contains("agreement")
     pts = first_match([(good & kind.contains("spa"), 15), (good & kind.contains("meeting"), 10), (good, 5),
                        (out.contains("complete response"), -20)], 0)
-    talks = (interactions.filter(F.col("interaction_date") >= at(as_of) - F.expr("INTERVAL 2 YEARS"))
+    return interactions.select("company_id", F.col("interaction_date").alias("ts"), pts.alias("points"))
+
+
+def regulatory_component(pathways: DataFrame, interactions: DataFrame, issues: DataFrame, as_of,
+                         half_life: float = DEFAULT_HALF_LIFE) -> DataFrame:
+    """Pathway base + decayed interaction points - penalties."""
+    weight = decay_weight(whole_days(F.col("ts"), at(as_of)), half_life)
+    talks = (talk_feed(interactions).filter(F.col("ts") >= at(as_of) - F.expr("INTERVAL 2 YEARS"))
              .groupBy("company_id")
-             .agg(F.sum(pts * decay_weight(whole_days(F.col("interaction_date"), at(as_of)))).alias("_talk"),
-                  F.count(F.lit(1)).alias("signals"), F.max("interaction_date").alias("last_updated")))
-    base = pathways.select("company_id", lookup(F.lower("regulatory_pathway"), PATHWAY_BASE, 50).alias("_base"))
+             .agg(F.sum(F.col("points") * weight).alias("_talk"),
+                  F.count(F.lit(1)).alias("signals"), F.max("ts").alias("last_updated")))
+    return regulatory_scores(pathways, talks, issue_counts(issues, as_of))
+
+
+def regulatory_scores(pathways: DataFrame, talks: DataFrame, issues: DataFrame, key: str = "company_id") -> DataFrame:
+    """E6's score from each company's decayed points and counts of issues."""
+    base = pathways.select(key, lookup(F.lower("regulatory_pathway"), PATHWAY_BASE, 50).alias("_base"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     total = (F.col("_base") + z("_talk") - z("clinical_holds") * HOLD_PENALTY - z("warning_letters") * WARNING_PENALTY)
-    return (base.join(talks, "company_id", "left").join(issue_counts(issues, as_of), "company_id", "left")
-            .select("company_id", tidy(clamp(total, 0.0, 100.0)).alias("score"), z("signals").alias("signals"),
+    return (base.join(talks, key, "left").join(issues, key, "left")
+            .select(key, tidy(clamp(total, 0.0, 100.0)).alias("score"), z("signals").alias("signals"),
                     "last_updated"))
 
 
@@ -188,6 +206,11 @@ def weights_table(spark, weights: Mapping[str, tuple[float, float]] = DEFAULT_WE
                                  "component string, weight double, enabled boolean, half_life double")
 
 
+def half_lives_of(weights: DataFrame) -> dict[str, float]:
+    """The half-life of each enabled component that names one; one row a component."""
+    return {r[0]: r[1] for r in weights.filter("enabled AND half_life > 0").select("component", "half_life").collect()}
+
+
 def normalize_weights(weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Enabled weights divided by their total (per ``by`` profile).
 
@@ -235,19 +258,28 @@ def long_components(parts: Mapping[str, DataFrame]) -> DataFrame:
 
 def batch_scores(companies: DataFrame, assets: DataFrame, patents: DataFrame, financials: DataFrame,
                  transactions: DataFrame, holdings: DataFrame, pathways: DataFrame, interactions: DataFrame,
-                 issues: DataFrame, acquirers: DataFrame, weights: DataFrame, as_of_deals, as_of_events) -> DataFrame:
+                 issues: DataFrame, acquirers: DataFrame, weights: DataFrame, as_of_deals, as_of_events,
+                 half_lives: Mapping[str, float] | None = None) -> DataFrame:
     """Every component for the whole universe in one job; ids not in
-    ``companies`` drop out, companies without rows in a feed score that feed's neutral value."""
+    ``companies`` drop out, companies without rows in a feed score that feed's neutral value.
+
+    ``half_lives`` gives components a half-life of their own (U1), see ``half_lives_of``; the others keep the common one.
+    """
+    own = lambda name: {"half_life": float(half_lives[name])} if half_lives and name in half_lives else {}
     parts = {
-        "pipeline": (asset_component(assets, as_of_deals), 0.0), "patent": (patent_component(patents, as_of_deals), 0.0),
-        "financial": (financial_component(financials, as_of_deals).drop("last_updated"), 0.0), "insider": (insider_component(transactions, holdings, as_of_events), 50.0),
+        "pipeline": (asset_component(assets, as_of_deals, **own("pipeline")), 0.0), "patent": (patent_component(patents, as_of_deals), 0.0),
+        "financial": (financial_component(financials, as_of_deals).drop("last_updated"), 0.0), "insider": (insider_component(transactions, holdings, as_of_events, **own("insider")), 50.0),
         "strategic_fit": (strategic_fit_component(companies, acquirers), 50.0),
-        "regulatory": (regulatory_component(pathways, interactions, issues, as_of_events), 50.0),
+        "regulatory": (regulatory_component(pathways, interactions, issues, as_of_events, **own("regulatory")), 50.0),
     }
+    return composite_score(complete_components(companies, parts), weights, as_of_events)
+
+
+def complete_components(companies: DataFrame, parts: Mapping[str, tuple[DataFrame, float]]) -> DataFrame:
+    """Long component rows with the neutral value of each feed for companies it does not know."""
     found = long_components({name: df for name, (df, _) in parts.items()})
     # one read of the companies, each with a neutral row per feed, meets the stacked results once
     neutral = F.array(*[F.struct(F.lit(name).alias("component"), F.lit(float(value)).alias("_score"),
                                  F.lit(0 if "signals" in df.columns else 1).cast("bigint").alias("_signals")) for name, (df, value) in parts.items()])
     rows = companies.select("company_id", F.inline(neutral)).join(found, ["company_id", "component"], "left")
-    rows = rows.select("company_id", "component", F.coalesce("score", "_score").alias("score"), F.coalesce("signals", "_signals").alias("signals"), "last_updated")
-    return composite_score(rows, weights, as_of_events)
+    return rows.select("company_id", "component", F.coalesce("score", "_score").alias("score"), F.coalesce("signals", "_signals").alias("signals"), "last_updated")
