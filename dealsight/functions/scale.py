@@ -182,22 +182,46 @@ def reachable(jumps: DataFrame, keys: Sequence[str], start: int, pos: str = "pos
         seen = more
 
 
+SKETCH = 10_000  # a sketched rank is off by at most 1 / SKETCH of a group
+MARGIN = 10 / SKETCH  # how far around a position its bracket reaches
+WHOLE_GROUP = 50_000  # groups up to this size keep all their distinct values
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, tie: str, ps: dict[str, float],
                     exclusive: Sequence[str] = ()) -> DataFrame:
-    """Exact interpolated quantiles per group from one ranking pass.
+    """Exact interpolated quantiles per group: a sketch brackets each position, one pass selects inside the brackets.
 
     Inclusive puts p at position 1 + p(n-1).  The names in ``exclusive`` put it at
     p(n+1) with the lower position held to [1, n-1] and the remainder left unclamped.
+
+    Both passes combine on the map side: the sketch is mergeable, and what leaves a task in the second pass is one count
+    of the rows below each bracket and the counts of equal values inside it.  No rows are sorted, whatever a group's size.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value), tie)
-    p = positions(rows, by, [F.col(value), F.col(tie)], "_pos", "_n")
-    aggs, outs = [F.max("_n").alias("n")], []
-    for name, q in ps.items():
-        h = F.lit(q) * (F.col("_n") + 1) if name in exclusive else F.lit(q) * (F.col("_n") - 1) + 1
-        lo = F.greatest(F.least(F.floor(F.round(h, 9)), F.greatest(F.col("_n") - 1, F.lit(1))), F.lit(1))
-        aggs += [F.max(F.when(F.col("_pos") == lo, F.col(value))).alias(f"_lo_{name}"),
-                 F.max(F.when(F.col("_pos") == lo + 1, F.col(value))).alias(f"_hi_{name}"),
-                 F.max(F.round(h, 9) - lo).alias(f"_f_{name}")]
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    ends = [x for q in ps.values() for x in (max(0.0, q - MARGIN), min(1.0, q + MARGIN))]
+    sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", ends, SKETCH).alias("_e"))
+    end = lambda k: F.when(F.col("n") <= WHOLE_GROUP, F.lit(float("-inf") if k % 2 == 0 else float("inf"))).otherwise(F.col("_e")[k])
+    sketch = cut(sketch.select(*by, "n", *[end(k).alias(f"_e{k}") for k in range(len(ends))]))
+    at = []
+    for i in range(len(ps)):  # a value below its bracket counts under the null value
+        low, high = F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}")
+        at.append(F.when(F.col("_v") <= high, F.struct(F.lit(i).alias("_i"), F.when(F.col("_v") >= low, F.col("_v")).alias("_v"))))
+    inside = (join_on(rows, sketch, by) if by else rows.crossJoin(F.broadcast(sketch)))  # without groups the sketch is one row
+    inside = inside.select(*by, "n", F.explode(F.filter(F.array(*at), lambda x: x.isNotNull())).alias("_x"))
+    counts = inside.groupBy(*by, "n", F.col("_x._i").alias("_i"), F.col("_x._v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    run = W.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    counts = counts.withColumn("_c", F.sum("_c").over(run))
+    aggs, outs = [], []
+    for i, (name, q) in enumerate(ps.items()):
+        h = F.lit(q) * (F.col("n") + 1) if name in exclusive else F.lit(q) * (F.col("n") - 1) + 1
+        lo = F.greatest(F.least(F.floor(F.round(h, 9)), F.greatest(F.col("n") - 1, F.lit(1))), F.lit(1))
+        mine = (F.col("_i") == i) & F.col("_v").isNotNull()
+        aggs += [F.min(F.when(mine & (F.col("_c") >= lo), F.col("_v"))).alias(f"_lo_{name}"),
+                 F.min(F.when(mine & (F.col("_c") >= lo + 1), F.col("_v"))).alias(f"_hi_{name}"),
+                 F.max(F.when((F.col("_i") == i) & F.col("_v").isNull(), F.col("_c") >= lo)).alias(f"_under_{name}"),
+                 F.max(lo < F.col("n")).alias(f"_more_{name}"), F.max(F.round(h, 9) - lo).alias(f"_f_{name}")]
+        missed = F.coalesce(f"_under_{name}", F.lit(False)) | F.col(f"_lo_{name}").isNull() | (F.col(f"_more_{name}") & F.col(f"_hi_{name}").isNull())
         step = (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_f_{name}")
-        outs.append((F.col(f"_lo_{name}") + F.coalesce(step, F.lit(0.0))).alias(name))
-    return p.groupBy(*by).agg(*aggs).select(*by, "n", *outs)
+        never = F.raise_error(F.lit(f"the bracket of {name} missed its position")).cast("double")  # the sketch's error is a tenth of the margin
+        outs.append(F.when(missed, never).otherwise(F.col(f"_lo_{name}") + F.coalesce(step, F.lit(0.0))).alias(name))
+    return counts.groupBy(*by, "n").agg(*aggs).select(*by, "n", *outs)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dealsight.functions.bands import above, at_least, clamp, first_match, lookup, points, tidy
 from dealsight.functions.clock import at, micros_between, whole_days
-from dealsight.functions.scale import exact_quantiles, latest_per_key, previous_values
+from dealsight.functions.scale import cut, exact_quantiles, latest_per_key, previous_values
 
 # ---- fixed values -----------------------------------------------------------
 AREA_BASELINE = {"obesity_metabolic": 95, "oncology_adc": 88, "radiopharmaceuticals": 82, "autoimmune": 78,
@@ -61,14 +61,21 @@ def implied_valuation(requests: DataFrame, deals: DataFrame, as_of, years: int =
     Each grain is one aggregate over the deals; requests join three small tables.
     """
     d = comparable_deals(deals, as_of, years=years).withColumn("multiple", F.try_divide(F.col("deal_value"), F.col("target_market_cap")))
+    grains = {"b": ["area", "stage"], "a": ["area"], "s": ["stage"]}
+    # one row for each deal, grain and measure: all medians come from one sketch and one selection
+    parts = [F.struct(F.lit(p).alias("_g"), F.lit(m).alias("_m"), *[(F.col(c) if c in keys else F.lit(None).cast("string")).alias(f"_{c}") for c in ("area", "stage")],
+                      F.col(c).cast("double").alias("_x")) for p, keys in grains.items() for m, c in (("med", "deal_value"), ("mmed", "multiple"))]
+    groups = ["_g", "_m", "_area", "_stage"]
+    medians = cut(exact_quantiles(d.select("deal_id", F.inline(F.array(*parts))), groups, "_x", "deal_id", {"_q": 0.5}))
 
     def grain(keys: Sequence[str], p: str) -> DataFrame:
         keys = list(keys)
-        v = exact_quantiles(d, keys, "deal_value", "deal_id", {f"{p}_med": 0.5}).drop("n")
-        m = exact_quantiles(d, keys, "multiple", "deal_id", {f"{p}_mmed": 0.5}).drop("n")
         a = d.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{p}_n"), F.min("deal_value").alias(f"{p}_low"), F.max("deal_value").alias(f"{p}_high"),
                                  F.min("multiple").alias(f"{p}_mlow"), F.max("multiple").alias(f"{p}_mhigh"))
-        return a.join(v, keys).join(m, keys)
+        for m in ("med", "mmed"):
+            own = medians.where((F.col("_g") == p) & (F.col("_m") == m)).select(*[F.col(f"_{k}").alias(k) for k in keys], F.col("_q").alias(f"{p}_{m}"))
+            a = a.join(own, keys)
+        return a
 
     j = (requests.join(grain(["area", "stage"], "b"), ["area", "stage"], "left").join(grain(["area"], "a"), ["area"], "left")
          .join(grain(["stage"], "s"), ["stage"], "left"))

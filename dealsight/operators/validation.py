@@ -41,11 +41,23 @@ def point_in_time_backtest(deals: DataFrame, signals: DataFrame, scores: DataFra
 
 
 def classification_metrics(scored: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """K2: confusion counts and rates per threshold."""
-    d = scored.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
-    hit, pos = F.col("score") >= F.col("threshold"), F.col("outcome") == 1
-    g = d.groupBy(*by, "threshold").agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"),
-                                        F.count_if(~hit & pos).alias("fn"), F.count_if(~hit & ~pos).alias("tn"))
+    """K2: confusion counts and rates per threshold, from one histogram of how many thresholds a score reaches."""
+    steps = sorted({float(x) for x in thresholds})
+    level = F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda x: F.col("score") >= x))
+    h = scored.withColumn("_l", level).groupBy(*by, "_l").agg(F.count_if(F.col("outcome") == 1).alias("_p"), F.count_if(~(F.col("outcome") == 1)).alias("_n"))
+    return _rates(_curve(h, steps, by), by)
+
+
+def _curve(h: DataFrame, steps: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Confusion counts at every threshold, from the rows per level (how many of ``steps`` a score reaches)."""
+    total = lambda c, on: F.aggregate(F.filter("_h", on), F.lit(0).cast("long"), lambda a, x: a + x[c])
+    g = h.groupBy(*by).agg(F.collect_list(F.struct("_l", "_p", "_n")).alias("_h"))  # one entry a level
+    g = g.select(*by, "_h", F.posexplode(F.array(*[F.lit(x) for x in steps])).alias("_k", "threshold"))
+    hit, miss = (lambda x: x["_l"] > F.col("_k")), (lambda x: x["_l"] <= F.col("_k"))
+    return g.select(*by, "threshold", total("_p", hit).alias("tp"), total("_n", hit).alias("fp"), total("_p", miss).alias("fn"), total("_n", miss).alias("tn"))
+
+
+def _rates(g: DataFrame, by: Sequence[str]) -> DataFrame:
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     c = F.col
     g = (g.withColumn("precision", ratio(c("tp"), c("tp") + c("fp"))).withColumn("recall", ratio(c("tp"), c("tp") + c("fn")))
@@ -143,17 +155,62 @@ def weight_grid(n: int, steps: int) -> list[tuple[float, ...]]:
     return [tuple(x / steps for x in v) for v in rec(steps, n)]
 
 
+BIN = 0.01  # width of a score bin of the weight search
+
+
+def weight_histogram(scored: DataFrame, factors: Sequence[str], steps: int = 4, by: Sequence[str] = ("split",)) -> DataFrame:
+    """K8: rows and positives by (``by``, vector, score bin) for every weight vector.
+
+    Scores are cut into bins of ``BIN``, so what leaves a task is bounded by vectors x bins, not by rows or thresholds; F1 at
+    any threshold on a bin edge, average precision and AUC all come from it.
+    """
+    grid = weight_grid(len(factors), steps)
+    bins = [F.struct(F.lit(i).alias("vector"), F.floor(sum((F.col(f) * F.lit(x) for f, x in zip(factors, v)), F.lit(0.0)) / BIN).alias("bin")) for i, v in enumerate(grid)]
+    d = scored.select(*by, "outcome", F.inline(F.array(*bins)))
+    return d.groupBy(*by, "vector", "bin").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("outcome") == 1).alias("positives"))
+
+
+def _vectors(df: DataFrame, factors: Sequence[str], steps: int) -> DataFrame:
+    """The rows with the weights of their vector."""
+    grid = F.array(*[F.array(*[F.lit(x) for x in v]) for v in weight_grid(len(factors), steps)])
+    return df.withColumn("weights", F.element_at(grid, F.col("vector") + 1))
+
+
 def weight_search(scored: DataFrame, factors: Sequence[str], steps: int = 4, threshold: float = 50.0, split: str = "split") -> DataFrame:
     """K8: F1 of every weight vector on each split, best on the training split first."""
-    grid = weight_grid(len(factors), steps)
-    vec = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(x) for x in v]).alias("w")) for i, v in enumerate(grid)])
-    d = scored.withColumn("_v", F.explode(vec))
-    s = sum((F.col(f) * F.col("_v.w")[i] for i, f in enumerate(factors)), F.lit(0.0))
-    d = d.select(split, "outcome", F.col("_v.id").alias("vector"), F.col("_v.w").alias("weights"), s.alias("score"))
-    m = classification_metrics(d, [threshold], [split, "vector", "weights"])
+    edge = round(threshold / BIN)
+    if abs(edge * BIN - threshold) > 1e-9:
+        raise ValueError(f"the threshold must be a multiple of {BIN}")
+    h = weight_histogram(scored, factors, steps, [split])
+    h = h.groupBy(split, "vector", (F.col("bin") >= edge).cast("int").alias("_l")).agg(F.sum("positives").alias("_p"), F.sum(F.col("rows") - F.col("positives")).alias("_n"))
+    m = _vectors(_rates(_curve(h, [threshold], [split, "vector"]), [split, "vector"]), factors, steps)
     return m.select(split, "vector", "weights", "f1", "precision", "recall")
 
 
+def weight_ranking(scored: DataFrame, factors: Sequence[str], steps: int = 4, split: str = "split", period: str = "period") -> DataFrame:
+    """K8: mean average precision over periods and AUC of every weight vector on each split.
+
+    Rows of one bin are ties: they share the precision at the end of their bin and their mean rank.  A period without
+    positives has an average precision of 0.
+    """
+    h = weight_histogram(scored, factors, steps, [split, period])
+    down = W.partitionBy(split, period, "vector").orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, 0)  # a row a bin
+    ap = h.withColumn("_p", F.sum("positives").over(down) / F.sum("rows").over(down)).groupBy(split, period, "vector").agg(
+        F.coalesce(F.try_divide(F.sum(F.col("positives") * F.col("_p")), F.sum("positives")), F.lit(0.0)).alias("_ap"))
+    whole = h.groupBy(split, "vector", "bin").agg(F.sum("rows").alias("rows"), F.sum("positives").alias("positives"))
+    up = W.partitionBy(split, "vector").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    rank = F.sum("rows").over(up) - (F.col("rows") - 1) / 2
+    a = whole.withColumn("_r", rank).groupBy(split, "vector").agg(F.sum(F.col("_r") * F.col("positives")).alias("_s"), F.sum("positives").alias("_p"), F.sum("rows").alias("_n"))
+    a = a.select(split, "vector", F.try_divide(F.col("_s") - F.col("_p") * (F.col("_p") + 1) / 2, F.col("_p") * (F.col("_n") - F.col("_p"))).alias("auc"))
+    return _vectors(ap.groupBy(split, "vector").agg(F.avg("_ap").alias("map")).join(a, [split, "vector"]), factors, steps)
+
+
+def best_by_map(ranking: DataFrame, split: str = "split", train: str = "train", test: str = "holdout") -> DataFrame:
+    """K8: the weight vector with the best MAP on the training split, with its MAP and AUC on the holdout."""
+    best = ranking.filter(F.col(split) == train).orderBy(F.col("map").desc(), "vector").limit(1).select("vector", "weights", F.col("map").alias("train_map"))
+    return best.join(ranking.filter(F.col(split) == test).select("vector", F.col("map").alias("holdout_map"), F.col("auc").alias("holdout_auc")), "vector", "left")
+
+
 def best_weights(search: DataFrame, split: str = "split", train: str = "train", test: str = "holdout") -> DataFrame:
     """K8: the weight vector with the best F1 on the training split, and its F1 on the holdout."""
     best = search.filter(F.col(split) == train).orderBy(F.col("f1").desc(), "vector").limit(1).select("vector", "weights", F.col("f1").alias("train_f1"))
@@ -163,26 +220,35 @@ def best_weights(search: DataFrame, split: str = "split", train: str = "train",
 def robustness(frame: DataFrame, score, inputs: Sequence[str], shifts: Sequence[float] = (0.8, 1.2)) -> DataFrame:
     """K9: mean and largest score change when one input moves by a factor.
 
-    ``score`` maps a frame to the same frame with a ``score`` column.
+    ``score`` maps a frame to the same frame with a ``score`` column.  All variants of a row are columns beside it, so the
+    rows are read once, not repeated, and meet nothing but one aggregate.
     """
-    points = F.array(*[F.struct(F.lit(i).alias("input"), F.lit(s).alias("factor")) for i in inputs for s in (1.0, *shifts)])
-    d = frame.withColumn("_p", F.explode(points)).select("*", "_p.*").drop("_p")
-    for i in inputs:
-        d = d.withColumn(i, F.when(F.col("input") == i, F.col(i) * F.col("factor")).otherwise(F.col(i)))
-    d = score(d).select("company_id", "input", "factor", "score")
-    base = d.filter("factor = 1.0").select("company_id", "input", F.col("score").alias("base"))
-    j = d.filter("factor <> 1.0").join(base, ["company_id", "input"])
-    ch = F.abs(F.col("score") - F.col("base"))
-    return j.groupBy("input", "factor").agg(F.avg(ch).alias("mean_change"), F.max(ch).alias("max_change"), F.count_if(ch > 10).alias("over_10"))
+    names = frame.columns
+    points = [(i, s) for i in inputs for s in shifts]
+    d = score(frame).withColumn("_base", F.col("score")).select(*names, "_base")
+    for k, (i, s) in enumerate(points):
+        kept = [*names, "_base", *[f"_c{j}" for j in range(k)]]
+        d = score(d.withColumn("_own", F.col(i)).withColumn(i, F.col(i) * s)).withColumn(f"_c{k}", F.abs(F.col("score") - F.col("_base")))
+        d = d.withColumn(i, F.col("_own")).select(*kept, f"_c{k}")
+    aggs = [F.struct(F.lit(i).alias("input"), F.lit(float(s)).alias("factor"), F.avg(f"_c{k}").alias("mean_change"), F.max(f"_c{k}").alias("max_change"),
+                     F.count_if(F.col(f"_c{k}") > 10).alias("over_10")) for k, (i, s) in enumerate(points)]
+    return d.agg(F.array(*aggs).alias("_r")).select(F.inline("_r"))
 
 
 def missing_data(frame: DataFrame, score, inputs: Sequence[str], shares: Sequence[float], key: str = "company_id") -> DataFrame:
-    """K9: mean score with a hashed share of each input blanked, against the full data."""
-    d = frame.withColumn("missing", F.explode(F.array(*[F.lit(float(x)) for x in (0.0, *shares)])))
+    """K9: mean score with a hashed share of each input blanked, against the full data; one read of the rows."""
+    names, levels = frame.columns, [0.0, *map(float, shares)]
+    d = frame
     for i in inputs:
         u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(i))), 1, 6), 16, 10).cast("double") / 2 ** 24
-        d = d.withColumn(i, F.when(u < F.col("missing"), F.lit(None)).otherwise(F.col(i)))
-    return score(d).groupBy("missing").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("n"))
+        d = d.withColumn(f"_u_{i}", u).withColumn(f"_own_{i}", F.col(i))
+    helpers = [f"{p}_{i}" for i in inputs for p in ("_u", "_own")]
+    for k, share in enumerate(levels):
+        for i in inputs:
+            d = d.withColumn(i, F.when(F.col(f"_u_{i}") < share, F.lit(None)).otherwise(F.col(f"_own_{i}")))
+        d = score(d).withColumn(f"_s{k}", F.col("score")).select(*names, *helpers, *[f"_s{j}" for j in range(k + 1)])
+    aggs = [F.struct(F.lit(x).alias("missing"), F.avg(f"_s{k}").alias("mean_score"), F.count(F.lit(1)).alias("n")) for k, x in enumerate(levels)]
+    return d.agg(F.array(*aggs).alias("_r")).select(F.inline("_r"))
 
 
 def segment_bias(scored: DataFrame, segments: Sequence[str]) -> DataFrame:

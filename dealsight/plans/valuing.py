@@ -210,6 +210,28 @@ def _best_weights(t):
     return va.best_weights(found).select(n("vector"), r("train_f1"), r("holdout_f1"))
 
 
+RANKED_SQL = f"""{VEC_SQL}, g AS (SELECT CASE WHEN segment = 'en' THEN 'holdout' ELSE 'train' END AS split, period, vector, outcome, floor((0e0 + f_length * a + f_density * b + f_letter * c) / 0.01e0) AS bin FROM d_outcomes, x_w),
+h AS (SELECT split, period, vector, bin, count(*) AS n, count(*) FILTER (WHERE outcome = 1) AS p FROM g GROUP BY ALL),
+q AS (SELECT *, sum(p) OVER w / sum(n) OVER w AS pr FROM h WINDOW w AS (PARTITION BY split, period, vector ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ap AS (SELECT split, vector, avg(a) AS map FROM (SELECT split, period, vector, coalesce(sum(p * pr) / nullif(sum(p), 0), 0) AS a FROM q GROUP BY ALL) z GROUP BY 1, 2),
+rk AS (SELECT split, vector, outcome, rank() OVER (PARTITION BY split, vector ORDER BY bin) + (count(*) OVER (PARTITION BY split, vector, bin) - 1) / 2 AS rk FROM g),
+au AS (SELECT split, vector, (sum(rk) FILTER (WHERE outcome = 1) - count(*) FILTER (WHERE outcome = 1) * (count(*) FILTER (WHERE outcome = 1) + 1) / 2) / nullif(count(*) FILTER (WHERE outcome = 1) * count(*) FILTER (WHERE outcome <> 1), 0) AS auc FROM rk GROUP BY 1, 2)"""
+
+
+@query("K8", "weight_ranking", f"WITH {RANKED_SQL} SELECT ap.split, CAST(ap.vector AS BIGINT) AS vector, round(map, 6) AS map, round(auc, 6) AS auc FROM ap JOIN au ON au.split = ap.split AND au.vector = ap.vector")
+def _weight_ranking(t):
+    d = t.outcomes.withColumn("split", F.when(F.col("segment") == "en", "holdout").otherwise("train"))
+    return va.weight_ranking(d, FACTORS).select("split", n("vector"), r("map"), r("auc"))
+
+
+@query("K8", "best_weights_by_map", f"""WITH {RANKED_SQL}, b AS (SELECT vector, round(map, 6) AS map FROM ap WHERE split = 'train' ORDER BY round(map, 6) DESC, vector LIMIT 1)
+SELECT CAST(b.vector AS BIGINT) AS vector, b.map AS train_map, (SELECT round(map, 6) FROM ap WHERE split = 'holdout' AND ap.vector = b.vector) AS holdout_map, (SELECT round(auc, 6) FROM au WHERE split = 'holdout' AND au.vector = b.vector) AS holdout_auc FROM b""")
+def _best_by_map(t):
+    d = t.outcomes.withColumn("split", F.when(F.col("segment") == "en", "holdout").otherwise("train"))
+    found = va.weight_ranking(d, FACTORS).withColumn("map", F.round("map", 6))  # ties go to the smaller vector
+    return va.best_by_map(found).select(n("vector"), r("train_map"), r("holdout_map"), r("holdout_auc"))
+
+
 SHIFT = "(VALUES ('cash_position', 0.8e0), ('cash_position', 1.2e0), ('market_cap', 0.8e0), ('market_cap', 1.2e0), ('stock_return_52w', 0.8e0), ('stock_return_52w', 1.2e0)) p(input, factor)"
 
 

@@ -104,3 +104,24 @@ def test_reachable(spark):
             want.add((k, p))
             p = p + 3 + (p % 2)
     assert got == want
+
+
+@pytest.mark.parametrize("whole", [500, 50_000])
+def test_quantiles_by_bracket_equal_sorting(spark, monkeypatch, whole):
+    monkeypatch.setattr(scale, "WHOLE_GROUP", whole)
+    monkeypatch.setattr(scale, "SKETCH", 1000)
+    monkeypatch.setattr(scale, "MARGIN", 0.01)
+    rnd = random.Random(4)
+    rows = [(None if i % 3 else "hot", float(rnd.choice([rnd.randint(0, 50), rnd.random() * 1000])), i) for i in range(4000)] + [("one", 5.0, 9000), ("two", 1.0, 9001), ("two", 2.0, 9002), ("null", None, 9003)]
+    df = spark.createDataFrame(rows, "key string, v double, id bigint")
+    ps = {"p1": 0.01, "p25": 0.25, "med": 0.5, "p99": 0.99}
+    got = {r.key: r for r in scale.exact_quantiles(df, ["key"], "v", "id", ps).collect()}
+    assert set(got) == {None, "hot", "one", "two"}
+    for key, r in got.items():
+        vs = sorted(v for k, v, _ in rows if k == key and v is not None)
+        assert r.n == len(vs)
+        for name, q in ps.items():
+            h = q * (len(vs) - 1)
+            lo = int(h)
+            want = vs[lo] + (h - lo) * (vs[min(lo + 1, len(vs) - 1)] - vs[lo])
+            assert abs(r[name] - want) < 1e-6, (key, name)
