@@ -173,25 +173,41 @@ def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
             return nodes.select(key).join(lab, F.col(key) == F.col("id"), "left").select(key, F.coalesce("comp", key).alias("component"))
 
 
-def similar_pairs(sets: DataFrame, key: str, percent: int) -> DataFrame:
-    """(a, b) of all documents whose shingle sets overlap by ``percent`` of their union; ``sets`` is (key, h), distinct.
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets overlap by ``percent`` of their union; ``sets`` is (doc, n, hs) with the shared hashes."""
+    x = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("hs").alias("ha"))
+    y = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("hs").alias("hb"))
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(x, "a").join(y, "b").filter(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b")
 
-    Rarest first: two such sets share a shingle among the n - ceil(n * percent / 100) + 1 rarest of either, so only
-    those propose pairs, and the full sets confirm them.
+
+def similar_links(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """(a, b): links that join all documents whose shingle sets overlap by ``percent`` of their union; ``rows`` is (key, h), distinct.
+
+    Rarest first: two such sets share a shingle among the n - ceil(n * percent / 100) + 1 rarest of either.  Each document is
+    confirmed against one hub first, the smallest document of the lists it shares most often; after that only documents of
+    different components that still share a rare shingle make pairs.  A group of n alike texts so makes about n pairs.
     """
-    freq = sets.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-    rows = cut(sets.join(freq, "h"))  # shingles of one document alone come first in its order, and are only counted
-    size = sets.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    held = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).join(size, key)
-    rank = F.row_number().over(W.partitionBy(key).orderBy("f", "h")) + F.col("n") - F.col("_c")
-    head = rows.join(held, key).withColumn("_r", rank).filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    x = head.select(F.col(key).alias("a"), "h", F.col("n").alias("na"))
-    y = head.select(F.col(key).alias("b"), "h", F.col("n").alias("nb"))
+    freq = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    rows = rows.join(freq, "h", "left")
+    entry = F.when(F.col("f").isNotNull(), F.struct("f", "h"))  # shingles of one document alone are first in its order, and only counted
+    own = cut(rows.groupBy(F.col(key).alias("doc")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(entry)).alias("_e")).filter(F.size("_e") > 0))
+    left = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("_e"))
+    head = own.filter(left > 0).select("doc", "n", F.explode(F.slice("_e", F.lit(1), F.least(left, F.size("_e")).cast("int"))).alias("_x")).select("doc", "n", F.col("_x.h").alias("h"))
+    lists = head.groupBy("h").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+    head = cut(head.join(lists, "h"))
+    sets = own.select("doc", "n", F.transform("_e", lambda x: x["h"]).alias("hs"))
+    star = head.filter("doc <> hub").groupBy("doc", "hub").agg(F.count(F.lit(1)).alias("_c"))
+    star = star.groupBy("doc").agg(F.max_by("hub", F.struct("_c", -F.col("hub"))).alias("a")).select("a", F.col("doc").alias("b"))
+    first = cut(linked(star, sets, percent))
+    comp = components(first.select(F.col("b").alias("src"), F.col("a").alias("dst")), head.select("doc").distinct(), "doc")
+    placed = cut(head.select("doc", "n", "h").join(comp, "doc"))
+    open_ = placed.groupBy("h").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b").select("h")
+    placed = placed.join(open_, "h", "left_semi")
+    x, y = (placed.select(F.col("doc").alias(c), "h", F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    pairs = cut(x.join(y, "h").filter((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct())
-    both = pairs.join(rows.select(F.col(key).alias("a"), "h"), "a").join(rows.select(F.col(key).alias("b"), "h"), ["b", "h"])
-    both = both.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
-    return both.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
+    across = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+    return first.unionByName(linked(across, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -204,7 +220,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rep = d.filter(F.length(F.trim(text)) > 0).groupBy("_same").agg(F.min(key).alias("_rep"))
     first = d.join(rep.select("_rep"), F.col(key) == F.col("_rep"), "left_semi")
     sets = cut(shingles(first, key, text, width).select(key, F.xxhash64("shingle").alias("h")).distinct())
-    links = similar_pairs(sets, key, percent).select(F.col("b").alias("src"), F.col("a").alias("dst"))
+    links = similar_links(sets, key, percent).select(F.col("b").alias("src"), F.col("a").alias("dst"))
     groups = components(links, rep.select(F.col("_rep").alias(key)), key).withColumnRenamed(key, "_rep")
     out = d.select(key, "_same", text).join(rep, "_same", "left").join(groups, "_rep", "left")
     return out.select(key, F.coalesce(F.when(F.length(F.trim(text)) > 0, F.col("component")), key).alias("component"))
@@ -242,31 +258,38 @@ def normal_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(clean, NAME_SUFFIXES, " "), r"\s+", " "))
 
 
-def deletions(x: Column, edits: int) -> Column:
-    """All strings that ``x`` becomes when up to ``edits`` characters are dropped."""
-    one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
-    out = F.array(x)
-    for _ in range(edits):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda w: F.when(F.length(w) > 0, one(w)).otherwise(F.array(w))))))
-    return out
+def segment_bounds(length: Column, parts: int) -> list[tuple[Column, Column]]:
+    """(start from 0, length) of ``parts`` nearly equal segments of a text of that length."""
+    base, extra = F.floor(length / parts), length % parts
+    return [((base * k + F.least(extra, F.lit(k))).cast("int"), (base + F.when(extra > k, 1).otherwise(0)).cast("int")) for k in range(parts)]
 
 
 def entity_resolution(names: DataFrame, companies: DataFrame, name: str = "sponsor", max_distance: int = 2) -> DataFrame:
     """C20: distinct names to companies: exact normal form, else the closest name within ``max_distance`` edits.
 
-    Two names that close have a common form after as many deletions on either side, so all such forms are join keys, and
-    the distance itself confirms a pair; no block of alike names is compared in full.
+    A company's name is cut into ``max_distance`` + 1 segments.  That many edits leave one segment whole, moved by
+    ``max_distance`` places at most, so a name looks up the few pieces of itself that lie where a segment of a company's name
+    of similar length would; the distance itself confirms a pair.  A company makes three keys, a name about seventy-five.
     """
     n = names.select(name).distinct().withColumn("norm", normal_name(F.col(name)))
     c = companies.select("company_id", normal_name(F.col("name")).alias("c_norm"))
     best = c.groupBy("c_norm").agg(F.min("company_id").alias("exact_id"))
     e = n.join(best, n.norm == best.c_norm, "left").drop("c_norm")
-    form = lambda c_: F.explode(F.transform(deletions(F.col(c_), max_distance), lambda w: F.xxhash64(w))).alias("_f")
-    left = e.filter("exact_id IS NULL AND norm IS NOT NULL").select("norm").distinct().select("norm", form("norm"))
-    cand = best.filter("c_norm IS NOT NULL").select("c_norm", F.col("exact_id").alias("fid"), form("c_norm"))
+    parts, near = max_distance + 1, range(-max_distance, max_distance + 1)
+    key = lambda length, k, piece: F.xxhash64(length.cast("int"), F.lit(k), piece)
+    own = F.array(*[key(F.length("c_norm"), k, F.substr("c_norm", at + 1, size)) for k, (at, size) in enumerate(segment_bounds(F.length("c_norm"), parts))])
+    looks = []
+    for d in near:
+        length = F.length("norm") + d
+        for k, (at, size) in enumerate(segment_bounds(length, parts)):
+            for shift in near:
+                fits = (length >= 0) & (at + shift >= 0) & (at + shift + size <= F.length("norm"))
+                looks.append(F.when(fits, key(length, k, F.substr("norm", at + shift + 1, size))))
+    left = e.filter("exact_id IS NULL AND norm IS NOT NULL").select("norm").distinct()
+    left = left.select("norm", F.explode(F.array_distinct(F.filter(F.array(*looks), lambda x: x.isNotNull()))).alias("_f"))
+    cand = best.filter("c_norm IS NOT NULL").select("c_norm", F.col("exact_id").alias("fid"), F.explode(F.array_distinct(own)).alias("_f"))
     pairs = left.join(cand, "_f").select("norm", "c_norm", "fid").distinct()
-    d = F.levenshtein(F.col("norm"), F.col("c_norm"))
-    f = pairs.withColumn("distance", d).filter(F.col("distance") <= max_distance).groupBy("norm").agg(F.min(F.struct("distance", "fid")).alias("_m"))
+    f = pairs.withColumn("distance", F.levenshtein("norm", "c_norm", max_distance)).filter(F.col("distance") >= 0).groupBy("norm").agg(F.min(F.struct("distance", "fid")).alias("_m"))
     out = e.join(f, "norm", "left")
     return out.select(name, "norm", F.coalesce("exact_id", "_m.fid").alias("company_id"),
                       F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("_m").isNotNull(), "fuzzy").otherwise("none").alias("how"))
