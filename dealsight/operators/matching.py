@@ -57,12 +57,19 @@ def overlapping(buyers: DataFrame, sig: DataFrame) -> DataFrame:
     return both.join(buyers.drop("areas"), "acquirer_id").join(sig, "sig")
 
 
+def every_pair(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """All pairs, for results that hold all of them: ``left`` is dealt by ``key`` over as many parts as ``right`` is repeated for."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    own = left.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)))
+    return own.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), "_part").drop("_part")
+
+
 def apart(buyers: DataFrame, sig: DataFrame) -> DataFrame:
     """The (buyer, signature) pairs that share no area (``both`` = 0), for rules in which such a pair can still count.
 
     The result holds nearly every pair by its nature; callers first keep only the buyers that need no overlap.
     """
-    every = buyers.withColumn("_one", F.lit(1)).join(sig.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    every = every_pair(buyers, sig, "acquirer_id")
     return every.filter(~F.arrays_overlap(F.coalesce("areas", F.array().cast("array<string>")), "target_areas")).drop("areas").withColumn("both", F.lit(0).cast("bigint"))
 
 
@@ -200,9 +207,17 @@ def patent_cliff_matches(targets: DataFrame, cliffs: DataFrame, acquirers: DataF
 
 
 def similar_deals(requests: DataFrame, deals: DataFrame, limit: int = 10) -> DataFrame:
-    """Newest deals of the requested buyer that share an area with the request."""
-    d = requests.select("request_id", "acquirer_id", F.col("areas").alias("wanted")).join(deals, "acquirer_id")
-    return top_per_key(d.filter(F.arrays_overlap("areas", "wanted")), ["request_id"], [F.col("deal_date").desc(), F.col("deal_id")], limit)
+    """Newest deals of the requested buyer that share an area with the request.
+
+    A buyer's deals in one area are a list, newest first, of which only the first ``limit`` can count; a request merges the
+    lists of its areas, so it never meets all deals of a busy buyer.
+    """
+    order = [F.col("deal_date").desc(), F.col("deal_id")]
+    lists = deals.select("acquirer_id", F.explode(F.array_distinct("areas")).alias("_area"), F.struct(*deals.columns).alias("_deal"), "deal_date", "deal_id")
+    lists = top_per_key(lists, ["acquirer_id", "_area"], order, limit, "_r").select("acquirer_id", "_area", "_deal")
+    wanted = requests.select("request_id", "acquirer_id", F.col("areas").alias("wanted")).withColumn("_area", F.explode(F.array_distinct("wanted")))
+    met = wanted.join(lists, ["acquirer_id", "_area"]).select("request_id", "wanted", "_deal.*").dropDuplicates(["request_id", "deal_id"])
+    return top_per_key(met, ["request_id"], order, limit)
 
 
 def similarity_columns(pairs: DataFrame) -> DataFrame:
@@ -311,7 +326,7 @@ def gap_target_fit(targets: DataFrame, gaps: DataFrame, acquirers: DataFrame, to
     names = wanted.select("target_area").distinct()
     parts = rows.select("area").distinct().join(names, F.contains(F.lower("target_area"), F.lower("area")))
     gained = rows.join(parts, "area").join(wanted, "target_area").groupBy("sig", "acquirer_id").agg(F.sum("pts").alias("pair_points"))
-    every = acquirers.select("acquirer_id", F.lit(1).alias("_one")).join(sig.select("sig", F.lit(1).alias("_one")), "_one").drop("_one")
+    every = every_pair(acquirers.select("acquirer_id"), sig.select("sig"), "acquirer_id")
     pairs = every.join(gained, ["sig", "acquirer_id"], "left").withColumn("pair_points", F.coalesce("pair_points", F.lit(0)))
     best = ranked(pairs, ["sig"], [F.col("pair_points").desc(), F.col("acquirer_id")], top_n)
     stage = lookup(F.col("stage"), {"phase_3": 20, "nda_bla": 20, "phase_2": 12, "phase_1": 5, "preclinical": 0, "discovery": 0, "approved": 0}, 10)
@@ -322,16 +337,25 @@ def gap_target_fit(targets: DataFrame, gaps: DataFrame, acquirers: DataFrame, to
 
 # ---- competitive tension -----------------------------------------------------
 
-def bidder_pairs(targets: DataFrame, pool: DataFrame, min_fit: float = 60.0, min_capacity: float = 50.0) -> tuple[DataFrame, DataFrame]:
-    """(targets with sig, qualified bidders per signature)."""
-    t, sig = signatures(targets)
+def able_bidders(pool: DataFrame, min_fit: float, min_capacity: float) -> DataFrame:
+    """Bidders that can qualify for some target, with what they reach without any shared area (``own``)."""
     able = pool.withColumn("capacity", capacity_score()).filter(F.col("capacity") >= min_capacity).withColumn("areas", areas_or_empty())
-    own = F.col("gap_severity") * 0.4 + F.col("capacity") * 0.2  # what a bidder reaches without any shared area
+    able = able.withColumn("own", F.col("gap_severity") * 0.4 + F.col("capacity") * 0.2).filter(F.col("own") + 40 >= min_fit)
+    return able.withColumn("urgency_score", urgency_points())
+
+
+def overlap_pairs(able: DataFrame, sig: DataFrame, min_fit: float) -> DataFrame:
+    """Bidders that share an area with a signature and qualify for it."""
     overlap = F.when(F.col("target_size") > 0, F.col("both") / F.col("target_size") * 100).otherwise(0.0)
-    able = able.filter(own + 40 >= min_fit)
-    pairs = overlapping(able, sig).unionByName(apart(able.filter(F.round(own, 9) >= min_fit), sig))
-    q = pairs.withColumn("fit", F.round(overlap * 0.4 + own, 9)).filter(F.col("fit") >= min_fit)
-    return t, q
+    return overlapping(able, sig).withColumn("fit", F.round(overlap * 0.4 + F.col("own"), 9)).filter(F.col("fit") >= min_fit)
+
+
+def bidder_pairs(targets: DataFrame, pool: DataFrame, min_fit: float = 60.0, min_capacity: float = 50.0) -> tuple[DataFrame, DataFrame]:
+    """(targets with sig, all qualified bidders per signature).  For counts and best bidders see ``bidder_summary``."""
+    t, sig = signatures(targets)
+    able = able_bidders(pool, min_fit, min_capacity)
+    free = apart(able.filter(F.round("own", 9) >= min_fit), sig).withColumn("fit", F.round("own", 9))
+    return t, overlap_pairs(able, sig, min_fit).unionByName(free)
 
 
 def urgency_points() -> Column:
@@ -340,22 +364,61 @@ def urgency_points() -> Column:
     return F.least(s, F.lit(100.0))
 
 
-def bidder_summary(qualified: DataFrame) -> DataFrame:
-    """C16 + E18 per signature: count, weighted top-3 urgency, bidding styles, five key bidders."""
-    from dealsight.operators.components import ASSET_TOP_WEIGHTS, weighted_top
+def first_free(taken: DataFrame, sig: DataFrame, k: int) -> DataFrame:
+    """(sig, rank): the first ``k`` ranks 1, 2, ... of one list that a signature has not taken.
+
+    Among sorted taken ranks, the j-th one has rank - j free ranks before it; so the i-th free rank is i plus the number of
+    taken ranks with fewer than i free ones before them.
+    """
+    gap = positions(taken, ["sig"], [F.col("rank")], "_j").withColumn("_free", F.col("rank") - F.col("_j"))
+    passed = gap.groupBy("sig").agg(F.array(*[F.count_if(F.col("_free") < i) + i for i in range(1, k + 1)]).alias("_ranks"))
+    none = F.array(*[F.lit(i).cast("bigint") for i in range(1, k + 1)])
+    return sig.select("sig").join(passed, "sig", "left").select("sig", F.explode(F.coalesce("_ranks", none)).alias("rank"))
+
 
-    q = cut(qualified.select("sig", "acquirer_id", "fit", "bidding", urgency_points().alias("urgency_score")))
-    urg = weighted_top(q, "sig", "urgency_score", ASSET_TOP_WEIGHTS).select("sig", F.col("base").alias("strategic_urgency"))
-    agg = q.groupBy("sig").agg(F.count(F.lit(1)).alias("bidders"), F.count_if(F.col("bidding") == "aggressive").alias("aggressive"))
-    key = top_per_key(q, ["sig"], [F.col("fit").desc(), F.col("acquirer_id")], 5, "_r")
+def bidder_summary(able: DataFrame, sig: DataFrame, min_fit: float) -> DataFrame:
+    """C16 + E18 per signature: count, weighted top-3 urgency, bidding styles, five key bidders.
+
+    Bidders that qualify without a shared area are one list for all targets.  They are counted as the list less those met by
+    overlap, and the best of them are its first free ranks; no pair without overlap is built.
+    """
+    from dealsight.operators.components import ASSET_TOP_WEIGHTS
+
+    able = cut(able.select("acquirer_id", "areas", "own", "bidding", "urgency_score"))
+    met = cut(overlap_pairs(able, sig, min_fit).select("sig", "acquirer_id", "fit", "own", "bidding", "urgency_score"))
+    free = able.filter(F.round("own", 9) >= min_fit).withColumn("fit", F.round("own", 9))
+    taken = met.filter(F.round("own", 9) >= min_fit)
+    hot = F.count_if(F.col("bidding") == "aggressive")
+    many, wild = free.agg(F.count(F.lit(1)), hot).first()
+    own = met.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), hot.alias("_a"))
+    gone = taken.groupBy("sig").agg(F.count(F.lit(1)).alias("_gn"), hot.alias("_ga"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    agg = sig.select("sig").join(own, "sig", "left").join(gone, "sig", "left").select(
+        "sig", (z("_n") + many - z("_gn")).alias("bidders"), (z("_a") + wild - z("_ga")).alias("aggressive")).filter("bidders > 0")
+
+    def best(order: Sequence[Column], k: int) -> DataFrame:
+        """The ``k`` first qualified bidders of every signature, as ranks from 1."""
+        listed = cut(positions(free.select("acquirer_id", "fit", "urgency_score"), [], [*order, F.col("acquirer_id")], "rank"))
+        spots = first_free(taken.select("sig", "acquirer_id").join(listed.select("acquirer_id", "rank"), "acquirer_id").select("sig", "rank"), sig, k)
+        apart_ = spots.join(listed, "rank").select("sig", "acquirer_id", "fit", "urgency_score")
+        near = top_per_key(met.select("sig", "acquirer_id", "fit", "urgency_score"), ["sig"], [*order, F.col("acquirer_id")], k, "_r").drop("_r")
+        return top_per_key(near.unionByName(apart_), ["sig"], [*order, F.col("acquirer_id")], k, "_r")
+
+    urgent = best([F.col("urgency_score").desc()], max(map(len, ASSET_TOP_WEIGHTS.values()))).join(agg.select("sig", "bidders"), "sig")
+    weight = F.lit(0.0)
+    for least in sorted(ASSET_TOP_WEIGHTS):
+        weight = F.when(F.col("bidders") >= least, lookup(F.col("_r"), {i + 1: v for i, v in enumerate(ASSET_TOP_WEIGHTS[least])}, 0.0)).otherwise(weight)
+    urg = urgent.withColumn("_w", weight).groupBy("sig").agg(F.sum(F.col("urgency_score") * F.col("_w")).alias("strategic_urgency"))
+    key = best([F.col("fit").desc()], 5)
     key = key.groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "acquirer_id"))), lambda x: x["acquirer_id"]).alias("key_bidders"))
     return agg.join(urg, "sig").join(key, "sig")
 
 
-def qualified_bidders(targets: DataFrame, pool: DataFrame) -> DataFrame:
+def qualified_bidders(targets: DataFrame, pool: DataFrame, min_fit: float = 60.0, min_capacity: float = 50.0) -> DataFrame:
     """Bidder count and key bidders per target; 0 when nobody qualifies."""
-    t, q = bidder_pairs(targets, pool)
-    return t.join(bidder_summary(q), "sig", "left").withColumn("bidders", F.coalesce("bidders", F.lit(0)))
+    t, sig = signatures(targets)
+    found = bidder_summary(able_bidders(pool, min_fit, min_capacity), sig, min_fit)
+    return t.join(found, "sig", "left").withColumn("bidders", F.coalesce("bidders", F.lit(0)))
 
 
 def scarcity_score(alternatives: Column, differentiation: Column, patent_life: Column) -> Column:

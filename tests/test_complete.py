@@ -152,3 +152,39 @@ def test_ledger_knows_skipped_and_failed_runs(spark):
     runs = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("a", 3, "timeout"), ("a", 4, None), (None, 5, None)], "source string, run int, error string")
     got = {r.run: (r.status, r.fetched, r.transformed, r.published) for r in la.ingestion_ledger(records, F.col("v") > 2, ["source", "run"], "ts", runs, F.col("v") > 9).collect()}
     assert got == {1: ("success", 2, 1, 0), 2: ("skipped", 0, 0, 0), 3: ("failed", 0, 0, 0), 4: ("partial", 1, 0, 0), 5: ("skipped", 0, 0, 0)}
+
+
+def test_bidders_equal_the_full_product(spark):
+    import random
+
+    rnd = random.Random(11)
+    areas = ["a", "b", "c", "d", "e"]
+    pick = lambda: rnd.sample(areas, rnd.randint(0, 3)) or None
+    pool = [(i, pick(), float(rnd.choice([20, 50, 80, 100])), rnd.choice(["critical", "high", "low"]), rnd.choice(["aggressive", "moderate"]), rnd.random() < 0.5,
+             float(rnd.randint(0, 96)), rnd.randint(0, 5), 100.0, float(rnd.randint(0, 80)), float(rnd.randint(0, 40)), 10.0) for i in range(120)]
+    schema = ("acquirer_id bigint, areas array<string>, gap_severity double, urgency string, bidding string, cliff_risk boolean, concentration double, "
+              "recent_deals int, market_cap double, cash double, debt double, recent_spend double")
+    p = spark.createDataFrame(pool, schema)
+    targets = spark.createDataFrame([(i, pick()) for i in range(60)], "company_id bigint, areas array<string>")
+    for fit in (40.0, 60.0, 75.0):
+        t, pairs = ma.bidder_pairs(targets, p, fit)
+        rows = {}
+        for r in pairs.withColumn("u", ma.urgency_points()).collect():
+            rows.setdefault(r.sig, []).append((r.fit, r.acquirer_id, r.u, r.bidding))
+        sigs = {r.company_id: r.sig for r in t.collect()}
+        for r in ma.qualified_bidders(targets, p, fit).collect():
+            want = rows.get(sigs[r.company_id], [])
+            assert r.bidders == len(want)
+            if want:
+                assert r.key_bidders == [b for _, b in sorted((-f, b) for f, b, _, _ in want)[:5]]
+                assert r.aggressive == sum(s == "aggressive" for *_, s in want)
+                top = sorted((u for *_, u, _ in want), reverse=True)[:3]
+                weights = {1: [1.0], 2: [0.6, 0.4]}.get(len(want), [0.5, 0.3, 0.2])
+                assert abs(r.strategic_urgency - sum(w * u for w, u in zip(weights, top))) < 1e-9
+
+
+def test_bidders_need_no_constant_key(spark, tables):
+    from dealsight.plans import CATALOG
+
+    plan = CATALOG["qualified_bidders"].run(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_one" not in plan and "Cross" not in plan
