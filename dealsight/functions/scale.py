@@ -2,8 +2,9 @@
 
 A key may hold a third of all rows, so nothing here sorts one key's rows in a
 single task: top-k prunes before the shuffle, ranks use range slices with
-offsets, lags and running values work inside (key, time bucket) and carry one
-row per bucket across the boundary.
+offsets, lags and running values work inside (key, bucket) and carry one row
+per bucket across the boundary; range slices serve as buckets where a key may
+be busy at one time.
 """
 from __future__ import annotations
 
@@ -97,6 +98,16 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: st
     return res.drop("_slice", "_before", "_total")
 
 
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``_slice``: the range slice of a row in (keys, order), as many as there are shuffle partitions.
+
+    Slices hold about equally many rows however a key's rows are spread over time, so a bucket ``F.col("_slice")`` for the
+    running values below keeps no key, and no busy hour of one, in one task.  ``order`` should tell all rows of a key apart.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return cut(df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()))
+
+
 def previous_values(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str],
                     values: dict[str, str]) -> DataFrame:
     """Add ``out = value of the previous row`` for each ``values[out] = col``.
@@ -126,8 +137,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column | None, order
     that no slice grows with one key; ``order`` must then be total.
     """
     if bucket is None:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        b = cut(df.withColumn("_v", value).repartitionByRange(n, *keys, *order).withColumn("_bucket", F.spark_partition_id()))
+        b = sliced(df.withColumn("_v", value), keys, order).withColumnRenamed("_slice", "_bucket")
     else:
         b = df.withColumn("_bucket", bucket).withColumn("_v", value)
     inner = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -153,14 +163,14 @@ def running_max(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     return b.drop("_bucket", *[f"_w_{o}" for o in values], *[f"_b_{o}" for o in values])
 
 
-def count_before(df: DataFrame, keys: Sequence[str], ts: str, tie: str, shift: Column, pos: str, out: str, unit: str = "hour") -> DataFrame:
+def count_before(df: DataFrame, keys: Sequence[str], ts: str, tie: str, shift: Column, pos: str, out: str) -> DataFrame:
     """Per row: its position ``pos`` in (ts, tie) order and ``out`` = rows of its key with ts < ts + shift.
 
     Each row sends a zero-valued probe at ts + shift through one running sum.
     """
     e = df.select(*keys, F.col(tie).alias("_id"), F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.lit(1).alias("_w"))
     p = df.select(*keys, F.col(tie).alias("_id"), (F.col(ts) + shift).alias("_t"), F.lit(0).alias("_kind"), F.lit(0).alias("_w"))
-    run = running_sum(e.unionByName(p), keys, F.date_trunc(unit, F.col("_t").cast("timestamp")), ["_t", "_kind", "_id"], F.col("_w"), "_cum")
+    run = running_sum(e.unionByName(p), keys, None, ["_t", "_kind", "_id"], F.col("_w"), "_cum")
     return run.groupBy(*keys, F.col("_id").alias(tie)).agg(F.max(F.when(F.col("_kind") == 1, F.col("_cum"))).alias(pos),
                                                            F.max(F.when(F.col("_kind") == 0, F.col("_cum"))).alias(out))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dealsight.functions.bands import clamp, tidy
 from dealsight.functions.clock import at
-from dealsight.functions.scale import count_before, cut, previous_values, reachable, running_sum
+from dealsight.functions.scale import count_before, cut, previous_values, reachable, running_sum, sliced
 
 # ---- fixed values -----------------------------------------------------------
 MA_FORMS = ["SC TO-T", "SC 13D", "DEFM14A", "S-4"]
@@ -244,9 +244,9 @@ def related_counts(events: DataFrame, key: str, ts: str, tie: str, days: int = 3
     width = F.expr(f"INTERVAL {int(days * 24)} HOURS")
     e = events.select(key, F.col(tie).alias("_id"), F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.lit(1).alias("_w"))
     p = events.select(key, F.col(tie).alias("_id"), (F.col(ts) - width).alias("_t"), F.lit(0).alias("_kind"), F.lit(0).alias("_w"))
-    run = running_sum(e.unionByName(p), [key], F.date_trunc("day", F.col("_t").cast("timestamp")), ["_t", "_kind", "_id"], F.col("_w"), "_cum")
+    run = running_sum(e.unionByName(p), [key], None, ["_t", "_kind", "_id"], F.col("_w"), "_cum")
     both = run.groupBy(key, "_id").agg(F.max(F.when(F.col("_kind") == 1, F.col("_cum"))).alias("_now"), F.max(F.when(F.col("_kind") == 0, F.col("_cum"))).alias("_then"))
-    prev = previous_values(events, [key], F.date_trunc("day", F.col(ts).cast("timestamp")), [ts, tie], {"_pid": tie, "_pts": ts})
+    prev = previous_values(sliced(events, [key], [ts, tie]), [key], F.col("_slice"), [ts, tie], {"_pid": tie, "_pts": ts}).drop("_slice")
     j = prev.join(both.withColumnRenamed("_id", tie), [key, tie])
     near = F.col("_pts") >= F.col(ts) - width
     return (j.withColumn("related", F.col("_now") - F.col("_then") - 1)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dealsight.functions.bands import above, at_least, clamp, first_match, lookup, points, tidy
 from dealsight.functions.clock import at, micros_between, whole_days
-from dealsight.functions.scale import cut, exact_quantiles, latest_per_key, previous_values
+from dealsight.functions.scale import cut, exact_quantiles, latest_per_key, previous_values, sliced
 
 # ---- fixed values -----------------------------------------------------------
 AREA_BASELINE = {"obesity_metabolic": 95, "oncology_adc": 88, "radiopharmaceuticals": 82, "autoimmune": 78,
@@ -316,14 +316,14 @@ def price_change_asof(prices: DataFrame, as_of, days: int = 30) -> DataFrame:
 
 def status_changes(statuses: DataFrame, key: str = "trial_id") -> DataFrame:
     """the important status transitions of each trial."""
-    d = previous_values(statuses, [key], F.date_trunc("day", F.col("ts").cast("timestamp")), ["ts", "event_id"], {"previous": "status"})
+    d = previous_values(sliced(statuses, [key], ["ts", "event_id"]), [key], F.col("_slice"), ["ts", "event_id"], {"previous": "status"}).drop("_slice")
     label = first_match([((F.col("previous") == a) & (F.col("status") == b), v) for (a, b), v in STATUS_CHANGES.items()], None)
     return d.withColumn("change", label).filter("change IS NOT NULL")
 
 
 def enrollment_changes(snapshots: DataFrame, key: str = "trial_id", min_pct: float = 10.0) -> DataFrame:
     """F8: change against the previous snapshot above ``min_pct``; a zero base is skipped."""
-    d = previous_values(snapshots, [key], F.date_trunc("day", F.col("ts").cast("timestamp")), ["ts", "event_id"], {"previous": "enrollment"})
+    d = previous_values(sliced(snapshots, [key], ["ts", "event_id"]), [key], F.col("_slice"), ["ts", "event_id"], {"previous": "enrollment"}).drop("_slice")
     pct = F.try_divide((F.col("enrollment") - F.col("previous")) * 100, F.col("previous"))
     return d.withColumn("change_pct", tidy(pct)).filter((F.abs(pct) > min_pct) & F.col("previous").isNotNull())
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsight.functions.bands import above, at_least, at_most, below, clamp, first_match, lookup, points, tidy
 from dealsight.functions.clock import at, whole_days
-from dealsight.functions.scale import join_on, previous_values
+from dealsight.functions.scale import join_on, previous_values, sliced
 from dealsight.operators.events import related_counts
 
 # ---- fixed values -----------------------------------------------------------
@@ -217,7 +217,7 @@ def filing_signals(filings: DataFrame) -> DataFrame:
 
 def trial_signals(updates: DataFrame, key: str = "trial_id") -> DataFrame:
     """Phase steps against the previous update and terminations."""
-    d = previous_values(updates, [key], F.date_trunc("day", F.col("ts").cast("timestamp")), ["ts", "event_id"], {"previous_phase": "phase"})
+    d = previous_values(sliced(updates, [key], ["ts", "event_id"]), [key], F.col("_slice"), ["ts", "event_id"], {"previous_phase": "phase"}).drop("_slice")
     step = first_match([((F.col("previous_phase") == a) & (F.col("phase") == b), v) for (a, b), v in PHASE_STEPS.items()], None)
     sig = F.array(F.when(step.isNotNull(), F.struct(F.lit("clinical_progression").alias("signal"), step.cast("double").alias("strength"), F.lit(0.8).alias("confidence"))),
                   F.when(F.col("status") == "Terminated", F.struct(F.lit("clinical_failure").alias("signal"), F.lit(0.8).alias("strength"), F.lit(0.9).alias("confidence"))))

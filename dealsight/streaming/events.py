@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from dealsight.functions.bands import first_match, tidy
 from dealsight.functions.clock import at, micros_between
-from dealsight.functions.scale import count_before, cut, exact_quantiles, previous_values, reachable, running_max, running_sum
+from dealsight.functions.scale import count_before, cut, exact_quantiles, previous_values, reachable, running_max, running_sum, sliced
 from dealsight.operators.events import first_per_ttl
 
 ENVELOPE = "event_id string, timestamp timestamp_ntz, source string, event_type string, payload string, version string, correlation_id string"
@@ -199,7 +199,7 @@ def idempotent_stream(events: DataFrame, ts: str = "ts", key: str = "event_id",
 
 def late_and_out_of_order(events: DataFrame, key: str = "company_id", seq: str = "seq", ts: str = "ts", arrival: str = "arrival", delay: str = "INTERVAL 1 HOUR") -> DataFrame:
     """Per company in arrival order, rows behind the highest sequence or older than the delay."""
-    d = running_max(events, [key], F.date_trunc("hour", F.col(arrival).cast("timestamp")), [arrival, seq], {"_seq": seq, "_ts": ts})
+    d = running_max(sliced(events, [key], [arrival, seq]), [key], F.col("_slice"), [arrival, seq], {"_seq": seq, "_ts": ts}).drop("_slice")
     z = lambda c: F.coalesce(c, F.lit(False))
     return (d.withColumn("out_of_order", z(F.col(seq) < F.col("_seq"))).withColumn("late", z(F.col(ts) < F.col("_ts") - F.expr(delay))).drop("_seq", "_ts"))
 
@@ -236,10 +236,9 @@ def insider_cluster(buys: DataFrame, as_of, days: int = 30, people: int = 3) ->
 
 def activity_sessions(events: DataFrame, key: str, ts: str, tie: str, gap: str = "INTERVAL 90 DAYS") -> DataFrame:
     """Bursts separated by more than the gap, from bucketed lag and running sum."""
-    day = lambda: F.date_trunc("day", F.col(ts).cast("timestamp"))
-    d = previous_values(events, [key], day(), [ts, tie], {"_prev": ts})
+    d = previous_values(sliced(events.select(key, ts, tie), [key], [ts, tie]), [key], F.col("_slice"), [ts, tie], {"_prev": ts})
     new = F.when(F.col("_prev").isNull() | (F.col(ts) > F.col("_prev") + F.expr(gap)), 1).otherwise(0)
-    d = running_sum(cut(d.select(key, ts, tie, new.alias("_new"))), [key], day(), [ts, tie], F.col("_new"), "session_no")
+    d = running_sum(cut(d.select(key, ts, tie, "_slice", new.alias("_new"))), [key], F.col("_slice"), [ts, tie], F.col("_new"), "session_no")
     return d.groupBy(key, "session_no").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("events"))
 
 

@@ -125,3 +125,23 @@ def test_quantiles_by_bracket_equal_sorting(spark, monkeypatch, whole):
             lo = int(h)
             want = vs[lo] + (h - lo) * (vs[min(lo + 1, len(vs) - 1)] - vs[lo])
             assert abs(r[name] - want) < 1e-6, (key, name)
+
+
+def test_one_busy_hour_is_cut_into_even_slices(spark):
+    """A key with a third of all rows, all in one hour: no slice of it holds twice the median."""
+    import statistics
+
+    rows = [("hot" if i % 3 == 0 else f"k{i % 40}", T0 + timedelta(microseconds=i * 7) if i % 3 == 0 else T0 + timedelta(minutes=i), i, i % 11) for i in range(6000)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, id bigint, v bigint")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        cut_up = scale.sliced(df, ["key"], ["ts", "id"])
+        sizes = [r["count"] for r in cut_up.groupBy("_slice").count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 2 * statistics.median(sizes)
+        got = {r.id: r.prev for r in scale.previous_values(cut_up, ["key"], F.col("_slice"), ["ts", "id"], {"prev": "v"}).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    last = {}
+    for key, ts, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        assert got[i] == last.get(key)
+        last[key] = v
