@@ -25,8 +25,9 @@ HIDDEN = r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*(?:>|\
 MARKUP = re.compile(HIDDEN + r"|<!(?!--)[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*)[^>]*(?:>|\Z)", re.S | re.I)
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre "
                    "section table tbody td tfoot th thead tr ul".split())
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TITLE_START, TITLE_END, LINK_START = (re.compile(x, re.I) for x in (r"<title\b", r"</title", r"<a\b"))
+HREF = re.compile(r"\bhref\s*=\s*", re.I)
+VALUE = re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>]+)")
 FIELDS = ("record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "content_type", "block_digest", "source_digest", "headers", "block")
 
 
@@ -37,6 +38,29 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def title_of(page: str) -> str:
+    start = TITLE_START.search(page)
+    at = page.find(">", start.end()) if start else -1
+    if at < 0:
+        return ""
+    end = TITLE_END.search(page, at + 1)
+    return page[at + 1:end.start() if end else len(page)]
+
+
+def links_of(page: str) -> list[str]:
+    """The first href of every anchor tag; each part of the page is read once, however many tags stay open."""
+    out, at = [], 0
+    while tag := LINK_START.search(page, at):
+        end = page.find(">", tag.end())
+        end = len(page) if end < 0 else end
+        href = HREF.search(page, tag.end(), end)
+        at = end
+        if href and (value := VALUE.match(page, href.end())):
+            out.append(next(v for v in value.groups() if v is not None))
+            at = value.end()
+    return out
+
+
 def record_id(source: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, f'{source} {kind}')}>"
 
@@ -67,19 +91,18 @@ def record(kind: str, source: dict, content_type: str, block: str) -> tuple:
 def metadata_block(source: dict, text: str) -> str:
     """Fields of the page and, each with its name in front, the header lines of the source."""
     page = source["payload"] or ""
-    title = TITLE.search(page)
-    out = [("title", html.unescape(title.group(1)) if title else ""), ("text-characters", str(len(text)))]
-    out += [("outlink", html.unescape(a or b or c)) for a, b, c in LINK.findall(page)]
+    out = [("title", html.unescape(title_of(page))), ("text-characters", str(len(text)))]
+    out += [("outlink", html.unescape(link)) for link in links_of(page)]
     out += [("source-header", line) for line in (source["http_headers"] or "").split("\r\n") if line]
     return "".join(f"{k}: {field(v)}\r\n" for k, v in out)
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Pages as response records.  The table has no capture time, so one date stands for all."""
-    name = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce("url", F.lit("-")))
+    """Pages as response records, named from id, target and payload.  The table has no capture time, so one date stands for all."""
+    body = F.coalesce("html", F.lit(""))
+    name = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce("url", F.lit("-")), F.sha2(body, 256))
     h = F.md5(name)
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    body = F.coalesce("html", F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n"))
     return pages.select(F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">")).alias("record_id"), F.col("url").alias("target_uri"),
                         F.lit(date).alias("warc_date"), http.alias("http_headers"), F.col("html").alias("payload"),

@@ -84,5 +84,19 @@ def test_written_file_reads_back(spark, tmp_path):
     assert sorted(blocks) == sorted(r.block for r in got.collect())
 
 
+def test_open_tags_are_read_once():
+    old = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+    for page in (PAGE, "<a href=x <a href='y>z' k><A HREF = \"q>\">t</a><abbr href=no><a id=1><a class=c href=u/v>", "<a <a href=1>", "<a href=>", "<a href='open"):
+        assert warc.links_of(page) == [a or b or c for a, b, c in old.findall(page)], page
+    long = "<a " * 200_000
+    assert warc.links_of(long) == [] and warc.links_of(long + "href=z>") == ["z"] and warc.title_of("<title " * 200_000) == ""
+    assert warc.title_of("x<TITLE a=1>b</b</title>c") == "b</b" and warc.title_of("<title>open") == "open" and warc.title_of("<titles>no") == ""
+
+
+def test_pages_that_share_an_id_have_records_of_their_own(spark):
+    rows = records(spark, [(1, "http://a.example/x", "one"), (1, "http://a.example/x", "two"), (None, None, "three"), (None, None, "four")])
+    assert len({r.record_id for r in rows}) == 8
+
+
 def test_empty_table(spark):
     assert records(spark, []) == []
