@@ -105,22 +105,23 @@ def scan(q: np.ndarray, x: np.ndarray, own: np.ndarray, bound: np.ndarray, k: in
     """Pairs (query, candidate) that the tests do not abandon.  ``own`` marks pairs to leave out; ``bound`` is each
     query's k-th squared distance so far, infinite where none is known yet: the first candidates then give one."""
     dims = q.shape[1]
+    slack = 1e-9 * ((q ** 2).sum(1) + (x ** 2).sum(1).max(initial=0.0)) + 1e-300  # equal scores stay equal at any size of vectors
     if not np.isfinite(bound).all():
         seed = ((q[:, None, :] - x[None, :4 * k]) ** 2).sum(2) if len(q) * min(len(x), 4 * k) * dims < 5e7 else np.stack([((x[:4 * k] - r) ** 2).sum(1) for r in q])
         seed[own[:, :4 * k]] = np.inf
         if seed.shape[1] >= k:
-            bound = np.minimum(bound, np.partition(seed, k - 1, 1)[:, k - 1] * (1 + 1e-9) + 1e-12)
+            bound = np.minimum(bound, np.partition(seed, k - 1, 1)[:, k - 1] + slack)
     a, b, part = None, None, None
     for lo in range(0, dims, COLUMNS):
         hi = min(lo + COLUMNS, dims)
         if part is None:
             step = (q[:, lo:hi] ** 2).sum(1)[:, None] + (x[:, lo:hi] ** 2).sum(1)[None] - 2 * q[:, lo:hi] @ x[:, lo:hi].T
             step[own] = np.inf
-            a, b = np.nonzero(step * (dims / hi) <= (bound * (1 + margin / np.sqrt(hi)) ** 2 + 1e-9)[:, None] if hi < dims else step <= (bound + 1e-9)[:, None])
+            a, b = np.nonzero(step * (dims / hi) <= (bound * (1 + margin / np.sqrt(hi)) ** 2 + slack)[:, None] if hi < dims else step <= (bound + slack)[:, None])
             part = step[a, b]
         else:
             part = part + ((q[a, lo:hi] - x[b, lo:hi]) ** 2).sum(1)
-            limit = bound[a] + 1e-9 if hi == dims else bound[a] * (1 + margin / np.sqrt(hi)) ** 2 * (hi / dims) + 1e-9
+            limit = bound[a] + slack[a] if hi == dims else bound[a] * (1 + margin / np.sqrt(hi)) ** 2 * (hi / dims) + slack[a]
             live = part <= limit
             a, b, part = a[live], b[live], part[live]
     live = np.isfinite(part)

@@ -67,3 +67,18 @@ def test_few_candidates_and_empty_tables(spark):
     assert sorted(got) == [(0, 1, 3), (0, 2, 1), (0, 3, 20), (20, 1, 0), (20, 2, 3), (20, 3, 1)]
     assert neighbours.search(table(spark, [])).count() == 0 == neighbours.search(table(spark, [(0, None)])).count()
     assert neighbours.search(table(spark, [(0, [1.0])])).count() == 0
+
+
+@pytest.mark.parametrize("size", [1.0, 1e4, 1e6])
+def test_equal_scores_are_not_abandoned_at_any_size(size):
+    rng = np.random.default_rng(4)
+    k = 5
+    for _ in range(60):
+        x = rng.normal(size=(60, 96)) * size
+        x[30:36] = x[7]
+        q = rng.normal(size=(1, 96)) * size
+        q[0] = x[7] + rng.normal(size=96) * size / 10
+        d = ((q[:, None] - x[None]) ** 2).sum(2)
+        bound = np.sort(d, 1)[:, k - 1]
+        _, b = neighbours.scan(q, x, np.zeros((1, 60), bool), bound, k, 50.0)
+        assert {7, *range(30, 36)} <= set(b.tolist())
