@@ -173,9 +173,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                     at = text.index(w, at)
                     places.append((at, at + len(w)))
                     at += len(w)
+                # code points before each byte: all but continuation bytes count
+                before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
             for t, n, s, e in hits:
                 size = len(index.words[t])
-                start, end = (len(text[:x].decode("utf-8", "replace")) for x in (places[s][0], places[e - 1][1]))
+                start, end = int(before[places[s][0]]), int(before[places[e - 1][1]])
                 rows.append((doc, index.names[t], n, size, n / size, start, end))
         if rows:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)

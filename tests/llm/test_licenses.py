@@ -76,3 +76,11 @@ def test_adjacent_notices_and_lists_are_all_found(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_a_long_list_of_notices_has_right_spans(spark):
+    line = "é libfoo: Released under the MIT License. "
+    text = line * 3000
+    rows = licenses.scan(documents(spark, [(1, text)])).where("license = 'mit'").collect()
+    assert len(rows) == 3000
+    assert all(text[r.start:r.end].startswith("Released") and text[r.start:r.end].endswith("License.") for r in rows)
