@@ -1,6 +1,7 @@
 """Helpers shared by the corpus operators."""
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,8 +52,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 def sample_ids(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """At most ``n`` ids, the smallest by a seeded hash: the same rows on every run, at most ``n`` rows leave a task."""
-    h = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
-    return df.where(F.col(key).isNotNull()).select(key, h.alias("_h")).distinct().orderBy("_h", key).limit(n).select(key)
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: set[tuple] = set()
+        for b in batches:
+            kept.update(zip(b.column("_h").to_pylist(), b.column(key).to_pylist()))
+            if len(kept) > 4 * n:
+                kept = set(heapq.nsmallest(n, kept))
+        if kept:
+            hashes, ids = zip(*heapq.nsmallest(n, kept))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(key).type), pa.array(hashes)], [key, "_h"])
+
+    rows = df.where(F.col(key).isNotNull()).select(key, F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))).alias("_h"))
+    few = in_arrow(rows, smallest, T.StructType([rows.schema[key], T.StructField("_h", T.StringType())]))
+    return few.distinct().orderBy("_h", key).limit(n).select(key)
 
 
 MOST_BITS = 1 << 26  # 8 MB in every task

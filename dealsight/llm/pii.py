@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dealsight.llm.common import map_batches, sample_ids, texts
+from dealsight.llm.common import cut, map_batches, sample_ids, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -269,23 +269,52 @@ def train(graphs: list[Graph], steps: int = 300, rate: float = 0.5, ridge: float
     return Field(params[0], params[1], params[2] * np.eye(labels))
 
 
-def fit(docs: DataFrame, fit_docs: int = 20_000, max_nodes: int = 2_000, seed: int = 11) -> Field | None:
-    """Fit on at most ``fit_docs`` documents, the smallest ids by a seeded hash; of these, the ones with nodes, but at
-    most ``max_nodes`` each, reach the driver as features and edges."""
+def excerpt(g: Graph, most: int) -> Graph:
+    """A run of at most ``most`` neighbouring nodes of a graph, around its first observed one, with the edges inside it."""
+    n = len(g.start)
+    if n <= most:
+        return g
+    seen = np.flatnonzero(g.y)
+    at = min(max(0, int(seen[0]) - most // 4), n - most) if len(seen) else 0
+    inside = lambda e: (e[((e >= at) & (e < at + most)).all(1)] - at) if len(e) else e
+    return Graph(g.start[at:at + most], g.end[at:at + most], g.x[at:at + most], g.y[at:at + most], inside(g.chain), inside(g.skip))
+
+
+def fit(docs: DataFrame, fit_docs: int = 4_000, plain_docs: int = 2_000, max_nodes: int = 256, seed: int = 11) -> Field | None:
+    """Fit on at most ``fit_docs`` documents with base spans and ``plain_docs`` others with nodes, of each the smallest ids by
+    a seeded hash; features and edges of at most ``max_nodes`` neighbouring nodes of each reach the driver.
+
+    Without a single base span in all documents there is nothing to learn from, and no field.
+    """
+
+    def graph(t: bytes) -> Graph | None:
+        text = t.decode("utf-8", "replace")
+        return Graph.of(text, base_spans(text)) if b"@" in t or ANY_DIGIT.search(text) else None
+
+    def marks(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids, spans = [], []
+        for doc, t in zip(b.column("doc_id").to_pylist(), texts(b)):
+            text = t.decode("utf-8", "replace")
+            if b"@" in t or ANY_DIGIT.search(text):
+                ids.append(doc)
+                spans.append(bool(base_spans(text)))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.bool_())], ["doc_id", "spans"])
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc, t in zip(b.column("doc_id").to_pylist(), texts(b)):
-            text = t.decode("utf-8", "replace")
-            g = Graph.of(text, base_spans(text)) if b"@" in t or ANY_DIGIT.search(text) else None
-            if g and len(g.start) <= max_nodes:
+            g = graph(t)
+            if g:
+                g = excerpt(g, max_nodes)
                 bits = np.packbits(g.x.astype(bool)).tobytes()
                 rows.append((doc, bits, g.y.astype("<i8").tobytes(), g.chain.astype("<i8").tobytes(), g.skip.astype("<i8").tobytes()))
         if rows:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["doc_id", "x", "y", "chain", "skip"])
 
-    pick = sample_ids(docs, "doc_id", fit_docs, f"pii{seed}")
-    some = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(pick), "doc_id", "left_semi")
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    marked = cut(map_batches(known, marks, "doc_id long, spans boolean"))
+    pick = sample_ids(marked.where("spans"), "doc_id", fit_docs, f"pii{seed}").unionByName(sample_ids(marked.where("NOT spans"), "doc_id", plain_docs, f"pii{seed}"))
+    some = known.join(F.broadcast(pick.distinct()), "doc_id", "left_semi")  # at most fit_docs + plain_docs ids
     graphs = []
     for r in sorted(map_batches(some, batch, "doc_id long, x binary, y binary, chain binary, skip binary").collect(), key=lambda r: tuple(map(bytes, r[1:]))):
         y = np.frombuffer(r.y, "<i8")

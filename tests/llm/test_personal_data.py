@@ -127,3 +127,15 @@ def test_redaction_keeps_columns_and_clean_texts(spark):
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert pii.fit(docs) is None and pii.find(docs, None).count() == 0 == pii.redact(docs, None).count()
+
+
+def test_rare_spans_still_train_the_field(spark):
+    """Few documents hold personal data, far fewer than are sampled; long ones take part with an excerpt."""
+    rows = [(k, t) for k, t in corpus()[:8]] + [(10_000 + i, prose(i, 60) + f" {i} items") for i in range(400)]
+    docs = documents(spark, rows)
+    assert pii.fit(docs, fit_docs=20, plain_docs=5) is not None
+    text = " ".join([corpus()[3][1]] * 200)
+    g = pii.Graph.of(text, pii.base_spans(text))
+    small = pii.excerpt(g, 16)
+    assert len(small.x) == 16 and (small.y > 0).any() and all(len(e) == 0 or (e.min() >= 0 and e.max() < 16) for e in (small.chain, small.skip))
+    assert pii.fit(documents(spark, [(1, text), (2, prose(2, 50))])) is not None
