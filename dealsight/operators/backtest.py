@@ -96,10 +96,11 @@ def as_of_rows(facts: DataFrame, ts: str, cuts: DataFrame, limit: Column) -> Dat
     return rows.where("_kind = 0 AND _row IS NOT NULL").select("company_id", "day", "_row.*")
 
 
-def rebuilt_scores(cuts: DataFrame, companies: DataFrame, assets: DataFrame, patents: DataFrame, financials: DataFrame, transactions: DataFrame,
-                   holdings: DataFrame, pathways: DataFrame, interactions: DataFrame, issues: DataFrame, acquirers: DataFrame, weights: DataFrame,
+def component_rows(cuts: DataFrame, companies: DataFrame, assets: DataFrame, patents: DataFrame, financials: DataFrame, transactions: DataFrame,
+                   holdings: DataFrame, pathways: DataFrame, interactions: DataFrame, issues: DataFrame, acquirers: DataFrame,
                    shift_days: int = 0) -> DataFrame:
-    """E9 for every (company_id, day) of ``cuts``, from rows before the end of the day.
+    """Long component rows for every (company_id, day) of ``cuts``, from rows before the end of the day; their ``company_id``
+    is a struct of both.
 
     ``shift_days`` is added to a cut-off for the tables dated by deals (assets, patents, financials), where those run on a
     clock of their own.
@@ -125,13 +126,26 @@ def rebuilt_scores(cuts: DataFrame, companies: DataFrame, assets: DataFrame, pat
         "financial": (money, 0.0), "insider": (insider, 50.0), "strategic_fit": (fit, 50.0),
         "regulatory": (co.regulatory_scores(ways, talks, found), 50.0),
     }
-    rows = co.complete_components(cuts.select(key.alias("company_id")), parts)
-    # recency counts from the end of the day that each row belongs to
-    out = co.composite_score(rows, weights, F.date_add(F.col("company_id.day"), 1).cast("timestamp_ntz"))
+    return co.complete_components(cuts.select(key.alias("company_id")), parts)
+
+
+def rebuilt_scores(cuts: DataFrame, weights: DataFrame, **feeds) -> DataFrame:
+    """E9 and E10 for every (company_id, day) of ``cuts``; recency counts from the end of the day."""
+    end = F.date_add(F.col("company_id.day"), 1).cast("timestamp_ntz")
+    out = co.composite_score(component_rows(cuts, **feeds), weights, end)
     return out.select("company_id.company_id", "company_id.day", "overall_score", "confidence")
 
 
+def component_scores(cuts: DataFrame, **feeds) -> DataFrame:
+    """company_id, day and a column for each component's score."""
+    wide = component_rows(cuts, **feeds).groupBy("company_id").pivot("component", list(co.DEFAULT_WEIGHTS)).agg(F.max("score"))
+    return wide.select("company_id.company_id", "company_id.day", *co.DEFAULT_WEIGHTS)
+
+
 def rebuilt_backtest(deals: DataFrame, steps: int = TRAJECTORY_STEPS, profile_steps: Sequence[int] = PROFILE_STEPS, step_days: int = 30, **feeds) -> DataFrame:
-    """K1: deal_id, step, profile_step, day, overall_score and confidence of each deal's target at each step before it."""
+    """K1: deal_id, step, profile_step, day, overall_score and confidence of each deal's target at each step before it.
+
+    ``feeds``: the weights and the tables of ``component_rows``.
+    """
     grid = cut_offs(deals, steps, profile_steps, step_days)
     return grid.join(rebuilt_scores(grid, **feeds), ["company_id", "day"])

@@ -1,6 +1,11 @@
 """K1 with the composite rebuilt at each cut-off; the check holds all bands as literals."""
+from pyspark.sql import functions as F
+
+from dealsight.adapters.tpch import EVENT_AS_OF as NOW
+from dealsight.functions.bands import tidy
 from dealsight.operators import backtest as bt, components as co
 from dealsight.plans.catalog import n, query, s
+from dealsight.plans.deals import PAIRS, matches
 from dealsight.plans.scoring import pathways
 from dealsight.plans.valuing import ANNOUNCED, announcements
 
@@ -45,9 +50,8 @@ PATENT_WEIGHTS = "WHEN n = 1 THEN 1e0 WHEN n < 4 AND rk = 1 THEN 0.5e0 WHEN n <
 ON = "ON {0}.company_id = t.company_id AND {0}.day = t.day"
 
 
-@query("K1", "backtest_rebuilt", f"""WITH g AS (SELECT deal_id, target_id AS company_id, o AS step, CAST({ANNOUNCED} AS DATE) - CAST(o + 1 AS INTEGER) AS day FROM d_deals, (SELECT unnest(range(1, 25)) AS o)),
-t AS (SELECT company_id, day, CAST(day + 1 AS TIMESTAMP) AS te, CAST(day + 1 AS TIMESTAMP) - INTERVAL 8096 DAY AS td FROM (SELECT DISTINCT g.company_id, day FROM g JOIN d_companies c ON c.company_id = g.company_id) q),
-a AS (SELECT t.company_id, day, {ASSET} AS sc FROM t JOIN d_assets x ON x.company_id = t.company_id WHERE is_active AND last_update < td),
+#: Every component at (company_id, day) of ``t``, which also has the end of the day on both clocks (te, td).
+PARTS = f"""a AS (SELECT t.company_id, day, {ASSET} AS sc FROM t JOIN d_assets x ON x.company_id = t.company_id WHERE is_active AND last_update < td),
 ac AS (SELECT company_id, day, n AS signals, {score('least(100e0, base + least(15, n * 2))')} AS score FROM {top('a', ASSET_WEIGHTS)} z),
 p AS (SELECT company_id, day, {PATENT} AS sc FROM (SELECT t.company_id, day, x.* EXCLUDE (company_id), {age('td', 'expiry_date')} / 365.25e0 AS y FROM t JOIN d_patents x ON x.company_id = t.company_id WHERE expiry_date >= td) q),
 pc AS (SELECT company_id, day, n AS signals, {score('least(100e0, base + least(20, n * 3))')} AS score FROM {top('p', PATENT_WEIGHTS)} z),
@@ -66,17 +70,58 @@ h AS (SELECT t.company_id, day, count(*) FILTER (WHERE issue_type = 'clinical_ho
 rc AS (SELECT t.company_id, t.day, coalesce(r.signals, 0) AS signals, lu, {score(REGULATOR)} AS score FROM t LEFT JOIN r {ON.format('r')} LEFT JOIN h {ON.format('h')}),
 b AS (SELECT * FROM d_acquirers WHERE is_active ORDER BY market_cap DESC, acquirer_id LIMIT 5),
 sc AS (SELECT company_id, avg(fit) AS score, count(*) AS signals FROM (SELECT c.company_id, CASE WHEN len(c.areas) > 0 AND len(b.areas) > 0 THEN {score(FIT)} ELSE 50e0 END AS fit FROM d_companies c CROSS JOIN b) q GROUP BY 1),
-l AS (SELECT t.company_id, t.day, 0.3e0 AS w, coalesce(score, 0e0) AS score, coalesce(signals, 0) AS signals, CAST(NULL AS TIMESTAMP) AS lu FROM t LEFT JOIN ac {ON.format('ac')}
-  UNION ALL SELECT t.company_id, t.day, 0.2e0, coalesce(score, 0e0), coalesce(signals, 0), NULL FROM t LEFT JOIN pc {ON.format('pc')}
-  UNION ALL SELECT t.company_id, t.day, 0.15e0, coalesce(score, 0e0), 1, NULL FROM t LEFT JOIN fc {ON.format('fc')}
-  UNION ALL SELECT t.company_id, t.day, 0.15e0, coalesce(score, 50e0), coalesce(signals, 0), lu FROM t LEFT JOIN ic {ON.format('ic')}
-  UNION ALL SELECT t.company_id, t.day, 0.1e0, score, signals, NULL FROM t JOIN sc ON sc.company_id = t.company_id
-  UNION ALL SELECT company_id, day, 0.1e0, score, signals, lu FROM rc),
+l AS (SELECT 'pipeline' AS component, t.company_id, t.day, 0.3e0 AS w, coalesce(score, 0e0) AS score, coalesce(signals, 0) AS signals, CAST(NULL AS TIMESTAMP) AS lu FROM t LEFT JOIN ac {ON.format('ac')}
+  UNION ALL SELECT 'patent', t.company_id, t.day, 0.2e0, coalesce(score, 0e0), coalesce(signals, 0), NULL FROM t LEFT JOIN pc {ON.format('pc')}
+  UNION ALL SELECT 'financial', t.company_id, t.day, 0.15e0, coalesce(score, 0e0), 1, NULL FROM t LEFT JOIN fc {ON.format('fc')}
+  UNION ALL SELECT 'insider', t.company_id, t.day, 0.15e0, coalesce(score, 50e0), coalesce(signals, 0), lu FROM t LEFT JOIN ic {ON.format('ic')}
+  UNION ALL SELECT 'strategic_fit', t.company_id, t.day, 0.1e0, score, signals, NULL FROM t JOIN sc ON sc.company_id = t.company_id
+  UNION ALL SELECT 'regulatory', company_id, day, 0.1e0, score, signals, lu FROM rc)"""
+
+
+@query("K1", "backtest_rebuilt", f"""WITH g AS (SELECT deal_id, target_id AS company_id, o AS step, CAST({ANNOUNCED} AS DATE) - CAST(o + 1 AS INTEGER) AS day FROM d_deals, (SELECT unnest(range(1, 25)) AS o)),
+t AS (SELECT company_id, day, CAST(day + 1 AS TIMESTAMP) AS te, CAST(day + 1 AS TIMESTAMP) - INTERVAL 8096 DAY AS td FROM (SELECT DISTINCT g.company_id, day FROM g JOIN d_companies c ON c.company_id = g.company_id) q),
+{PARTS},
 e AS (SELECT company_id, day, {score('least(100e0, greatest(0e0, sum(score * w)))')} AS overall_score, {score(CONFIDENCE)} AS confidence FROM l GROUP BY 1, 2)
 SELECT deal_id, CAST(step AS BIGINT) AS step, step IN (1, 3, 6, 12) AS profile_step, CAST(g.day AS VARCHAR) AS day, overall_score, confidence FROM g JOIN e ON e.company_id = g.company_id AND e.day = g.day""")
 def _rebuilt(t):
     # the data spans a month, so a step is a day here
-    d = bt.rebuilt_backtest(announcements(t), step_days=1, companies=t.companies, assets=t.assets, patents=t.patents, financials=t.financials,
-                            transactions=t.insider, holdings=t.holdings, pathways=pathways(t), interactions=t.regulator, issues=t.issues,
-                            acquirers=t.acquirers, weights=co.weights_table(t.spark), shift_days=SHIFT_DAYS)
+    d = bt.rebuilt_backtest(announcements(t), step_days=1, weights=co.weights_table(t.spark), **FEEDS(t))
     return d.select("deal_id", n("step"), "profile_step", s("day"), "overall_score", "confidence")
+
+
+FEEDS = lambda t: dict(companies=t.companies, assets=t.assets, patents=t.patents, financials=t.financials, transactions=t.insider, holdings=t.holdings,
+                       pathways=pathways(t), interactions=t.regulator, issues=t.issues, acquirers=t.acquirers, shift_days=SHIFT_DAYS)
+PICK = lambda name: f"max(score) FILTER (WHERE component = '{name}')"
+
+
+@query("C23", "deep_dive_history", f"""WITH t AS (SELECT company_id, score_date AS day, CAST(score_date + 1 AS TIMESTAMP) AS te, CAST(score_date + 1 AS TIMESTAMP) - INTERVAL 8096 DAY AS td
+  FROM (SELECT DISTINCT s.company_id, score_date FROM d_scores s JOIN d_companies c ON c.company_id = s.company_id WHERE score_date >= DATE '2023-11-02') q),
+{PARTS},
+hh AS (SELECT l.company_id, l.day, {', '.join(f"{PICK(c)} AS {c}" for c in ('pipeline', 'financial', 'strategic_fit', 'insider', 'regulatory'))} FROM l GROUP BY 1, 2),
+pl AS (SELECT company_id, count(*) AS programmes, string_agg(asset_id, '|' ORDER BY phase_rank DESC, asset_id) AS programme_ids FROM d_assets GROUP BY 1),
+hx AS (SELECT h.company_id, count(*) AS days, string_agg(concat_ws(':', CAST(h.day AS VARCHAR), CAST({score('s.score')} AS DECIMAL(9,2)), CAST({score('pipeline')} AS DECIMAL(9,2)), CAST({score('financial')} AS DECIMAL(9,2)), CAST({score('insider')} AS DECIMAL(9,2)), CAST({score('regulatory')} AS DECIMAL(9,2))), '|' ORDER BY h.day) AS history
+  FROM hh h JOIN d_scores s ON s.company_id = h.company_id AND s.score_date = h.day GROUP BY 1)
+SELECT c.company_id, programmes, programme_ids, days, history FROM d_companies c LEFT JOIN pl p ON p.company_id = c.company_id LEFT JOIN hx x ON x.company_id = c.company_id""")
+def _dive_history(t):
+    from dealsight.operators.profile import deep_dive
+
+    recent = t.scores.filter("score_date >= DATE'2023-11-02'")
+    found = bt.component_scores(recent.select("company_id", F.col("score_date").alias("day")), **FEEDS(t)).withColumnRenamed("day", "score_date")
+    history = t.scores.join(found, ["company_id", "score_date"], "left")
+    d = deep_dive(t.companies, t.latest, t.assets, t.signals, t.patents, t.financials, history, NOW[:10], components=["pipeline", "financial", "insider", "regulatory"])
+    num = lambda x: tidy(x).cast("decimal(9,2)").cast("string")
+    line = lambda x: F.concat_ws(":", x["score_date"].cast("string"), *[num(x[c]) for c in ("score", "pipeline", "financial", "insider", "regulatory")])
+    return d.select("company_id", F.size("programmes").cast("bigint").alias("programmes"), F.array_join(F.transform("programmes", lambda x: x["asset_id"].cast("string")), "|").alias("programme_ids"),
+                    F.size("component_history").cast("bigint").alias("days"), F.array_join(F.transform("component_history", line), "|").alias("history"))
+
+
+@query("C23", "deep_dive_buyers", f"""WITH {PAIRS} SELECT c.company_id, count(m.acquirer_id) AS buyers, coalesce(string_agg(m.acquirer_id, '|' ORDER BY rk), '') AS buyer_ids, round(max(match_score), 2) AS best_score
+FROM d_companies c LEFT JOIN x_match m ON m.company_id = c.company_id GROUP BY 1""")
+def _dive_buyers(t):
+    from dealsight.operators.profile import deep_dive
+
+    d = deep_dive(t.companies, t.latest, t.assets, t.signals, t.patents, t.financials, t.scores, NOW[:10], matches=matches(t))
+    buyers = F.coalesce("buyers", F.array().cast("array<struct<_rk:int,acquirer_id:bigint,match_score:double,likelihood:double>>"))
+    d = d.withColumn("_b", buyers)
+    return d.select("company_id", F.size("_b").cast("bigint").alias("buyers"), F.array_join(F.transform("_b", lambda x: x["acquirer_id"].cast("string")), "|").alias("buyer_ids"),
+                    F.round(F.array_max(F.transform("_b", lambda x: x["match_score"])), 2).alias("best_score"))
