@@ -41,11 +41,21 @@ def concentration_band(hhi: Column) -> Column:
 
 
 def merger_hhi(proposals: DataFrame, shares: DataFrame) -> DataFrame:
-    """For each proposed (buyer, target) and market both sell in: HHI, delta = 2ab, post-merger HHI."""
-    mine = shares.select(F.col("company_id").alias("buyer_id"), "market", F.col("share").alias("buyer_share"))
-    theirs = shares.select(F.col("company_id").alias("target_id"), "market", F.col("share").alias("target_share"))
-    j = (proposals.filter("buyer_id <> target_id").join(mine, "buyer_id").join(theirs, ["target_id", "market"])
-         .join(market_hhi(shares), "market"))
+    """For each proposed (buyer, target) and market both sell in: HHI, delta = 2ab, post-merger HHI.
+
+    A proposal is laid out over the markets of the company that sells in fewer, and looks up the other one there.
+    """
+    count = shares.groupBy("company_id").agg(F.count(F.lit(1)).alias("_n"))
+    p = proposals.filter("buyer_id <> target_id")
+    for side in ("buyer", "target"):
+        p = p.join(count.select(F.col("company_id").alias(f"{side}_id"), F.col("_n").alias(f"_{side}")), f"{side}_id")
+    few = F.col("_buyer") <= F.col("_target")
+    p = p.withColumn("_one", F.when(few, F.col("buyer_id")).otherwise(F.col("target_id"))).withColumn("_two", F.when(few, F.col("target_id")).otherwise(F.col("buyer_id")))
+    first = shares.select(F.col("company_id").alias("_one"), "market", F.col("share").alias("_s1"))
+    second = shares.select(F.col("company_id").alias("_two"), "market", F.col("share").alias("_s2"))
+    j = p.join(first, "_one").join(second, ["_two", "market"]).join(market_hhi(shares), "market")
+    j = j.withColumn("buyer_share", F.when(few, F.col("_s1")).otherwise(F.col("_s2"))).withColumn("target_share", F.when(few, F.col("_s2")).otherwise(F.col("_s1")))
+    j = j.drop("_one", "_two", "_s1", "_s2", "_buyer", "_target")
     j = j.withColumn("delta", F.col("buyer_share") * F.col("target_share") * 2)
     return j.withColumn("post_hhi", F.col("hhi") + F.col("delta")).withColumn("band", concentration_band(F.col("post_hhi")))
 

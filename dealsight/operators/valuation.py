@@ -115,14 +115,27 @@ def revenue_metrics(drugs: DataFrame, n: int = PROJECTION_YEARS, launch_probabil
 
 
 def sensitivity_grid(drugs: DataFrame, grid: Mapping[str, Sequence[float]] = GRID) -> DataFrame:
-    """NPV for each value of each variable; costs, tax and horizon stay at their defaults."""
-    points = F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(float(x)).alias("setting")) for v, xs in grid.items() for x in xs])
-    d = with_assumptions(drugs).withColumn("_g", F.explode(points)).select("*", "_g.*").drop("_g")
-    is_ = lambda v: F.col("variable") == v
-    d = (d.withColumn("s_peak", F.col("peak_sales") * F.when(is_("peak_sales"), F.col("setting")).otherwise(1.0))
-         .withColumn("s_rate", F.when(is_("discount_rate"), F.col("setting")).otherwise(F.col("discount_rate")))
-         .withColumn("s_prob", F.when(is_("probability_of_success"), F.least(F.col("probability") * F.col("setting"), F.lit(1.0))).otherwise(F.col("probability"))))
-    return with_npv(d, "s_peak", rate="s_rate", keep=["drug_id", "variable", "setting", "s_prob"]).withColumn("npv_risk_adjusted", F.col("npv_unadjusted") * F.col("s_prob"))
+    """NPV for each value of each variable; costs, tax and horizon stay at their defaults.
+
+    Flows after launch are proportional to peak sales, those before do not depend on them, and the probability only scales
+    the result.  So a drug is laid out by year once, and one aggregate sums both parts at its own rate and all flows at each
+    rate of the grid; the grid's rows are made from these sums.
+    """
+    d = with_assumptions(drugs)
+    y = by_year(d)
+    flow = cash_flow(F.col("year"), F.col("revenue"), F.col("years_to_launch"))
+    before = F.col("year") < F.col("years_to_launch")
+    own = flow / F.pow(1 + F.col("discount_rate"), F.col("year"))
+    rates = [float(x) for x in grid.get("discount_rate", ())]
+    sums = [F.sum(F.when(before, own).otherwise(0.0)).alias("_pre"), F.sum(F.when(before, 0.0).otherwise(own)).alias("_post")]
+    sums += [F.sum(flow / F.pow(F.lit(1 + x), F.col("year"))).alias(f"_r{k}") for k, x in enumerate(rates)]
+    g = y.groupBy("drug_id", F.col("probability").alias("_p")).agg(*sums)
+    base = F.col("_pre") + F.col("_post")
+    npv = {"peak_sales": lambda k, x: F.col("_pre") + F.col("_post") * x, "discount_rate": lambda k, x: F.col(f"_r{k}")}
+    rows = [F.struct(F.lit(v).alias("variable"), F.lit(float(x)).alias("setting"),
+                     (F.least(F.col("_p") * float(x), F.lit(1.0)) if v == "probability_of_success" else F.col("_p")).alias("s_prob"),
+                     npv.get(v, lambda k, x: base)(k, float(x)).alias("npv_unadjusted")) for v, xs in grid.items() for k, x in enumerate(xs)]
+    return g.select("drug_id", F.inline(F.array(*rows))).withColumn("npv_risk_adjusted", F.col("npv_unadjusted") * F.col("s_prob"))
 
 
 def scenarios(drugs: DataFrame) -> DataFrame:

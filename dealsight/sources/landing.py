@@ -18,11 +18,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def raw_landing(df: DataFrame, path: str, source: Column, ts: Column) -> None:
     """Append raw rows partitioned by source and date.
 
-    A salted repartition spreads a hot (source, day) over many files.
+    Rows are rebalanced by (source, day): small partitions are joined and a hot (source, day) is split by its measured size,
+    into as many files as it needs.
     """
     d = df.withColumn("source", source).withColumn("dt", ts.cast("date"))
-    d = d.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(16)))
-    d.repartition("source", "dt", "_salt").drop("_salt").write.mode("append").partitionBy("source", "dt").parquet(path)
+    d.hint("rebalance", "source", "dt").write.mode("append").partitionBy("source", "dt").parquet(path)
 
 
 def retained(landed: DataFrame, as_of, years: int = 7) -> DataFrame:

@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dealsight.functions.bands import truthy
 
+FEW_RULES = 10_000  # rows up to which rules for all companies are broadcast
+
 # ---- fixed values -----------------------------------------------------------
 TIER_1_SCORE, CHANGE_ALERT, NEW_BELOW = 80.0, 15.0, 60.0
 
@@ -13,13 +15,21 @@ def alert_rule_match(signals: DataFrame, rules: DataFrame) -> DataFrame:
     """Active rules against signals: type, threshold and optional company list.
 
     Rules explode to one row per signal type, and per company where they name
-    companies, so both branches are equi joins.
+    companies, so both branches are equi joins.  Rules for all companies are broadcast
+    if their checked number is small; beyond, the signals of a type are dealt over parts
+    that each hold its rules, as there are only few types.
     """
     on = rules.filter("is_active").select("rule_id", F.explode("signal_types").alias("signal_type"), "threshold", "companies")
     general = on.filter("companies IS NULL").drop("companies")
     named = on.filter("companies IS NOT NULL").select("rule_id", "signal_type", "threshold", F.explode("companies").alias("company_id"))
     hit = F.col("value") >= F.col("threshold")
-    a = signals.join(general, "signal_type").filter(hit).select("rule_id", *signals.columns)
+    if general.limit(FEW_RULES + 1).count() <= FEW_RULES:
+        a = signals.join(F.broadcast(general), "signal_type")
+    else:
+        parts = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        dealt = signals.withColumn("_part", F.pmod(F.xxhash64(*signals.columns), F.lit(parts)))
+        a = dealt.join(general.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), ["signal_type", "_part"])
+    a = a.filter(hit).select("rule_id", *signals.columns)
     b = signals.join(named, ["signal_type", "company_id"]).filter(hit).select("rule_id", *signals.columns)
     return a.unionByName(b)
 

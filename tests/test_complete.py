@@ -188,3 +188,15 @@ def test_bidders_need_no_constant_key(spark, tables):
 
     plan = CATALOG["qualified_bidders"].run(tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "_one" not in plan and "Cross" not in plan
+
+
+def test_many_rules_meet_signals_in_parts(spark, monkeypatch):
+    from dealsight.streaming import alerts as al
+
+    signals = spark.createDataFrame([(i, ["a", "b"][i % 2], i % 7, float(i)) for i in range(200)], "signal_id int, signal_type string, company_id int, value double")
+    rules = spark.createDataFrame([(k, True, ["a"] if k % 2 else ["a", "b"], float(20 * k), [k % 7] if k % 3 == 0 else None) for k in range(10)],
+                                  "rule_id int, is_active boolean, signal_types array<string>, threshold double, companies array<int>")
+    found = lambda: sorted((r.rule_id, r.signal_id) for r in al.alert_rule_match(signals, rules).collect())
+    near = found()
+    monkeypatch.setattr(al, "FEW_RULES", 0)
+    assert found() == near and len(near) > 100
