@@ -37,7 +37,8 @@ def point_in_time_backtest(deals: DataFrame, signals: DataFrame, scores: DataFra
     rows = running_max(rows, ["company_id"], month, ["day", "kind", "deal_id", "step", "_on"], {"_best": "_last"}).where("kind = 1")
     out = rows.select("deal_id", "step", F.col("step").isin(list(profile_steps)).alias("profile_step"), "signals",
                       F.col("_best._score").alias("score"), F.col("_best._on").alias("scored_on"))
-    return grid.drop("day").join(out, ["deal_id", "step"])
+    # sizes are estimated before rows are laid out by step, so without the hint a table of all steps may be broadcast
+    return grid.drop("day").hint("merge").join(out, ["deal_id", "step"])
 
 
 def classification_metrics(scored: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
