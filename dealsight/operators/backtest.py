@@ -148,4 +148,5 @@ def rebuilt_backtest(deals: DataFrame, steps: int = TRAJECTORY_STEPS, profile_st
     ``feeds``: the weights and the tables of ``component_rows``.
     """
     grid = cut_offs(deals, steps, profile_steps, step_days)
-    return grid.join(rebuilt_scores(grid, **feeds), ["company_id", "day"])
+    # sizes are estimated before rows are laid out by step, so without the hint all of them may be broadcast
+    return grid.hint("merge").join(rebuilt_scores(grid, **feeds), ["company_id", "day"])
