@@ -108,10 +108,13 @@ def dcf_npv(drugs: DataFrame, n: int = PROJECTION_YEARS) -> DataFrame:
 
 def revenue_metrics(drugs: DataFrame, n: int = PROJECTION_YEARS, launch_probability: float = 1.0) -> DataFrame:
     """Total, peak, first peak year and mean of the (risk-scaled) projection."""
-    rev = F.col("revenue") * launch_probability
-    g = by_year(drugs, n=n).groupBy(*drugs.columns).agg(F.sum(rev).alias("total_revenue"), F.max(rev).alias("peak_revenue"),
-                                                        F.max_by("year", F.struct(rev, -F.col("year"))).alias("years_to_peak"))
-    return g.withColumn("average_revenue", F.col("total_revenue") / n)
+    peak, launch, life = F.col("peak_sales").cast("double"), F.col("years_to_launch"), F.col("patent_life")
+    d = with_curve(drugs).withColumn("_rev", F.array(*[year_revenue(F.lit(y), peak, launch, life) * launch_probability for y in range(n)]))
+    known = F.filter("_rev", lambda x: x.isNotNull())
+    total = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x))
+    d = d.withColumn("total_revenue", total).withColumn("peak_revenue", F.array_max("_rev"))
+    d = d.withColumn("years_to_peak", (F.array_position("_rev", F.col("peak_revenue")) - 1).cast("int"))
+    return d.drop("_rev", *CURVE_COLUMNS).withColumn("average_revenue", F.col("total_revenue") / n)
 
 
 def sensitivity_grid(drugs: DataFrame, grid: Mapping[str, Sequence[float]] = GRID) -> DataFrame:
