@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dealsight.functions.bands import clamp, tidy
 from dealsight.functions.clock import DECAY_FLOOR, DEFAULT_HALF_LIFE, RECENT_BOOST, RECENT_DAYS
-from dealsight.functions.scale import cut
+from dealsight.functions.scale import cut, top_per_key
 from dealsight.operators import components as co
+from dealsight.operators.matching import spread
 from dealsight.operators.validation import PROFILE_STEPS, TRAJECTORY_STEPS
 
+SPAN_DAYS = 32  # cut-offs of one span see a patent change its band once at most, as bands are years
 ORIGIN = 10957  # 2000-01-01 in days: exponents stay small around it
 DAY = 86_400_000_000
 
@@ -96,6 +98,34 @@ def as_of_rows(facts: DataFrame, ts: str, cuts: DataFrame, limit: Column) -> Dat
     return rows.where("_kind = 0 AND _row IS NOT NULL").select("company_id", "day", "_row.*")
 
 
+def patent_rows(patents: DataFrame, cuts: DataFrame, end: Column) -> DataFrame:
+    """E3 for every (company_id, day) of ``cuts``, from the patents that live at ``end``; its ``company_id`` is a struct of both.
+
+    A patent that scores alike at the first and the last cut-off of a span of days scores so at all of them: such patents are
+    counts of equal scores by span, and only the best of them meet its cut-offs.  The few others are laid out by cut-off.
+    """
+    most = max(map(len, co.PATENT_TOP_WEIGHTS.values()))
+    c = cuts.select("company_id", "day", end.alias("_end"), F.floor(F.unix_date("day") / F.lit(SPAN_DAYS)).alias("_span"))
+    spans = c.groupBy("company_id", "_span").agg(F.min("_end").alias("_first"), F.max("_end").alias("_last"))
+    met = spans.join(patents, "company_id").where(F.col("expiry_date") >= F.col("_first"))
+    met = met.withColumn("_a", co.years_left(F.col("_first"))).withColumn("_b", co.years_left(F.col("_last")))
+    met = met.withColumn("patent_score", co.patent_score("_b"))
+    same = (co.patent_score("_a") == F.col("patent_score")) & (F.col("expiry_date") >= F.col("_last"))
+    own = F.struct("expiry_date", "is_composition", "is_method", "is_formulation", "claims_count", "citations_count")
+    met = met.withColumn("_same", same).groupBy("company_id", "_span", F.when(F.col("_same"), F.col("patent_score")).alias("patent_score"),
+                                                F.when(~F.col("_same"), own).alias("_own")).agg(F.count(F.lit(1)).alias("_n"))
+    met = cut(met)
+    top = lambda df, keys: df.select(*keys, F.explode(F.array_repeat("patent_score", F.least("_n", F.lit(most)).cast("int"))).alias("patent_score"))
+    kept = met.where("_own IS NULL")
+    best = top_per_key(top(kept, ["company_id", "_span"]), ["company_id", "_span"], [F.col("patent_score").desc()], most, "_rk").drop("_rk")
+    key = F.struct("company_id", "day").alias("company_id")
+    moved = c.join(met.where("_own IS NOT NULL").select("company_id", "_span", "_n", "_own.*"), ["company_id", "_span"]).where(F.col("expiry_date") >= F.col("_end"))
+    moved = moved.withColumn("_years", co.years_left(F.col("_end"))).select(key, co.patent_score("_years").alias("patent_score"), "_n")
+    many = c.join(kept.groupBy("company_id", "_span").agg(F.sum("_n").alias("_n")), ["company_id", "_span"]).select(key, "_n")
+    many = many.unionByName(moved.select("company_id", "_n")).groupBy("company_id").agg(F.sum("_n").alias("n"))
+    return co.portfolio_scores(c.join(best, ["company_id", "_span"]).select(key, "patent_score").unionByName(top(moved, ["company_id"])), counts=many)
+
+
 def component_rows(cuts: DataFrame, companies: DataFrame, assets: DataFrame, patents: DataFrame, financials: DataFrame, transactions: DataFrame,
                    holdings: DataFrame, pathways: DataFrame, interactions: DataFrame, issues: DataFrame, acquirers: DataFrame,
                    shift_days: int = 0) -> DataFrame:
@@ -110,7 +140,7 @@ def component_rows(cuts: DataFrame, companies: DataFrame, assets: DataFrame, pat
     key = F.struct("company_id", "day")
     known = lambda df: df.select(key.alias("company_id"), *[c for c in df.columns if c not in ("company_id", "day")])
     late = end(shift_days)
-    met = lambda df: cuts.withColumn("_end", late).join(df, "company_id")
+    met = lambda df: spread(cuts, "company_id").withColumn("_end", late).join(df, "company_id")  # few cut-offs that become many rows
     old = F.col("last_update").isNull() | (F.col("last_update").cast("timestamp_ntz") < F.col("_end"))
     insider = decayed_sums(co.insider_feed(transactions, holdings), cuts, 12)
     insider = known(insider).select("company_id", tidy(clamp(F.col("points") + 50, 0.0, 100.0)).alias("score"), "signals", "last_updated")
@@ -122,7 +152,7 @@ def component_rows(cuts: DataFrame, companies: DataFrame, assets: DataFrame, pat
     money = known(co.financial_scores(as_of_rows(financials, "as_of_date", cuts, late).withColumn("_end", late), F.col("_end"))).select("company_id", "score")
     parts = {
         "pipeline": (co.asset_component(met(assets).where(old).withColumn("company_id", key), F.col("_end")), 0.0),
-        "patent": (co.patent_component(met(patents).withColumn("company_id", key), F.col("_end")), 0.0),
+        "patent": (patent_rows(patents, cuts, late), 0.0),
         "financial": (money, 0.0), "insider": (insider, 50.0), "strategic_fit": (fit, 50.0),
         "regulatory": (co.regulatory_scores(ways, talks, found), 50.0),
     }
