@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dealsight.functions.clock import whole_days
-from dealsight.functions.scale import exact_quantiles, positions, running_max, running_sum
+from dealsight.functions.scale import exact_quantiles, join_on, positions, running_sum
 
 
 # ---- fixed values -----------------------------------------------------------
@@ -18,27 +18,33 @@ def point_in_time_backtest(deals: DataFrame, signals: DataFrame, scores: DataFra
                            profile_steps: Sequence[int] = PROFILE_STEPS, step_days: int = 30) -> DataFrame:
     """K1: the composite score and the signals known about each deal's target 1..``steps`` months before announcement.
 
-    ``scores`` is the composite's history (company_id, score_date, score).  A cut-off joins its company's days as a row of
-    its own that adds nothing: the running count up to it is what was known, the running maximum of (day, score) is the
-    last score.  Both run in monthly blocks, so neither a range join nor a calendar of days is built.
+    ``scores`` is the composite's history (company_id, score_date, score).  Everything depends on a company and a day alone: a
+    company's days are rows, at most one of each kind, in which the running count is what was known and the running maximum
+    of (day, score) the last score.  What holds at its cut-offs is one row a company, which its deals meet before they are
+    laid out by step, so no row a step is dealt.  Deals that share a ``deal_id`` are given each other's cut-offs.
     """
     wanted = sorted({*range(1, steps + 1), *profile_steps})
-    grid = deals.withColumn("step", F.explode(F.array(*[F.lit(x) for x in wanted])))
-    grid = grid.withColumn("day", F.date_sub(F.col("announced").cast("date"), F.col("step") * step_days + 1))
-    probe = grid.select("company_id", "day", F.lit(1).alias("kind"), "deal_id", "step", F.lit(0).alias("n"), F.lit(None).cast("date").alias("_on"), F.lit(None).cast("double").alias("_score"))
-    none = [F.lit(None).cast(grid.schema["deal_id"].dataType).alias("deal_id"), F.lit(None).cast("int").alias("step")]
+    day = lambda announced, step: F.date_sub(announced.cast("date"), step * step_days + 1)
+    number = lambda d: F.coalesce(F.unix_date(d), F.lit(-2**31))  # a key of a map is not NULL
+    dates = deals.groupBy("company_id").agg(F.collect_set(F.struct(F.col("announced").cast("date").alias("d"))).alias("_dates"))  # a NULL date counts
+    days = F.flatten(F.transform("_dates", lambda x: F.array(*[day(x["d"], k) for k in wanted])))
+    probe = dates.select("company_id", F.explode(F.array_distinct(days)).alias("day"), F.lit(1).alias("kind"), F.lit(0).alias("n"), F.lit(None).cast("date").alias("_on"), F.lit(None).cast("double").alias("_score"))
     seen = signals.groupBy("company_id", F.col("event_date").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    seen = seen.select("company_id", "day", F.lit(0).alias("kind"), *none, "n", F.lit(None).cast("date").alias("_on"), F.lit(None).cast("double").alias("_score"))
-    known = scores.select("company_id", F.col("score_date").cast("date").alias("day"), F.lit(0).alias("kind"), *none, F.lit(0).alias("n"),
-                          F.col("score_date").cast("date").alias("_on"), F.col("score").cast("double").alias("_score"))
-    month = F.trunc("day", "month")
+    seen = seen.select("company_id", "day", F.lit(0).alias("kind"), "n", F.lit(None).cast("date").alias("_on"), F.lit(None).cast("double").alias("_score"))
+    known = scores.groupBy("company_id", F.col("score_date").cast("date").alias("day")).agg(F.max(F.col("score").cast("double")).alias("_score"))
+    known = known.select("company_id", "day", F.lit(0).alias("kind"), F.lit(0).alias("n"), F.col("day").alias("_on"), "_score")
     rows = probe.unionByName(seen).unionByName(known).withColumn("_last", F.when(F.col("_on").isNotNull(), F.struct("_on", "_score")))
-    rows = running_sum(rows, ["company_id"], month, ["day", "kind", "deal_id", "step", "_on"], F.col("n"), "signals")
-    rows = running_max(rows, ["company_id"], month, ["day", "kind", "deal_id", "step", "_on"], {"_best": "_last"}).where("kind = 1")
-    out = rows.select("deal_id", "step", F.col("step").isin(list(profile_steps)).alias("profile_step"), "signals",
-                      F.col("_best._score").alias("score"), F.col("_best._on").alias("scored_on"))
-    # sizes are estimated before rows are laid out by step, so without the hint a table of all steps may be broadcast
-    return grid.drop("day").hint("merge").join(out, ["deal_id", "step"])
+    so_far = W.partitionBy("company_id").orderBy("day", "kind").rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.select("company_id", "day", "kind", F.sum("n").over(so_far).alias("signals"), F.max("_last").over(so_far).alias("_best")).where("kind = 1")
+    at_days = rows.groupBy("company_id").agg(F.map_from_entries(F.collect_list(F.struct(number(F.col("day")), F.struct("signals", "_best")))).alias("_at"))
+    whose = deals.select("deal_id", F.col("company_id").alias("_company"), F.col("announced").alias("_announced"))
+    # sizes are estimated before companies' days are one row, so without the hint all of them may be broadcast
+    met = join_on(deals.join(whose, "deal_id").withColumnRenamed("company_id", "_own").withColumnRenamed("_company", "company_id").hint("merge"), at_days, ["company_id"])
+    met = met.select("*", F.explode(F.array(*[F.lit(x) for x in wanted])).alias("step"))
+    found = F.try_element_at("_at", number(day(F.col("_announced"), F.col("step"))))
+    own = [F.col("_own").alias(c) if c == "company_id" else F.col(c) for c in deals.columns if c != "deal_id"]
+    return met.select("deal_id", "step", *own, F.col("step").isin(list(profile_steps)).alias("profile_step"), found["signals"].alias("signals"),
+                      found["_best"]["_score"].alias("score"), found["_best"]["_on"].alias("scored_on"))
 
 
 def classification_metrics(scored: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
