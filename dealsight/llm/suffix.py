@@ -35,7 +35,8 @@ from dealsight.llm.common import map_batches, texts
 
 LENGTH, K = 50, 18
 RUNS = LENGTH - K + 1  # K-byte strings in a window
-BLOCK = 1 << 19  # bytes hashed at once
+BLOCK = 1 << 17  # bytes hashed at once: what is made of them stays in a cache
+SHORT = 24  # bits of an anchor hash that are not shuffled with a sample, the upper ones, as those of small hashes say little; zeros take no room
 HOT = 4096
 FEW = 16  # entries of a group that are compared with each other rather than window by window
 TASK_BYTES = 16 << 20  # text whose entries one task sorts
@@ -62,14 +63,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def first_smallest(h: np.ndarray) -> np.ndarray:
-    """Place of the leftmost smallest value in every window of RUNS values, by doubling."""
-    v, at, width = h, np.arange(len(h)), 1
+    """Place of the leftmost smallest value in every window of RUNS values, by doubling; values count without the low bits
+    that a place takes, so that one minimum finds both."""
+    low = U((1 << len(h).bit_length()) - 1)
+    v, width = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
     while width < RUNS:
         step = min(width, RUNS - width)
-        left = v[:-step] <= v[step:]
-        v, at = np.where(left, v[:-step], v[step:]), np.where(left, at[:-step], at[step:])
+        v = np.minimum(v[:-step], v[step:])
         width += step
-    return at
+    return (v & low).astype(np.int64)
 
 
 def block_entries(raw: np.ndarray, valid: np.ndarray, known: tuple) -> tuple[np.ndarray, ...]:
@@ -87,51 +89,51 @@ def block_entries(raw: np.ndarray, valid: np.ndarray, known: tuple) -> tuple[np.
     return first, last, at, h[at].view(np.int64), mixed(whole).view(np.int64)
 
 
-def entries(items: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(item, first, last, anchor, anchor hash, entry hash) with places in the item; small items share a block.
+def entries(items: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks of (item, first, last, anchor, anchor hash, entry hash), by item and place; places are those in the item.
 
-    A long item is cut into blocks by window starts, always at the same places.
+    Small items share a block.  A long item is cut into blocks by window starts, always at the same places.
     """
     known = tables(BLOCK + 2 * LENGTH)
     held: list[tuple[int, int, bytes]] = []  # item, place of its first window, bytes
     size = 0
 
-    def flush() -> Iterator[tuple]:
-        if not held:
-            return
+    def flush() -> tuple[np.ndarray, ...]:
         raw = np.frombuffer(b"".join(b for _, _, b in held), np.uint8)
-        begin = np.cumsum([0, *(len(b) for _, _, b in held)])
-        valid = np.concatenate([np.arange(s, e - LENGTH + 1) for s, e in zip(begin[:-1], begin[1:])])
+        lengths = np.array([len(b) for _, _, b in held])
+        begin = np.cumsum(lengths) - lengths
+        windows = lengths - LENGTH + 1
+        valid = np.arange(windows.sum()) + np.repeat(begin - np.cumsum(windows) + windows, windows)
         first, last, at, h, whole = block_entries(raw, valid, known)
-        cut_at = np.searchsorted(first, begin)
-        for (item, shift, _), s, e, a, b in zip(held, cut_at[:-1], cut_at[1:], begin[:-1], begin[1:]):
-            off = shift - a
-            yield item, first[s:e] + off, last[s:e] + off, at[s:e] + off, h[s:e], whole[s:e]
+        part = np.searchsorted(begin, first, "right") - 1
+        off = (np.array([shift for _, shift, _ in held]) - begin)[part]
+        return np.array([item for item, _, _ in held])[part], first + off, last + off, at + off, h, whole
 
     for item, b in enumerate(items):
         for s in range(0, max(len(b) - LENGTH + 1, 0), BLOCK):
             part = b[s:s + BLOCK + LENGTH - 1]
-            if size + len(part) > BLOCK + LENGTH:
-                yield from flush()
+            if held and size + len(part) > BLOCK + LENGTH:
+                yield flush()
                 held, size = [], 0
             held.append((item, s, part))
             size += len(part)
-    yield from flush()
+    if held:
+        yield flush()
 
 
 def sample_batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
     """Different entries of a batch: (h, whole, doc).  Those that the batch itself shows to be covered have a null h."""
-    ids, parts = b.column("_d").to_numpy(), []
-    for item, _, _, _, h, whole in entries(texts(b)):
-        parts.append((h, whole, np.full(len(h), ids[item])))
+    parts = [(item, h, whole) for item, _, _, _, h, whole in entries(texts(b))]
     if not parts:
         return None
-    h, whole, doc = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((doc, whole, h))
+    item, h, whole = (np.concatenate(x) for x in zip(*parts))
+    h <<= SHORT
+    doc = b.column("_d").to_numpy()[item]
+    order = np.argsort(whole, kind="stable")
     hs, ws, ds = h[order], whole[order], doc[order]
     new = np.r_[True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])]
     covered = np.zeros(len(h), bool)
-    covered[order] = ds > ds[np.flatnonzero(new)][np.cumsum(new) - 1]
+    covered[order] = ds > np.minimum.reduceat(ds, np.flatnonzero(new))[np.cumsum(new) - 1]
     keep = np.zeros(len(h), bool)
     keep[order] = new | np.r_[True, ds[1:] != ds[:-1]]  # in the order of the texts, which packs better
     return pa.RecordBatch.from_arrays([pa.array(h[keep], mask=covered[keep]), pa.array(whole[keep]), pa.array(doc[keep])], ["h", "whole", "doc"])
@@ -213,28 +215,32 @@ def scattered(doc: int, place: int) -> int:
 def extract_batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
     """Rows (g, doc, text_hash, lo, anchor, hi, bytes): covered stretches have no bytes, entries to be sorted have theirs."""
     b = b.filter(b.column("done").is_valid())  # the others have no reply
-    items, ids = unpacked(b), b.column("_d").to_pylist()
-    wanted = [[np.frombuffer(b"".join(x), "<i8") for x in b.column(c).to_pylist()] for c in ("done", "asked", "hot")]
-    rows: list[tuple] = []
+    items, docs = unpacked(b), b.column("_d").to_numpy()
+    found = list(entries(items))
+    if not found:
+        return None
+    item, first, last, at, h, whole = (np.concatenate(x) for x in zip(*found))
+    wanted = []
+    for c in ("done", "asked", "hot"):
+        lists = [b"".join(x) for x in b.column(c).to_pylist()]
+        wanted.append((np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists]), np.frombuffer(b"".join(lists), "<i8")))
+    names = np.unique(np.concatenate([x for _, x in wanted]))  # the wanted hashes, numbered
+    named = np.searchsorted(names, whole).clip(max=max(len(names) - 1, 0))
+    mine = np.flatnonzero(names[named] == whole) if len(names) else np.zeros(0, np.int64)
+    pair = item[mine] * np.int64(len(names)) + named[mine]
+    done, asked, split = (mine[np.isin(pair, k * np.int64(len(names)) + np.searchsorted(names, x))] for k, x in wanted)
+    check = np.array([text_check(t) for t in items], np.int32)
+    lo, hi, k = first[done], last[done] + LENGTH, item[done]
+    starts = np.flatnonzero(np.r_[True, (lo[1:] > hi[:-1]) | (k[1:] != k[:-1])][:len(done)])
+    ends = np.r_[starts[1:], len(done)][:len(starts)] - 1
+    rows = [(scattered(doc, s), doc, th, s, 0, e, None) for doc, th, s, e in zip(docs[k[starts]].tolist(), check[k[starts]].tolist(), lo[starts].tolist(), hi[ends].tolist())]
+    lo, hi, k = first[asked], last[asked] + LENGTH, item[asked]
+    rows += [(g, doc, th, s, a - s, e, items[i][s:e]) for g, doc, th, s, a, e, i in zip(
+        h[asked].tolist(), docs[k].tolist(), check[k].tolist(), lo.tolist(), at[asked].tolist(), hi.tolist(), k.tolist())]
     hot: list[tuple] = []
-    found: dict[int, list[tuple]] = {}
-    for item, *arrays in entries(items):
-        found.setdefault(item, []).append(arrays)
-    for item, parts in found.items():
-        first, last, at, h, whole = (np.concatenate(x) for x in zip(*parts))
-        text, doc = items[item], ids[item]
-        th = text_check(text)
-        done, asked, split = (np.flatnonzero(np.isin(whole, w[item])) for w in wanted)
-        if len(done):
-            lo, hi = first[done], last[done] + LENGTH
-            starts = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])
-            for s, e in zip(lo[starts].tolist(), hi[np.r_[starts[1:], len(hi)] - 1].tolist()):
-                rows.append((scattered(doc, s), doc, th, s, 0, e, None))
-        for k in asked.tolist():
-            s, e = int(first[k]), int(last[k]) + LENGTH
-            rows.append((int(h[k]), doc, th, s, int(at[k]) - s, e, text[s:e]))
-        for k in split.tolist():
-            hot += [(doc, th, p, int(at[k]) - p, text[p:p + LENGTH]) for p in range(int(first[k]), int(last[k]) + 1)]
+    for x in split.tolist():
+        i = int(item[x])
+        hot += [(int(docs[i]), int(check[i]), p, int(at[x]) - p, items[i][p:p + LENGTH]) for p in range(int(first[x]), int(last[x]) + 1)]
     low: dict[bytes, int] = {}
     for doc, _, _, _, w in hot:
         low[w] = min(doc, low.get(w, LAST))
@@ -369,6 +375,15 @@ def covered_few(g: np.ndarray, doc: np.ndarray, anchor: np.ndarray, items: list[
     return entry, first[entry], last[entry]
 
 
+def in_several(whole: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places whose hash is that of another document too: windows without are equal to none, and need no sorting."""
+    order = np.argsort(whole)
+    start = np.flatnonzero(np.r_[True, whole[order][1:] != whole[order][:-1]])
+    d = doc[order]
+    several = np.minimum.reduceat(d, start) < np.maximum.reduceat(d, start)
+    return np.sort(order[np.repeat(several, np.diff(np.r_[start, len(order)]))])
+
+
 def covered_windows(g: np.ndarray, doc: np.ndarray, anchor: np.ndarray, items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(entry, first, last covered window) for the entries with a window that an entry of a smaller document holds too."""
     size = np.array([len(x) for x in items])
@@ -379,6 +394,10 @@ def covered_windows(g: np.ndarray, doc: np.ndarray, anchor: np.ndarray, items: l
     start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     bucket = np.unique(g, return_inverse=True)[1][row] * np.int64(LENGTH) + (anchor[row] - start)
     suffixes = Suffixes(raw)
+    kept = in_several(suffixes.hashes(row, start, LENGTH), doc[row])
+    if not len(kept):
+        return kept, kept, kept
+    row, start, bucket = row[kept], start[kept], bucket[kept]
     order = suffixes.sort(row, start, bucket)
     x, y = order[:-1], order[1:]
     same = (bucket[x] == bucket[y]) & (suffixes.common(row[x], start[x], row[y], start[y]) == LENGTH)
